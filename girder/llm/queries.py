@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, language_id, licenses, near_dup, packing, secrets, token_attribution, toxicity
+from . import ann, decontaminate, language_id, licenses, near_dup, packing, secrets, token_attribution, tool_calls, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,6 +58,21 @@ def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
 
 
+@query
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in canonical form, its calls and results linked."""
+    return tool_calls.link(table(spark, sf_dir, "conversations"))
+
+
+# The tables' conversations hold no tool markup; on messages with markup this SQL gives null, which would show as a difference.
+ORACLE_SQL["op6_tool_call_linking"] = """
+SELECT conv_id, turn, role, turn AS order_turn, CAST(0 AS INTEGER) AS order_step, CAST(0 AS INTEGER) AS n_calls, CAST(0 AS INTEGER) AS n_results, CAST(0 AS INTEGER) AS n_linked, '' AS problems,
+  CASE WHEN contains(coalesce(text, ''), '<tool_') OR contains(coalesce(text, ''), 'tool_call') THEN NULL
+       ELSE CAST(to_json({'content': coalesce(text, ''), 'role': role}) AS VARCHAR) END AS canonical
+FROM conversations
+"""
+
+
 @query
 def op7_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
