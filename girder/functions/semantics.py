@@ -27,7 +27,7 @@ def upper_median(values: Column) -> Column:
 
 def leading_integer(text: Column) -> Column:
     """The whole number at the start of a text, null if there is none."""
-    return F.expr("NULL").cast("long") if text is None else F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit("")).cast("long")
 
 
 def trim_all(text: Column) -> Column:
