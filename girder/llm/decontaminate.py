@@ -176,4 +176,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage
 def remove_leaking(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents in which an item leaks; rows with a null doc_id are judged by their own leaks."""
     leaks = find_leaks(docs, items, **parameters).select(F.col("doc_id").alias("of_doc")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_anti")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["of_doc"]), "left_anti")

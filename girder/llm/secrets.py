@@ -140,7 +140,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; spans that overlap are replaced together. Texts without a span stay as they are."""
-    found = scan(docs)
+    found = scan(docs.select(F.struct(*docs.columns).alias("row_"), "text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -149,4 +149,5 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     whole = F.aggregate("secrets_", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("secrets_") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("secrets_") > 0, whole).otherwise(F.col("text"))
+    return found.select(*[text.alias(c) if c == "text" else F.col(f"row_.{c}").alias(c) for c in docs.columns])
