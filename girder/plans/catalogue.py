@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.operators import evidence as E
 from girder.operators import quality as Q
 from girder.operators import resolve as R
 from girder.operators import search as S
@@ -504,3 +505,130 @@ SELECT event_id, '{"type":"' || event_type || '"}' AS kept FROM events WHERE jso
 def redact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("json", F.concat(F.regexp_replace("props", "}$", ""), F.lit(',"type":"'), "event_type", F.lit('"}')))
     return rows.select("event_id", Q.redact_json(F.col("json"), ["k"]).alias("kept")).filter("kept is not null")
+
+
+@query("""
+SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey NOT IN (SELECT c_custkey FROM customer))
+""")
+def identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.identity_join(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_orderkey", ["o_custkey"], "c_custkey", "c_name")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45), c AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48)
+SELECT p_partkey, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'table' WHEN b.k IS NOT NULL THEN 'partition' WHEN c.k IS NOT NULL THEN 'recovered' ELSE 'none' END AS evidence
+FROM part LEFT JOIN a ON a.k = p_partkey LEFT JOIN b ON b.k = p_partkey LEFT JOIN c ON c.k = p_partkey
+""")
+def tag_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    sets = {"table": lines.filter("l_returnflag = 'R' AND l_quantity > 45"), "partition": lines.filter("l_returnflag = 'A' AND l_quantity > 45"), "recovered": lines.filter("l_quantity > 48")}
+    return E.tag_join(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", {n: s.select("l_partkey") for n, s in sets.items()})
+
+
+@query("""
+WITH m AS (SELECT l_partkey, l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag || ':' || l_linestatus)), ',') AS sig FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2),
+g AS (SELECT l_partkey, min(sig) AS sig FROM m GROUP BY 1 HAVING count(DISTINCT sig) = 1)
+SELECT l_partkey, split_part(x, ':', 1) AS l_returnflag, split_part(x, ':', 2) AS l_linestatus FROM (SELECT l_partkey, unnest(string_split(sig, ',')) AS x FROM g)
+""")
+def poisoned_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.poisoned_map(table(spark, sf_dir, "lineitem").filter("l_quantity > 45"), "l_partkey", "l_orderkey", "l_returnflag", "l_linestatus")
+
+
+@query("""
+WITH bad AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 1000))
+SELECT l_orderkey, round(sum(l_quantity), 6) AS total_width FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM bad) GROUP BY 1
+""")
+def layer_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "supplier").filter("s_acctbal > 1000")
+    layers = E.layer_definitions(table(spark, sf_dir, "lineitem"), known, "l_orderkey", "l_linenumber", "l_suppkey", "s_suppkey")
+    return rounded(E.total_width(layers, "l_orderkey", "l_quantity"), "total_width")
+
+
+@query("""
+SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1
+""")
+def single_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.single_material(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+@query("""
+SELECT s_suppkey, CAST(coalesce(n, 0) AS BIGINT) AS elements FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) ON l_suppkey = s_suppkey
+""")
+def material_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").withColumnRenamed("l_suppkey", "s_suppkey")
+    return E.material_palette(table(spark, sf_dir, "supplier").select("s_suppkey"), lines, "s_suppkey", "l_orderkey")
+
+
+@query("""
+SELECT min_by(x, event_id) AS name, count(*) AS n FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS x FROM events) GROUP BY lower(x)
+""")
+def name_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("x", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
+    return E.occurrences(rows, "x", "event_id")
+
+
+@query("""
+SELECT CASE WHEN p_size > 10 THEN p_type ELSE 'Uncategorised' END AS name, count(*) AS n FROM part GROUP BY 1
+""")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.counts_by(table(spark, sf_dir, "part").withColumn("c", F.when(F.col("p_size") > 10, F.col("p_type"))), "c", "Uncategorised")
+
+
+@query("""
+SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS x, CAST(floor(l_extendedprice / 10000) AS BIGINT) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, x, y LIMIT 20
+""")
+def densest_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.densest_regions(table(spark, sf_dir, "lineitem"), {"x": F.floor(F.col("l_quantity") / 10), "y": F.floor(F.col("l_extendedprice") / 10000)})
+
+
+@query("""
+SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS states FROM lineitem GROUP BY 1
+""")
+def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.evidence_sets(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus"])
+    return found.select("l_orderkey", F.array_join("l_returnflag", ",").alias("flags"), F.array_join("l_linestatus", ",").alias("states"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_retailprice > 1500 THEN 'costly' WHEN p_size < 5 THEN 'small' ELSE 'other' END AS role FROM part
+""")
+def display_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [(F.col("p_size") > 40, "large"), (F.col("p_retailprice") > 1500, "costly"), (F.col("p_size") < 5, "small")]
+    return table(spark, sf_dir, "part").select("p_partkey", E.labelled(F.col("p_size"), rules, "other").alias("role"))
+
+
+@query("""
+SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount = 0.1 AND l_quantity > 45)
+""")
+def suppressed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return E.suppressed(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", lines.filter("l_quantity = 50").select("l_partkey"), lines.filter("l_discount = 0.1 and l_quantity > 45").select("l_partkey"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity = 50), w AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM r))
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM w) AND o_orderkey NOT IN (SELECT l_orderkey FROM r)
+""")
+def curtain_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select("l_orderkey")
+    return E.curtain_helpers(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), resolved, "o_orderkey", "o_custkey")
+
+
+@query("""
+WITH e AS (SELECT l_partkey, unnest([{'e': abs(l_extendedprice / l_quantity - 1000), 'k': 0, 'r': 'thousand'}, {'e': abs(l_extendedprice / l_quantity - 1500), 'k': 1, 'r': 'fifteen hundred'}]) AS x FROM lineitem)
+SELECT l_partkey, min(x).r AS reading, round(min(x).e, 6) AS error FROM e GROUP BY 1
+""")
+def nearest_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return rounded(E.nearest_reading(table(spark, sf_dir, "lineitem"), "l_partkey", {"thousand": F.abs(price - 1000), "fifteen hundred": F.abs(price - 1500)}), "error")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders)
+SELECT count(*) AS compared, count(CASE WHEN abs(a.v - b.v) < 100000 THEN 1 END) AS aligned, count(CASE WHEN NOT abs(a.v - b.v) < 100000 THEN 1 END) AS different FROM a JOIN b ON a.k = b.k
+""")
+def difference_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v"))
+    right = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return E.difference_tally(left, right, "k", "v", 100000)
