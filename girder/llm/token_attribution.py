@@ -42,7 +42,7 @@ def token_bytes(path: str) -> np.ndarray:
 
 def attribute(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and crossing tokens of each section: an interval join of token spans (by their ends) with section spans (by their ends)."""
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[: len(ends)]
     first = np.searchsorted(bounds, starts, "right")
     last = np.searchsorted(bounds, ends, "left")
     owner = first.copy()
