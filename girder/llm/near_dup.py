@@ -4,8 +4,7 @@ Each text is the set of its runs of five lower-case words (words end at ASCII
 white space). A document's signature keeps, for each coordinate, the earliest
 dart that falls into the region of one of its elements; a dart's chance to be
 shared is the weighted Jaccard similarity. Bands of coordinates make
-candidates, and every candidate pair that can join two classes is verified by
-its exact Jaccard similarity. Classes are the connected components of verified
+candidates, and every link is verified by the exact Jaccard similarity. Classes are the connected components of verified
 pairs.
 
 Cases: a null or blank text is a class of its own; texts of one to four words
@@ -22,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texts as T
 from .storage import materialize
 
 WIDTH, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 6
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^7)^40 = 0.9999.
+BANDS, ROWS = 40, 7
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -184,9 +184,10 @@ def _sized(a: Column, b: Column, threshold: float) -> Column:
 def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, th (xxhash64 of the text), class_id, class_size, representative (boolean).
 
-    Buckets link their members to two leaders first; where a bucket then still
-    holds several classes, all pairs between its classes that fit in size are
-    verified too, so no link that the bands find is lost.
+    A bucket never emits all its pairs: it links its members to two leaders.
+    Members of buckets that still hold several classes then meet across
+    classes by an exact prefix filter (``_across``), so no link is lost that
+    the bands find.
     """
     keyed = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     members = materialize(keyed.mapInArrow(_signatures(bands, rows, width), "doc_id long, th long, fp1 long, fp2 long, n long, bands array<long>"), "signatures")
@@ -197,17 +198,15 @@ def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS
     leaders = buckets.groupBy("key").agg(F.min(F.struct("uid", "n")).alias("lo"), F.max(F.struct("uid", "n")).alias("hi")).filter("lo.uid <> hi.uid")
     shared = materialize(buckets.join(leaders, "key"), "buckets")
     star = shared.select(F.col("uid"), F.col("n"), F.explode(F.array("lo", "hi")).alias("x")).filter(F.col("uid") != F.col("x.uid")).filter(_sized(F.col("n"), F.col("x.n"), threshold))
-    tested = materialize(star.select(F.least("uid", "x.uid").alias("a"), F.greatest("uid", "x.uid").alias("b")).distinct(), "pairs")
-    edges = materialize(_verified(keyed, nodes, tested, threshold, width), "links")
+    pairs = materialize(star.select(F.least("uid", "x.uid").alias("a"), F.greatest("uid", "x.uid").alias("b")).distinct(), "pairs")
+    edges = materialize(_verified(keyed, nodes, pairs, threshold, width), "links")
     labels = components(edges)
 
-    named = shared.join(labels, "uid", "left").select("key", "uid", "n", F.coalesce("label", "uid").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    rest = named.join(mixed, "key")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _sized(F.col("x.n"), F.col("y.n"), threshold))
-    cross = cross.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = materialize(_verified(keyed, nodes, materialize(cross, "pairs"), threshold, width), "links")
+    named = shared.select("key", "uid", "n").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    mixed = materialize(named.join(mixed, "key", "left_semi").select("uid", "n", "label").distinct(), "mixed")
+    pairs = materialize(_across(_texts(keyed, nodes, mixed.select("uid")), mixed, threshold, width), "pairs")
+    more = materialize(_verified(keyed, nodes, pairs, threshold, width), "links")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
 
@@ -224,22 +223,77 @@ def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS
     )
 
 
-def _verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose texts are similar enough; only texts of candidates are moved."""
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+def _texts(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, text) of the wanted nodes."""
     of = nodes.select("uid", F.col("doc_id").alias("of_doc"), "th").join(wanted, "uid", "left_semi")
     found = keyed.join(of, (keyed.th == of.th) & keyed.doc_id.eqNullSafe(F.col("of_doc"))).select("uid", "text")
-    found = materialize(found.dropDuplicates(["uid"]), "texts")
+    return materialize(found.dropDuplicates(["uid"]), "texts")
+
+
+def _verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose texts are similar enough; only texts of candidates are moved."""
+    found = _texts(keyed, nodes, pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
     joined = pairs.join(found.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
     return joined.mapInArrow(_similar(threshold, width), "a long, b long")
 
 
+#: Bits of a text's parity map, as longs.
+PARITY = 8
+
+
+def _shingle_lists(width: int):
+    """Distinct shingles of each text, and their parity map: each shingle flips one of 64 * PARITY bits."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in T.blocks(T.plain(batch.column("text"))):
+                value, row = _distinct(*T.shingles_of(texts, width)[:2])
+                order = np.argsort(row, kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
+                bit = (T.mix(value) % np.uint64(64 * PARITY)).astype(np.int64)
+                odd = np.bincount(row * 64 * PARITY + bit, minlength=len(texts) * 64 * PARITY) % 2
+                maps = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(texts), PARITY)
+                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].view(np.int64))), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(PARITY))], ["uid", "shingles", *(f"p{k}" for k in range(PARITY))])
+
+    return over
+
+
+def _across(texts: DataFrame, mixed: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Pairs (a, b) of texts of different classes (``mixed``: uid, n, label) that can be similar enough, by exact filters.
+
+    Prefix: two similar sets share an element among the n - ceil(threshold n) + 1
+    rarest ones of each (n: its size). Elements that one text alone has meet
+    nothing, so they only use up a text's prefix. At each element the texts of
+    all classes but its largest meet the others; texts of one class never do.
+    Parity: sets differ in at least as many elements as their maps in bits, and
+    similar sets differ in (1 - threshold) / (1 + threshold) of both sizes at most.
+    """
+    maps = [f"p{k}" for k in range(PARITY)]
+    lists = materialize(texts.mapInArrow(_shingle_lists(width), "uid long, shingles array<long>, " + ", ".join(f"{p} long" for p in maps)), "shingles")
+    rows = lists.select("uid", F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    by_text = Window.partitionBy("uid")  # one text's elements
+    kept = rows.join(common, "shingle").withColumn("known", F.count("*").over(by_text)).withColumn("place", F.row_number().over(by_text.orderBy("c", "shingle")))
+    room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.col("known"))
+    prefix = kept.join(mixed, "uid").filter(F.col("place") <= room).select("shingle", "uid", "n", "label").join(lists.drop("shingles"), "uid")
+    prefix = materialize(prefix, "prefixes")
+    sizes = prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    few = prefix.join(largest, "shingle").filter(F.col("label") != F.col("top.label")).select("shingle", F.col("uid").alias("u"), F.col("n").alias("m"), F.col("label").alias("l"), *[F.col(p).alias(f"o{p}") for p in maps])
+    differ = F.lit(0)
+    for p in maps:
+        differ = differ + F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}")))
+    close = differ <= (F.col("m") + F.col("n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    met = few.join(prefix, "shingle").filter((F.col("l") != F.col("label")) & _sized(F.col("m"), F.col("n"), threshold) & close)
+    return met.select(F.least("u", "uid").alias("a"), F.greatest("u", "uid").alias("b")).distinct()
+
+
 def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one row of each class; blank texts stay. Of equal rows of one doc_id one stays."""
     classes = near_duplicate_classes(docs, **parameters)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("th"))
     kept = materialize(classes.filter("representative").groupBy(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th")).agg(F.count("*").alias("times")), "kept")
-    rows = docs.withColumn("th_", F.xxhash64("text"))
-    pick = rows.join(kept, (F.col("th_") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
+    pick = packed.join(kept, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
     once = pick.filter("times = 1")
     many = pick.filter("times > 1").dropDuplicates(["of_doc", "of_th"])
-    return once.unionByName(many).select(*docs.columns)
+    return once.unionByName(many).select("row.*")
