@@ -15,7 +15,8 @@ whose size is fixed (BITS) whatever the benchmark's, so only windows with a
 likely partner are shuffled; the join then is exact on the hash.
 
 A window takes part if at least PLAIN of its words are plain ones, so rows of
-numbers or names alone match nothing.
+numbers or names alone match nothing. Windows with names are also hashed with
+the names as words, so a copy in capitals or small letters is caught.
 
 Cases: null and empty texts have no window; an item without a window that
 takes part (under WINDOW words, or placeholders only) can't leak; repeated rows
@@ -92,17 +93,28 @@ class Template:
             value[lead[several]] = mixed[several]
         self.token, self.row = token[lead], words.row[lead]
         self.slot = np.where((number | unit | name)[lead], value[lead], np.uint64(0))
+        self.name, self.spelt = name[lead], words.hash[lead]
         count = np.bincount(self.row, minlength=len(texts))
         self.count = count
         self.place = np.arange(len(lead)) - np.repeat(np.cumsum(count) - count, count)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each window of ``size`` words within a text that has enough plain words."""
-        made = max(0, len(self.token) - size + 1)
+        return self._windows(size, self.token, self.slot == 0)
+
+    def spelt_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``windows``, of the windows that have a name, with names as the plain words that they are."""
+        h, first = self._windows(size, np.where(self.name, self.spelt, self.token), (self.slot == 0) | self.name)
+        names = np.concatenate([[0], np.cumsum(self.name)])
+        some = names[first + size] > names[first]
+        return h[some], first[some]
+
+    def _windows(self, size: int, token: np.ndarray, is_plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        made = max(0, len(token) - size + 1)
         total, plain = np.zeros(made, np.uint64), np.zeros(made, np.int64)
         for k in range(size):
-            total += self.token[k : k + made] * np.uint64(pow(int(T.BASE), k + 1, 2**64))
-            plain += self.slot[k : k + made] == 0
+            total += token[k : k + made] * np.uint64(pow(int(T.BASE), k + 1, 2**64))
+            plain += is_plain[k : k + made]
         good = np.flatnonzero((self.row[:made] == self.row[size - 1 :]) & (plain >= PLAIN)) if made else np.zeros(0, np.int64)
         return T.mix(total[good]), good
 
@@ -111,7 +123,12 @@ WINDOWS = "id long, text_key long, hash long, place int, windows int, slots arra
 
 
 def _windows(size: int, passing):
-    """Rows of WINDOWS, of those that pass the bit table if one is given; ``windows`` counts those of the whole text."""
+    """Rows of WINDOWS, of those that pass the bit table if one is given; ``windows`` counts the template windows of the whole text.
+
+    A window with names stands twice: with placeholders, and with the names as
+    words (slots empty), which meets copies in other letter case. Of items,
+    the second only stands where the first takes part.
+    """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +136,17 @@ def _windows(size: int, passing):
                 t, cut = Template(texts), batch.slice(at, len(texts))
                 h, first = t.windows(size)
                 count = np.bincount(t.row[first], minlength=len(texts))
+                spelt, at_word = t.spelt_windows(size)
+                if passing is None:
+                    both = np.isin(at_word, first)
+                    spelt, at_word = spelt[both], at_word[both]
+                blank = np.repeat([False, True], [len(h), len(spelt)])
+                h, first = np.concatenate([h, spelt]), np.concatenate([first, at_word])
                 if passing is not None:
                     good = _bit(passing.value, h)
-                    h, first = h[good], first[good]
-                slots = t.slot[first[:, None] + np.arange(size)].view(np.int64)
+                    h, first, blank = h[good], first[good], blank[good]
+                within = first[:, None] + np.arange(size)
+                slots = np.where(blank[:, None] & t.name[within], np.uint64(0), t.slot[within]).view(np.int64)
                 rows = pa.array(t.row[first])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * size), pa.array(slots.ravel()))
                 columns = [cut.column("id").take(rows), cut.column("text_key").take(rows), pa.array(h.view(np.int64)), pa.array(t.place[first].astype(np.int32)), pa.array(count[t.row[first]].astype(np.int32)), lists]

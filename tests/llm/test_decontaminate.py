@@ -27,6 +27,15 @@ def test_kinds_of_leaks(spark):
     assert got[11, 1]["kind"] == "template" and got[11, 1]["changed"] == 3
 
 
+def test_copies_in_other_letter_case(spark):
+    items = [(1, ITEM), (2, "the tower of Anna Berg stands near the lake of Carl Dahl and Eva Falk in the north")]
+    docs = [(k, f"Before it. {change(t)} after it", 0) for k, (change, t) in enumerate([(str.upper, ITEM), (str.lower, ITEM), (str.title, ITEM), (str.upper, items[1][1]), (str.lower, items[1][1])])]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)} and all(r["kind"] == "exact" for r in got.values())
+    changed = "the tower of Gina Hall stands near the lake of Ivan Jung and Kate Lund in the north"
+    assert leaks(spark, [(1, changed, 0)], items)[1, 2]["kind"] == "template"
+
+
 def test_slots_must_be_consistent(spark):
     items = [(1, "take 5 red apples and 5 green pears then share the 5 bowls with all the guests")]
     text = "take {} red apples and {} green pears then share the {} bowls with all the guests"
