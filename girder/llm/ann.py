@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-M, LEAF, SURE, BLOCK_ROWS, QUERY_ROWS = 8, 128, 0.99, 50_000, 256
+M, LEAF, SURE, BLOCK_ROWS = 8, 128, 0.99, 50_000
+#: Queries that meet a block in one task: the fewest that are worth a copy of the block, the most that a task takes.
+FEW_QUERIES, MOST_QUERIES = 256, 50_000
 
 
 def chi_square(x: np.ndarray | float, m: int = M):
@@ -160,7 +162,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sure: float = SUR
     good = good.filter(F.col("width") == width).select("vec_id", "v")
     blocks = -(-rows // block_rows)
     asked = good.filter(F.col("vec_id") % every == 0)
-    chunks = max(1, -(-(rows // every) // QUERY_ROWS))
+    # each chunk of queries costs a copy of all blocks, so there are only as many as memory or idle cores ask for
+    idle = -(-2 * good.sparkSession.sparkContext.defaultParallelism // blocks)
+    chunks = max(1, -(-rows // (every * MOST_QUERIES)), min(idle, -(-rows // (every * FEW_QUERIES))))
     queries = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     held = good.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     found = queries.groupBy("chunk", "block").cogroup(held.groupBy("chunk", "block")).applyInArrow(_block(k, sure), schema)
