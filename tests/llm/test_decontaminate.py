@@ -49,6 +49,28 @@ def test_numbers_with_separators_are_one_slot(spark):
     assert got[1, 1]["changed"] == 1 and got[1, 1]["coverage"] == 1.0
 
 
+def test_added_and_removed_words(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(38)]
+    added = [*words[:12], "really", *words[12:25], "quite", *words[25:]]
+    docs = [(1, " ".join(added), 0), (2, " ".join(words[:19] + ["indeed"] + words[19:]), 0), (3, " ".join(words[:12] + words[13:25] + words[26:]), 0), (4, " ".join(words[:12]) + " x" * 60 + " " + " ".join(words[30:]), 0)]
+    assert set(leaks(spark, docs, [(1, " ".join(words))])) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_slots_of_several_words(spark):
+    text = "the shop of {} sold {} loaves and then {} counted what was left of the {} rolls"
+    items = [(1, text.format("Anna Maria", "1 200", "Anna Maria", "1 200"))]
+    docs = [(1, text.format("Peter", "1200", "Peter", "1200"), 0), (2, text.format("Anna Maria", "1200", "Anna Maria", "1,200"), 0)]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1]["kind"] == "template" and got[2, 1]["kind"] == "exact"
+    assert got[1, 1]["coverage"] == 1.0
+
+
+def test_names_that_open_sentences(spark):
+    text = "{0} has 5 apples. {0} gives 2 away. {0} buys 4 more. {0} then eats one."
+    got = leaks(spark, [(1, text.format("Peter"), 0), (2, text.format("Anna Maria"), 0), (3, text.format("Sara"), 0)], [(1, text.format("Sara"))])
+    assert set(got) == {(1, 1), (2, 1), (3, 1)} and got[1, 1]["kind"] == "template" and got[3, 1]["kind"] == "exact"
+
+
 def test_removal_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM, "x"), (2, "clean text of some words in a row", "y"), (None, ITEM, "z"), (2, "clean text of some words in a row", "y")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
