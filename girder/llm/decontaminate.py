@@ -258,7 +258,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage
     return best.select("doc_id", "item_id", F.when(F.col("best.same") == 0, "exact").otherwise("template").alias("kind"), F.col("best.coverage").alias("coverage"), (-F.col("best.early")).cast("long").alias("at"), (-F.col("best.same")).cast("long").alias("changed"))
 
 
-def remove_leaking(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the documents in which an item leaks; rows with a null doc_id are judged by their own leaks."""
-    leaks = find_leaks(docs, items, **parameters).select(F.col("doc_id").alias("of_doc")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["of_doc"]), "left_anti")
+def remove_leaking(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """``docs`` without the rows in whose text an item leaks; rows that share a doc_id, null too, are judged each by its own text."""
+    leaks = _leaks(docs, items, window, coverage).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["of_doc"]) & (F.xxhash64(docs["text"]) == leaks["of_text"]), "left_anti")

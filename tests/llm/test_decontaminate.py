@@ -80,6 +80,12 @@ def test_removal_and_empty_tables(spark):
     assert D.remove_leaking(docs, items.limit(0)).count() == 4
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    docs = spark.createDataFrame([(1, ITEM, 0), (1, "clean text of some words", 1), (None, ITEM, 2), (None, "clean text", 3), (None, None, 4), (1, None, 5)], "doc_id long, text string, row int")
+    kept = D.remove_leaking(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert sorted(r["row"] for r in kept.collect()) == [1, 3, 4, 5]
+
+
 def test_whole_items_on_driver_data(spark):
     """Without slots in the data, leaks are the documents that hold an item's words in a row."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
