@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,17 +143,58 @@ def holdout_z(rows: DataFrame, partition: str, ok: Column, least: int = 20) -> D
     return pairs.filter((pool > 0) & (pool < 1)).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"), z.alias("z"))
 
 
-def holdout_summary(rows: DataFrame, partition: str, ok: Column, thin: int = 20) -> DataFrame:
-    """(partition, n, ok_percent, thin) of every partition, and the spread between the best and the worst that aren't thin."""
-    g = rows.groupBy(F.col(partition).alias("partition")).agg(F.count("*").alias("n"), (F.count_if(ok) * 100.0 / F.count("*")).alias("ok_percent"))
-    g = g.withColumn("thin", F.col("n") < thin)
-    spread = g.filter(~F.col("thin")).agg((F.max("ok_percent") - F.min("ok_percent")).alias("spread"))
-    return g.crossJoin(spread)  # one row on the right
+def two_proportion_z(ok_a: Column, n_a: Column, ok_b: Column, n_b: Column) -> Column:
+    """Pooled two-proportion z; 0 without variance."""
+    pool = (ok_a + ok_b) / (n_a + n_b)
+    variance = pool * (1 - pool) * (F.lit(1.0) / n_a + F.lit(1.0) / n_b)
+    return F.when(variance <= 0, 0.0).otherwise((ok_a / n_a - ok_b / n_b) / F.sqrt(variance))
+
 
+def holdout_summary(rows: DataFrame, partition: str, ok: Column, thin: int = 20, value: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """(partition, n, ok_percent, thin) of every partition, and over all the spread between the best and the worst that aren't thin and its z (null if fewer than two aren't).
 
-def holdout_verdict(spread: Column, z: Column, points: float = 15.0, least_z: float = 2.0) -> Column:
-    """untestable, split or holds, by the spread in points and the z of two halves."""
-    return F.when(spread.isNull() | z.isNull(), "untestable").when((spread >= points) & (F.abs(z) > least_z), "split").otherwise("holds")
+    With ``value`` also its upper ``median`` and ``worst`` (largest) by
+    partition. With an ``order`` of more than two partitions also
+    ``pooled_spread`` and ``pooled_z`` of its lower against its upper half,
+    null if one of them is thin; partitions that it lacks count as upper.
+    """
+    measured = rows.select(F.col(partition).alias("partition"), F.coalesce(ok, F.lit(False)).alias("ok"), (F.lit(None).cast("double") if value is None else value).alias("value"))
+    g = measured.groupBy("partition").agg(F.count("*").alias("n"), (F.count_if("ok") * 100.0 / F.count("*")).alias("ok_percent"), F.count_if("ok").alias("ok"), F.max("value").alias("worst"))
+    g = g.withColumn("thin", F.col("n") < thin)
+    first = lambda percent: F.min(F.struct(percent.alias("percent"), "partition", "n", "ok"))  # noqa: E731  of equals the first
+    of = g.filter(~F.col("thin")).agg((F.max("ok_percent") - F.min("ok_percent")).alias("spread"), F.count("*").alias("compared"), first(-F.col("ok_percent")).alias("a"), first(F.col("ok_percent")).alias("b"))
+    spread = of.select("spread", F.when(F.col("compared") >= 2, two_proportion_z(F.col("a.ok"), F.col("a.n"), F.col("b.ok"), F.col("b.n"))).alias("z"))
+    out = g.select("partition", "n", "ok_percent", "thin", *(["worst"] if value is not None else [])).crossJoin(spread)  # one row on the right
+    if value is not None:
+        ranks = ranked_in_groups(measured.filter("value is not null").select("partition", "value"), ["partition"], ["value"])
+        median = ranks.filter(F.col("rank") == upper_median_rank(F.col("n"))).select(F.col("partition").alias("of_"), F.col("value").alias("median"))
+        out = out.join(median, F.col("partition").eqNullSafe(F.col("of_")), "left").drop("of_")
+    if len(order) > 2:
+        lower = F.coalesce(F.col("partition").isin(*order[: (len(order) + 1) // 2]), F.lit(False))
+        part = lambda name, inside: F.coalesce(F.sum(F.when(inside, F.col(name))), F.lit(0))
+        halves = g.agg(*[part(name, inside).alias(f"{name}_{k}") for name in ("n", "ok") for k, inside in (("lower", lower), ("upper", ~lower))])
+        both = (F.col("n_lower") >= thin) & (F.col("n_upper") >= thin)
+        apart = F.abs(F.col("ok_lower") / F.col("n_lower") - F.col("ok_upper") / F.col("n_upper")) * 100
+        z = two_proportion_z(F.col("ok_lower"), F.col("n_lower"), F.col("ok_upper"), F.col("n_upper"))
+        out = out.crossJoin(halves.select(F.when(both, apart).alias("pooled_spread"), F.when(both, z).alias("pooled_z")))
+    return out
+
+
+def silent_partitions(rows: DataFrame, eligible: DataFrame, partition: str) -> DataFrame:
+    """(partition): partitions with eligible rows in which no row was measured."""
+    name = F.col(partition).alias("partition")
+    theirs, ours = eligible.select(name).distinct(), rows.select(F.col(partition).alias("of_")).distinct()
+    return theirs.join(ours, F.col("partition").eqNullSafe(F.col("of_")), "left_anti")
+
+
+def holdout_verdict(spread: Column, z: Column, points: float = 15.0, least_z: float = 2.0, pooled_spread: Column | None = None, pooled_z: Column | None = None, silent: Column | None = None) -> Column:
+    """silent, untestable, split or holds, by whether a partition is silent and the spread in points and z of each comparison."""
+    none = F.lit(None).cast("double")
+    found = [(spread, z), (none if pooled_spread is None else pooled_spread, none if pooled_z is None else pooled_z)]
+    untestable = reduce(and_, [a.isNull() | b.isNull() for a, b in found])
+    split = reduce(or_, [F.coalesce((a >= points) & (F.abs(b) > least_z), F.lit(False)) for a, b in found])
+    quiet = F.lit(False) if silent is None else F.coalesce(silent, F.lit(False))
+    return F.when(quiet, "silent").when(untestable, "untestable").when(split, "split").otherwise("holds")
 
 
 def redact_json(json: Column, sensitive: Sequence[str]) -> Column:

@@ -304,7 +304,7 @@ SELECT partition, n, round(ok_percent, 6) AS ok_percent, n < 20 AS thin, round(s
 """)
 def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Q.holdout_summary(table(spark, sf_dir, "part"), "p_brand", F.col("p_size") > 25)
-    return rounded(out.withColumn("verdict", Q.holdout_verdict(F.col("spread"), F.lit(9.0))), "ok_percent", "spread")
+    return rounded(out.withColumn("verdict", Q.holdout_verdict(F.col("spread"), F.col("z"))).drop("z"), "ok_percent", "spread")
 
 
 @query("""

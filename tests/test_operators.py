@@ -102,3 +102,24 @@ def test_search(spark):
     assert S.multi_field_search(rows, "", ["a", "b"], ["k"]).count() == 2
     assert S.taxonomy_search(rows, " ", ["a", "b"], ["k"]).count() == 0
     assert S.enum_search(rows, "2", "k", ["a"], ["k"]).first()["a"] == "Door"
+
+
+def test_holdout_summary_and_verdict(spark):
+    def rows(**parts):
+        return spark.createDataFrame([(p, k < ok, float(k)) for p, (n, ok) in parts.items() for k in range(n)], "p string, ok boolean, v double")
+
+    def judged(df, **more):
+        out = Q.holdout_summary(df, "p", F.col("ok"), **more)
+        pooled = {c: F.col(c) for c in ("pooled_spread", "pooled_z") if c in out.columns}
+        return {r["partition"]: r for r in out.withColumn("verdict", Q.holdout_verdict(F.col("spread"), F.col("z"), **pooled)).collect()}
+
+    noise = judged(rows(a=(21, 10), b=(5000, 3250)), value=F.col("v"))
+    assert noise["a"]["spread"] > 15 and abs(noise["a"]["z"]) < 2 and noise["a"]["verdict"] == "holds"
+    assert (noise["a"]["median"], noise["a"]["worst"]) == (10.0, 20.0) and noise["b"]["median"] == 2500.0
+    assert judged(rows(a=(210, 100), b=(5000, 3250)))["a"]["verdict"] == "split"
+    thin = rows(a=(12, 12), b=(12, 12), c=(12, 0), d=(12, 0))
+    assert judged(thin)["a"]["verdict"] == "untestable"
+    pooled = judged(thin, order=["a", "b", "c", "d"])["a"]
+    assert pooled["pooled_spread"] == 100 and pooled["verdict"] == "split"
+    assert [r["partition"] for r in Q.silent_partitions(thin, rows(a=(1, 1), z=(1, 1)), "p").collect()] == ["z"]
+    assert one(spark, Q.holdout_verdict(F.lit(1.0), F.lit(1.0), silent=F.lit(True))) == "silent"
