@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .storage import materialize
+from .storage import materialize, small_batches
 
 WINDOW, COVERAGE = 5, 0.5
 #: Plain words that a window needs.
@@ -212,6 +212,7 @@ def _bit_table(windows: DataFrame) -> np.ndarray:
 def _leaks(docs: DataFrame, items: DataFrame, window: int, coverage: float) -> DataFrame:
     """(doc_id, text_key, item_id, best): the best copy of each leaked item in each text."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     keyed_items = items.select(F.col("item_id").alias("id"), F.xxhash64("text").alias("text_key"), "text")
     theirs = materialize(keyed_items.mapInArrow(_windows(window, None), WINDOWS).distinct(), "item-windows")
     passing = spark.sparkContext.broadcast(_bit_table(theirs))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as T
+from .storage import small_batches
 
 ORDER = 3
 SAMPLE_DOCS = 300
@@ -178,5 +179,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Learn from the documents that aren't held out (crc32 of the doc_id's text mod 3 is not 1), predict all of them."""
+    small_batches(docs.sparkSession)
     marked = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
     return predict(marked, fit(marked.filter(~F.col("held_out")), sample_docs))

@@ -1,11 +1,18 @@
 """Near-duplicate classes of documents: DartMinHash signatures, banded candidates, exact verification.
 
-Each text is the set of its runs of five lower-case words (words end at ASCII
-white space). A document's signature keeps, for each coordinate, the earliest
-dart that falls into the region of one of its elements; a dart's chance to be
-shared is the weighted Jaccard similarity. Bands of coordinates make
-candidates, and every link is verified by the exact Jaccard similarity. Classes are the connected components of verified
-pairs.
+Each text is the weighted set of its runs of five lower-case words (words end
+at ASCII white space); a run's weight is how often it stands in the text. A
+signature keeps, for each coordinate, the earliest dart that falls into the
+region of one of the set's elements; a dart's chance to be shared is the
+weighted Jaccard similarity, the sum of the smaller weights over the sum of the
+larger. Bands of coordinates make candidates, and every link is verified by
+the exact weighted similarity: with the k-th standing of a run as an element
+of its own (``layered``), weighted sets become plain ones. Classes are the
+connected components of verified pairs.
+
+Texts aren't shuffled, but for those that share a band with another (a bit
+table of fixed size keeps the others back), and once. Keys that many rows share
+(bands, leaders, elements, labels) are salted.
 
 Cases: a null or blank text is a class of its own; texts of one to four words
 have one shingle; rows with equal words are one class whatever their doc_id;
@@ -25,11 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .storage import materialize
+from .spread import HOT, bit_table, heavy_keys, salted_join, sifted
+from .storage import forget, materialize, small_batches
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^7)^40 = 0.9999.
-BANDS, ROWS = 40, 7
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^6)^28 = 0.9998.
+BANDS, ROWS = 28, 6
+#: Rows that are signed at once: each takes some thousand darts, however short it is.
+SIGNED_ROWS = 256
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -49,6 +59,13 @@ def _poisson_steps(area: float) -> np.ndarray:
     return (np.array(out) * 2**64).astype(np.uint64)
 
 
+def layered(element: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A weighted element as one element for each unit of weight, with the height of what is left of the last unit."""
+    layers = np.maximum(np.ceil(weight), 0).astype(np.int64)
+    layer = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
+    return T.mix(np.repeat(element, layers) + T.mix(layer.astype(np.uint64))), np.repeat(row, layers), np.repeat(weight, layers) - layer
+
+
 def dart_minhash(element: np.ndarray, row: np.ndarray, rows: int, k: int, weight: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
     """Signatures (rows x k) of weighted sets by hashed darts.
 
@@ -61,10 +78,7 @@ def dart_minhash(element: np.ndarray, row: np.ndarray, rows: int, k: int, weight
     coordinate. Weights default to 1; sets without elements keep EMPTY.
     """
     if weight is not None:  # one layer of the half-plane for each unit of weight
-        layers = np.maximum(np.ceil(weight), 0).astype(np.int64)
-        layer = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
-        top = np.repeat(weight, layers) - layer
-        element, row = T.mix(np.repeat(element, layers) + T.mix(layer.astype(np.uint64))), np.repeat(row, layers)
+        element, row, top = layered(element, row, weight)
     else:
         top = None
     total = np.bincount(row, minlength=rows).astype(float) if top is None else np.bincount(row, np.minimum(top, 1), minlength=rows)
@@ -104,16 +118,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _distinct(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each row."""
-    _, at = np.unique(T.mix(value ^ T.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
-    return value[at], row[at]
+def _weighted(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row, and how often each stands there."""
+    _, at, n = np.unique(T.mix(value ^ T.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+    return value[at], row[at], n
 
 
 def _signatures(bands: int, rows: int, width: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in T.blocks(T.plain(batch.column("text"))):
+            for at, texts in T.blocks(T.plain(batch.column("text")), rows=SIGNED_ROWS):
                 value, row, words = T.shingles_of(texts, width)
                 n_words = np.bincount(words.row, minlength=len(texts))
                 place = np.arange(len(words.hash)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
@@ -123,37 +137,37 @@ def _signatures(bands: int, rows: int, width: int):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
                     ends = np.cumsum(n_words)
                     prints.append((total[ends] - total[ends - n_words]).view(np.int64))
-                value, row = _distinct(value, row)
                 n = np.bincount(row, minlength=len(texts))
-                keys = band_keys(dart_minhash(value, row, len(texts), bands * rows), bands, rows)
+                value, row, weight = _weighted(value, row)
+                keys = band_keys(dart_minhash(value, row, len(texts), bands * rows, weight), bands, rows)
                 some = n > 0
                 offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
                 cut = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("th"), *map(pa.array, prints), pa.array(n.astype(np.int64)), lists], ["doc_id", "th", "fp1", "fp2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("th"), cut.column("rk"), *map(pa.array, prints), pa.array(n.astype(np.int64)), lists], ["doc_id", "th", "rk", "fp1", "fp2", "n", "bands"])
 
     return over
 
 
-def _similar(threshold: float, width: int):
-    """Keeps pairs of texts whose exact Jaccard similarity reaches the threshold."""
+#: Bits of a text's parity map, as longs.
+PARITY = 8
+MAPS = [f"p{k}" for k in range(PARITY)]
+
+
+def _element_lists(width: int):
+    """Elements of each text, and their parity map: each element flips one of 64 * PARITY bits."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = T.plain(batch.column("text_a")), T.plain(batch.column("text_b"))
-            for at, left in T.blocks(ta):
-                right, sides = tb.slice(at, len(left)), []
-                for texts in (left, right):
-                    value, row, _ = T.shingles_of(texts, width)
-                    key, first = np.unique(T.mix(value ^ T.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
-                    sides.append((key, row[first]))
-                (ka, ra), (kb, rb) = sides
-                _, ia, _ = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-                both, na, nb = (np.bincount(x, minlength=len(left)) for x in (ra[ia], ra, rb))
-                union = na + nb - both
-                good = (union > 0) & (both >= threshold * union - 1e-9)
-                cut = batch.slice(at, len(left))
-                yield pa.RecordBatch.from_arrays([cut.column("a").filter(pa.array(good)), cut.column("b").filter(pa.array(good))], ["a", "b"])
+            for at, texts in T.blocks(T.plain(batch.column("text"))):
+                value, row, _ = layered(*_weighted(*T.shingles_of(texts, width)[:2]))
+                order = np.argsort(row, kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
+                bit = (T.mix(value) % np.uint64(64 * PARITY)).astype(np.int64)
+                odd = np.bincount(row * 64 * PARITY + bit, minlength=len(texts) * 64 * PARITY) % 2
+                maps = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(texts), PARITY)
+                cut = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([cut.column("uid"), cut.column("n"), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(PARITY)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].view(np.int64)))], ["uid", "n", *MAPS, "elements"])
 
     return over
 
@@ -162,17 +176,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(uid, label) of every node of the edges (a, b): label is the smallest uid that can be reached.
 
     Each round takes the smallest label among neighbours, then jumps to the
-    label's own label; rounds end when nothing changes.
+    label's own label; rounds end when nothing changes. The jump goes through
+    the labels that have a smaller one themselves, each once, and hot keys are
+    salted.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.col("uid"), F.min("b")).alias("label")), "labels")
+    heavy = materialize(heavy_keys(both, ["b"]), "heavy")
+    labels = held = materialize(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.col("uid"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("uid", "b"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "uid").select("uid", "label", F.least("label", "near").alias("low"))
-        own = labels.select(F.col("uid").alias("low"), F.col("label").alias("jump"))
-        step = materialize(step.join(own, "low").select("uid", F.col("label").alias("was"), F.least("low", "jump").alias("label")), "labels")
-        labels = step.select("uid", "label")
-        if step.filter("was <> label").limit(1).count() == 0:
+        near = salted_join(both, labels.withColumnRenamed("uid", "b"), ["b"], heavy, ["a"]).groupBy(F.col("a").alias("uid")).agg(F.min("label").alias("near"))
+        step = materialize(labels.join(near, "uid").select("uid", "label", F.least("label", "near").alias("low")), "step")
+        lows = step.groupBy("low").agg(F.count("*").alias("c"))
+        jumps = materialize(lows.join(labels.select(F.col("uid").alias("low"), F.col("label").alias("jump")), "low").filter("jump < low"), "jumps")
+        hot = jumps.filter(F.col("c") > max(1000, int(step.count() * HOT))).select("low")
+        jumped = salted_join(step, jumps.select("low", "jump"), ["low"], hot, ["uid"], "left")
+        out = materialize(jumped.select("uid", F.col("label").alias("was"), F.coalesce("jump", "low").alias("label")), "labels")
+        changed = out.filter("was <> label").limit(1).count()
+        forget(held, step, jumps)
+        labels, held = out.select("uid", "label"), out
+        if not changed:
+            forget(both, heavy)
             return labels
 
 
@@ -181,6 +204,14 @@ def _sized(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-9)
 
 
+def _alike(threshold: float) -> Column:
+    """Sets of na and nb elements differ in at least as many as their parity maps (p, o) in bits; similar ones in (1 - threshold) / (1 + threshold) of both sizes at most."""
+    differ = F.lit(0)
+    for p in MAPS:
+        differ = differ + F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}")))
+    return differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
 def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, th (xxhash64 of the text), class_id, class_size, representative (boolean).
 
@@ -189,31 +220,38 @@ def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS
     classes by an exact prefix filter (``_across``), so no link is lost that
     the bands find.
     """
-    keyed = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
-    members = materialize(keyed.mapInArrow(_signatures(bands, rows, width), "doc_id long, th long, fp1 long, fp2 long, n long, bands array<long>"), "signatures")
+    small_batches(docs.sparkSession)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rk"))
+    members = materialize(keyed.mapInArrow(_signatures(bands, rows, width), "doc_id long, th long, rk long, fp1 long, fp2 long, n long, bands array<long>"), "signatures")
     # equal texts become one node; the witness tells which row has the text
-    nodes = members.filter("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("w"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("uid"), "fp1", "fp2", "w.doc_id", "w.th", "n", "copies", "bands"), "nodes")
-    buckets = nodes.select("uid", "n", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min(F.struct("uid", "n")).alias("lo"), F.max(F.struct("uid", "n")).alias("hi")).filter("lo.uid <> hi.uid")
-    shared = materialize(buckets.join(leaders, "key"), "buckets")
-    star = shared.select(F.col("uid"), F.col("n"), F.explode(F.array("lo", "hi")).alias("x")).filter(F.col("uid") != F.col("x.uid")).filter(_sized(F.col("n"), F.col("x.n"), threshold))
-    pairs = materialize(star.select(F.least("uid", "x.uid").alias("a"), F.greatest("uid", "x.uid").alias("b")).distinct(), "pairs")
-    edges = materialize(_verified(keyed, nodes, pairs, threshold, width), "links")
+    nodes = members.filter("n > 0").groupBy("fp1", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rk")).alias("w"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("uid"), "fp1", "fp2", "w.doc_id", "w.th", "w.rk", "n", "copies", "bands"), "nodes")
+    buckets = nodes.select("uid", F.explode("bands").alias("key"))
+    leaders = materialize(buckets.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.count("*").alias("c")).filter("lo <> hi"), "leaders")
+    hot = materialize(leaders.filter(F.col("c") > max(1000, int(nodes.count() * HOT))).select("key"), "heavy")  # at most bands / HOT keys
+    met = sifted(buckets, "key", bit_table(leaders, "key"))
+    shared = materialize(salted_join(met, leaders.select("key", "lo", "hi"), ["key"], hot, ["uid"]), "buckets")
+    lists = materialize(_lists(keyed, nodes, shared, width), "elements")
+
+    star = shared.select("uid", F.explode(F.array("lo", "hi")).alias("x")).filter("uid <> x")
+    pairs = materialize(star.select(F.least("uid", "x").alias("a"), F.greatest("uid", "x").alias("b")).distinct(), "pairs")
+    edges = materialize(_verified(lists, pairs, threshold), "links")
     labels = components(edges)
 
-    named = shared.select("key", "uid", "n").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    mixed = materialize(named.join(mixed, "key", "left_semi").select("uid", "n", "label").distinct(), "mixed")
-    pairs = materialize(_across(_texts(keyed, nodes, mixed.select("uid")), mixed, threshold, width), "pairs")
-    more = materialize(_verified(keyed, nodes, pairs, threshold, width), "links")
+    named = shared.select("key", "uid").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    named = materialize(named, "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+    mixed = materialize(salted_join(named, mixed, ["key"], hot, ["uid"]).select("uid", "label").distinct(), "mixed")
+    more = materialize(_across(lists, mixed, threshold), "links")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
+    forget(leaders, shared, hot, lists, pairs, edges, named, mixed, more)
 
     nodes = nodes.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     classes = nodes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("w"), F.sum("copies").alias("class_size"))
+    heavy = nodes.filter(F.col("copies") > F.lit(HOT) * members.count()).select("fp1", "fp2")
     nodes = nodes.select("label", "fp1", "fp2").join(classes, "label")
-    found = members.select("doc_id", "th", "fp1", "fp2", "n").join(nodes, ["fp1", "fp2"], "left")
+    found = salted_join(members.select("doc_id", "th", "fp1", "fp2"), nodes, ["fp1", "fp2"], heavy, ["doc_id"], "left")
     alone = F.col("w").isNull()
     return found.select(
         "doc_id", "th",
@@ -223,77 +261,82 @@ def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS
     )
 
 
-def _texts(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(uid, text) of the wanted nodes."""
-    of = nodes.select("uid", F.col("doc_id").alias("of_doc"), "th").join(wanted, "uid", "left_semi")
-    found = keyed.join(of, (keyed.th == of.th) & keyed.doc_id.eqNullSafe(F.col("of_doc"))).select("uid", "text")
-    return materialize(found.dropDuplicates(["uid"]), "texts")
+def _lists(keyed: DataFrame, nodes: DataFrame, shared: DataFrame, width: int) -> DataFrame:
+    """(uid, n, parity map, elements) of the nodes that share a bucket; only their texts are moved."""
+    of = materialize(nodes.join(shared.select("uid").distinct(), "uid", "left_semi").select("uid", "rk", "n"), "wanted")
+    texts = sifted(keyed.select("rk", "text"), "rk", bit_table(of, "rk")).groupBy("rk").agg(F.first("text").alias("text"))
+    return texts.join(of, "rk").select("uid", "n", "text").mapInArrow(_element_lists(width), "uid long, n long, " + ", ".join(f"{p} long" for p in MAPS) + ", elements array<long>")
 
 
-def _verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose texts are similar enough; only texts of candidates are moved."""
-    found = _texts(keyed, nodes, pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
-    joined = pairs.join(found.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.mapInArrow(_similar(threshold, width), "a long, b long")
+def _verified(lists: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes that are similar enough: sizes and parity maps first, then the elements of what is left."""
+    side = lambda to, n, mark, *more: lists.select(F.col("uid").alias(to), F.col("n").alias(n), *[F.col(p).alias(f"{mark}{p}") for p in MAPS])
+    hot = materialize(heavy_keys(pairs, ["a"]), "heavy")
+    close = pairs.join(side("b", "nb", "o"), "b")
+    close = salted_join(close, side("a", "na", ""), ["a"], hot, ["b"]).filter(_sized(F.col("na"), F.col("nb"), threshold) & _alike(threshold)).select("a", "b", "na", "nb")
+    close = materialize(close, "close")
+    both = close.join(lists.select(F.col("uid").alias("b"), F.col("elements").alias("eb")), "b")
+    both = salted_join(both, lists.select(F.col("uid").alias("a"), F.col("elements").alias("ea")), ["a"], hot, ["b"])
+    common = F.size(F.array_intersect("ea", "eb"))
+    return both.filter(common >= threshold * (F.col("na") + F.col("nb") - common) - 1e-9).select("a", "b")
 
 
-#: Bits of a text's parity map, as longs.
-PARITY = 8
-
-
-def _shingle_lists(width: int):
-    """Distinct shingles of each text, and their parity map: each shingle flips one of 64 * PARITY bits."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in T.blocks(T.plain(batch.column("text"))):
-                value, row = _distinct(*T.shingles_of(texts, width)[:2])
-                order = np.argsort(row, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
-                bit = (T.mix(value) % np.uint64(64 * PARITY)).astype(np.int64)
-                odd = np.bincount(row * 64 * PARITY + bit, minlength=len(texts) * 64 * PARITY) % 2
-                maps = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(texts), PARITY)
-                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].view(np.int64))), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(PARITY))], ["uid", "shingles", *(f"p{k}" for k in range(PARITY))])
-
-    return over
+#: Classes of size in which texts meet: each holds sizes up to this ratio.
+SIZE_STEP = 1.1
 
 
-def _across(texts: DataFrame, mixed: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs (a, b) of texts of different classes (``mixed``: uid, n, label) that can be similar enough, by exact filters.
+def _across(lists: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
+    """Similar pairs (a, b) of texts of different classes (``mixed``: uid, label), found by exact filters.
 
+    Elements that one text alone has meet nothing: with ``known`` others of its
+    n elements a text can be similar only to texts of a size from threshold n
+    to (1 + threshold) / threshold known - n, and needs known >= threshold n.
     Prefix: two similar sets share an element among the n - ceil(threshold n) + 1
-    rarest ones of each (n: its size). Elements that one text alone has meet
-    nothing, so they only use up a text's prefix. At each element the texts of
-    all classes but its largest meet the others; texts of one class never do.
-    Parity: sets differ in at least as many elements as their maps in bits, and
-    similar sets differ in (1 - threshold) / (1 + threshold) of both sizes at most.
+    rarest ones of each. Elements are met by class of size, so those that very
+    many texts share meet only what can be as similar; of an element's texts
+    those of all classes but the largest meet the others, and texts of one
+    class never do. Place: beyond the first element that a pair shares both
+    must have enough left.
     """
-    maps = [f"p{k}" for k in range(PARITY)]
-    lists = materialize(texts.mapInArrow(_shingle_lists(width), "uid long, shingles array<long>, " + ", ".join(f"{p} long" for p in maps)), "shingles")
-    rows = lists.select("uid", F.explode("shingles").alias("shingle"))
-    common = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    own = materialize(lists.join(mixed, "uid"), "own")
+    rows = own.select("uid", F.explode("elements").alias("element"))
+    common = materialize(rows.groupBy("element").agg(F.count("*").alias("c")).filter("c > 1"), "common")
+    whole = own.agg(F.sum("n")).first()[0] or 0
+    hot = materialize(common.filter(F.col("c") > max(1000, int(whole * HOT))).select("element"), "heavy")
     by_text = Window.partitionBy("uid")  # one text's elements
-    kept = rows.join(common, "shingle").withColumn("known", F.count("*").over(by_text)).withColumn("place", F.row_number().over(by_text.orderBy("c", "shingle")))
+    kept = salted_join(rows, common, ["element"], hot, ["uid"]).withColumn("known", F.count("*").over(by_text)).withColumn("place", F.row_number().over(by_text.orderBy("c", "element")))
     room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.col("known"))
-    prefix = kept.join(mixed, "uid").filter(F.col("place") <= room).select("shingle", "uid", "n", "label").join(lists.drop("shingles"), "uid")
-    prefix = materialize(prefix, "prefixes")
-    sizes = prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("shingle").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    few = prefix.join(largest, "shingle").filter(F.col("label") != F.col("top.label")).select("shingle", F.col("uid").alias("u"), F.col("n").alias("m"), F.col("label").alias("l"), *[F.col(p).alias(f"o{p}") for p in maps])
-    differ = F.lit(0)
-    for p in maps:
-        differ = differ + F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}")))
-    close = differ <= (F.col("m") + F.col("n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    met = few.join(prefix, "shingle").filter((F.col("l") != F.col("label")) & _sized(F.col("m"), F.col("n"), threshold) & close)
-    return met.select(F.least("u", "uid").alias("a"), F.greatest("u", "uid").alias("b")).distinct()
+    prefix = kept.join(own.drop("elements"), "uid").filter((F.col("known") >= F.col("n") * threshold - 1e-9) & (F.col("place") <= room))
+    prefix = materialize(prefix.drop("c"), "prefixes")
+    sizes = prefix.groupBy("element", "label").agg(F.count("*").alias("size"))
+    largest = materialize(sizes.groupBy("element").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("rows_")).filter("labels > 1"), "largest")
+    hot = materialize(largest.filter(F.col("rows_") > max(1000, int(prefix.count() * HOT))).select("element"), "heavy")
+    step = lambda x: F.floor(F.log(x) / math.log(SIZE_STEP)).cast("int")
+    targets = prefix.select("element", step(F.col("n").cast("double")).alias("size"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("known").alias("kb"), F.col("place").alias("lb"), F.col("label").alias("of_b"), *[F.col(p).alias(f"o{p}") for p in MAPS])
+    few = salted_join(prefix, largest.select("element", "top"), ["element"], hot, ["uid"]).filter(F.col("label") != F.col("top.label"))
+    low, high = F.col("na") * (threshold - 1e-9), F.least(F.col("na") / (threshold - 1e-9), F.col("ka") * ((1 + threshold) / threshold) - F.col("na") + 1e-6)
+    few = few.select("element", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("known").alias("ka"), F.col("place").alias("la"), F.col("label").alias("of_a"), *MAPS).withColumn("reach", high)
+    few = few.filter(F.col("reach") >= low).withColumn("size", F.explode(F.sequence(step(F.greatest(low, F.lit(1.0))), step(F.greatest(F.col("reach"), F.lit(1.0))))))
+    need = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    left = 1 + F.least(F.col("ka") - F.col("la"), F.col("kb") - F.col("lb"))
+    met = salted_join(few, targets, ["element", "size"], hot, ["a"]).filter((F.col("of_a") != F.col("of_b")) & (F.col("nb") <= F.col("reach")) & _sized(F.col("na"), F.col("nb"), threshold) & (left >= need) & _alike(threshold))
+    pairs = materialize(met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().toDF("a", "b"), "pairs")
+    return _verified(lists, pairs, threshold)
 
 
 def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one row of each class; blank texts stay. Of equal rows of one doc_id one stays."""
+    """``docs`` with one row of each class; blank texts stay. Of equal rows of one doc_id one stays.
+
+    Rows that surely stay aren't moved: a bit table of the others' keys tells.
+    """
     classes = near_duplicate_classes(docs, **parameters)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("th"))
-    kept = materialize(classes.filter("representative").groupBy(F.col("doc_id").alias("of_doc"), F.col("th").alias("of_th")).agg(F.count("*").alias("times")), "kept")
-    pick = packed.join(kept, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
-    once = pick.filter("times = 1")
-    many = pick.filter("times > 1").dropDuplicates(["of_doc", "of_th"])
-    return once.unionByName(many).select("row.*")
+    known = classes.groupBy("doc_id", "th").agg(F.max("representative").alias("stays"), F.count("*").alias("times")).filter("not stays or times > 1")
+    key = F.xxhash64("doc_id", "th").alias("girder_key")
+    known = materialize(known.select(key, "stays"), "decided")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("girder_key"))
+    bits = materialize(bit_table(known, "girder_key"), "bits")
+    sure = sifted(packed, "girder_key", bits, within=False)
+    doubted = sifted(packed, "girder_key", bits)
+    doubted = doubted.join(known.groupBy("girder_key").agg(F.max("stays").alias("stays")), "girder_key", "left").filter("coalesce(stays, true)")
+    once, many = doubted.filter("stays is null"), doubted.filter("stays").dropDuplicates(["girder_key"])
+    return sure.select("row.*").unionByName(once.select("row.*")).unionByName(many.select("row.*"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small_batches
 
 TOKENS, SEGMENTS, SEPARATOR = 2048, 64, 1
 #: Pieces that are packed together in one task; groups are dealt by a hash of the piece.
@@ -151,6 +151,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, to
     vocabulary for tiktoken (optional, for speed). All ids of a document bear
     loss. A document longer than a sequence is cut into full pieces and a rest.
     """
+    small_batches(docs.sparkSession)
     cut = docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, ranks, tokens), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = materialize(cut.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
     placed = pack_pieces(pieces.withColumn("loss", F.col("length")), tokens, segments, loss_tokens).drop("length")

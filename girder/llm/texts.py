@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 #: Bytes of text that are hashed at once; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
+#: Rows that are hashed at once.
+BLOCK_ROWS = 1 << 12
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -25,7 +27,7 @@ for _low, _high in ((48, 58), (65, 91), (97, 123)):
 #: Words end at every ASCII byte that is no letter or digit.
 BY_SYMBOL = _symbol
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,13 +42,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        if len(_powers) > 12:
-            _powers.clear()
-        _powers[size] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (BASE, BASE_INVERSE))
-    up, down = _powers[size]
-    return up, down
+    """Powers of the base and of its inverse, n of each at least; those of a block's size are kept."""
+    if _powers and len(_powers[0][0]) >= n:
+        return _powers[0]
+    size = max(2 * BLOCK_BYTES, n)
+    made = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (BASE, BASE_INVERSE))
+    if size == 2 * BLOCK_BYTES:
+        _powers[:] = [made]
+    return made
 
 
 @dataclass
@@ -104,12 +107,12 @@ def words_of(texts: pa.Array, separators: np.ndarray = BY_SPACE) -> Words:
     return Words(hash_spans(data, start, end), row, start, end, data, len(texts))
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of at most ``limit`` bytes (one row at least), with the index of their first row."""
+def blocks(texts: pa.Array, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of at most ``limit`` bytes and ``rows`` rows (one row at least), with the index of their first row."""
     _, offsets = string_buffers(texts)
     at = 0
     while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield at, texts.slice(at, stop - at)
         at = stop
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import encoder
+from .storage import small_batches
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 
@@ -85,5 +86,6 @@ def count_by_section(docs: DataFrame, tokenizer: str, ranks: str | None = None,
 
     With one field its lines are the sections, with several the fields are.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.array(*fields).alias("fields"))
     return rows.mapInArrow(_count(tokenizer, ranks), SCHEMA)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .storage import materialize
+from .storage import materialize, small_batches
 
 SAMPLE_ROWS = 20_000
 #: Chance at which a word's share of toxic rows makes it an insult.
@@ -176,6 +176,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, chance: float = CHANCE) -> Model:
     """Learn from labelled documents. What comes to the driver is bounded by the sample: its rows' numbers, its words' counts."""
+    small_batches(docs.sparkSession)
     model = seeds()
     sample = labelled_sample(docs, labels, sample_rows)
     minima = sample.select("key", "text").mapInArrow(_minima, "key long, m0 long, m1 long, m2 long, m3 long").toPandas().sort_values("key")

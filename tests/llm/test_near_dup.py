@@ -1,14 +1,18 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from girder.llm import near_dup as N
+from girder.llm import spread as S
 
 
 def shingles(text):
     w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
 def brute(rows):
@@ -22,7 +26,7 @@ def brute(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            if sets[a] and sets[b] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total() - 1e-9:
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     return [find(k) for k in range(len(rows))]
 
@@ -34,6 +38,8 @@ def corpus(n=120, seed=3):
     rows = []
     for k in range(n):
         doc = list(r.choice(base))
+        if k % 7 == 0:  # repeated passages weigh as often as they stand
+            doc += doc[:20] * r.randint(1, 4)
         for _ in range(r.choice((0, 0, 1, 2, 5))):
             doc[r.randrange(len(doc))] = r.choice(words)
         rows.append((k, " ".join(doc)))
@@ -64,6 +70,33 @@ def test_a_chain_that_leaders_miss(spark):
     assert {r["class_id"] for r in classes(spark, rows)} == {0}
 
 
+def test_hot_buckets_and_elements(spark, monkeypatch):
+    """A third of the rows near copies of one text, and a passage in all of them; salted joins change nothing."""
+    monkeypatch.setattr(N, "HOT", 1e-6)
+    monkeypatch.setattr(S, "SALTS", 3)
+    r = random.Random(9)
+    base, passage = [f"b{k}" for k in range(60)], " ".join(f"p{k}" for k in range(40))
+    rows = []
+    for k in range(120):
+        doc = list(base) if k % 3 == 0 else [f"w{k}x{j}" for j in range(r.randint(4, 14))]
+        if k % 3 == 0:
+            doc[r.randrange(60)] = f"n{k}"
+        rows.append((k, passage + " " + " ".join(doc)))
+    got = {r["doc_id"]: r["class_id"] for r in classes(spark, rows)}
+    assert [got[k] for k in range(120)] == brute(rows)
+
+
+def test_salted_join(spark):
+    many = spark.createDataFrame([(1, k) for k in range(2000)] + [(2, 0), (3, 0), (None, 1)], "k int, v int")
+    few = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, w string")
+    hot = S.heavy_keys(many, ["k"])
+    assert [r["k"] for r in hot.collect()] == [1]
+    assert S.salted_join(many, few, ["k"], hot, ["v"]).count() == 2001 and S.salted_join(many, few, ["k"], hot, ["v"], "left").count() == 2003
+    bits = S.bit_table(few, "w")
+    assert S.sifted(few, "w", bits).count() == 3 and S.sifted(few, "w", bits, within=False).count() == 0
+    assert S.sifted(many.withColumn("w", F.lit("zz")), "w", bits, within=False).count() == 2003
+
+
 def test_edge_cases(spark):
     long = "very long " * 50_000
     rows = [(1, None, 9), (2, "", 9), (3, " \n ", 9), (4, "one", 9), (5, "One", 9), (None, "one", 9), (6, long, 9), (7, long, 9), (8, "a b c d e f", 9), (8, "a b c d e f", 9)]

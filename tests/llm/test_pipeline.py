@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
 from girder.llm import stages, toxicity
@@ -12,7 +13,7 @@ def rows(df):
 
 def shingles(text):
     words = (text or "").lower().split()
-    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    return Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4)) or Counter([tuple(words)] if words else [])
 
 
 def test_stages_against_brute_force(spark):
@@ -32,7 +33,7 @@ def test_stages_against_brute_force(spark):
 
     for a in range(len(held)):
         for b in range(a):
-            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if sets[a] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total():
                 root[find(a)] = find(b)
     unique = stages.drop_near_duplicates(spark, clean, SF)
     kept = {r["doc_id"] for r in unique.collect()}
