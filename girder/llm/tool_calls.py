@@ -8,10 +8,21 @@ by conversation and identifier, each result is ordered after its call,
 arguments are checked against the tool's schema, and every message becomes
 canonical JSON: keys in order, no white space.
 
-Topological order: a result that stands before its call moves to just after
-it. ``order_turn`` and ``order_step`` give the order; rows are not gathered by
+Topological order: a message that answers a call stands behind the message
+that makes it. ``order_turn`` and ``order_step`` are the greatest of (own turn,
+0) and (place of the call's message, one step further), so a message whose call
+was moved moves behind it in turn. Only messages behind some late call are
+looked at, in rounds of hash joins: as many as the longest chain of them has.
+Messages on a cycle (each answers a call of the other), or behind one, keep
+their turn and have the problem ``cycle``. Rows are not gathered by
 conversation, so a conversation of any length stays distributed.
 
+Schemas: ``type`` (a name or a list), ``enum``, ``const``, ``minimum``,
+``maximum``, ``required``, ``properties``, ``additionalProperties`` (false or a
+schema) and ``items`` are checked at every depth, one level of all calls at a
+time; other words of JSON Schema are ignored. A problem names what is wrong and
+where: ``type:a.b[0]``.
+
 Cases: null texts are empty content; a call without an identifier or that is
 no JSON object is ``invalid``; of several calls (results) with one identifier
 the first by turn and place is linked, the others are ``duplicate``; a call
@@ -25,6 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
 RESPONSE = r"(?s)<tool_response>\s*(.*?)\s*</tool_response>"
 TOOLS = r"(?s)<tools>\s*(.*?)\s*</tools>"
@@ -63,41 +76,110 @@ def _call_fields(json: Column) -> list[Column]:
 
 
 def schemas(messages: DataFrame) -> DataFrame:
-    """(conv_id, name, required, types) of the tools that system messages declare; of several with one name the first text counts."""
+    """(conv_id, name, schema) of the tools that system messages declare; of several with one name the first text counts."""
     listed = messages.filter("role = 'system' and text like '%<tools>%'").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(TOOLS), F.lit(1))).alias("tools"))
     tool = listed.select("conv_id", F.explode(F.try_variant_get(F.try_parse_json("tools"), "$", "array<variant>")).alias("tool")).select("conv_id", F.to_json("tool").alias("tool"))
     part = lambda path, kind: F.coalesce(_get(F.col("tool"), f"$.function.{path}", kind), _get(F.col("tool"), f"$.{path}", kind))
-    named = tool.select("conv_id", part("name", "string").alias("name"), part("parameters.required", "array<string>").alias("required"), part("parameters.properties", "map<string,variant>").alias("types"))
-    types = F.transform_values("types", lambda _, v: F.try_variant_get(v, "$.type", "string"))
-    flat = named.withColumn("types", F.array_sort(F.map_entries(types))).filter("name is not null")
-    return flat.groupBy("conv_id", "name").agg(F.min(F.struct("required", "types")).alias("s")).select("conv_id", "name", "s.required", F.map_from_entries("s.types").alias("types"))
+    named = tool.select("conv_id", part("name", "string").alias("name"), F.to_json(part("parameters", "variant")).alias("schema"))
+    return named.filter("name is not null and schema is not null").groupBy("conv_id", "name").agg(F.min("schema").alias("schema"))
 
 
-def argument_errors(arguments: Column, required: Column, types: Column) -> Column:
-    """Errors of canonical arguments under a schema: ``missing:key``, ``type:key``, in key order; null schema: none."""
-    given = F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>")
-    keys = F.coalesce(F.map_keys(given), _none())
-    missing = F.transform(F.array_except(F.coalesce(required, _none()), keys), lambda k: F.concat(F.lit("missing:"), k))
-    kind = F.lit(None).cast("string")
+def _is(value: Column, name: Column) -> Column:
+    """Whether a JSON value is of a schema's type; a whole number is an integer however it is written."""
+    found, kind = F.schema_of_variant(F.try_parse_json(value)), F.lit(None).cast("string")
+    for type_, regex in TYPES.items():
+        kind = F.when(name == type_, F.lit(regex)).otherwise(kind)
+    number = F.when(F.regexp(found, F.lit(TYPES["number"])), value.try_cast("double"))
+    whole = (name == "integer") & F.coalesce(number == F.floor(number), F.lit(False))
+    return F.coalesce(F.regexp(found, kind), F.lit(True)) | whole  # an unknown type says nothing
 
-    def wrong(k: Column) -> Column:
-        found, wanted, pattern = F.schema_of_variant(F.try_element_at(given, k)), F.try_element_at(types, k), kind
-        for name, regex in TYPES.items():
-            pattern = F.when(wanted == name, F.lit(regex)).otherwise(pattern)
-        return F.coalesce(~F.regexp(found, pattern), F.lit(False))
 
-    bad = F.transform(F.filter(keys, wrong), lambda k: F.concat(F.lit("type:"), k))
-    broken = F.when(given.isNull(), F.array(F.lit("invalid"))).otherwise(_none())
-    return F.array_sort(F.concat(broken, missing, bad))
+def _level_errors(schema: Column, value: Column, path: Column) -> Column:
+    """Errors of one JSON value under its schema, not looking into its parts."""
+    named = F.coalesce(_get(schema, "$.type", "array<string>"), F.when(_get(schema, "$.type", "string").isNotNull(), F.array(_get(schema, "$.type", "string"))))
+    as_json = lambda xs: F.transform(xs, lambda x: F.to_json(x))
+    given = _get(value, "$", "map<string,variant>")
+    keys = F.coalesce(F.map_keys(given), _none())
+    wanted = F.coalesce(_get(schema, "$.required", "array<string>"), _none())
+    known = F.coalesce(F.map_keys(_get(schema, "$.properties", "map<string,variant>")), _none())
+    number = F.when(F.regexp(F.schema_of_variant(F.try_parse_json(value)), F.lit(TYPES["number"])), value.try_cast("double"))
+    one = lambda kind, bad: F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat(F.lit(f"{kind}:"), path))).otherwise(_none())
+    below = lambda kind, names: F.transform(names, lambda k: F.concat(F.lit(f"{kind}:"), _under(path, k)))
+    return F.concat(
+        one("type", named.isNotNull() & ~F.exists(F.coalesce(named, _none()), lambda t: _is(value, t))),
+        one("enum", ~F.array_contains(as_json(_get(schema, "$.enum", "array<variant>")), value)),
+        one("const", F.to_json(_get(schema, "$.const", "variant")) != value),
+        one("range", (number < _get(schema, "$.minimum", "double")) | (number > _get(schema, "$.maximum", "double"))),
+        F.when(given.isNotNull(), below("missing", F.array_except(wanted, keys))).otherwise(_none()),
+        F.when(given.isNotNull() & (_get(schema, "$.additionalProperties", "boolean") == F.lit(False)), below("extra", F.array_except(keys, known))).otherwise(_none()),
+    )
+
+
+def _under(path: Column, key: Column) -> Column:
+    return F.when(path == "$", key).otherwise(F.concat(path, F.lit("."), key))
+
+
+def argument_errors(calls: DataFrame, by: list[str]) -> DataFrame:
+    """(by, error) of calls (by, arguments, schema: JSON texts): one level of the arguments after the other until none has parts with a schema."""
+    level, errors = calls.select(*by, F.col("schema"), F.col("arguments").alias("value"), F.lit("$").alias("path")), None
+    while True:
+        level = materialize(level.filter("schema is not null and value is not null"), "arguments")
+        if level.limit(1).count() == 0 and errors is not None:
+            return errors
+        found = level.select(*by, F.explode(_level_errors(F.col("schema"), F.col("value"), F.col("path"))).alias("error"))
+        errors = found if errors is None else errors.unionByName(found)
+        schema, value, path = F.col("schema"), F.col("value"), F.col("path")
+        fields = F.map_entries(_get(value, "$", "map<string,variant>"))
+        rest = F.to_json(_get(schema, "$.additionalProperties", "variant"))
+        of_key = lambda k: F.coalesce(F.to_json(F.try_element_at(_get(schema, "$.properties", "map<string,variant>"), k)), F.when(F.ltrim(rest).startswith("{"), rest))
+        parts = F.transform(fields, lambda e: F.struct(of_key(e["key"]).alias("schema"), F.to_json(e["value"]).alias("value"), _under(path, e["key"]).alias("path")))
+        items = F.to_json(_get(schema, "$.items", "variant"))
+        listed = F.transform(_get(value, "$", "array<variant>"), lambda x, i: F.struct(items.alias("schema"), F.to_json(x).alias("value"), F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path")))
+        level = level.select(*by, F.explode(F.coalesce(parts, listed)).alias("p")).select(*by, "p.schema", "p.value", "p.path")
+
+
+ME, BEFORE = ["conv_id", "turn", "key"], ["conv_id", "dep_turn", "dep_key"]
+
+
+def order(answers: DataFrame) -> DataFrame | None:
+    """(conv_id, turn, key, order_turn, order_step, cycle) of the messages that may not stay at their turn, from links (conv_id, turn, key, dep_turn, dep_key) to the messages that they answer; None if all stay."""
+    links = answers.filter("turn is not null and dep_turn is not null and not (turn = dep_turn and key = dep_key)").distinct()
+    links = materialize(links, "answers")
+    front = materialize(links.filter("dep_turn >= turn").select(*ME).distinct(), "late")
+    if front.limit(1).count() == 0:
+        return None
+    behind = front
+    while True:  # all that answer, over any number of calls, a late message
+        step = links.join(front.toDF(*BEFORE), BEFORE, "left_semi").select(*ME).distinct().join(behind, ME, "left_anti")
+        front = materialize(step, "late")
+        if front.limit(1).count() == 0:
+            break
+        behind = materialize(behind.unionByName(front), "behind")
+    within = materialize(links.join(behind, ME, "left_semi").join(behind.toDF(*BEFORE).withColumn("waits", F.lit(True)), BEFORE, "left"), "within")
+    done, waiting = None, behind
+    while True:
+        placed = behind.limit(0).withColumns({"order_turn": F.col("turn"), "order_step": F.lit(0)}) if done is None else done
+        of = placed.toDF(*BEFORE, "p_turn", "p_step")
+        mine = within.join(waiting, ME, "left_semi").join(of, BEFORE, "left")
+        place = F.when(F.col("waits").isNull(), F.struct(F.col("dep_turn").alias("t"), F.lit(1).alias("s"))).when(F.col("p_turn").isNotNull(), F.struct(F.col("p_turn").alias("t"), (F.col("p_step") + 1).alias("s")))
+        ready = mine.groupBy(*ME).agg(F.max(F.coalesce(F.col("waits"), F.lit(False)) & F.col("p_turn").isNull()).alias("open"), F.max(place).alias("p")).filter("not open")
+        at = F.greatest(F.struct(F.col("turn").alias("t"), F.lit(0).alias("s")), F.col("p"))
+        ready = materialize(ready.select(*ME, at["t"].alias("order_turn"), at["s"].alias("order_step")), "ready")
+        if ready.limit(1).count() == 0:
+            stuck = waiting.select(*ME, F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.lit(True).alias("cycle"))
+            return placed.withColumn("cycle", F.lit(False)).unionByName(stuck)
+        done = ready if done is None else materialize(done.unionByName(ready), "placed")
+        waiting = materialize(waiting.join(ready.select(*ME), ME, "left_anti"), "waiting")
 
 
 def link(messages: DataFrame) -> DataFrame:
     """A row for each message: conv_id, turn, role, order_turn, order_step, n_calls, n_results, n_linked, problems, canonical.
 
     ``problems`` lists what is wrong with the message's calls and results;
-    ``order_step`` is 1 for a message that was moved behind its call.
+    ``order_step`` is above 0 for a message that was moved behind its calls.
     """
     rows = messages.select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("key"))
+    tools = materialize(schemas(rows), "schemas")
     text = F.coalesce(F.col("text"), F.lit(""))
     calls, results = _parts(text, F.coalesce("role", F.lit("")))
     marked = F.coalesce(F.col("text").contains("<tool_") | F.col("text").contains("tool_call"), F.lit(False))
@@ -105,7 +187,7 @@ def link(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.lit(0).alias("n_calls"), F.lit(0).alias("n_results"), F.lit(0).alias("n_linked"), F.lit("").alias("problems"),
         F.to_json(F.struct(text.alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"}).alias("canonical"),
     )
-    held = rows.filter(marked).withColumn("calls", calls).withColumn("results", results)
+    held = materialize(rows.filter(marked).withColumn("calls", calls).withColumn("results", results), "marked")  # what follows reads the marked rows alone
     at = ["conv_id", "turn", "key"]
     call = held.select(*at, F.posexplode("calls").alias("place", "json")).select(*at, "place", *_call_fields(F.col("json"))).distinct()
     result = held.select(*at, F.posexplode("results").alias("place", "json")).select(*at, "place", _get(F.col("json"), "$.tool_call_id", "string").alias("id")).distinct()
@@ -115,15 +197,17 @@ def link(messages: DataFrame) -> DataFrame:
     pair = first_call.join(first_result, ["conv_id", "id"], "full_outer")
 
     me = F.struct("turn", "key", "place")
-    judged_calls = call.join(pair, ["conv_id", "id"], "left").join(schemas(rows), ["conv_id", "name"], "left")
+    errors_of = argument_errors(call.join(tools, ["conv_id", "name"]).filter("id is not null"), [*at, "place"]).groupBy(*at, "place").agg(F.array_sort(F.collect_set("error")).alias("errors"))  # one call's
+    errors_of = errors_of.select(*[F.col(c).alias(f"e_{c}") for c in [*at, "place"]], "errors")
+    same_call = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in [*at, "place"]]
+    judged_calls = call.join(pair, ["conv_id", "id"], "left").join(errors_of, same_call, "left")
     state = F.when(F.col("id").isNull() | F.col("name").isNull() | F.col("arguments").isNull(), "invalid").when(F.col("c") != me, "duplicate").when(F.col("r").isNull(), "unanswered")
-    errors = F.when(F.col("types").isNotNull() | F.col("required").isNotNull(), argument_errors(F.col("arguments"), F.col("required"), F.col("types"))).otherwise(_none())
-    notes = F.concat(F.when(state.isNotNull(), F.array(state)).otherwise(_none()), errors)
+    notes = F.concat(F.when(state.isNotNull(), F.array(state)).otherwise(_none()), F.coalesce("errors", _none()))
     one = F.struct("place", "arguments", "id", "name", F.transform(notes, lambda x: F.concat_ws(" ", F.coalesce("id", F.lit("?")), x)).alias("notes"), (state.isNull() & F.col("r").isNotNull()).alias("linked"))
     by_call = judged_calls.groupBy(*at).agg(F.array_sort(F.collect_set(one)).alias("made"))  # one message's calls
     judged_results = result.join(pair, ["conv_id", "id"], "left")
     state = F.when(F.col("id").isNull(), "invalid").when(F.col("c").isNull(), "orphan").when(F.col("r") != me, "duplicate")
-    one = F.struct("place", "id", F.when(state.isNotNull(), F.concat_ws(" ", F.coalesce("id", F.lit("?")), state)).alias("note"), F.when(F.col("c").isNotNull(), F.col("c.turn")).alias("after"), state.isNull().alias("linked"))
+    one = F.struct("place", "id", F.when(state.isNotNull(), F.concat_ws(" ", F.coalesce("id", F.lit("?")), state)).alias("note"), state.isNull().alias("linked"))
     by_result = judged_results.groupBy(*at).agg(F.array_sort(F.collect_set(one)).alias("answered"))
 
     def same(other: DataFrame, name: str) -> Column:
@@ -131,11 +215,14 @@ def link(messages: DataFrame) -> DataFrame:
 
     joined = held.alias("h").join(by_call.alias("a"), same(by_call, "a"), "left").join(by_result.alias("b"), same(by_result, "b"), "left")
     made = F.coalesce("made", F.array().cast("array<struct<place:int,arguments:string,id:string,name:string,notes:array<string>,linked:boolean>>"))
-    answered = F.coalesce("answered", F.array().cast("array<struct<place:int,id:string,note:string,after:bigint,linked:boolean>>"))
-    joined = joined.select("h.conv_id", "h.turn", "h.role", "h.text", made.alias("made"), answered.alias("answered"))
-    after = F.array_max(F.transform("answered", lambda x: x["after"]))
-    late = F.coalesce(after > F.col("turn"), F.lit(False))
-    problems = F.concat(F.flatten(F.transform("made", lambda x: x["notes"])), F.filter(F.transform("answered", lambda x: x["note"]), lambda x: x.isNotNull()))
+    answered = F.coalesce("answered", F.array().cast("array<struct<place:int,id:string,note:string,linked:boolean>>"))
+    joined = joined.select("h.conv_id", "h.turn", "h.key", "h.role", "h.text", made.alias("made"), answered.alias("answered"))
+    moved = order(judged_results.filter("c is not null").select(*at, F.col("c.turn").alias("dep_turn"), F.col("c.key").alias("dep_key")))
+    if moved is None:
+        joined = joined.withColumns({"order_turn": F.col("turn"), "order_step": F.lit(0), "cycle": F.lit(False)})
+    else:
+        joined = joined.join(moved, at, "left").withColumns({"order_turn": F.coalesce("order_turn", "turn"), "order_step": F.coalesce("order_step", F.lit(0)), "cycle": F.coalesce("cycle", F.lit(False))})
+    problems = F.concat(F.when(F.col("cycle"), F.array(F.lit("cycle"))).otherwise(_none()), F.flatten(F.transform("made", lambda x: x["notes"])), F.filter(F.transform("answered", lambda x: x["note"]), lambda x: x.isNotNull()))
     quoted = lambda x: F.coalesce(F.to_json(F.array(x)), F.lit("[null]"))  # noqa: E731  a string in JSON, in brackets
     bare = lambda x: F.substring(quoted(x), F.lit(2), F.length(quoted(x)) - 2)
     made_json = F.array_join(F.transform("made", lambda x: F.concat(F.lit('{"arguments":'), F.coalesce(x["arguments"], F.lit("null")), F.lit(',"id":'), bare(x["id"]), F.lit(',"name":'), bare(x["name"]), F.lit("}"))), ",")
@@ -145,7 +232,7 @@ def link(messages: DataFrame) -> DataFrame:
     linked = F.size(F.filter("made", lambda x: x["linked"])) + F.size(F.filter("answered", lambda x: x["linked"]))
     return plain.unionByName(
         joined.select(
-            "conv_id", "turn", "role", F.when(late, after).otherwise(F.col("turn")).alias("order_turn"), late.cast("int").alias("order_step"), F.size("made").alias("n_calls"), F.size("answered").alias("n_results"),
+            "conv_id", "turn", "role", "order_turn", F.col("order_step").cast("int").alias("order_step"), F.size("made").alias("n_calls"), F.size("answered").alias("n_results"),
             linked.alias("n_linked"), F.array_join(F.array_sort(problems), "; ").alias("problems"), body.alias("canonical"),
         )
     )

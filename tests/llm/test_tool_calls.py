@@ -1,4 +1,5 @@
 import json
+import random
 
 from girder.llm import tool_calls as C
 
@@ -51,6 +52,102 @@ def test_long_conversations_and_empty_tables(spark):
     assert C.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+SCHEMA = {
+    "type": "object",
+    "properties": {
+        "a": {"type": ["integer", "null"]}, "b": {"enum": ["x", 2, None, {"k": [1]}]}, "c": {"type": "array", "items": {"type": "object", "properties": {"d": {"type": "number", "minimum": 0}, "e": {"type": "string"}}, "required": ["d"], "additionalProperties": False}},
+        "f": {"type": "object", "additionalProperties": {"type": "boolean"}, "required": ["g"]}, "h": {"const": 7},
+    },
+    "required": ["a"], "additionalProperties": False,
+}
+
+
+def is_type(v, t):
+    number = isinstance(v, int | float) and not isinstance(v, bool)
+    return {"string": isinstance(v, str), "integer": number and v == int(v), "number": number, "boolean": isinstance(v, bool), "array": isinstance(v, list), "object": isinstance(v, dict), "null": v is None}[t]
+
+
+def brute_errors(schema, v, path="$"):
+    under = lambda k: k if path == "$" else f"{path}.{k}"
+    same = lambda x, y: json.dumps(x, sort_keys=True) == json.dumps(y, sort_keys=True)
+    types = schema.get("type", [])
+    types = [types] if isinstance(types, str) else types
+    out = [f"type:{path}"] if types and not any(is_type(v, t) for t in types) else []
+    out += [f"enum:{path}"] if "enum" in schema and not any(same(v, x) for x in schema["enum"]) else []
+    out += [f"const:{path}"] if "const" in schema and not same(v, schema["const"]) else []
+    out += [f"range:{path}"] if "minimum" in schema and is_type(v, "number") and v < schema["minimum"] else []
+    if isinstance(v, dict):
+        known, rest = schema.get("properties", {}), schema.get("additionalProperties")
+        out += [f"missing:{under(k)}" for k in schema.get("required", []) if k not in v]
+        out += [f"extra:{under(k)}" for k in v if rest is False and k not in known]
+        for k, x in v.items():
+            part = known.get(k, rest if isinstance(rest, dict) else None)
+            out += brute_errors(part, x, under(k)) if part else []
+    if isinstance(v, list) and "items" in schema:
+        for i, x in enumerate(v):
+            out += brute_errors(schema["items"], x, f"{path}[{i}]")
+    return out
+
+
+def any_value(r, depth=0):
+    kind = r.choice(["int", "float", "str", "bool", "null"] + ["list", "dict"] * (depth < 2))
+    return {"int": lambda: r.choice([0, 2, 7, -3]), "float": lambda: r.choice([1.0, 2.5, -0.5]), "str": lambda: r.choice(["x", "y"]), "bool": lambda: r.random() < 0.5, "null": lambda: None, "list": lambda: [any_value(r, depth + 1) for _ in range(r.randint(0, 3))], "dict": lambda: {k: any_value(r, depth + 1) for k in r.sample("degk", r.randint(0, 3))}}[kind]()
+
+
+def test_schemas_match_brute_force(spark):
+    r = random.Random(3)
+    given = [{k: any_value(r) for k in r.sample("abcfhz", r.randint(0, 5))} for _ in range(150)]
+    given += [{"a": 1, "c": [{"d": 1}, {"d": -1, "e": 2, "q": 0}, 5], "f": {"g": True, "x": 1}, "h": 7, "b": {"k": [1]}}]
+    rows = [(k, 0, "system", f'<tools>[{json.dumps({"name": "f", "parameters": SCHEMA})}]</tools>') for k in range(len(given))]
+    rows += [(k, 1, "assistant", f'<tool_call>{json.dumps({"id": "i", "name": "f", "arguments": v})}</tool_call>') for k, v in enumerate(given)]
+    for x in linked(spark, rows):
+        if x["turn"]:
+            wanted = sorted(set(brute_errors(SCHEMA, given[x["conv_id"]])))
+            assert sorted(x["problems"].split("; ")) == sorted(["i unanswered", *(f"i {e}" for e in wanted)]), given[x["conv_id"]]
+
+
+def brute_order(calls, answers):
+    """Place of each turn and whether it hangs on a cycle; calls: identifier -> turn, answers: (turn, identifier)."""
+    deps, turns = {}, {t for t, _ in answers} | set(calls.values())
+    for t, i in answers:
+        if i in calls and calls[i] != t:
+            deps.setdefault(t, set()).add(calls[i])
+    place, left = {}, set(turns)
+    while ready := [t for t in left if not deps.get(t, set()) & left]:
+        for t in ready:
+            place[t] = max([(t, 0), *((place[d][0], place[d][1] + 1) for d in deps.get(t, ()))])
+        left -= set(ready)
+    return place, left
+
+
+def test_order_matches_brute_force(spark):
+    r, rows, wanted = random.Random(8), [], {}
+    for conv in range(40):
+        calls, answers = {}, []
+        for turn in range(12):
+            made, said = [f"c{turn}"] if r.random() < 0.6 else [], []
+            if r.random() < 0.6:
+                said = [f"c{r.randrange(4) if conv % 3 == 0 else r.randrange(12)}" if r.random() < 0.5 + 0.5 * (conv % 2) else f"c{max(0, turn - 1)}"]
+            calls |= {i: turn for i in made}
+            answers += [(turn, i) for i in said]
+            rows.append((conv, turn, "assistant", "".join(f'<tool_response>{{"tool_call_id":"{i}"}}</tool_response>' for i in said) + "".join(f'<tool_call>{{"id":"{i}","name":"f","arguments":{{}}}}</tool_call>' for i in made)))
+        wanted[conv] = brute_order(calls, answers)
+    seen = 0
+    for x in linked(spark, rows):
+        place, stuck = wanted[x["conv_id"]]
+        if x["turn"] in stuck:
+            seen += 1
+            assert "cycle" in x["problems"].split("; ") and (x["order_turn"], x["order_step"]) == (x["turn"], 0)
+        else:
+            assert (x["order_turn"], x["order_step"]) == place.get(x["turn"], (x["turn"], 0))
+    assert seen
+
+
+def test_chains_follow_what_moved(spark):
+    rows = [(1, 5, "assistant", '<tool_call>{"id":"x","name":"f","arguments":{}}</tool_call>'), (1, 2, "assistant", '<tool_response>{"tool_call_id":"x"}</tool_response><tool_call>{"id":"y","name":"f","arguments":{}}</tool_call>'), (1, 3, "tool", '{"tool_call_id":"y"}')]
+    assert {r["turn"]: (r["order_turn"], r["order_step"]) for r in linked(spark, rows)} == {5: (5, 0), 2: (5, 1), 3: (5, 2)}
+
+
 def test_no_python_in_the_plan(spark):
     plan = C.link(spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
