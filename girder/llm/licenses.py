@@ -1,56 +1,64 @@
 """License scans by conditional compression.
 
-Candidate blocks (runs of sentences with a license cue) are compressed with
-zstandard alone and with each template as a raw dictionary; the template whose
-dictionary reduces the size most is the best candidate, and it is confirmed by
-the exact differences of wording: the template's words that the block lacks
-and the block's words that the template lacks, in order.
+A candidate block is a run of sentences with a license cue; where a block holds
+no whole notice, blocks at most GAP characters apart and the words BEFORE and
+AFTER them are looked at together, so wrapped notices and whole texts are found.
+Blocks are compressed with zstandard
+alone and with each template as a raw dictionary, and templates are ranked by
+the bytes they save. Each template that saves a share of REDUCTION of what it
+saves on its own text is then aligned, best first, to the part of the block
+that is most like it, and confirmed by the exact differences of wording: the
+template's words that the part lacks and the part's words that the template
+lacks, in order. Decisive words (versions, lesser, affero, library, nc, nd, sa)
+must be the same. A block may hold several confirmed notices; their parts don't
+overlap.
 
 Cases: null and empty texts, and texts without a cue, have no row; a block
-that no template explains has license null and is kept; repeated rows are
-scanned each by itself; other columns are ignored; an empty table gives an
-empty result.
+without a confirmed notice has one row, with the template that saves most (null
+if none saves enough); repeated rows are scanned each by itself; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Notices of common licenses, in natural order.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("All-Rights-Reserved", "All rights reserved."),
-)
+from .storage import small_batches
+
+# Wordings of common licenses, in natural order.
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_REST = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+#: Names and versions of the GNU licenses, their files of whole texts where there is one.
+_GNU = (("GPL", "General", "2", "GPL-2"), ("GPL", "General", "3", "GPL-3"), ("LGPL", "Lesser General", "2.1", "LGPL-2.1"), ("LGPL", "Lesser General", "3", "LGPL-3"), ("AGPL", "Affero General", "3", None))
+_GNU_NOTICE = "This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+_CREATIVE = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+RESERVED = "All-Rights-Reserved"
+_DECISIVE = {"lesser", "library", "affero", "nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike"}
+_VERSIONED = {"version", "v", "license", "licence", "gpl", "lgpl", "agpl", "gplv", "mpl", "apache", "by", "sa", "nc", "nd", "cc0", "zero", "sharealike", "noncommercial", "noderivatives", "attribution", "international"}
 # What a sentence of a license notice mentions.
-CUES = r"licen[cs]|copyright|\brights reserved\b|permission (is hereby|to use)|\bwarrant(y|ies)\b|\bSPDX\b|redistribut|public domain|\bCC (BY|0)|\bCC0\b"
-#: Template words that may be missing, and words that may be added, as shares of the template, for a confirmed block.
-MISSING, ADDED = 0.1, 0.35
-#: Size reduction by the best template below which a block has no license.
-REDUCTION = 0.2
+CUES = r"licen[cs]|copyright|\brights reserved\b|permission (is hereby|to use)|\bwarrant(y|ies)\b|\bSPDX\b|redistribut|public domain|\bCC (BY|0)|\bCC0\b|free software|\b[AL]?GPL|creative commons"
+#: Characters between blocks that are looked at together, and before and after them.
+GAP, BEFORE, AFTER = 4000, 200, 900
+#: Template words that may be missing, and words that may be added, as shares of the template, for a confirmed notice; up to FEW words may be added to any.
+MISSING, ADDED, FEW = 0.1, 0.35, 3
+#: Of what a template saves on its own text, the share that it must save on a block.
+REDUCTION = 0.4
 LEVEL = 3
 SCHEMA = "doc_id long, start long, end long, license string, reduction double, confirmed boolean, missing string, added string, candidates array<string>"
 
@@ -59,6 +67,44 @@ _END = re.compile(r"[.!?](?=\s|$)|\n")
 _WORD = re.compile(r"\w+(?:[-.]\w+)*")
 
 
+def _made() -> list[tuple[str, str]]:
+    """All templates: whole texts, notices and references."""
+    whole = lambda name: (files(__package__) / "license_texts" / f"{name}.txt").read_text()
+    out = [("MIT", f"{_MIT} {_MIT_WARRANTY}"), ("MIT", _MIT), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License.")]
+    out += [("Apache-2.0", whole("Apache-2.0")), ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"), ("Apache-2.0", _APACHE), ("Apache-2.0", "Licensed under the Apache License, Version 2.0.")]
+    for short, kind, version, file in _GNU:
+        name = f"{short}-{version}" if "." in version else f"{short}-{version}.0"
+        out += [(name, whole(file))] if file else []
+        out += [(name, _GNU_NOTICE.format(what=what, colon=colon, comma=comma, kind=kind, version=version)) for what, colon, comma in (("program", ":", ","), ("library", ";", ";"))]
+        out += [(name, f"This work is licensed under the GNU {kind} Public License, version {version}."), (name, f"Released under the {short}v{version}.")]
+    out += [("MPL-2.0", whole("MPL-2.0")), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.")]
+    out += [("BSD-3-Clause", f"{_BSD_TERMS} {_BSD_NAMES} {_BSD_WARRANTY}"), ("BSD-2-Clause", f"{_BSD_TERMS} {_BSD_WARRANTY}"), ("ISC", f"{_ISC} {_ISC_WARRANTY}"), ("ISC", _ISC)]
+    for short, long in _CREATIVE:
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            out += [(f"CC-{short}-{version}", f"Licensed under CC {short} {version}."), (f"CC-{short}-{version}", f"This work is licensed under a Creative Commons {long} {version} International License."), (f"CC-{short}-{version}", f"Creative Commons {long} {version}.")]
+    out += [("CC0-1.0", whole("CC0-1.0")), ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."), (RESERVED, "All rights reserved.")]
+    return out
+
+
+TEMPLATES = _made()
+
+
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def decisive(words: list[str]) -> set[str]:
+    """The words of a notice that may not differ: kinds, and versions near the words that announce them."""
+    parts = [p for w in words for p in (w.split("-") if not w[0].isdigit() else [w])]
+    out = {p for p in parts if p in _DECISIVE}
+    for k, p in enumerate(parts):
+        if p in _VERSIONED:
+            out |= {x.removesuffix(".0") for x in parts[k + 1 : k + 3] if re.fullmatch(r"\d(\.\d)?", x)}
+        if found := re.fullmatch(r"(?:[al]?gpl)?v(\d(?:\.\d)?)", p):
+            out.add(found[1].removesuffix(".0"))
+    return out
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans of runs of sentences that have a cue; sentences end at . ! ? before white space, and at line feeds."""
     out: list[tuple[int, int]] = []
@@ -79,55 +125,116 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=1)
-def _compressors():
+def _prepared():
+    """The plain compressor, and of each template its compressor, what it saves on its own text, words, decisive words and places of word pairs."""
     import zstandard as z
 
-    def made(template: str | None):
-        raw = {} if template is None else {"dict_data": z.ZstdCompressionDict(template.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)}
+    def made(text: bytes | None):
+        raw = {} if text is None else {"dict_data": z.ZstdCompressionDict(text, dict_type=z.DICT_TYPE_RAWCONTENT)}
         return z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **raw)
 
-    return made(None), [made(t) for _, t in TEMPLATES]
+    alone, out = made(None), []
+    for _, text in TEMPLATES:
+        data = " ".join(text.split()).encode()
+        given, words, pairs = made(data), _words(text), defaultdict(list)
+        for k in range(len(words) - 1):
+            pairs[words[k], words[k + 1]].append(k)
+        out.append((given, len(alone.compress(data)) - len(given.compress(data)), words, decisive(words), pairs))
+    return alone, out
+
+
+def aligned(wanted: list[str], pairs: dict, words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+    """(first, last + 1, missing, added): the part of ``words`` most like ``wanted``; None if no two words in a row agree.
+
+    Word pairs vote for the offset of the part, then matching runs near it are
+    joined as long as they outweigh the words between them.
+    """
+    step = max(8, len(wanted) // 3)
+    votes: dict[int, int] = defaultdict(int)
+    for j in range(len(words) - 1):
+        for i in pairs.get((words[j], words[j + 1]), ())[:16]:
+            b = (j - i) // step
+            votes[b] += 1
+            votes[b + 1] += 1
+    if not votes:
+        return None
+    b = max(votes, key=lambda x: (votes[x], -x))
+    low, high = max(0, (b - 1) * step - 4), min(len(words), (b + 1) * step + len(wanted) + 4)
+    runs = [r for r in SequenceMatcher(None, wanted, words[low:high], autojunk=False).get_matching_blocks() if r.size]
+    best, score, begin, last = (0.0, 0, 0), 0.0, 0, None
+    for k, r in enumerate(runs):
+        between = 0 if last is None else 0.5 * (r.b - last.b - last.size) + 0.25 * (r.a - last.a - last.size)
+        if score - between <= 0:
+            score, begin, between = 0.0, k, 0
+        score, last = score - between + r.size, r
+        best = max(best, (score, begin, k + 1), key=lambda x: x[0])
+    kept = runs[best[1] : best[2]]
+    if not kept:
+        return None
+    first, end = kept[0].b + low, kept[-1].b + kept[-1].size + low
+    mine, theirs = {r.a + k for r in kept for k in range(r.size)}, {r.b + low + k for r in kept for k in range(r.size)}
+    return first, end, [w for k, w in enumerate(wanted) if k not in mine], [words[k] for k in range(first, end) if k not in theirs]
 
 
 @lru_cache(maxsize=20_000)
-def judge(block: str) -> tuple[str | None, float, bool, str, str, tuple[str, ...]]:
-    """(license, size reduction, confirmed, missing words, added words, names by reduction) of a block."""
-    alone, given = _compressors()
-    data = block.encode()
+def judge(window: str) -> tuple[tuple[tuple[int, int, str, float, str, str], ...], str | None, float, tuple[str, ...]]:
+    """(confirmed notices as (start, end, license, reduction, missing, added); best license, its reduction and all names by reduction) of a block's text."""
+    alone, prepared = _prepared()
+    data = " ".join(window.split()).encode()
     size = len(alone.compress(data))
-    ranked = sorted(((1 - len(c.compress(data)) / size, k) for k, c in enumerate(given)), key=lambda x: (-x[0], x[1]))
-    words, best = _WORD.findall(block.lower()), None
-    for reduction, k in ranked[:4]:  # the ranking proposes, wording decides among the first
-        if reduction < REDUCTION:
-            break
-        wanted = _WORD.findall(TEMPLATES[k][1].lower())
-        missing, added = [], []
-        for kind, a, b, c, d in SequenceMatcher(None, wanted, words, autojunk=False).get_opcodes():
-            if kind != "equal":
-                missing += wanted[a:b]
-                added += words[c:d]
-        good = len(missing) <= MISSING * len(wanted) and len(added) <= max(2, ADDED * len(wanted))
-        found = (not good, len(missing) + len(added) if good else 0, -reduction, k, missing, added)
-        best = min(best, found) if best else found
-    names = tuple(dict.fromkeys(TEMPLATES[k][0] for r, k in ranked if r >= REDUCTION))
-    if best is None:
-        return None, max(ranked[0][0], 0.0), False, "", "", names
-    return TEMPLATES[best[3]][0], -best[2], not best[0], " ".join(best[4]), " ".join(best[5]), names
+    saved = [(size - len(given.compress(data)), k) for k, (given, *_) in enumerate(prepared)]
+    ranked = sorted(((s, k) for s, k in saved if s >= REDUCTION * prepared[k][1]), key=lambda x: (-x[0], x[1]))
+    found = list(_WORD.finditer(window))
+    words, out = [m[0].lower() for m in found], []
+    for s, k in ranked:
+        _, own, wanted, must, pairs = prepared[k]
+        while part := aligned(wanted, pairs, words):
+            first, end, missing, added = part
+            good = len(missing) <= MISSING * len(wanted) and len(added) <= max(FEW, ADDED * len(wanted)) and "" not in added
+            if not good or decisive(words[first:end]) != must:
+                break
+            stop = found[end - 1].end()
+            stop += len(window[stop : stop + 3]) - len(window[stop : stop + 3].lstrip(".)\"'/"))
+            out.append((found[first].start(), stop, TEMPLATES[k][0], min(1.0, s / own), " ".join(missing), " ".join(added)))
+            words[first:end] = [""] * (end - first)  # claimed
+    names = tuple(dict.fromkeys(TEMPLATES[k][0] for _, k in ranked))
+    if any(x[2] != RESERVED for x in out):
+        out = [x for x in out if x[2] != RESERVED]
+    best = ranked[0] if ranked else None
+    return tuple(sorted(out)), best and TEMPLATES[best[1]][0], min(1.0, best[0] / prepared[best[1]][1]) if best else 0.0, names
+
+
+def notices(text: str) -> list[tuple]:
+    """(start, end, license, reduction, confirmed, missing, added, candidates) of a text's blocks."""
+    out, groups = [], []
+    for block in blocks(text):
+        if groups and block[0] - groups[-1][-1][1] <= GAP:
+            groups[-1].append(block)
+        else:
+            groups.append([block])
+    for group in groups:
+        judged = [(a, b, judge(text[a:b])) for a, b in group]
+        sure = [(a + x[0], a + x[1], *x[2:], names) for a, _, (found, _, _, names) in judged for x in found]
+        if not all(found and not any(x[4] for x in found) for _, _, (found, *_) in judged):
+            low, high = max(0, group[0][0] - BEFORE), min(len(text), group[-1][1] + AFTER)
+            found, *_, names = judge(text[low:high])
+            if sum(x[1] - x[0] for x in found) > sum(x[1] - x[0] for x in sure):
+                sure = [(low + x[0], low + x[1], *x[2:], names) for x in found]
+        out += [(a, b, name, share, True, missing, added, list(names)) for a, b, name, share, missing, added, names in sure]
+        out += [(a, b, best, share, False, "", "", list(names)) for a, b, (_, best, share, names) in judged if not any(x[0] < b and a < x[1] for x in sure)]
+    return sorted(set((*x[:7], tuple(x[7])) for x in out), key=lambda x: x[:2])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string())]
     for batch in batches:
-        rows = []
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for a, b in blocks(text):
-                license_, reduction, sure, missing, added, others = judge(text[a:b])
-                rows.append((i, a, b, license_, reduction, sure, missing, added, list(others)))
+        rows = [(i, *x) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in notices(text)]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each candidate block: doc_id, start, end (code points, end exclusive), license, reduction, confirmed, missing, added, candidates (by reduction)."""
+    """A row for each confirmed notice, and for each block without one: doc_id, start, end (code points, end exclusive), license, reduction (of what its template saves on itself), confirmed, missing, added, candidates (by reduction)."""
+    small_batches(docs.sparkSession)
     return docs.filter(F.col("text").rlike(f"(?i){CUES}")).select("doc_id", "text").mapInArrow(_scan, SCHEMA)
