@@ -2,15 +2,20 @@
 
 Vectors are projected to M dimensions by independent normal (2-stable)
 directions, so a squared projected distance over the squared distance follows
-a chi-square law with M degrees of freedom. Blocks of vectors index their
-projections in a kd-tree; a query visits leaves in the order of their least
-projected distance, verifies the vectors it meets by true distance, and stops
-when the chi-square test says that a nearer vector would have been met with
-probability SURE already.
-
-Every vector is in one block (dealt by a hash), every query visits every
-block, and the best of all blocks are merged. Blocks hold about BLOCK_ROWS
-vectors, so memory is bounded whatever the table's size.
+a chi-square law with M degrees of freedom. Projections are indexed in one
+kd-tree: its upper levels, learned from a bounded sample (SAMPLE_ROWS vectors,
+chosen by a hash), deal all vectors to leaves; each leaf's vectors have a
+kd-tree of their own. A query first searches its own leaf; the distance of the
+farthest neighbour found there says which other leaves can hold nearer ones:
+those whose box is met before the chi-square test stops with probability SURE.
+In a leaf, parts are visited in the order of their least projected distance and
+verified by true distance until the test holds.
+
+So a vector is moved twice (to its leaf, for both rounds), and a query to the
+leaves within its reach. Leaves hold about LEAF_ROWS vectors; larger ones (far
+more rows than the sample's leaves allow for, or many equal projections) are
+cut by a hash. Of equal vectors the k + 1 with the smallest ids can be
+neighbours, so only they are indexed, and equal queries are searched once.
 
 Cases: null or zero vectors, and vectors with null or non-finite components
 or with another length than most, take no part (as queries or candidates);
@@ -22,19 +27,19 @@ are ignored.
 
 from __future__ import annotations
 
-import heapq
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .spread import heavy_keys, salted_join
+from .storage import forget, materialize, small_batches
 
-M, LEAF, SURE, BLOCK_ROWS = 8, 128, 0.99, 50_000
-#: Queries that meet a block in one task: the fewest that are worth a copy of the block, the most that a task takes.
-FEW_QUERIES, MOST_QUERIES = 256, 50_000
+M, PART, SURE, LEAF_ROWS = 8, 64, 0.99, 8192
+#: Vectors from which the upper levels of the tree are learned, and the most leaves that they have: both bound what goes through the driver.
+SAMPLE_ROWS, MOST_LEAVES = 1 << 15, 1 << 12
 
 
 def chi_square(x: np.ndarray | float, m: int = M):
@@ -61,62 +66,62 @@ def projection(dimensions: int, m: int = M, seed: int = 7) -> np.ndarray:
 
 
 class Tree:
-    """A kd-tree over projected vectors: boxes of nodes, leaves as slices of ``order``."""
+    """A kd-tree over projected points: ``order`` holds the points by leaf, ``edges`` their places there, ``low`` and ``high`` the leaves' boxes; ``cuts`` are (axis, value) of the inner nodes from the root on."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, leaf: int = PART):
         self.points, self.order = points, np.arange(len(points))
-        self.low, self.high, self.children, self.span = [], [], [], []
-        self._grow(0, len(points), leaf)
-
-    def _grow(self, a: int, b: int, leaf: int) -> int:
-        mine = self.points[self.order[a:b]]
-        k = len(self.span)
-        self.low.append(mine.min(axis=0)), self.high.append(mine.max(axis=0)), self.children.append(None), self.span.append((a, b))
-        wide = self.high[k] - self.low[k]
-        if b - a > leaf and wide.max() > 0:
-            axis, half = int(wide.argmax()), (b - a) // 2
-            self.order[a:b] = self.order[a:b][np.argpartition(mine[:, axis], half)]
-            self.children[k] = (self._grow(a, a + half, leaf), self._grow(a + half, b, leaf))
-        return k
-
-    def leaves(self, q: np.ndarray):
-        """(least squared projected distance, rows) of each leaf, nearest first."""
-
-        def least(k: int) -> float:
-            gap = np.maximum(np.maximum(self.low[k] - q, q - self.high[k]), 0)
-            return float(gap @ gap)
-
-        heap = [(least(0), 0)]
-        while heap:
-            d, k = heapq.heappop(heap)
-            if self.children[k] is None:
-                yield d, self.order[self.span[k][0] : self.span[k][1]]
-            else:
-                for child in self.children[k]:
-                    heapq.heappush(heap, (max(d, least(child)), child))
-
-
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, q: np.ndarray, q_projected: np.ndarray, own: int, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of the k nearest met before the stopping test holds; the query's own id is left out."""
+        spans, self.cuts = [(0, len(points))], []
+        while spans and max(b - a for a, b in spans) > leaf:  # one level after the other, all leaves at the same depth
+            after = []
+            for a, b in spans:
+                mine = points[self.order[a:b]]
+                wide = mine.max(axis=0) - mine.min(axis=0) if b > a else np.zeros(points.shape[1])
+                axis, half = int(wide.argmax()), (b - a) // 2
+                if b - a > 1:
+                    self.order[a:b] = self.order[a:b][np.argpartition(mine[:, axis], half)]
+                self.cuts.append((axis, float(points[self.order[a + half], axis]) if b > a else 0.0))
+                after += [(a, a + half), (a + half, b)]
+            spans = after
+        spans = [(a, b) for a, b in spans if b > a]
+        self.edges = np.array([0] + [b for _, b in spans])
+        self.low = np.array([points[self.order[a:b]].min(axis=0) for a, b in spans]).reshape(len(spans), -1)
+        self.high = np.array([points[self.order[a:b]].max(axis=0) for a, b in spans]).reshape(len(spans), -1)
+
+
+def routed(cuts: list[tuple[int, float]], points: np.ndarray) -> np.ndarray:
+    """The leaf of each point under the cuts of a tree."""
+    at, depth = np.zeros(len(points), np.int64), (len(cuts) + 1).bit_length() - 1
+    axis, value = np.array([c[0] for c in cuts], int), np.array([c[1] for c in cuts])
+    for _ in range(depth):
+        at = 2 * at + 1 + (points[np.arange(len(points)), axis[at]] >= value[at])
+    return at - len(cuts)
+
+
+def least(low: np.ndarray, high: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Least squared distances of points (or one point) to boxes."""
+    gap = np.maximum(np.maximum(low - q, q - high), 0)
+    return (gap * gap).sum(axis=-1)
+
+
+def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, q: np.ndarray, q_projected: np.ndarray, k: int, ratio: float, reach: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, squared distances) of the k nearest met before the stopping test holds; ``vectors`` and ``ids`` stand in the tree's order, ``reach`` is a squared distance within which k neighbours are known."""
     best_d, best_id = np.zeros(0), np.zeros(0, np.int64)
-    pool_rows, pool_d = np.zeros(0, np.int64), np.zeros(0)
-    leaves = tree.leaves(q_projected)
-    reach, rows = next(leaves)
-    while True:
-        # vectors met so far whose projected distance is within reach are the next of the incremental order
-        gap = tree.points[rows] - q_projected
-        pool_rows, pool_d = np.concatenate([pool_rows, rows]), np.concatenate([pool_d, (gap * gap).sum(axis=1)])
-        reach, rows = next(leaves, (math.inf, None))
-        due = pool_d <= reach
-        ready, pool_rows, pool_d = pool_rows[due], pool_rows[~due], pool_d[~due]
-        ready = ready[ids[ready] != own]
-        if len(ready):
-            true = vectors[ready] - q
-            best_d, best_id = np.concatenate([best_d, (true * true).sum(axis=1)]), np.concatenate([best_id, ids[ready]])
-            first = np.lexsort([best_id, best_d])[:k]
-            best_d, best_id = best_d[first], best_id[first]
-        if rows is None or (len(best_d) == k and reach > ratio * best_d[-1]):
-            return best_id, best_d
+    near = least(tree.low, tree.high, q_projected)
+    visit, at, size = np.argsort(near, kind="stable"), 0, 4
+    while at < len(visit):
+        worst = min(reach, best_d[-1] if len(best_d) == k else np.inf)
+        group = visit[at : at + size]
+        group = group[near[group] <= ratio * worst]
+        if not len(group):
+            break
+        rows = np.concatenate([np.arange(tree.edges[g], tree.edges[g + 1]) for g in group])
+        true = vectors[rows] - q
+        best_d, best_id = np.concatenate([best_d, (true * true).sum(axis=1)]), np.concatenate([best_id, ids[rows]])
+        first = np.lexsort([best_id, best_d])[:k]
+        best_d, best_id = best_d[first], best_id[first]
+        at, size = at + size, min(2 * size, 64)
+    good = best_d <= reach
+    return best_id[good], best_d[good]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -124,21 +129,52 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _block(k: int, sure: float):
+def _in_leaf(k: int, sure: float):
     def over(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Left: queries of a chunk; right: vectors of a block."""
+        """Left: queries with their reach; right: vectors of a leaf."""
         out_q, out_id, out_d = [], [], []
         if left.num_rows and right.num_rows:
-            right = right.sort_by("vec_id")
             vectors, queries = _matrix(right.column("v")), _matrix(left.column("v"))
-            ids = right.column("vec_id").to_numpy()
             directions = projection(vectors.shape[1])
             tree, ratio = Tree(vectors @ directions), stop_ratio(sure)
-            for own, q, p in zip(left.column("vec_id").to_pylist(), queries, queries @ directions, strict=True):
-                found, d = search(tree, vectors, ids, q, p, own, k, ratio)
-                out_q.append(np.full(len(found), own)), out_id.append(found), out_d.append(np.sqrt(d))
+            vectors, ids = vectors[tree.order], right.column("vec_id").to_numpy()[tree.order]
+            for own, q, p, reach in zip(left.column("query_id").to_pylist(), queries, queries @ directions, left.column("reach").to_pylist(), strict=True):
+                found, d = search(tree, vectors, ids, q, p, k, ratio, np.inf if reach is None else reach)
+                out_q.append(np.full(len(found), own)), out_id.append(found), out_d.append(d)
         one = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"query_id": one(out_q, np.int64), "vec_id": one(out_id, np.int64), "score": one(out_d, np.float64)})
+        return pa.table({"query_id": one(out_q, np.int64), "vec_id": one(out_id, np.int64), "d": one(out_d, np.float64)})
+
+    return over
+
+
+def _placed(cuts: list[tuple[int, float]]):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors with their leaf and projections."""
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column("v"))
+                p = v @ projection(v.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(routed(cuts, p)), *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(M))], ["vec_id", "v", "leaf", *(f"p{j}" for j in range(M))])
+
+    return over
+
+
+def _reached(leaves: np.ndarray, parts: np.ndarray, low: np.ndarray, high: np.ndarray, sure: float):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and part of a leaf, but for its own, within its reach."""
+        ratio = stop_ratio(sure)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                batch = whole.slice(k, 64)
+                v = _matrix(batch.column("v"))
+                p = v @ projection(v.shape[1])
+                reach = np.nan_to_num(batch.column("reach").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
+                near = np.stack([least(low, high, q) for q in p])
+                row, leaf = np.nonzero((near <= ratio * reach[:, None]) & (leaves[None, :] != batch.column("leaf").to_numpy()[:, None]))
+                of = np.repeat(np.arange(len(row)), parts[leaf])
+                part = np.arange(len(of)) - np.repeat(np.cumsum(parts[leaf]) - parts[leaf], parts[leaf])
+                take = pa.array(row[of])
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("v").take(take), batch.column("reach").take(take), pa.array(leaves[leaf[of]]), pa.array(part)], ["query_id", "v", "reach", "leaf", "part"])
 
     return over
 
@@ -151,22 +187,55 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return good.groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sure: float = SURE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sure: float = SURE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest other vectors of each query (vec_id divisible by ``every``)."""
+    spark = vectors.sparkSession
+    small_batches(spark)
     good = materialize(usable(vectors).withColumn("width", F.size("v")), "vectors")
     widths = good.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
     if not widths:
-        return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, rows = widths[0]["width"], widths[0]["count"]
-    good = good.filter(F.col("width") == width).select("vec_id", "v")
-    blocks = -(-rows // block_rows)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    good = good.filter(F.col("width") == widths[0]["width"]).select("vec_id", "v")
+    equal = Window.partitionBy("v").orderBy("vec_id")  # limited in each task before the shuffle, so a vector that many rows share stays small
+    held = materialize(good.withColumn("copy", F.row_number().over(equal)).filter(F.col("copy") <= k + 1).drop("copy"), "distinct")
+
+    rows = held.count()
+    share = min(1 << 30, (SAMPLE_ROWS << 30) // max(1, rows))
+    names = [f"p{j}" for j in range(M)]
+    schema = "vec_id long, v array<double>, leaf long, " + ", ".join(f"{n} double" for n in names)
+    sample = held.filter(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < share).mapInArrow(_placed([]), schema)
+    points = sample.select(*names).toPandas().to_numpy(float)  # about SAMPLE_ROWS x M numbers
+    depth = 0
+    while (leaf_rows << depth) < rows and (1 << depth) < min(MOST_LEAVES, len(points) // 8):
+        depth += 1
+    cuts = Tree(points, -(-len(points) >> depth)).cuts[: (1 << depth) - 1] if depth else []
+    placed = materialize(held.mapInArrow(_placed(cuts), schema), "placed")
+    boxes = placed.groupBy("leaf").agg(F.count("*").alias("n"), *[f(n) for f in (F.min, F.max) for n in names]).orderBy("leaf").toPandas()  # MOST_LEAVES rows at most
+    leaves, parts = boxes["leaf"].to_numpy(np.int64), -(-boxes["n"].to_numpy(np.int64) // (4 * leaf_rows))
+    low, high = (boxes.iloc[:, 2 + j * M : 2 + (j + 1) * M].to_numpy(float) for j in (0, 1))
+    cut = F.broadcast(spark.createDataFrame(list(zip(leaves.tolist(), parts.tolist(), strict=True)), "leaf long, parts long"))
+
+    dealt = placed.join(cut, "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part")).groupBy("leaf", "part")
+    # equal queries are searched once, under their smallest id
     asked = good.filter(F.col("vec_id") % every == 0)
-    # each chunk of queries costs a copy of all blocks, so there are only as many as memory or idle cores ask for
-    idle = -(-2 * good.sparkSession.sparkContext.defaultParallelism // blocks)
-    chunks = max(1, -(-rows // (every * MOST_QUERIES)), min(idle, -(-rows // (every * FEW_QUERIES))))
-    queries = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = good.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    found = queries.groupBy("chunk", "block").cogroup(held.groupBy("chunk", "block")).applyInArrow(_block(k, sure), schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    named = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("query_id")), "queries")
+    queries = named.select(F.col("query_id").alias("vec_id"), "v").mapInArrow(_placed(cuts), schema).select(F.col("vec_id").alias("query_id"), "v", "leaf")
+    queries = materialize(queries, "queries")
+
+    def met(df: DataFrame) -> DataFrame:
+        return df.groupBy("leaf", "part").cogroup(dealt).applyInArrow(_in_leaf(k + 1, sure), "query_id long, vec_id long, d double")
+
+    order = Window.partitionBy("query_id").orderBy("d", "vec_id")
+    top = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
+    home = queries.join(cut, "leaf").select("query_id", "v", F.lit(None).cast("double").alias("reach"), "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    first = materialize(top(met(home)).drop("rank"), "first")
+    reach = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("d").alias("reach")).filter(F.col("n") == k + 1).select("query_id", "reach")
+    away = queries.join(reach, "query_id", "left").mapInArrow(_reached(leaves, parts, low, high, sure), "query_id long, v array<double>, reach double, leaf long, part long")
+    found = materialize(top(first.unionByName(met(away))).select(F.col("query_id").alias("named"), "vec_id", "d"), "found")
+    forget(held, placed, queries, first)
+    # each query has the results of its vector, without itself
+    mine = asked.join(named.withColumnRenamed("query_id", "named"), "v").select(F.col("vec_id").alias("query_id"), "named")
+    mine = materialize(mine, "asked")
+    out = salted_join(mine, found, ["named"], heavy_keys(mine, ["named"]), ["query_id"]).filter("vec_id <> query_id")
+    order = Window.partitionBy("query_id").orderBy("d", "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.sqrt("d").alias("score"))

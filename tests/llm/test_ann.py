@@ -27,7 +27,7 @@ def test_recall_against_brute_force(spark):
     r = np.random.default_rng(4)
     centres = r.normal(size=(20, 32))
     rows = [(k, np.float32(centres[k % 20] + 0.3 * r.normal(size=32)).tolist()) for k in range(3000)]
-    found, wanted = got(spark, rows, block_rows=700), brute(rows)
+    found, wanted = got(spark, rows, leaf_rows=100), brute(rows)
     assert set(found) == set(wanted)
     hits = sum(len({j for _, j in found[q]} & {j for _, j in wanted[q]}) for q in wanted)
     assert hits >= 0.95 * 10 * len(wanted)
