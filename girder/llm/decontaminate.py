@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import texts as T
+from .spread import without
 from .storage import materialize, small_batches
 
 WINDOW, COVERAGE = 5, 0.5
@@ -261,5 +262,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage
 
 def remove_leaking(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the rows in whose text an item leaks; rows that share a doc_id, null too, are judged each by its own text."""
-    leaks = _leaks(docs, items, window, coverage).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["of_doc"]) & (F.xxhash64(docs["text"]) == leaks["of_text"]), "left_anti")
+    leaks = materialize(_leaks(docs, items, window, coverage).select(F.xxhash64("doc_id", "text_key").alias("k")).distinct(), "leaks")
+    return without(docs, F.xxhash64("doc_id", F.xxhash64("text")), leaks, "k")

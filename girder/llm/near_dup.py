@@ -175,28 +175,37 @@ def _element_lists(width: int):
 def components(edges: DataFrame) -> DataFrame:
     """(uid, label) of every node of the edges (a, b): label is the smallest uid that can be reached.
 
-    Each round takes the smallest label among neighbours, then jumps to the
-    label's own label; rounds end when nothing changes. The jump goes through
-    the labels that have a smaller one themselves, each once, and hot keys are
-    salted.
+    Each round takes every node's smallest neighbour (or itself) as its parent,
+    jumps twice to parents' parents, and puts parents in the place of nodes;
+    edges within one parent go, the others stay once each, so they soon are
+    few. At last the rounds' parents are followed from the last to the first.
+    Hot nodes are salted.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    heavy = materialize(heavy_keys(both, ["b"]), "heavy")
-    labels = held = materialize(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.col("uid"), F.min("b")).alias("label")), "labels")
+    left, rounds, heavies = materialize(edges.select("a", "b").distinct(), "edges"), [], []
     while True:
-        near = salted_join(both, labels.withColumnRenamed("uid", "b"), ["b"], heavy, ["a"]).groupBy(F.col("a").alias("uid")).agg(F.min("label").alias("near"))
-        step = materialize(labels.join(near, "uid").select("uid", "label", F.least("label", "near").alias("low")), "step")
-        lows = step.groupBy("low").agg(F.count("*").alias("c"))
-        jumps = materialize(lows.join(labels.select(F.col("uid").alias("low"), F.col("label").alias("jump")), "low").filter("jump < low"), "jumps")
-        hot = jumps.filter(F.col("c") > max(1000, int(step.count() * HOT))).select("low")
-        jumped = salted_join(step, jumps.select("low", "jump"), ["low"], hot, ["uid"], "left")
-        out = materialize(jumped.select("uid", F.col("label").alias("was"), F.coalesce("jump", "low").alias("label")), "labels")
-        changed = out.filter("was <> label").limit(1).count()
-        forget(held, step, jumps)
-        labels, held = out.select("uid", "label"), out
-        if not changed:
-            forget(both, heavy)
-            return labels
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = materialize(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.col("uid"), F.min("b")).alias("parent")), "near")
+        hot = materialize(heavy_keys(near.withColumnRenamed("parent", "up"), ["up"]), "heavy")
+        up = near.select(F.col("uid").alias("up"), "parent")
+        jumped = salted_join(near.withColumnRenamed("parent", "up"), up, ["up"], hot, ["uid"])
+        parents = materialize(salted_join(jumped.select("uid", F.col("parent").alias("up")), up, ["up"], hot, ["uid"]).select("uid", "parent"), "parents")
+        rounds.append(parents)
+        hot_a, hot_b = (materialize(heavy_keys(left, [x]), "heavy") for x in "ab")
+        moved = salted_join(left, parents.toDF("a", "pa"), ["a"], hot_a, ["b"])
+        moved = salted_join(moved, parents.toDF("b", "pb"), ["b"], hot_b, ["a"]).filter("pa <> pb")
+        after = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        forget(left, near, hot, hot_a, hot_b)
+        left = after
+        if left.limit(1).count() == 0:
+            break
+    labels = rounds[-1].toDF("uid", "label")
+    for parents in reversed(rounds[:-1]):  # a round's parent may have a parent of later rounds
+        heavies.append(materialize(heavy_keys(parents, ["parent"]), "heavy"))
+        found = salted_join(parents, labels.withColumnRenamed("uid", "parent"), ["parent"], heavies[-1], ["uid"], "left")
+        labels = found.select("uid", F.coalesce("label", "parent").alias("label"))
+    out = materialize(labels, "labels")
+    forget(left, *rounds, *heavies)
+    return out
 
 
 def _sized(a: Column, b: Column, threshold: float) -> Column:
@@ -331,12 +340,13 @@ def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
     """
     classes = near_duplicate_classes(docs, **parameters)
     known = classes.groupBy("doc_id", "th").agg(F.max("representative").alias("stays"), F.count("*").alias("times")).filter("not stays or times > 1")
-    key = F.xxhash64("doc_id", "th").alias("girder_key")
-    known = materialize(known.select(key, "stays"), "decided")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("girder_key"))
-    bits = materialize(bit_table(known, "girder_key"), "bits")
-    sure = sifted(packed, "girder_key", bits, within=False)
-    doubted = sifted(packed, "girder_key", bits)
-    doubted = doubted.join(known.groupBy("girder_key").agg(F.max("stays").alias("stays")), "girder_key", "left").filter("coalesce(stays, true)")
+    known = materialize(known.select(F.xxhash64("doc_id", "th").alias("k"), "stays"), "decided")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    if known.filter("stays").limit(1).count() == 0:
+        return without(docs, key, known, "k")
+    # rows that stand several times with one doc_id: one of them stays
+    packed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("girder_key"))
+    bits = bit_table(known, "k")
+    doubted = sifted(packed, "girder_key", bits).join(known.groupBy(F.col("k").alias("girder_key")).agg(F.max("stays").alias("stays")), "girder_key", "left").filter("coalesce(stays, true)")
     once, many = doubted.filter("stays is null"), doubted.filter("stays").dropDuplicates(["girder_key"])
-    return sure.select("row.*").unionByName(once.select("row.*")).unionByName(many.select("row.*"))
+    return sifted(packed, "girder_key", bits, within=False).select("row.*").unionByName(once.select("row.*")).unionByName(many.select("row.*"))

@@ -19,19 +19,31 @@ def _at(column: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 64 - BITS)
 
 
-def bit_table(keys: DataFrame, column: str) -> DataFrame:
-    """(word_, bits_): a bit for the hash of each value; its size is bounded by BITS alone."""
+def bit_table(keys: DataFrame, column: str) -> DataFrame | None:
+    """(word_, bits_): a bit for the hash of each value; its size is bounded by BITS alone. None if there are so many rows that it would hold nothing back."""
+    if keys.count() > 1 << BITS:
+        return None
     return keys.select(_at(F.col(column)).alias("at_")).groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at_ % 64 AS INT))")).alias("bits_"))
 
 
-def sifted(rows: DataFrame, column: str, bits: DataFrame, within: bool = True) -> DataFrame:
+def sifted(rows: DataFrame, column: str, bits: DataFrame | None, within: bool = True) -> DataFrame:
     """Rows whose value may be in the bit table (``within``), or rows whose value surely isn't; no shuffle."""
+    if bits is None:
+        return rows if within else rows.limit(0)
     placed = rows.withColumn("at_", _at(F.col(column))).withColumn("word_", F.shiftright("at_", 6))
     joined = placed.join(F.broadcast(bits), "word_", "inner" if within else "left")  # 2^BITS / 64 rows at most
     hit = F.expr("shiftrightunsigned(bits_, CAST(at_ % 64 AS INT)) & 1 = 1")
     return joined.filter(hit if within else ~F.coalesce(hit, F.lit(False))).select(*rows.columns)
 
 
+def without(rows: DataFrame, key: Column, gone: DataFrame, gone_key: str) -> DataFrame:
+    """``rows`` but for those whose key is in ``gone``; rows that surely stay aren't moved."""
+    packed = rows.select(F.struct(*rows.columns).alias("row"), key.alias("girder_key"))
+    bits = bit_table(gone, gone_key)
+    doubted = sifted(packed, "girder_key", bits).join(gone.select(F.col(gone_key).alias("girder_key")), "girder_key", "left_anti")
+    return sifted(packed, "girder_key", bits, within=False).unionByName(doubted).select("row.*")
+
+
 def heavy_keys(rows: DataFrame, by: Sequence[str], share: float = HOT) -> DataFrame:
     """The hot keys of ``rows``: at most 1 / ``share`` of them."""
     counts = rows.groupBy(*by).agg(F.count("*").alias("heavy_c_"))
