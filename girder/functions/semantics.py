@@ -88,3 +88,16 @@ def apply_affine(x: Column, y: Column, a: Column, b: Column, e: Column, f: Colum
 def affine_parts(a: Column, b: Column) -> tuple[Column, Column]:
     """Scale and rotation in degrees of a similarity."""
     return F.hypot(a, b), F.degrees(F.atan2(b, a))
+
+
+def polygon_area(ring: Column) -> Column:
+    """Area of a closed ring, an array of points (x, y) in order; 0 for fewer than three."""
+    after = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))
+    cross = F.zip_with(ring, after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.when(F.size(ring) < 3, 0.0).otherwise(F.abs(F.aggregate(cross, F.lit(0.0), lambda acc, x: acc + x)) / 2)
+
+
+def polyline_length(points: Column) -> Column:
+    """Length of a line through points (x, y) in order."""
+    steps = F.zip_with(F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, F.lit(2), F.size(points)), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.functions.semantics import upper_median_rank
-from girder.operators.shape import ranked_in_groups
+from girder.operators.shape import medians
+from girder.sources.shared import written
 
 
 def document_diff(left: DataFrame, right: DataFrame, key: str, changes: Mapping[str, str], kind: str | None = None) -> DataFrame:
@@ -124,18 +127,23 @@ def geometry_gate(share: Column, compared: Column) -> Column:
     return gate("geometry", F.when(compared > 0, share).otherwise(0.0), (compared > 0) & (share >= 0.9), (compared > 0) & (share >= 0.5))
 
 
-def class_agreement(rows: DataFrame, class_: str, error: Column, tolerance: float, order: Sequence[str], least: int = 10) -> DataFrame:
+def class_agreement(rows: DataFrame, class_: str, error: Column, tolerance: float, least: int = 10) -> DataFrame:
     """(class, matched, ok_percent, median_err): share of errors strictly below the tolerance, and the upper median, of classes with enough rows."""
-    measured = rows.select(F.col(class_).alias("class"), error.alias("err"), *order)
-    median = ranked_in_groups(measured, ["class"], ["err", *order])
-    median = median.filter(F.col("rank") == upper_median_rank(F.col("n"))).select("class", F.col("err").alias("median_err"))
+    measured = rows.select(F.col(class_).alias("class"), error.alias("err"))
+    median = medians(measured, "class", "err").select("class", F.col("median").alias("median_err"))
     counts = measured.groupBy("class").agg(F.count("*").alias("matched"), F.count_if(F.col("err") < tolerance).alias("ok_")).filter(F.col("matched") >= least)
     return counts.join(median, "class").select("class", "matched", (F.col("ok_") * 100.0 / F.col("matched")).alias("ok_percent"), "median_err")
 
 
+#: Partitions that are compared in pairs.
+MOST_PARTITIONS = 1000
+
+
 def holdout_z(rows: DataFrame, partition: str, ok: Column, least: int = 20) -> DataFrame:
     """(a, b, z): two-proportion z of every pair of partitions with enough rows (one row for each partition is paired, not the rows)."""
-    g = rows.groupBy(F.col(partition).alias("p")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).filter(F.col("n") >= least)
+    g = written(rows.groupBy(F.col(partition).alias("p")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).filter(F.col("n") >= least), "partitions")
+    if g.count() > MOST_PARTITIONS:
+        raise ValueError(f"more than {MOST_PARTITIONS} partitions: the number of their pairs grows with its square")
     whole = g.agg(F.collect_list(F.struct("p", "n", "ok")).alias("all_"))  # as many as there are partitions
     pairs = whole.select(F.explode("all_").alias("x"), "all_").select("x", F.explode("all_").alias("y")).filter("x.p < y.p")
     pool = (F.col("x.ok") + F.col("y.ok")) / (F.col("x.n") + F.col("y.n"))
@@ -166,8 +174,7 @@ def holdout_summary(rows: DataFrame, partition: str, ok: Column, thin: int = 20,
     spread = of.select("spread", F.when(F.col("compared") >= 2, two_proportion_z(F.col("a.ok"), F.col("a.n"), F.col("b.ok"), F.col("b.n"))).alias("z"))
     out = g.select("partition", "n", "ok_percent", "thin", *(["worst"] if value is not None else [])).crossJoin(spread)  # one row on the right
     if value is not None:
-        ranks = ranked_in_groups(measured.filter("value is not null").select("partition", "value"), ["partition"], ["value"])
-        median = ranks.filter(F.col("rank") == upper_median_rank(F.col("n"))).select(F.col("partition").alias("of_"), F.col("value").alias("median"))
+        median = medians(measured, "partition", "value").select(F.col("partition").alias("of_"), "median")
         out = out.join(median, F.col("partition").eqNullSafe(F.col("of_")), "left").drop("of_")
     if len(order) > 2:
         lower = F.coalesce(F.col("partition").isin(*order[: (len(order) + 1) // 2]), F.lit(False))
@@ -192,12 +199,35 @@ def holdout_verdict(spread: Column, z: Column, points: float = 15.0, least_z: fl
     none = F.lit(None).cast("double")
     found = [(spread, z), (none if pooled_spread is None else pooled_spread, none if pooled_z is None else pooled_z)]
     untestable = reduce(and_, [a.isNull() | b.isNull() for a, b in found])
-    split = reduce(or_, [F.coalesce((a >= points) & (F.abs(b) > least_z), F.lit(False)) for a, b in found])
+    split = reduce(or_, [F.coalesce((a > points) & (F.abs(b) > least_z), F.lit(False)) for a, b in found])
     quiet = F.lit(False) if silent is None else F.coalesce(silent, F.lit(False))
     return F.when(quiet, "silent").when(untestable, "untestable").when(split, "split").otherwise("holds")
 
 
-def redact_json(json: Column, sensitive: Sequence[str]) -> Column:
-    """A flat JSON object without the keys whose letters and digits, in lower case, are sensitive; null if it is no object."""
-    entries = F.from_json(json, "map<string,string>")
-    return F.to_json(F.map_filter(entries, lambda k, _: ~F.regexp_replace(F.lower(k), "[^a-z]", "").isin(*sensitive)))
+#: Keys that are never told, as letters in lower case.
+SENSITIVE = ("path", "content", "username", "centralmodelpath", "lastsavepath", "centralmodelidentity", "modelidentity", "author")
+
+
+def redacted(value, sensitive: frozenset[str]):
+    """A JSON value without the sensitive keys of its objects, at any depth."""
+    if isinstance(value, dict):
+        return {k: redacted(v, sensitive) for k, v in value.items() if re.sub("[^a-z]", "", k, flags=re.IGNORECASE).lower() not in sensitive}
+    return [redacted(v, sensitive) for v in value] if isinstance(value, list) else value
+
+
+def redact_json(json_: Column, sensitive: Sequence[str] = SENSITIVE) -> Column:
+    """A JSON object without the keys whose letters, in lower case, are sensitive, at any depth; other values stay as they are. Null if it is no object."""
+    names = frozenset(sensitive)
+
+    @F.pandas_udf("string")
+    def redact(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                value = json.loads(text) if text is not None else None
+            except (ValueError, RecursionError):
+                return None
+            return json.dumps(redacted(value, names), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
+
+        return texts.map(one)
+
+    return redact(json_)

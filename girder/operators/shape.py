@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,20 +35,57 @@ def ranked_in_groups(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -
 def ranked(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows with ``rank`` (from 1) over the whole table and ``n``, by range partitions and their counts."""
     kept = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id()), "ranked")
-    counts = sorted((r["p"], r["c"]) for r in kept.groupBy(F.shiftright("place_", 33).alias("p")).agg(F.count("*").alias("c")).collect())  # one row for each partition
-    before, starts = 0, []
-    for p, c in counts:
-        starts.append((p, before))
-        before += c
-    if not starts:
-        return kept.select(*rows.columns, F.lit(None).cast("long").alias("rank"), F.lit(0).cast("long").alias("n"))
-    start = F.element_at(F.map_from_arrays(F.array(*[F.lit(p) for p, _ in starts]), F.array(*[F.lit(b).cast("long") for _, b in starts])), F.shiftright("place_", 33))
-    return kept.select(*rows.columns, (start + F.col("place_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"), F.lit(before).cast("long").alias("n"))
+    kept = kept.withColumn("part_", F.shiftright("place_", 33))
+    counts = kept.groupBy("part_").agg(F.count("*").alias("c_"))  # one row for each partition
+    before = F.sum("c_").over(Window.orderBy("part_")) - F.col("c_")
+    starts = counts.select("part_", before.alias("before_"), F.sum("c_").over(Window.partitionBy(F.lit(1))).alias("n"))
+    return kept.join(F.broadcast(starts), "part_").select(*rows.columns, (F.col("before_") + F.col("place_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"), "n")
+
+
+def as_of(rows: DataFrame, known: DataFrame, keys: Mapping[str, str], at: str, known_at: str, values: Sequence[str]) -> DataFrame:
+    """Rows with the values of the last known row of their key (``keys``: their column -> its column) at or before ``at``, null if there is none; known rows have one place each.
+
+    Both tables are range-partitioned together by key and place, so a hot key
+    spreads over tasks; what a partition ends with is carried into the next
+    ones by a table of one row for each key and partition that meets it.
+    """
+    names = list(keys)
+    mine = rows.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(names)], F.col(at).cast("double").alias("at_"), F.lit(1).alias("side_"), F.struct(*rows.columns).alias("row_"), F.lit(None).cast(known.select(F.struct(*values)).schema[0].dataType).alias("v_"))
+    theirs = known.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys.values())], F.col(known_at).cast("double").alias("at_"), F.lit(0).alias("side_"), F.lit(None).cast(mine.schema["row_"].dataType).alias("row_"), F.struct(*values).alias("v_"))
+    by = [f"k{i}_" for i in range(len(names))]
+    order = [*by, "at_", "side_"]
+    both = written(mine.unionByName(theirs).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.shiftright(F.monotonically_increasing_id(), 33)), "as-of")
+    within = Window.partitionBy("part_", *by).orderBy("at_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("own_", F.last("v_", ignorenulls=True).over(within))
+    ends = both.filter("side_ = 0").groupBy("part_", *by).agg(F.max_by("v_", "at_").alias("end_"))
+    spread = both.select("part_", *by).distinct().join(ends, ["part_", *by], "left")
+    carried = spread.withColumn("carried_", F.last("end_", ignorenulls=True).over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))).select("part_", *by, "carried_")
+    out = filled.filter("side_ = 1").alias("f").join(carried.alias("c"), [F.col("f.part_") == F.col("c.part_"), *[F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]])
+    value = F.coalesce("own_", "carried_")
+    return out.select("row_.*", value.alias("v_")).select(*rows.columns, *[F.col(f"v_.{v}").alias(v) for v in values])
+
+
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, median): the exact upper median of each group's values that aren't null, without sorting groups.
+
+    Approximate percentiles (rank error under n / 10,000) give each group a
+    bracket around its middle; values below it are counted, values in it are
+    counted by value.
+    """
+    held = rows.filter(F.col(value).isNotNull()).select(F.col(by).alias("by_"), F.col(value).alias("v_"))
+    marks = held.groupBy("by_").agg(F.expr("percentile_approx(v_, array(0.498D, 0.502D), 10000)").alias("m_"), F.count("*").alias("n_"))
+    marks = written(marks.select(F.col("by_").alias("g_"), F.col("m_")[0].alias("low_"), F.col("m_")[1].alias("high_"), "n_"), "marks")
+    met = held.join(marks, F.col("by_").eqNullSafe(F.col("g_")))
+    below = met.groupBy("g_").agg(F.count_if(F.col("v_") < F.col("low_")).alias("below_"))
+    inside = met.filter(F.col("v_").between(F.col("low_"), F.col("high_"))).groupBy("g_", "n_", "v_").agg(F.count("*").alias("c_"))
+    inside = inside.withColumn("upto_", F.sum("c_").over(Window.partitionBy("g_").orderBy("v_")))  # distinct values of a bracket
+    found = inside.alias("i").join(below.alias("b"), F.col("i.g_").eqNullSafe(F.col("b.g_"))).filter(F.col("below_") + F.col("upto_") >= upper_median_rank(F.col("n_")))
+    return found.groupBy(F.col("i.g_").alias(by)).agg(F.first("n_").alias("n"), F.min("v_").alias("median"))
 
 
 def order_statistic(rows: DataFrame, column: str, index: int) -> float | None:
-    """The value at 0-based ``index`` of the sorted non-null values: exact, by narrowing a bracket with approximate percentiles."""
-    values = rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    """The value at 0-based ``index`` of the sorted values that are neither null nor NaN: exact, by narrowing a bracket with approximate percentiles."""
+    values = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     low, high, skip = None, None, 0
     while True:
         inside = values if low is None else values.filter(F.col("v").between(low, high))
@@ -65,12 +102,11 @@ def order_statistic(rows: DataFrame, column: str, index: int) -> float | None:
         below, to = inside.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
         if below <= k < to and (a, b) != (low, high):
             low, high, skip = a, b, skip + below
-        else:  # the approximation missed the place: halve by value
-            middle = (least + most) / 2
-            to = inside.filter(F.col("v") <= middle).count()
-            low, high, skip = (least, middle, skip) if k < to else (inside.filter(F.col("v") > middle).agg(F.min("v")).first()[0], most, skip + to)
-            if k < to:
-                skip += inside.filter(F.col("v") < least).count()
+            continue
+        # the approximation missed the place: halve by value
+        middle = max(least, -1e308) / 2 + min(most, 1e308) / 2
+        to, after = inside.agg(F.count_if(F.col("v") <= middle), F.min(F.when(F.col("v") > middle, F.col("v")))).first()
+        low, high, skip = (least, middle, skip) if k < to else (after, most, skip + to)
 
 
 def extent(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -113,11 +149,10 @@ def level_bands(rows: DataFrame, elevation: Column, top: int | None = 8) -> Data
     return bands.orderBy(F.desc("candidates"), "elevation").limit(top) if top else bands.orderBy("elevation")
 
 
-def levels_from_members(rows: DataFrame, level: str, base: str, ordinal: str, least: int = 20) -> DataFrame:
+def levels_from_members(rows: DataFrame, level: str, base: str, least: int = 20) -> DataFrame:
     """(level_id, elevation, candidates): the upper median of the members' bases, of levels with enough members."""
-    members = rows.filter(F.col(base).isNotNull()).select(F.col(level).alias("level_id"), F.col(base).alias("elevation"), ordinal)
-    middle = ranked_in_groups(members, ["level_id"], ["elevation", ordinal]).filter(F.col("rank") == upper_median_rank(F.col("n")))
-    return middle.filter(F.col("n") >= least).select("level_id", "elevation", F.col("n").alias("candidates"))
+    found = medians(rows.withColumnRenamed(level, "level_id"), "level_id", base)
+    return found.filter(F.col("n") >= least).select("level_id", F.col("median").alias("elevation"), F.col("n").alias("candidates"))
 
 
 def modal_bin(rows: DataFrame, category: str, value: str, width: float, least: int = 8, share: float = 0.5) -> DataFrame:
@@ -160,7 +195,9 @@ def orientation_signature(rows: DataFrame, element: str, tilt: Column, weight: C
 
 
 def elevation_band(rows: DataFrame, storeys: DataFrame, base: str, slack: float = 0.5) -> DataFrame:
-    """Rows with the last storey at or below base + slack, the lowest storey if all are above; storeys are a building's few levels, (name, elevation)."""
-    levels = storeys.agg(F.array_sort(F.collect_list(F.struct("elevation", "name"))).alias("levels_"))
-    below = F.filter("levels_", lambda s: s["elevation"] <= F.col(base) + slack)
-    return rows.crossJoin(levels).withColumn("storey", F.coalesce(F.try_element_at(below, F.lit(-1)), F.try_element_at("levels_", F.lit(1)))["name"]).drop("levels_")
+    """Rows with the last storey (name, elevation) at or below base + slack, on ties the last name, and the lowest storey if all are above: an as-of join, for any number of storeys."""
+    named = storeys.groupBy("elevation").agg(F.max("name").alias("storey"), F.min("name").alias("first_"))
+    lowest = named.agg(F.min(F.struct("elevation", "first_")).alias("l_")).select(F.col("l_.first_").alias("lowest_"))
+    known = named.select(F.lit(0).alias("one_"), "elevation", "storey")
+    out = as_of(rows.withColumn("at_base_", F.col(base) + slack).withColumn("one_", F.lit(0)), known, {"one_": "one_"}, "at_base_", "elevation", ["storey"])
+    return out.crossJoin(lowest).withColumn("storey", F.coalesce("storey", "lowest_")).drop("lowest_", "at_base_", "one_")  # one row on the right

@@ -13,6 +13,7 @@ from girder.operators import resolve as R
 from girder.operators import search as S
 from girder.operators import shape as H
 from girder.operators import spatial as P
+from girder.streaming.arrivals import latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,12 +119,11 @@ def primary_alternate_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT l_orderkey AS def, l_partkey AS type_id, concat(CAST(l_suppkey AS VARCHAR), ':', l_returnflag) AS sig FROM lineitem WHERE l_quantity > 48)
-SELECT type_id, min(sig) AS sig, min(def) AS first_def FROM d GROUP BY type_id HAVING count(DISTINCT sig) = 1
+SELECT l_orderkey, min(l_returnflag || ':' || l_linestatus) AS sig, min(l_linenumber) AS first_def FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag || ':' || l_linestatus) = 1
 """)
 def conflict_free_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("def"), F.col("l_partkey").alias("type_id"), F.concat(F.col("l_suppkey").cast("string"), F.lit(":"), "l_returnflag").alias("sig"))
-    return R.conflict_free(rows, "type_id", "sig", "def")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.lit(":"), "l_linestatus").alias("sig"))
+    return R.conflict_free(rows, "l_orderkey", "sig", "l_linenumber")
 
 
 @query("""
@@ -187,8 +187,7 @@ def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS rn FROM conversations) t WHERE rn = 1
 """)
 def merge_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = F.max(F.struct("turn", "role")).alias("x")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(latest).select("conv_id", "x.turn", "x.role")
+    return latest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"])
 
 
 @query("""
@@ -283,7 +282,7 @@ FROM r GROUP BY class HAVING max(n) >= 10
 def class_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     error = F.abs(F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice"))
-    return rounded(Q.class_agreement(rows, "p_brand", error, 0.5, ["l_orderkey", "l_linenumber"]), "ok_percent", "median_err")
+    return rounded(Q.class_agreement(rows, "p_brand", error, 0.5), "ok_percent", "median_err")
 
 
 @query("""
@@ -297,14 +296,16 @@ def holdout_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT p_brand AS partition, count(*) AS n, count(CASE WHEN p_size > 25 THEN 1 END) * 100.0e0 / count(*) AS ok_percent FROM part GROUP BY 1),
-s AS (SELECT max(ok_percent) - min(ok_percent) AS spread FROM g WHERE n >= 20)
-SELECT partition, n, round(ok_percent, 6) AS ok_percent, n < 20 AS thin, round(spread, 6) AS spread,
- CASE WHEN spread IS NULL THEN 'untestable' WHEN spread >= 15 THEN 'split' ELSE 'holds' END AS verdict FROM g CROSS JOIN s
+WITH g AS (SELECT p_brand AS partition, count(*) AS n, count(CASE WHEN p_size > 25 THEN 1 END) AS ok, count(CASE WHEN p_size > 25 THEN 1 END) * 100.0e0 / count(*) AS ok_percent FROM part GROUP BY 1),
+a AS (SELECT n, ok FROM g WHERE n >= 20 ORDER BY ok_percent DESC, partition LIMIT 1), b AS (SELECT n, ok FROM g WHERE n >= 20 ORDER BY ok_percent, partition LIMIT 1),
+s AS (SELECT max(ok_percent) - min(ok_percent) AS spread, count(*) AS compared FROM g WHERE n >= 20),
+v AS (SELECT CASE WHEN (SELECT compared FROM s) >= 2 THEN (CAST(a.ok AS DOUBLE) / a.n - CAST(b.ok AS DOUBLE) / b.n) / sqrt(CAST(a.ok + b.ok AS DOUBLE) / (a.n + b.n) * (1 - CAST(a.ok + b.ok AS DOUBLE) / (a.n + b.n)) * (1.0e0 / a.n + 1.0e0 / b.n)) END AS z FROM a CROSS JOIN b)
+SELECT partition, n, round(ok_percent, 6) AS ok_percent, n < 20 AS thin, round(spread, 6) AS spread, round(v.z, 6) AS z,
+ CASE WHEN spread IS NULL OR v.z IS NULL THEN 'untestable' WHEN spread > 15 AND abs(v.z) > 2 THEN 'split' ELSE 'holds' END AS verdict FROM g CROSS JOIN s LEFT JOIN v ON true
 """)
 def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Q.holdout_summary(table(spark, sf_dir, "part"), "p_brand", F.col("p_size") > 25)
-    return rounded(out.withColumn("verdict", Q.holdout_verdict(F.col("spread"), F.col("z"))).drop("z"), "ok_percent", "spread")
+    return rounded(out.withColumn("verdict", Q.holdout_verdict(F.col("spread"), F.col("z"))), "ok_percent", "spread", "z")
 
 
 @query("""
@@ -320,7 +321,7 @@ WITH m AS (SELECT event_type AS level_id, value AS base,
 SELECT level_id, round(base, 6) AS elevation, n AS candidates FROM m WHERE n >= 20 AND rn = CAST(floor(n / 2.0) AS BIGINT) + 1
 """)
 def levels_from_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(H.levels_from_members(table(spark, sf_dir, "events"), "event_type", "value", "event_id"), "elevation")
+    return rounded(H.levels_from_members(table(spark, sf_dir, "events"), "event_type", "value"), "elevation")
 
 
 @query("""
@@ -500,11 +501,12 @@ def hidden_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, '{"type":"' || event_type || '"}' AS kept FROM events WHERE json_valid(props)
+SELECT event_id, '{"x":{"n":' || event_id || '},"list":[{},' || user_id || '],"type":"' || event_type || '","ok":true}' AS kept FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL
 """)
 def redact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("json", F.concat(F.regexp_replace("props", "}$", ""), F.lit(',"type":"'), "event_type", F.lit('"}')))
-    return rows.select("event_id", Q.redact_json(F.col("json"), ["k"]).alias("kept")).filter("kept is not null")
+    rows = table(spark, sf_dir, "events")
+    json = F.concat(F.lit('{"x":{"k":"'), "event_type", F.lit('","n":'), "event_id", F.lit('},"list":[{"K":[1,{"a":2}]},'), "user_id", F.lit('],"type":"'), "event_type", F.lit('","ok":true}'))
+    return rows.select("event_id", Q.redact_json(json, ["k"]).alias("kept")).filter("kept is not null")
 
 
 @query("""
@@ -516,23 +518,23 @@ def identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45), c AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48)
-SELECT p_partkey, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'table' WHEN b.k IS NOT NULL THEN 'partition' WHEN c.k IS NOT NULL THEN 'recovered' ELSE 'none' END AS evidence
-FROM part LEFT JOIN a ON a.k = p_partkey LEFT JOIN b ON b.k = p_partkey LEFT JOIN c ON c.k = p_partkey
+WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A'), c AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 40)
+SELECT o_orderkey, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'table' WHEN b.k IS NOT NULL THEN 'partition' WHEN c.k IS NOT NULL THEN 'recovered' ELSE 'none' END AS evidence
+FROM orders LEFT JOIN a ON a.k = o_orderkey LEFT JOIN b ON b.k = o_orderkey LEFT JOIN c ON c.k = o_orderkey
 """)
 def tag_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    sets = {"table": lines.filter("l_returnflag = 'R' AND l_quantity > 45"), "partition": lines.filter("l_returnflag = 'A' AND l_quantity > 45"), "recovered": lines.filter("l_quantity > 48")}
-    return E.tag_join(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", {n: s.select("l_partkey") for n, s in sets.items()})
+    sets = {"table": lines.filter("l_returnflag = 'R'"), "partition": lines.filter("l_returnflag = 'A'"), "recovered": lines.filter("l_quantity > 40")}
+    return E.tag_join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", {n: x.select("l_orderkey") for n, x in sets.items()})
 
 
 @query("""
-WITH m AS (SELECT l_partkey, l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag || ':' || l_linestatus)), ',') AS sig FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2),
-g AS (SELECT l_partkey, min(sig) AS sig FROM m GROUP BY 1 HAVING count(DISTINCT sig) = 1)
-SELECT l_partkey, split_part(x, ':', 1) AS l_returnflag, split_part(x, ':', 2) AS l_linestatus FROM (SELECT l_partkey, unnest(string_split(sig, ',')) AS x FROM g)
+WITH m AS (SELECT l_orderkey, l_linenumber % 2 AS half, array_to_string(list_sort(list(DISTINCT l_returnflag || ':' || l_linestatus)), ',') AS sig FROM lineitem GROUP BY 1, 2),
+g AS (SELECT l_orderkey, min(sig) AS sig FROM m GROUP BY 1 HAVING count(DISTINCT sig) = 1)
+SELECT l_orderkey, split_part(x, ':', 1) AS l_returnflag, split_part(x, ':', 2) AS l_linestatus FROM (SELECT l_orderkey, unnest(string_split(sig, ',')) AS x FROM g)
 """)
 def poisoned_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.poisoned_map(table(spark, sf_dir, "lineitem").filter("l_quantity > 45"), "l_partkey", "l_orderkey", "l_returnflag", "l_linestatus")
+    return E.poisoned_map(table(spark, sf_dir, "lineitem").withColumn("half", F.col("l_linenumber") % 2), "l_orderkey", "half", "l_returnflag", "l_linestatus")
 
 
 @query("""
@@ -553,10 +555,10 @@ def single_material(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, CAST(coalesce(n, 0) AS BIGINT) AS elements FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) ON l_suppkey = s_suppkey
+SELECT s_suppkey, CAST(coalesce(n, 0) AS BIGINT) AS elements FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey
 """)
 def material_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").withColumnRenamed("l_suppkey", "s_suppkey")
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
     return E.material_palette(table(spark, sf_dir, "supplier").select("s_suppkey"), lines, "s_suppkey", "l_orderkey")
 
 
@@ -607,11 +609,11 @@ def suppressed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity = 50), w AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM r))
+WITH r AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'), w AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM r))
 SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM w) AND o_orderkey NOT IN (SELECT l_orderkey FROM r)
 """)
 def curtain_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select("l_orderkey")
+    resolved = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey")
     return E.curtain_helpers(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), resolved, "o_orderkey", "o_custkey")
 
 

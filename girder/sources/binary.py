@@ -73,31 +73,77 @@ def scan_records(pages: DataFrame, layout: Layout) -> DataFrame:
     return pages.select("path", "content").mapInArrow(over, schema)
 
 
-def inflate(pages: DataFrame, limit: int = 8 << 20) -> DataFrame:
-    """(path, chunk, offset, content, complete): each gzip member of a stream inflated up to ``limit`` bytes; what can't be read whole is kept as far as it goes."""
+#: Bytes that are inflated at once, fed at once, and kept of a chunk as the next one's dictionary.
+PIECE, FEED, MEMORY = 8 << 20, 1 << 16, 1 << 15
+
+
+def header_end(content: bytes, at: int) -> int | None:
+    """Where the deflated data of a gzip member begin; None if no member begins at ``at``."""
+    if content[at : at + 3] != b"\x1f\x8b\x08" or len(content) < at + 18 or content[at + 3] & 0xE0:
+        return None
+    flags, end = content[at + 3], at + 10
+    if flags & 4:
+        end += 2 + int.from_bytes(content[end : end + 2], "little")
+    for bit in (8, 16):  # name, comment
+        if flags & bit:
+            end = content.find(0, end) + 1
+            if not end:
+                return None
+    end += 2 * bool(flags & 2)
+    return end if end < len(content) else None
+
+
+def _pieces(engine, content: bytes, at: int, ends: list[int]) -> Iterator[bytes]:
+    """What an inflating engine makes of the bytes from ``at``, in pieces, and at last where they end; stops before damage."""
+    for k in range(at, len(content), FEED):
+        waiting = content[k : k + FEED]
+        while waiting and not engine.eof:
+            try:
+                piece = engine.decompress(waiting, PIECE)
+            except zlib.error:
+                return
+            waiting = engine.unconsumed_tail
+            if piece:
+                yield piece
+        if engine.eof:
+            ends.append(min(k + FEED, len(content)) - len(engine.unused_data))
+            return
+
+
+def inflate(pages: DataFrame) -> DataFrame:
+    """(path, chunk, piece, offset, content, complete): each gzip member of a stream inflated to its end, in pieces of PIECE bytes at most, so nothing is lost or held whole.
+
+    A member that breaks at its first bytes is tried once more with the last
+    bytes of the member before it as a dictionary; what can't be read whole is
+    kept as far as it goes. ``complete`` is told by a member's last piece.
+    """
+
+    def members(content: bytes) -> Iterator[tuple[int, int, int, bytes, bool]]:
+        at, chunk, memory = content.find(b"\x1f\x8b\x08"), 0, b""
+        while at >= 0:
+            begin, used = header_end(content, at), 3
+            if begin is not None:
+                for dictionary in (b"", memory):
+                    engine = zlib.decompressobj(-15, zdict=dictionary) if dictionary else zlib.decompressobj(-15)
+                    held, n, tail, ends = None, 0, b"", []
+                    for piece in _pieces(engine, content, begin, ends):
+                        if held is not None:
+                            yield chunk, n - 1, at, held, False
+                        held, n, tail = piece, n + 1, (tail + piece)[-MEMORY:]
+                    if held is not None or engine.eof or not memory:
+                        break
+                yield chunk, max(0, n - 1), at, held or b"", engine.eof
+                memory = tail or memory
+                used, chunk = (ends[0] - at if ends else 3), chunk + 1
+            at = content.find(b"\x1f\x8b\x08", at + used)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                at, chunk = (content or b"").find(b"\x1f\x8b\x08"), 0
-                while at >= 0:
-                    engine, out, whole = zlib.decompressobj(31), b"", False
-                    try:
-                        out = engine.decompress(content[at:], limit)
-                        whole = engine.eof
-                    except zlib.error:
-                        engine, out = zlib.decompressobj(31), bytearray()
-                        for k in range(at, len(content), 4096):  # the longest part before the damage
-                            try:
-                                out += engine.decompress(content[k : k + 4096], limit)
-                            except zlib.error:
-                                break
-                        out = bytes(out)
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([chunk], pa.int64()), pa.array([at], pa.int64()), pa.array([out], pa.binary()), pa.array([whole])], ["path", "chunk", "offset", "content", "complete"])
-                    used = len(content) - at - len(engine.unused_data) if whole else 3
-                    at, chunk = content.find(b"\x1f\x8b\x08", at + used), chunk + 1
-
-    return pages.select("path", "content").mapInArrow(over, "path string, chunk long, offset long, content binary, complete boolean")
+                for chunk, piece, at, out, whole in members(content or b""):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([chunk], pa.int64()), pa.array([piece], pa.int64()), pa.array([at], pa.int64()), pa.array([out], pa.binary()), pa.array([whole])], ["path", "chunk", "piece", "offset", "content", "complete"])
+
+    return pages.select("path", "content").mapInArrow(over, "path string, chunk long, piece long, offset long, content binary, complete boolean")
 
 
 def strip_page_checksums(content: bytes, payload: int = 64_896, trailing: int = 353) -> bytes:

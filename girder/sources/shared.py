@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names; a temporary one where it names none (local tests)."""
+    """The folder the session names; in local mode a temporary one where it names none."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="girder-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

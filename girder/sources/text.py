@@ -7,6 +7,10 @@ small; the number of files is what grows.
 
 from __future__ import annotations
 
+import codecs
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,33 +24,50 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-@F.pandas_udf(Y.StringType())
-def _single_byte(content: pd.Series, charset: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else bytes(b).decode(c, "replace") for b, c in zip(content, charset, strict=True)])
+#: Bytes that are looked at for the zero bytes of UTF-16, the share of pairs that have one on one side, and at most on the other.
+SAMPLE_BYTES, ZEROS, STRAY = 4096, 0.35, 0.1
+_MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be"))
+_CYRILLIC, _WORD_OF_THREE, _MOJIBAKE = re.compile("[\u0400-\u04ff]"), re.compile("[\u0400-\u04ff]{3}"), re.compile("[\u00c3\u00c2][\u0080-\u00ff]")
+# bytes that a Windows code page leaves out stand for the control characters of their number
+codecs.register_error("girder-control", lambda e: ("".join(map(chr, e.object[e.start : e.end])), e.end))
+
+
+def encoding_of(content: bytes) -> tuple[str, str, int]:
+    """(encoding, confidence, length of the byte-order mark) of a text's bytes."""
+    for mark, name in _MARKS:
+        if content.startswith(mark):
+            return name, "high", len(mark)
+    zero = np.frombuffer(content[:SAMPLE_BYTES], np.uint8) == 0
+    pairs = max(1, len(zero) // 2)
+    first, second = (zero[k : 2 * (len(zero) // 2) : 2].sum() / pairs for k in (0, 1))
+    for name, many, few in (("utf-16le", second, first), ("utf-16be", first, second)):
+        if many > ZEROS and few < STRAY:
+            return name, "high", 0
+    try:
+        content.decode("utf-8")
+        return "utf-8", "high", 0
+    except UnicodeDecodeError:
+        letters = content.decode("cp1251", "girder-control")
+        cyrillic = _WORD_OF_THREE.search(letters) and len(_CYRILLIC.findall(letters)) >= 3
+        return "windows-1251" if cyrillic and not _MOJIBAKE.search(content.decode("cp1252", "girder-control")) else "windows-1252", "medium", 0
+
+
+@F.pandas_udf(Y.StructType([*(Y.StructField(n, Y.StringType()) for n in ("text", "encoding", "confidence")), Y.StructField("had_bom", Y.BooleanType())]))
+def _decoded(content: pd.Series) -> pd.DataFrame:
+    rows = []
+    for b in content:
+        if b is None:
+            rows.append((None, None, None, None))
+            continue
+        name, confidence, mark = encoding_of(bytes(b))
+        how = {"windows-1251": ("cp1251", "girder-control"), "windows-1252": ("cp1252", "girder-control")}.get(name, (name, "replace"))
+        rows.append((bytes(b)[mark:].decode(*how).removeprefix("\ufeff"), name, confidence, mark > 0))
+    return pd.DataFrame(rows, columns=["text", "encoding", "confidence", "had_bom"])
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """(path, text, encoding, had_bom): a byte-order mark decides, then zero bytes (UTF-16), valid UTF-8, and at last Cyrillic or Western single bytes."""
-    hex_ = F.hex("content")
-    pairs = F.greatest(F.floor(F.length(hex_) / 4), F.lit(1))
-    zeros = lambda pattern: F.regexp_count(hex_, F.lit(pattern)) / pairs
-    little, big = zeros("(?!00)..00"), zeros("00(?!00)..")
-    # capitals and small letters of windows-1251 are 0xC0 to 0xFF; Western texts use few of them in a row
-    cyrillic = F.regexp_count(hex_, F.lit("(?:[C-F].){3,}")) * 3 >= F.regexp_count(hex_, F.lit("[89A-F].")) / 3
-    encoding = (
-        F.when(hex_.startswith("EFBBBF"), "utf-8")
-        .when(hex_.startswith("FFFE"), "utf-16le")
-        .when(hex_.startswith("FEFF"), "utf-16be")
-        .when((F.length(hex_) >= 8) & hex_.rlike("^(?:(?!00)..00){2}") & (little > 0.6), "utf-16le")
-        .when((F.length(hex_) >= 8) & hex_.rlike("^(?:00(?!00)..){2}") & (big > 0.6), "utf-16be")
-        .when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8")
-        .when(cyrillic, "windows-1251")
-        .otherwise("windows-1252")
-    )
-    marked = files.withColumn("encoding", encoding).withColumn("had_bom", hex_.rlike("^(EFBBBF|FFFE|FEFF)"))
-    body = F.when(hex_.startswith("EFBBBF"), F.expr("substring(content, 4)")).when(F.col("had_bom"), F.expr("substring(content, 3)")).otherwise(F.col("content"))
-    text = F.when(F.col("encoding") == "utf-8", body.cast("string")).when(F.col("encoding") == "utf-16le", F.decode(body, "UTF-16LE")).when(F.col("encoding") == "utf-16be", F.decode(body, "UTF-16BE")).otherwise(_single_byte(body, F.col("encoding")))
-    return marked.select("path", text.alias("text"), "encoding", "had_bom")
+    """(path, text, encoding, confidence, had_bom): a byte-order mark decides, then zero bytes on one side of pairs (UTF-16), valid UTF-8, and at last Cyrillic or Western single bytes. Null content has nulls."""
+    return files.select("path", _decoded("content").alias("d")).select("path", "d.*")
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -134,8 +155,8 @@ class SharedParameters:
         return rows.groupBy("guid").agg(first, differ.alias("conflict")).select("guid", "r.*", "conflict").drop("order_", "line_no")
 
 
-#: A CSV record (line feeds may stand in quotes) and a field of it, after its comma.
-RECORD, FIELD = r'(?:"(?:[^"]|"")*"|[^"\r\n])+', r',((?:"(?:[^"]|"")*"|[^,])*)'
+#: A CSV record (line feeds may stand in quotes) and a field of it, after its comma. Possessive, so Java's engine loops over cells of any length and doesn't recurse.
+RECORD, FIELD = r'(?:"[^"]*+"|[^"\r\n]++)++', r',((?:"[^"]*+"|[^,"]++|")*+)'
 
 
 def csv_cells(record: Column) -> Column:
@@ -180,14 +201,14 @@ def atom_entries(texts: DataFrame) -> DataFrame:
 
 def step_entities(texts: DataFrame) -> DataFrame:
     """(path, entity_id, type, arguments) of a STEP file's instances; semicolons in quotes don't end one."""
-    statements = texts.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"#\d+\s*=\s*[A-Za-z0-9_]+\s*\((?:'(?:[^']|'')*'|[^';])*\)\s*;"), F.lit(0))).alias("s"))
+    statements = texts.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"#\d++\s*+=\s*+[A-Za-z0-9_]++\s*+\((?:'[^']*+'|[^';]++)*+;"), F.lit(0))).alias("s"))
     part = lambda k: F.regexp_extract("s", r"(?s)^#(\d+)\s*=\s*(\w+)\s*\((.*)\)\s*;$", k)
-    return statements.select("path", part(1).cast("long").alias("entity_id"), F.upper(part(2)).alias("type"), part(3).alias("arguments"))
+    return statements.filter(F.col("s").rlike(r"\)\s*;$")).select("path", part(1).cast("long").alias("entity_id"), F.upper(part(2)).alias("type"), part(3).alias("arguments"))
 
 
 def step_references(entities: DataFrame) -> DataFrame:
     """(path, entity_id, place, target) of the references in arguments, outside quotes."""
-    bare = F.regexp_replace("arguments", r"'(?:[^']|'')*'", "")
+    bare = F.regexp_replace("arguments", "'[^']*+'", "")
     return entities.select("path", "entity_id", F.posexplode(F.regexp_extract_all(bare, F.lit(r"#(\d+)"), F.lit(1))).alias("place", "t")).select("path", "entity_id", "place", F.col("t").cast("long").alias("target"))
 
 
@@ -196,3 +217,32 @@ def file_properties(texts: DataFrame) -> DataFrame:
     pairs = lines_of(texts).select("path", trim_all(F.regexp_extract("line", r"^([^:]{1,80}):\s*(.*)$", 1)).alias("key"), trim_all(F.regexp_extract("line", r"^([^:]{1,80}):\s*(.*)$", 2)).alias("value")).filter("key <> ''")
     release = texts.select("path", F.lit("release").alias("key"), F.regexp_extract("text", r"(?i)(?:format|build|revit)\D{0,40}(20\d\d)", 1).alias("value")).filter("value <> ''")
     return pairs.unionByName(release)
+
+
+def products(entities: DataFrame, types: list[str]) -> DataFrame:
+    """(path, entity_id, type, guid, name) of the products of the types asked for; guid and name are the first and the third of their arguments, null where they are no text."""
+    value = r"\s*+((?:'[^']*+')++|[^,']*+)"
+    part = lambda k: F.regexp_extract("arguments", f"^{value},{value},{value}", k)
+    wanted = entities.filter(F.col("type").isin(*[t.upper() for t in types])).withColumns({"a_": part(1), "b_": part(3)})
+    bare = lambda c: F.when(F.col(c).startswith("'"), F.replace(F.substring(F.col(c), F.lit(2), F.length(c) - 2), F.lit("''"), F.lit("'")))
+    return wanted.select("path", "entity_id", "type", bare("a_").alias("guid"), bare("b_").alias("name"))
+
+
+def transmission(texts: DataFrame) -> DataFrame:
+    """(path, name, kind, loaded, missing) of the external references of transmission XML: names without folders, absolute places are not told."""
+    reference = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<ExternalFileReference\b.*?</ExternalFileReference>"), F.lit(0))).alias("r")
+    field = lambda name: F.nullif(F.regexp_extract("r", f"(?s)<{name}[^>]*>([^<]*)</{name}>", 1), F.lit(""))
+    state = field("LastSavedLoadedStatus")
+    rows = texts.select("path", reference)
+    return rows.select("path", F.regexp_extract(field("LastSavedPath"), r"([^/\\]*)$", 1).alias("name"), field("ExternalFileReferenceType").alias("kind"), (state == "Loaded").alias("loaded"), F.coalesce(state == "NotFound", F.lit(False)).alias("missing"))
+
+
+SIDECAR = "version int, fingerprint string, kind string, items array<struct<id: string, updatedAt: string, text: string>>"
+
+
+def sidecar_items(texts: DataFrame, fingerprint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((path, kind, id, updated_at, text) of review sidecars, (path, error) of texts that are none or belong to a model of another fingerprint)."""
+    read = texts.select("path", F.from_json("text", SIDECAR).alias("s"))
+    wrong = F.when(F.col("s.version").isNull() | F.col("s.kind").isNull(), "no sidecar").when(F.lit(fingerprint is not None) & ~F.col("s.fingerprint").eqNullSafe(F.lit(fingerprint)), "another model")
+    good = read.filter(wrong.isNull()).select("path", "s.kind", F.explode("s.items").alias("i"))
+    return good.select("path", "kind", "i.id", F.col("i.updatedAt").alias("updated_at"), "i.text"), read.filter(wrong.isNotNull()).select("path", wrong.alias("error"))

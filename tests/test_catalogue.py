@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from girder.plans import scene_catalogue  # noqa: F401  adds its queries
 from girder.plans.catalogue import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"

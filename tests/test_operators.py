@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from girder.functions import semantics as X
 from girder.operators import quality as Q
+from girder.operators import reports as V
 from girder.operators import resolve as R
 from girder.operators import search as S
 from girder.operators import shape as H
@@ -123,3 +124,44 @@ def test_holdout_summary_and_verdict(spark):
     assert pooled["pooled_spread"] == 100 and pooled["verdict"] == "split"
     assert [r["partition"] for r in Q.silent_partitions(thin, rows(a=(1, 1), z=(1, 1)), "p").collect()] == ["z"]
     assert one(spark, Q.holdout_verdict(F.lit(1.0), F.lit(1.0), silent=F.lit(True))) == "silent"
+
+
+def test_order_statistic_with_nan_and_infinity(spark, monkeypatch):
+    monkeypatch.setattr(H, "BRACKET_ROWS", 50)
+    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id").cast("double")).alias("v"))
+    assert H.order_statistic(rows, "v", 999) == 1999.0 and H.order_statistic(rows, "v", 1000) is None
+    wide = spark.range(1000).select(F.when(F.col("id") < 300, float("-inf")).when(F.col("id") > 700, float("inf")).otherwise(F.col("id").cast("double")).alias("v"))
+    assert [H.order_statistic(wide, "v", k) for k in (0, 350, 999)] == [float("-inf"), 350.0, float("inf")]
+
+
+def test_medians(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 2, 7).otherwise(F.col("id") * 7 % 1000).alias("v")).unionByName(spark.createDataFrame([(9, 1), (9, 2), (8, 5), (7, None), (None, 4)], "g long, v long"))
+    got = {r["g"]: (r["n"], r["median"]) for r in H.medians(rows, "g", "v").collect()}
+    for g in (0, 1):
+        assert got[g] == (1000, sorted(k * 7 % 1000 for k in range(3000) if k % 3 == g)[500])
+    assert got[2] == (1000, 7) and got[9] == (2, 2) and got[8] == (1, 5) and got[None] == (1, 4) and 7 not in got
+
+
+def test_as_of_over_hot_and_missing_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 5 == 0, 2).otherwise(1).alias("k"), (F.col("id") / 10).alias("at"), "id")
+    known = spark.createDataFrame([(1, 5.0, "a"), (1, 250.0, "b"), (3, 0.0, "c")], "k int, at double, v string")
+    got = {r["id"]: r["v"] for r in H.as_of(rows, known, {"k": "k"}, "at", "at", ["v"]).collect()}
+    assert len(got) == 3000 and all(got[i] == (None if i % 5 == 0 or i < 50 else "a" if i < 2500 else "b") for i in range(3000))
+
+
+def test_redaction_at_every_depth(spark):
+    cases = {'{"x":{"k":"secret","y":[{"K_":1},2]},"n":3,"f":1.5,"b":true,"z":null}': '{"x":{"y":[{},2]},"n":3,"f":1.5,"b":true,"z":null}', "[1]": None, "bad": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "j string").select("j", Q.redact_json(F.col("j"), ["k"]).alias("r")).collect()
+    assert {r["j"]: r["r"] for r in rows} == cases
+    assert one(spark, Q.redact_json(F.lit('{"User Name":1,"Path":2,"Size":3}'))) == '{"Size":3}'
+
+
+def test_rings_and_lines(spark):
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (3, 0), (3, 4))])
+    assert one(spark, X.polygon_area(ring)) == 6.0 and one(spark, X.polyline_length(ring)) == 7.0
+
+
+def test_files_of_which_nothing_is_read(spark):
+    files = spark.createDataFrame([("a",), ("b",)], "path string")
+    rows, errors = V.captured(files, spark.createDataFrame([("a", 1)], "path string, v int"), "path")
+    assert rows.count() == 1 and [r["path"] for r in errors.collect()] == ["b"]

@@ -1,5 +1,6 @@
 import gzip
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -16,12 +17,36 @@ def texts(spark, *rows):
 
 
 def test_encodings(spark):
-    cases = {"utf-8": "a é", "utf-16le": "abcdefgh", "utf-16be": "abcdefgh", "windows-1251": "Ширина стены помещения", "windows-1252": "Türhöhe über alles, naïve façade"}
-    rows = [(k, bytearray(v.encode(k))) for k, v in cases.items()] + [("bom", bytearray(b"\xef\xbb\xbfx"))]
+    cases = [
+        ("utf-8", "a é", "high"), ("utf-16le", "abcdefgh", "high"), ("utf-16be", "abcdefgh", "high"), ("windows-1251", "Ширина стены помещения", "medium"), ("windows-1252", "Türhöhe über alles, naïve façade", "medium"),
+        ("utf-16le", "Ширина width and the height of it Высота", "high"), ("utf-16be", "Ши: width and height", "high"), ("windows-1251", "# comment in plain letters\nGROUP\t1\tСтены and more plain words", "medium"), ("windows-1252", "\x81 Tür", "medium"),
+    ]
+    rows = [(str(k), bytearray(v.encode(e.replace("windows-", "cp")) if "\x81" not in v else b"\x81 T\xfcr")) for k, (e, v, _) in enumerate(cases)] + [("bom", bytearray(b"\xef\xbb\xbfx")), ("none", None), ("empty", bytearray(b""))]
     got = {r["path"]: r for r in T.decoded(spark.createDataFrame(rows, "path string, content binary")).collect()}
-    for k, v in cases.items():
-        assert (got[k]["encoding"], got[k]["text"]) == (k, v)
-    assert got["bom"]["had_bom"] and got["bom"]["text"] == "x"
+    for k, (encoding, text, confidence) in enumerate(cases):
+        r = got[str(k)]
+        assert (r["encoding"], r["text"], r["confidence"], r["had_bom"]) == (encoding, text, confidence, False)
+    assert got["bom"]["had_bom"] and got["bom"]["text"] == "x" and got["none"]["text"] is None and got["empty"]["text"] == ""
+
+
+def test_long_cells_and_arguments_do_not_recurse(spark):
+    cell, long = '"' + "x" * 1_000_000 + '"', ",".join(f"#{k}" for k in range(1, 200_001))
+    got = T.type_catalog(texts(spark, ("c", f",Width##LENGTH##MM\nA,{cell}\n" + "B," + "y" * 1_000_000 + "\n"))).orderBy("row_no").collect()
+    assert [len(r["value"]) for r in got] == [1_000_000, 1_000_000]
+    step = T.step_entities(texts(spark, ("s", f"#1=IFCPOLYLINE(({long}));\n#2=IFCLABEL('{'it''s ' * 200_000}');\n")))
+    assert sorted((r["entity_id"], r["type"]) for r in step.collect()) == [(1, "IFCPOLYLINE"), (2, "IFCLABEL")]
+    assert T.step_references(step).count() == 200_000
+
+
+def test_products_transmission_and_sidecars(spark):
+    step = T.step_entities(texts(spark, ("s", "#1=IFCWALL('g1',#2,'it''s; a (wall)',$);\n#2=IFCDOOR('g2',$,$,$);\n#3=IFCLABEL('x');")))
+    assert [tuple(r) for r in T.products(step, ["IfcWall", "IfcDoor"]).orderBy("entity_id").collect()] == [("s", 1, "IFCWALL", "g1", "it's; a (wall)"), ("s", 2, "IFCDOOR", "g2", None)]
+    xml = "<T><ExternalFileReference><ExternalFileReferenceType>Link</ExternalFileReferenceType><LastSavedPath>C:\\a\\b.rvt</LastSavedPath><LastSavedLoadedStatus>NotFound</LastSavedLoadedStatus></ExternalFileReference></T>"
+    r = T.transmission(texts(spark, ("t", xml))).first()
+    assert (r["name"], r["kind"], r["loaded"], r["missing"]) == ("b.rvt", "Link", False, True)
+    sidecar = '{"version":1,"fingerprint":"f","kind":"comments","items":[{"id":"1","updatedAt":"2026-01-01","text":"a"}]}'
+    good, bad = T.sidecar_items(texts(spark, ("a", sidecar), ("b", sidecar.replace('"f"', '"g"')), ("c", "none")), "f")
+    assert [(r["path"], r["id"]) for r in good.collect()] == [("a", "1")] and sorted((r["path"], r["error"]) for r in bad.collect()) == [("b", "another model"), ("c", "no sidecar")]
 
 
 def test_shared_parameters(spark):
@@ -61,6 +86,18 @@ def test_binary_records_and_chunks(spark):
     whole = gzip.compress(b"abc" * 5000) + b"junk" + gzip.compress(b"xyz")
     got = B.inflate(spark.createDataFrame([("s", bytearray(whole))], "path string, content binary")).orderBy("chunk").collect()
     assert [(bytes(r["content"]), r["complete"]) for r in got] == [(b"abc" * 5000, True), (b"xyz", True)]
+    big = bytes(range(256)) * 80_000
+    stream = gzip.compress(big) + gzip.compress(b"after")
+    got = B.inflate(spark.createDataFrame([("s", bytearray(stream)), ("cut", bytearray(stream[: len(stream) // 2])), ("none", None)], "path string, content binary")).orderBy("path", "chunk", "piece").collect()
+    whole = [r for r in got if r["path"] == "s"]
+    assert b"".join(bytes(r["content"]) for r in whole if r["chunk"] == 0) == big and max(len(r["content"]) for r in whole) <= B.PIECE
+    assert bytes(whole[-1]["content"]) == b"after" and whole[-1]["complete"] and whole[-2]["complete"]
+    cut = [r for r in got if r["path"] == "cut"]
+    assert big.startswith(b"".join(bytes(r["content"]) for r in cut)) and not cut[-1]["complete"]
+    deflate = zlib.compressobj(wbits=-15, zdict=(b"abc" * 5000)[-32768:])
+    linked = gzip.compress(b"abc" * 5000) + b"\x1f\x8b\x08\0\0\0\0\0\0\x03" + deflate.compress(b"abc" * 100 + b"!") + deflate.flush() + b"\0" * 8
+    got = B.inflate(spark.createDataFrame([("d", bytearray(linked))], "path string, content binary")).orderBy("chunk").collect()
+    assert bytes(got[1]["content"]) == b"abc" * 100 + b"!"
     assert B.strip_page_checksums(b"a" * 64_896 + b"b" * 353 + b"c") == b"a" * 64_896 + b"c"
 
 
