@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .spread import HOT, bit_table, heavy_keys, salted_join, sifted
+from .spread import HOT, bit_table, heavy_keys, salted_join, sifted, without
 from .storage import forget, materialize, small_batches
 
 WIDTH, THRESHOLD = 5, 0.8

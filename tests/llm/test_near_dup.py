@@ -106,6 +106,9 @@ def test_edge_cases(spark):
     assert kept.columns == ["doc_id", "text", "class_id"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 8]
     assert classes(spark, []) == []
+    few = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x"), (None, None)], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in N.keep_representatives(few).collect()) == ["1", "3", "None"]
+    assert N.keep_representatives(few.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("weighted", [False, True])
