@@ -1,21 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexicon transducer maps words to symbols (insult, threat, target, negation,
-report) with weights. Three small transducers follow the symbols of a clause:
-polarity (a negation just before damps what it negates), speech (reported
-speech damps the rest of the clause) and aim (a target in the clause raises
-it; a threat counts only with a target). Their composition scores a clause;
-a document's score is a logistic function of the sum over its clauses.
+report, turn) with weights; commas are symbols too. Three small transducers
+follow the symbols of a sentence: polarity (a negation damps what stands up to
+REACH words behind it in its clause), speech (reported speech damps what
+follows, up to a turn such as "but") and aim (a target raises insults; a threat
+counts only with a target). Their composition is one machine with final
+weights; a document's score is a logistic function of the sum over its
+sentences.
 
 Weights are learned from labelled rows: a bounded sample of SAMPLE_ROWS rows,
-thinned to one of each group of near copies, gives each word's log-odds; words
-whose toxic share can't be chance become insults too. The logistic function is
-fitted on the same sample.
+thinned to one of each group of near copies, gives each word's log-odds. Words
+whose toxic share can't be chance become insults; those for which only the
+share in sentences with a target can't be become threats; words that make
+sentences with an insult or threat toxic beyond chance become targets. The
+logistic function is fitted on the same thinned sample.
 
 Cases: null and empty texts get the score of a text without a hit; of several
 labels of a document the largest holds; null labels teach nothing; without
-labels of both values fixed constants are used; other columns are ignored; an
-empty table gives an empty result.
+labels of both values fixed constants are used; rows that share a doc_id count
+each, within the sample's bound; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,47 +37,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .storage import materialize, small_batches
+from .storage import forget, materialize, small_batches
 
 SAMPLE_ROWS = 20_000
 #: Chance at which a word's share of toxic rows makes it an insult.
 CHANCE = 1e-6
-INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = range(1, 7)
+INSULT, THREAT, TARGET, NEGATION, REPORT, TURN, COMMA, GAP = range(1, 9)
 # Seed words of the classes in four languages.
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns bastard imbecile imbécile crétin crétins débile connard connasse salaud ordure minable dumm dummkopf trottel arschloch abschaum versager widerlich erbärmlich idiota idiotas imbécil estúpido estúpida basura escoria inútil patético asqueroso",
     THREAT: "kill hurt destroy beat punish tuer détruire frapper töten vernichten schlagen matar destruir golpear",
     TARGET: "you your yourself he she they them him her tu toi vous ils elles du dich ihr euch tú usted ustedes vosotros",
     NEGATION: "not no never neither nor without pas jamais ni sans nicht nie kein keine ohne nunca jamás sin tampoco",
+    TURN: "but because although though while whereas mais parce quoique tandis aber weil obwohl sondern pero porque aunque mientras",
     REPORT: "said says say told claims claimed wrote called quoted dit disait écrit sagte sagt schrieb behauptet dijo dice escribió",
 }
 DEFAULT_WEIGHT = {INSULT: 3.0, THREAT: 2.0}
 #: Words after a negation that it reaches.
 REACH = 3
 
-_STOP = np.zeros(256, bool)
+_STOP, _COMMA = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[[10, 13, ord("."), ord("!"), ord("?"), ord(";"), ord(":")]] = True
+_COMMA[ord(",")] = True
 
 #: A transducer: (state, symbol) -> (next state, factor of the symbol's weight). What isn't listed keeps the state with factor 1.
-POLARITY = {(0, NEGATION): (1, 1.0), (1, NEGATION): (1, 1.0), (1, GAP): (0, 1.0), (1, INSULT): (0, 0.3), (1, THREAT): (0, 0.1)}
-SPEECH = {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.6), (1, THREAT): (1, 0.5)}
-#: A clause's sums of insults and threats count by the state in which it ends.
+POLARITY = {(0, NEGATION): (1, 1.0), (1, NEGATION): (1, 1.0), (1, GAP): (0, 1.0), (1, COMMA): (0, 1.0), (1, TURN): (0, 1.0), (1, INSULT): (1, 0.3), (1, THREAT): (1, 0.1)}
+SPEECH = {(0, REPORT): (1, 1.0), (1, TURN): (0, 1.0), (1, INSULT): (1, 0.6), (1, THREAT): (1, 0.5)}
 AIM = {(0, TARGET): (1, 1.0)}
-AIM_FINAL = {0: (1.0, 0.0), 1: (1.4, 1.0)}
+#: What a sentence's sums of insults and of threats count for by the state in which it ends.
+FINAL = ({0: (1.0, 1.0), 1: (1.0, 1.0)}, {0: (1.0, 1.0), 1: (1.0, 1.0)}, {0: (1.0, 0.0), 1: (1.4, 1.0)})
 
 
-def compose(first: dict, second: dict, states: int = 2) -> dict:
-    """The product of two transducers: states are pairs as numbers, factors are multiplied."""
+def compose(*machines: dict, states: int = 2) -> dict:
+    """The product of transducers: a state is the tuple of their states as a number, factors are multiplied."""
     out = {}
-    for a in range(states):
-        for b in range(states):
-            for symbol in range(INSULT, GAP + 1):
-                (na, fa), (nb, fb) = first.get((a, symbol), (a, 1.0)), second.get((b, symbol), (b, 1.0))
-                out[a * states + b, symbol] = (na * states + nb, fa * fb)
+    for whole in range(states ** len(machines)):
+        parts = [whole // states**k % states for k in reversed(range(len(machines)))]
+        for symbol in range(INSULT, GAP + 1):
+            after, factor = 0, 1.0
+            for part, machine in zip(parts, machines, strict=True):
+                to, f = machine.get((part, symbol), (part, 1.0))
+                after, factor = after * states + to, factor * f
+            out[whole, symbol] = (after, factor)
     return out
 
 
-MODIFIERS = compose(POLARITY, SPEECH)
+def final_weights(*finals: dict, states: int = 2) -> list[tuple[float, float]]:
+    """Final weights of the product's states."""
+    out = []
+    for whole in range(states ** len(finals)):
+        direct, threats = 1.0, 1.0
+        for k, final in zip(reversed(range(len(finals))), finals, strict=True):
+            a, b = final[whole // states**k % states]
+            direct, threats = direct * a, threats * b
+        out.append((direct, threats))
+    return out
+
+
+MACHINE, ENDS = compose(POLARITY, SPEECH, AIM), final_weights(*FINAL)
 
 
 @dataclass
@@ -96,42 +118,55 @@ def seeds() -> Model:
     return Model(np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found]), np.array([x[2] for x in found]))
 
 
+def sentences_of(words: T.Words) -> np.ndarray:
+    """The number of each word's sentence, over the block."""
+    stops = np.concatenate([[0], np.cumsum(_STOP[words.data])])[words.start]
+    return np.cumsum(np.concatenate([[1], (np.diff(stops) != 0) | (np.diff(words.row) != 0)]).astype(np.int64)) - 1 if len(words.row) else np.zeros(0, np.int64)
+
+
+def _hits(words: T.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words that the lexicon knows, and their places in it."""
+    at = np.minimum(np.searchsorted(model.word, words.hash), len(model.word) - 1)
+    hit = np.flatnonzero(model.word[at] == words.hash)
+    return hit, at[hit]
+
+
 def clause_sums(texts: pa.Array, model: Model) -> np.ndarray:
-    """The grammar's sum over the clauses of each text (no nulls)."""
+    """The grammar's sum over the sentences of each text (no nulls)."""
     words = T.words_of(pc.utf8_lower(texts), T.BY_SYMBOL)
     out = np.zeros(len(texts))
-    at = np.minimum(np.searchsorted(model.word, words.hash), len(model.word) - 1)
-    hit = np.flatnonzero(model.word[at] == words.hash)
+    hit, at = _hits(words, model)
     if not len(hit):
         return out
-    symbol, weight, row = model.symbol[at[hit]], model.weight[at[hit]], words.row[hit]
-    stops = np.concatenate([[0], np.cumsum(_STOP[words.data])])[words.start[hit]]
-    clause = np.cumsum(np.concatenate([[1], (np.diff(stops) != 0) | (np.diff(row) != 0)]).astype(np.int64)) - 1
-    heavy = np.bincount(clause, (symbol == INSULT) | (symbol == THREAT)) > 0
-    keep = heavy[clause]
-    last, state, aim, place, sums = -1, 0, 0, 0, [0.0, 0.0]
-
-    def close(r: int) -> None:
-        direct, threats = AIM_FINAL[aim]
+    symbol, weight, row, sentence = model.symbol[at], model.weight[at], words.row[hit], sentences_of(words)[hit]
+    commas = np.concatenate([[0], np.cumsum(_COMMA[words.data])])[words.start[hit]]
+    _, sentence = np.unique(sentence, return_inverse=True)
+    keep = (np.bincount(sentence, (symbol == INSULT) | (symbol == THREAT)) > 0)[sentence]
+    last, state, negated, comma, sums, r = -1, 0, 0, 0, [0.0, 0.0], 0
+
+    def close() -> None:
+        direct, threats = ENDS[state]
         out[r] += sums[0] * direct + sums[1] * threats
 
-    r = 0
-    for c, s, w, here, now in zip(clause[keep].tolist(), symbol[keep].tolist(), weight[keep].tolist(), hit[keep].tolist(), row[keep].tolist(), strict=True):
+    for c, s, w, here, mark, now in zip(sentence[keep].tolist(), symbol[keep].tolist(), weight[keep].tolist(), hit[keep].tolist(), commas[keep].tolist(), row[keep].tolist(), strict=True):
         if c != last:
             if last >= 0:
-                close(r)
-            last, state, aim, sums = c, 0, 0, [0.0, 0.0]
-        elif here - place > REACH:
-            state, _ = MODIFIERS[state, GAP]
-        state, factor = MODIFIERS[state, s]
-        aim, _ = AIM.get((aim, s), (aim, 1.0))
-        if s == INSULT:
+                close()
+            last, state, negated, comma, sums = c, 0, here, mark, [0.0, 0.0]
+        if mark != comma:
+            state, comma = MACHINE[state, COMMA][0], mark
+        if here - negated > REACH:
+            state = MACHINE[state, GAP][0]
+        state, factor = MACHINE[state, s]
+        if s == NEGATION:
+            negated = here
+        elif s == INSULT:
             sums[0] += w * factor
         elif s == THREAT:
             sums[1] += w * factor
-        r, place = now, here
+        r = now
     if last >= 0:
-        close(r)
+        close()
     return out
 
 
@@ -148,30 +183,49 @@ def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(texts)), *found], ["key", "m0", "m1", "m2", "m3"])
 
 
-def _word_counts(kept: np.ndarray):
+def _word_counts(model: Model):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each word the toxic and the clean rows, and of these the rows with the word in a sentence with a target, and with an insult or threat."""
         for batch in batches:
-            batch = batch.filter(pa.array(np.isin(batch.column("key").to_numpy(), kept)))
             for at, texts in T.blocks(T.plain(batch.column("text"))):
                 words = T.words_of(pc.utf8_lower(texts), T.BY_SYMBOL)
+                if not len(words.hash):
+                    continue
                 toxic = batch.column("toxic").slice(at, len(texts)).to_numpy()
-                _, first = np.unique(T.mix(words.hash ^ T.mix(words.row.astype(np.uint64))), return_index=True)
-                word, of = np.unique(words.hash[first], return_inverse=True)
-                bad = np.bincount(of, toxic[words.row[first]], minlength=len(word)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bad), pa.array(np.bincount(of, minlength=len(word)) - bad)], ["word", "toxic", "clean"])
+                hit, place = _hits(words, model)
+                sentence = sentences_of(words)
+                symbol = model.symbol[place]
+                inside = [np.isin(sentence, sentence[hit[x]]) for x in (symbol == TARGET, (symbol == INSULT) | (symbol == THREAT))]
+                key = T.mix(words.hash ^ T.mix(words.row.astype(np.uint64)))
+                _, first, of = np.unique(key, return_index=True, return_inverse=True)
+                counted = [np.ones(len(first), bool), *(np.bincount(of, x) > 0 for x in inside)]
+                word, group = np.unique(words.hash[first], return_inverse=True)
+                bad = toxic[words.row[first]] == 1
+                columns = [np.bincount(group, x & y, minlength=len(word)).astype(np.int64) for x in counted for y in (bad, ~bad)]
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *map(pa.array, columns)], ["word", *COUNTS])
 
     return over
 
 
+#: Columns of word counts.
+COUNTS = ("toxic", "clean", "toxic_aimed", "clean_aimed", "toxic_heavy", "clean_heavy")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(key, text, toxic) of about ``most`` labelled rows, chosen by a hash of doc_id."""
+    """(key, text, toxic) of about ``most`` labelled rows, chosen by a hash of doc_id, then of the row where ids repeat; equal rows once, one of each group of near copies."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = known.count()
-    share = min(1 << 20, (most << 20) // max(1, rows))
-    few = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < share)
-    few = few.select(F.col("doc_id").alias("of_doc"), "toxic")
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("of_doc"))  # at most about ``most`` rows
-    return materialize(sample.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    of = lambda hash_, n: F.pmod(hash_, F.lit(1 << 20)) < min(1 << 20, (most << 20) // max(1, n))
+    few = known.filter(of(F.xxhash64("doc_id", F.lit(23)), known.count())).select(F.col("doc_id").alias("of_doc"), "toxic")
+    few = F.broadcast(few)  # about ``most`` rows
+    rows = docs.select("doc_id").join(few, F.col("doc_id") == F.col("of_doc")).count()
+    key = F.xxhash64("doc_id", "text")
+    sample = docs.select("doc_id", "text").filter(of(F.xxhash64("doc_id", "text", F.lit(29)), rows)).join(few, F.col("doc_id") == F.col("of_doc"))
+    sample = materialize(sample.select(key.alias("key"), "text", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["key"]), "labelled")
+    minima = sample.select("key", "text").mapInArrow(_minima, "key long, m0 long, m1 long, m2 long, m3 long").toPandas().sort_values("key")  # numbers of the sample's rows
+    for c in ("m0", "m1", "m2", "m3"):
+        minima = minima.drop_duplicates(c)
+    kept = docs.sparkSession.createDataFrame([(int(k),) for k in minima["key"]], "key long")
+    return materialize(sample.join(F.broadcast(kept), "key"), "thinned")  # about ``most`` rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, chance: float = CHANCE) -> Model:
@@ -179,33 +233,62 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, chan
     small_batches(docs.sparkSession)
     model = seeds()
     sample = labelled_sample(docs, labels, sample_rows)
-    minima = sample.select("key", "text").mapInArrow(_minima, "key long, m0 long, m1 long, m2 long, m3 long").toPandas().sort_values("key")
-    for c in ("m0", "m1", "m2", "m3"):
-        minima = minima.drop_duplicates(c)
-    kept = np.sort(minima["key"].to_numpy(np.int64))
     totals = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return model
-    counts = sample.mapInArrow(_word_counts(kept), "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic >= 3")
-    model = _weighted(model, counts.toPandas(), totals, chance)
+
+    def counted(least: str) -> pd.DataFrame:
+        rows = sample.mapInArrow(_word_counts(model), "word long, " + ", ".join(f"{c} long" for c in COUNTS))
+        return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]).filter(f"{least} >= 3").toPandas()
+
+    model = _weighted(model, counted("toxic"), totals, chance)
+    model = _targeted(model, counted("toxic_heavy"), chance)
     scored = sample.mapInArrow(_scored_sample(model), "toxic int, x double").toPandas()
     model.intercept, model.slope = _logistic(scored["x"].to_numpy(), scored["toxic"].to_numpy())
+    forget(sample)
     return model
 
 
-def _weighted(model: Model, counts: pd.DataFrame, totals: dict[int, int], chance: float) -> Model:
-    """Seeds with learned weights, and the words whose toxic share can't be chance."""
-    n, base = counts["toxic"] + counts["clean"], totals[1] / (totals[0] + totals[1])
-    share = (counts["toxic"] / n).to_numpy()
-    # Chernoff's bound of the chance that so many of a word's rows are toxic
-    p = np.clip(share, 1e-9, 1 - 1e-9)
+def _beyond_chance(toxic: np.ndarray, clean: np.ndarray, base: float, chance: float) -> np.ndarray:
+    """Whether so many of a word's rows can't be toxic by chance, by Chernoff's bound."""
+    n = toxic + clean
+    share = np.divide(toxic, n, out=np.zeros(len(n)), where=n > 0)
+    p, base = np.clip(share, 1e-9, 1 - 1e-9), min(max(base, 1e-9), 1 - 1e-9)
     bound = np.where(share > base, -n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base))), 0)
-    odds = np.log((counts["toxic"] + 0.5) / (totals[1] + 1)) - np.log((counts["clean"] + 0.5) / (totals[0] + 1))
-    insult = (bound < math.log(chance)) & (odds > 2)
-    learned = dict(zip(counts["word"].to_numpy(np.int64).view(np.uint64)[insult].tolist(), odds[insult].tolist(), strict=True))
+    return bound < math.log(chance)
+
+
+def _weighted(model: Model, counts: pd.DataFrame, totals: dict[int, int], chance: float) -> Model:
+    """Seeds with learned weights, and the words whose toxic share, alone or with a target, can't be chance."""
+    base = totals[1] / (totals[0] + totals[1])
+    n = {c: counts[c].to_numpy(float) for c in COUNTS}
+    odds = {x: np.log((n[f"toxic{x}"] + 0.5) / (totals[1] + 1)) - np.log((n[f"clean{x}"] + 0.5) / (totals[0] + 1)) for x in ("", "_aimed")}
+    insult = _beyond_chance(n["toxic"], n["clean"], base, chance) & (odds[""] > 2)
+    apart = n["toxic"] - n["toxic_aimed"], n["clean"] - n["clean_aimed"]  # rows without a target beside the word
+    unaimed = ~_beyond_chance(*apart, base, chance) & (apart[1] >= 5)
+    threat = _beyond_chance(n["toxic_aimed"], n["clean_aimed"], base, chance) & (odds["_aimed"] > 2) & unaimed
+    words = counts["word"].to_numpy(np.int64).view(np.uint64)
     whole = {int(h): (int(s), float(w)) for h, s, w in zip(model.word, model.symbol, model.weight, strict=True)}
-    for h, w in learned.items():
-        whole[h] = (whole[h][0] if h in whole and whole[h][0] == THREAT else INSULT, w)
+    for h, i, t, w, v in zip(words.tolist(), insult, threat, odds[""], odds["_aimed"], strict=True):
+        if t:
+            whole[h] = (THREAT, float(v))
+        elif i:
+            whole[h] = (whole[h][0] if h in whole and whole[h][0] == THREAT else INSULT, float(w))
+    return _model(whole)
+
+
+def _targeted(model: Model, counts: pd.DataFrame, chance: float) -> Model:
+    """Words that the lexicon doesn't know and that make sentences with an insult or threat toxic beyond chance are targets."""
+    toxic, clean = counts["toxic_heavy"].to_numpy(float), counts["clean_heavy"].to_numpy(float)
+    base = toxic.sum() / max(1.0, toxic.sum() + clean.sum())
+    target = _beyond_chance(toxic, clean, base, chance)
+    whole = {int(h): (int(s), float(w)) for h, s, w in zip(model.word, model.symbol, model.weight, strict=True)}
+    for h in counts["word"].to_numpy(np.int64).view(np.uint64)[target].tolist():
+        whole.setdefault(h, (TARGET, 0.0))
+    return _model(whole)
+
+
+def _model(whole: dict[int, tuple[int, float]]) -> Model:
     keys = sorted(whole)
     return Model(np.array(keys, np.uint64), np.array([whole[k][0] for k in keys]), np.array([whole[k][1] for k in keys]))
 
