@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts are cut into words at white space and symbols; numbers ('1 200' and
-'1,200' are one), runs of names (capitalised words within a sentence) and units
-(unit words after a number) become one typed placeholder each, other words stay
-in lower case. Windows of WINDOW template words of documents and benchmark
+'1,200' are one, and so are runs of number words), runs of names (capitalised
+words within a sentence) and units (unit words after a number) become one typed
+placeholder each, other words stay in lower case. Windows of WINDOW template words of documents and benchmark
 items are hash-joined. Hits of a document and an item are counted on one
 alignment and on bands of neighbouring alignments (words added or removed shift
 what follows; a band holds any shift up to 1/SHIFT of the item's windows, 2 at
@@ -11,7 +11,14 @@ least); of several hits of one window of the item the one with the fewest
 changes counts. The item is leaked if its windows are covered to a share of
 COVERAGE, and the slots that the placeholders stand for are consistent: each
 value of the item always became one value in the document. Then the copy is
-``exact`` if no slot changed, else ``template`` (a question with new parameters).
+``template`` (a question with new parameters) if a slot changed, else ``exact``
+if it is whole (coverage 1), else ``partial``.
+
+A window that many items and documents share makes no product of both: a leak
+covers COVERAGE of an item's windows, so it hits at least one of the item's
+rarest ones (by the items that have them; all but COVERAGE of them, and one
+more). Those alone make candidates of a document and an item; the other windows
+are joined on document and window for candidates only.
 
 Documents' windows first pass a bit table of the benchmark's window hashes,
 whose size is fixed (BITS) whatever the benchmark's, so only windows with a
@@ -32,11 +39,12 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import texts as T
@@ -52,6 +60,8 @@ BITS = 25
 SHIFT = 4
 # Unit words that are typed placeholders after a number.
 UNITS = "% mm cm m km in inch inches ft feet foot yd yards mi mile miles mg g kg lb lbs oz ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw v kv a ma c f k pa kpa bar j kj cal kcal b kb mb gb tb usd eur gbp dollar dollars euro euros cent cents pound pounds percent degree degrees mph kmh kph rpm"
+# Number words.
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA11CE5, 0xB0B51E, 0xC0FFEE))
 
 _DIGIT = np.zeros(256, bool)
@@ -62,8 +72,15 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 13, ord("."), ord("!"), ord("?"), ord(":"), ord(";"), ord('"')]] = True
 
 
-def _unit_hashes() -> np.ndarray:
-    return np.unique(T.words_of(pa.array([UNITS]), T.BY_SYMBOL).hash)
+@lru_cache(maxsize=2)
+def _hashes(words: str) -> np.ndarray:
+    return np.unique(T.words_of(pa.array([words]), T.BY_SYMBOL).hash)
+
+
+def _capitals(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether words begin with a capital of the Latin, Latin-1, Greek or Cyrillic alphabet, by their first two bytes of UTF-8."""
+    a, b = data[start].astype(int), data[np.minimum(start + 1, max(0, len(data) - 1))].astype(int)
+    return _CAPITAL[a] | ((a == 0xC3) & (b >= 0x80) & (b <= 0x9E) & (b != 0x97)) | ((a == 0xCE) & (b >= 0x91) & (b <= 0xA9)) | ((a == 0xD0) & (b >= 0x80) & (b <= 0xAF))
 
 
 class Form:
@@ -106,7 +123,8 @@ class Template:
         first = np.empty(n, bool)
         first[:1], first[1:] = True, words.row[1:] != words.row[:-1]
         data, start, end = own.data, own.start, own.end
-        number = _DIGIT[data[start]] & _DIGIT[data[end - 1]] if n else np.zeros(0, bool)
+        spelt_number = np.isin(words.hash, _hashes(NUMBERS))
+        number = (_DIGIT[data[start]] & _DIGIT[data[end - 1]]) | spelt_number if n else np.zeros(0, bool)
         glued = np.zeros(n, bool)  # 3.14, 1,000 and 1 000 are one number
         grouped = np.zeros(n, bool)
         if n > 1:
@@ -117,14 +135,15 @@ class Template:
             grouped[1:] = beside & whole[1:] & whole[:-1] & (end[1:] - start[1:] == 3) & (end[:-1] - start[:-1] <= 3) & np.isin(between, [32, 44])
             glued[1:] = beside & np.isin(between, [46, 44])
             glued |= grouped
+            glued[1:] |= beside & spelt_number[1:] & spelt_number[:-1] & np.isin(between, [32, 45])  # twenty five, two-hundred
         stops = np.concatenate([[0], np.cumsum(_STOP[data])])
         opens = first.copy()
         if n > 1:
             opens[1:] |= stops[start[1:]] > stops[end[:-1]]
-        capital = _CAPITAL[data[start]] & ~number if n else np.zeros(0, bool)
+        capital = _capitals(data, start) & ~number if n else np.zeros(0, bool)
         unit = np.zeros(n, bool)
         if n > 1:
-            unit[1:] = np.isin(words.hash[1:], _unit_hashes()) & number[:-1] & ~first[1:]
+            unit[1:] = np.isin(words.hash[1:], _hashes(UNITS)) & number[:-1] & ~first[1:]
         value = words.hash.copy()
         lead = np.flatnonzero(~glued)
         if glued.any():
@@ -221,7 +240,18 @@ def _leaks(docs: DataFrame, items: DataFrame, window: int, coverage: float) -> D
     ours = materialize(keyed.mapInArrow(_windows(window, passing), WINDOWS).distinct(), "windows")
     d = ours.select(F.col("id").alias("doc_id"), "text_key", "hash", F.col("place").alias("here"), F.col("step").alias("here_step"), F.col("slots").alias("new"), F.col("opened").alias("by_doc"))
     b = theirs.select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "hash", F.col("place").alias("there"), F.col("step").alias("there_step"), "windows", F.col("slots").alias("old"), "spots", F.col("opened").alias("by_item"))
-    hits = d.join(b, "hash").withColumn("at", F.col("here") - F.col("there")).withColumn("at_step", F.col("here_step") - F.col("there_step"))
+    # an item's windows by how many items have them; a leak hits one of the rarest
+    common = theirs.groupBy("hash").agg(F.count("*").alias("c"))
+    ranked = theirs.join(common, "hash")
+    rank = F.row_number().over(Window.partitionBy("id", "text_key").orderBy("c", "hash", "place"))  # one item's windows
+    rare = ranked.select("id", "text_key", "hash", "windows", "opened", rank.alias("rank"), F.count("*").over(Window.partitionBy("id", "text_key")).alias("readings"))
+    rare = rare.filter(F.col("rank") <= F.col("readings") - F.ceil(F.col("windows") * coverage) + 1).select("id", "text_key", "hash").distinct()
+    pairs = ours.select("id", "text_key", "hash").distinct().join(rare.select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "hash"), "hash")
+    pairs = materialize(pairs.select(F.col("id").alias("doc_id"), "text_key", "item_id", "item_key").distinct(), "candidates")
+    of = pairs.select("doc_id", "text_key", F.col("item_id").alias("i_"), F.col("item_key").alias("k_"))
+    whole = of.join(b, F.col("i_").eqNullSafe(F.col("item_id")) & (F.col("k_") == F.col("item_key"))).drop("i_", "k_")
+    same = d["doc_id"].eqNullSafe(whole["doc_id"]) & (d["text_key"] == whole["text_key"]) & (d["hash"] == whole["hash"])
+    hits = d.join(whole, same).drop(whole["doc_id"]).drop(whole["text_key"]).drop(whole["hash"]).withColumn("at", F.col("here") - F.col("there")).withColumn("at_step", F.col("here_step") - F.col("there_step"))
     # slot pairs by place in the item, so overlapping windows count once
     pairs = F.filter(F.transform("old", lambda x, i: F.struct(F.element_at("spots", i + 1).alias("place"), x.alias("old"), F.element_at("new", i + 1).alias("new"))), lambda p: p["old"] != 0)
     changed = F.size(F.filter("pairs", lambda p: p["old"] != p["new"]))
@@ -257,7 +287,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage
     copies of an item in one document the best is reported.
     """
     best = _leaks(docs, items, window, coverage).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
-    return best.select("doc_id", "item_id", F.when(F.col("best.same") == 0, "exact").otherwise("template").alias("kind"), F.col("best.coverage").alias("coverage"), (-F.col("best.early")).cast("long").alias("at"), (-F.col("best.same")).cast("long").alias("changed"))
+    return best.select("doc_id", "item_id", F.when(F.col("best.same") != 0, "template").when(F.col("best.coverage") >= 1 - 1e-9, "exact").otherwise("partial").alias("kind"), F.col("best.coverage").alias("coverage"), (-F.col("best.early")).cast("long").alias("at"), (-F.col("best.same")).cast("long").alias("changed"))
 
 
 def remove_leaking(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:

@@ -49,6 +49,24 @@ def test_numbers_with_separators_are_one_slot(spark):
     assert got[1, 1]["changed"] == 1 and got[1, 1]["coverage"] == 1.0
 
 
+def test_number_words_and_wide_letters(spark):
+    items = [(1, "the cook puts 3 kg of flour and then adds water to the bowl before the oven is hot"), (None, "on the hill near the old town Östen Ångström sells red apples and green pears to all who come by")]
+    docs = [(1, items[0][1].replace("3", "three"), 0), (2, items[0][1].replace("3", "twenty five"), 0), (3, items[1][1].replace("Östen Ångström", "Émile"), 0), (4, items[1][1], 0), (5, " ".join(items[0][1].split()[:12]), 0)]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 1), (3, None), (4, None), (5, 1)}
+    assert [got[k]["kind"] for k in ((1, 1), (2, 1), (3, None), (4, None), (5, 1))] == ["template", "template", "template", "exact", "partial"]
+    assert all(got[k]["coverage"] == 1.0 for k in got if k != (5, 1)) and got[1, 1]["changed"] == 1
+
+
+def test_windows_that_many_items_and_documents_share(spark):
+    """Forty items open with the same words, as do all documents; only the items' own words make candidates."""
+    lead = "please read the text below and then choose the answer that fits it best of all"
+    tail = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(16))
+    items = [(k, f"{lead} {tail(k)}") for k in range(40)]
+    docs = [(k, f"{lead} {tail(k)}" if k < 50 else f"{lead} word{k}", 0) for k in range(300)]
+    assert set(leaks(spark, docs, items)) == {(k, k) for k in range(40)}
+
+
 def test_added_and_removed_words(spark):
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(38)]
     added = [*words[:12], "really", *words[12:25], "quite", *words[25:]]
