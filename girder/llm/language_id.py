@@ -6,11 +6,15 @@ language is the sum over its bytes of -log2 p(byte | longest known context);
 an unseen byte escapes to the next shorter context with probability
 distinct / (total + distinct) and at last to a uniform 1/256. Statistics are
 frozen before scoring, so the cost of a byte is a fixed function of its
-context and itself: the trees are compiled into one table, and a text is
-scored by table look-ups alone.
+context and itself: the trees are compiled into tables, and a text is scored by
+look-ups alone. Only bytes that some language has seen behind a context have a
+row of costs there; other bytes point to the next shorter context's row, with
+the escapes on the way. So the tables grow with what was seen, not with all
+bytes of all contexts for all languages; contexts are kept, the most frequent
+first, as long as they fit in MODEL_BYTES.
 
-The trees are learned from a bounded sample: at most about SAMPLE_DOCS
-documents of each language, chosen by a hash of the text.
+The trees are learned from a bounded sample: about SAMPLE_DOCS distinct texts of
+each language, chosen by a hash of the text; copies of a text count once.
 
 Cases: a null text, and one without a letter, is ``und`` with score 0; equal
 code lengths go to the language that sorts first; rows without a language
@@ -33,9 +37,11 @@ from .storage import small_batches
 
 ORDER = 3
 SAMPLE_DOCS = 300
+#: Bytes of the compiled tables at most.
+MODEL_BYTES = 128 << 20
 UND = "und"
 #: Bytes that are scored at once; sums are carried over within a text.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,27 +63,38 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bounded_sample(docs: DataFrame, by: str, most: int) -> DataFrame:
-    """Rows with the smallest hashes of their text: about ``most`` of each value of ``by`` (few values), all if there are fewer."""
-    share = F.lit(0)
-    for value, rows in docs.groupBy(by).count().collect():
-        share = F.when(F.col(by) == F.lit(value), F.lit(min(1 << 20, (most << 20) // rows))).otherwise(share)
-    return docs.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < share)
+    """Distinct texts with the smallest hashes: about ``most`` of each value of ``by``, all if there are fewer."""
+    hash_ = F.xxhash64("text", F.lit(17))
+    rates = docs.groupBy(F.col(by).alias("of_")).agg(F.approx_count_distinct(hash_).alias("texts_"))
+    rates = rates.select("of_", F.least(F.lit(1 << 20), F.floor(F.lit(most << 20) / F.col("texts_"))).alias("share_"))
+    few = docs.join(rates, docs[by] == F.col("of_")).filter(F.pmod(hash_, F.lit(1 << 20)) < F.col("share_"))
+    return few.withColumn("hash_", hash_).dropDuplicates([by, "hash_"]).select(*docs.columns)
 
 
 class Model:
-    """The compiled trees: ``context`` finds a state for the three bytes before, ``cost`` has bits by state, byte and language."""
+    """The compiled trees.
 
-    def __init__(self, languages: list[str], contexts: list[tuple[int, int]], cost: np.ndarray):
-        self.languages, self.contexts, self.cost = languages, contexts, cost
+    ``contexts`` are the states (shorter ones first). ``row`` and ``depth`` tell
+    for each state and byte the row of ``cost`` and how many escapes lead to it;
+    ``escape`` sums the first escapes of each state by language; ``kind`` maps
+    bytes to the kinds that stand in contexts (0: none).
+    """
+
+    def __init__(self, languages: list[str], contexts: list[tuple[int, int]], row: np.ndarray, depth: np.ndarray, cost: np.ndarray, escape: np.ndarray):
+        self.languages, self.contexts, self.row, self.depth, self.cost, self.escape = languages, contexts, row, depth, cost, escape
+        seen = sorted({gram >> 8 * j & 255 for size, gram in contexts for j in range(size)})
+        self.kind = np.zeros(256, np.int32)
+        self.kind[seen] = np.arange(1, len(seen) + 1)
 
     def table(self) -> np.ndarray:
-        """The state of every three bytes: that of their longest suffix which any tree has as a context."""
+        """The state of every three kinds of bytes: that of their longest suffix which any tree has as a context."""
         by_size: list[dict[int, int]] = [{} for _ in range(ORDER + 1)]
+        n = int(self.kind.max()) + 1
         for state, (size, gram) in enumerate(self.contexts):
-            by_size[size][gram] = state
+            by_size[size][sum(int(self.kind[gram >> 8 * j & 255]) * n**j for j in range(size))] = state
         table = np.full(1, by_size[0][0], np.int32)
         for size in range(1, ORDER + 1):
-            table = np.tile(table, 256)
+            table = np.tile(table, n)
             grams = np.fromiter(by_size[size].keys(), np.int64, len(by_size[size]))
             table[grams] = np.fromiter(by_size[size].values(), np.int32, len(by_size[size]))
         return table
@@ -93,54 +110,83 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     return compile_trees(languages, {x: list(zip(g["size"], g["gram"], g["n"], strict=True)) for x, g in counts.groupby("lang")})
 
 
-def compile_trees(languages: list[str], grams: dict[str, list[tuple[int, int, int]]]) -> Model:
-    """One cost table of all languages over the contexts that any of them has."""
-    trees = []
+def compile_trees(languages: list[str], grams: dict[str, list[tuple[int, int, int]]], most_bytes: int = MODEL_BYTES) -> Model:
+    """Tables of all languages over the contexts that any of them has, as many as fit."""
+    trees: list[dict[tuple[int, int], list[tuple[int, int]]]] = []
+    weight: dict[tuple[int, int], int] = defaultdict(int)
     for x in languages:
-        tree: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        tree = defaultdict(list)
         for size, gram, n in grams[x]:
-            tree[int(size) - 1, int(gram) >> 8].append((int(gram) & 255, int(n)))
+            c = int(size) - 1, int(gram) >> 8
+            tree[c].append((int(gram) & 255, int(n)))
+            weight[c] += int(n)
         trees.append(tree)
-    contexts = sorted({c for tree in trees for c in tree} | {(0, 0)})
+    # a context takes a row number and a depth for each byte, and costs for the bytes seen
+    taken, kept = 0, {(0, 0)}
+    for c in sorted(weight, key=lambda c: (c[0], -weight[c], c[1])):
+        seen = len({b for tree in trees for b, _ in tree.get(c, ())})
+        taken += 256 * 5 + 4 * len(languages) * (seen + ORDER + 2)
+        if taken > most_bytes and c[0]:
+            break
+        kept.add(c)
+    contexts = sorted(kept)
     state = {c: i for i, c in enumerate(contexts)}
-    cost = np.empty((len(contexts), 256, len(languages)), np.float32)
+    n_lang = len(languages)
+    row, depth = np.zeros((len(contexts), 256), np.int32), np.zeros((len(contexts), 256), np.uint8)
+    escape = np.zeros((len(contexts), ORDER + 2, n_lang), np.float32)
+    cost: list[np.ndarray] = [np.full(n_lang, 8.0)]  # row 0: what no context has seen
     for c in contexts:  # shorter contexts come first
         size, gram = c
-        parent = np.full((256, len(languages)), 8.0, np.float32) if size == 0 else cost[state[size - 1, gram & ((1 << 8 * (size - 1)) - 1)]]
-        own = parent.copy()
+        i = state[c]
+        parent = None if size == 0 else state[size - 1, gram & ((1 << 8 * (size - 1)) - 1)]
+        own = np.zeros(n_lang)
+        seen: dict[int, np.ndarray] = {}
         for k, tree in enumerate(trees):
-            if seen := tree.get(c):
-                symbol, n = np.array(seen).T
-                whole = n.sum() + len(n)
-                own[:, k] = parent[:, k] - np.log2(len(n) / whole)
-                own[symbol, k] = -np.log2(n / whole)
-        cost[state[c]] = own
-    return Model(languages, contexts, cost)
-
-
-def code_lengths(texts: pa.Array, table: np.ndarray, cost: np.ndarray) -> np.ndarray:
+            if c in tree:
+                whole = sum(n for _, n in tree[c]) + len(tree[c])
+                own[k] = -np.log2(len(tree[c]) / whole)
+        # escapes from here: none, this context's, and those of the parents
+        for d in range(1, ORDER + 2):
+            escape[i, d] = own + (escape[parent, d - 1] if parent is not None else 0)
+        row[i], depth[i] = (0, 1) if parent is None else (row[parent], depth[parent] + 1)
+        for k, tree in enumerate(trees):
+            if c in tree:
+                whole = sum(n for _, n in tree[c]) + len(tree[c])
+                for b, n in tree[c]:
+                    if b not in seen:
+                        up = cost[0] if parent is None else cost[row[parent, b]] + escape[parent, depth[parent, b]]
+                        seen[b] = up + own
+                    seen[b][k] = -np.log2(n / whole)
+        for b, bits in seen.items():
+            row[i, b], depth[i, b] = len(cost), 0
+            cost.append(bits)
+    return Model(languages, contexts, row, depth, np.array(cost, np.float32), escape)
+
+
+def code_lengths(texts: pa.Array, model: Model, table: np.ndarray) -> np.ndarray:
     """Bits of each text (no nulls) under each language."""
     data, offsets = T.string_buffers(texts)
-    flat = cost.reshape(-1, cost.shape[2])
-    out = np.zeros((len(texts), cost.shape[2]))
+    n_lang, kinds = len(model.languages), int(model.kind.max()) + 1
+    out = np.zeros((len(texts), n_lang))
     row_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
     start = offsets[:-1][np.diff(offsets) > 0]
+    row, depth, escape = model.row.reshape(-1), model.depth.reshape(-1), model.escape.reshape(-1, n_lang)
     for low in range(0, len(data), CHUNK):
         high = min(low + CHUNK, len(data))
         head = max(0, low - ORDER)
-        part = data[head:high].astype(np.int32)
-        before = np.zeros(high - low, np.int32)
+        part = model.kind[data[head:high]]
+        before = np.zeros((ORDER, high - low), np.int32)
         for k in range(1, ORDER + 1):
-            shifted = np.zeros(high - low, np.int32)
             lead = max(0, k - (low - head))
-            shifted[lead:] = part[low - head + lead - k : high - head - k]
-            before |= shifted << (8 * (k - 1))
-        # the first bytes of a text have contexts of fewer bytes: zero bytes stand for what isn't there
+            before[k - 1, lead:] = part[low - head + lead - k : high - head - k]
+        # the first bytes of a text have contexts of fewer bytes: kind 0 stands for what isn't there
         for j in range(ORDER):
             at = start + j
             at = at[(at >= low) & (at < high)]
-            before[at - low] &= (1 << 8 * j) - 1
-        bits = flat[table[before] * 256 + data[low:high]]
+            before[j:, at - low] = 0
+        state = table[sum(before[k] * kinds**k for k in range(ORDER))]
+        at = state * 256 + data[low:high]
+        bits = model.cost[row[at]] + escape[state * (ORDER + 2) + depth[at]]
         edges = np.flatnonzero(np.diff(row_of[low:high], prepend=-1))
         rows = row_of[low:high][edges]
         out[rows] += np.add.reduceat(bits, edges, axis=0, dtype=np.float64)
@@ -154,7 +200,7 @@ def _score(model):
         for batch in batches:
             for at, texts in T.blocks(T.plain(batch.column("text"))):
                 cut = batch.slice(at, len(texts))
-                bits = code_lengths(texts, table, m.cost)
+                bits = code_lengths(texts, m, table)
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.clip(bits.min(axis=1, keepdims=True) - bits, -1000, 0)).sum(axis=1)
                 known = cut.column("letter").to_numpy(zero_copy_only=False)

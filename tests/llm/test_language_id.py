@@ -55,11 +55,26 @@ def test_code_lengths_match_brute_force(monkeypatch):
     cases = ["the chat", "", "é", "zzz the", "a" * 50, "été et the dog \x00"]
     for chunk in (1 << 19, 7):
         monkeypatch.setattr(L, "CHUNK", chunk)
-        got = L.code_lengths(pa.array(cases, pa.large_string()), model.table(), model.cost)
+        got = L.code_lengths(pa.array(cases, pa.large_string()), model, model.table())
         wanted = np.array([[brute_bits(TEXTS[x], t) for x in model.languages] for t in cases])
         assert np.allclose(got, wanted, rtol=1e-5)
 
 
+def test_tables_keep_their_bound():
+    whole = trained(TEXTS)
+    bound = len(whole.contexts) * 1000
+    model = L.compile_trees(sorted(TEXTS), {x: grams(t) for x, t in TEXTS.items()}, bound)
+    assert 0 < len(model.contexts) < len(whole.contexts)
+    assert model.row.nbytes + model.depth.nbytes + model.cost.nbytes + model.escape.nbytes <= bound + 2000
+    assert np.isfinite(L.code_lengths(pa.array(["the chat"], pa.large_string()), model, model.table())).all()
+
+
+def test_copies_count_once(spark):
+    rows = [("same text", "en")] * 5000 + [(f"text {k}", "en") for k in range(50)] + [("un texte", "fr")]
+    got = L.bounded_sample(spark.createDataFrame(rows, "text string, lang string"), "lang", 30).collect()
+    assert sum(r["text"] == "same text" for r in got) <= 1 and 10 <= sum(r["lang"] == "en" for r in got) <= 50 and sum(r["lang"] == "fr" for r in got) == 1
+
+
 def test_pipeline_and_edge_cases(spark):
     rows = [(k, TEXTS["en" if k % 2 else "fr"][k % 4 // 2] + f" {k}", "en" if k % 2 else "fr", "x") for k in range(60)] + [(100, None, "en", "x"), (101, "123 ...", "en", "x"), (102, "the dog " * 20_000, None, "x"), (None, "le chat et la table", "fr", "x"), (5, "the mat", "en", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
