@@ -6,9 +6,15 @@ pieces that fit under every limit (tokens, segments, loss-bearing tokens), the
 piece with the largest dot product of its demand and the sequence's remaining
 capacity, both as shares of the limits.
 
+Documents bear loss on all their tokens. Instruction data do not: of
+conversations only the assistant's turns do (``pack_conversations``), so the
+three limits bind apart from each other. A conversation is cut where either its
+tokens or its loss-bearing tokens reach their limit, so no piece is over one.
+
 Cases: a null text is an empty one and gives the separator alone; rows with
 the same doc_id are packed as separate documents with equal pieces; an empty
-table gives no piece; a null doc_id is kept; other columns are ignored.
+table gives no piece; a null doc_id (conv_id) is kept; messages of one turn
+stand in the order of their text's hash; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, small_batches
@@ -156,3 +162,57 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, to
     pieces = materialize(cut.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
     placed = pack_pieces(pieces.withColumn("loss", F.col("length")), tokens, segments, loss_tokens).drop("length")
     return pieces.join(placed, "piece_id").drop("piece_id")
+
+
+#: Turns of a conversation over which one window counts.
+TURNS = 1024
+
+
+def _count(path: str, ranks: str | None):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, ranks).ids
+        for batch in batches:
+            n = [len(encode(text or "")) + 1 for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("conv_id", "turn", "th", "bears")] + [pa.array(n, pa.int64())], ["conv_id", "turn", "th", "bears", "n"])
+
+    return over
+
+
+def pack_conversations(messages: DataFrame, tokenizer: str, ranks: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int = TOKENS // 2, bearing: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """A row for each part of a message: conv_id, turn, start (of the message's ids), length, loss, sequence_id, offset.
+
+    A message's ids end with the separator's; those of the roles ``bearing``
+    bear loss. A conversation's messages stand in the order of their turns; it is
+    one segment, or as many as it must be cut into. No sequence has more than
+    ``tokens`` ids, ``segments`` segments or ``loss_tokens`` ids that bear loss.
+    Places within a conversation come from sums over blocks of TURNS turns, so a
+    conversation of any length stays distributed.
+    """
+    small_batches(messages.sparkSession)
+    turn = F.coalesce(F.col("turn"), F.lit(0)).cast("long")
+    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), F.xxhash64("role", "text").alias("th"), F.coalesce(F.col("role").isin(*bearing), F.lit(False)).alias("bears"), "text")
+    counted = rows.mapInArrow(_count(tokenizer, ranks), "conv_id long, turn long, th long, bears boolean, n long")
+    counted = materialize(counted.withColumns({"message": F.monotonically_increasing_id(), "block": F.floor(F.col("turn") / TURNS), "loss": F.when(F.col("bears"), F.col("n")).otherwise(0)}), "messages")
+    order = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy("conv_id", "block").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    before = [F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_before") for c in ("n", "loss")]
+    blocks = blocks.select(F.col("conv_id").alias("c_"), F.col("block").alias("b_"), *before)
+    within = Window.partitionBy("conv_id", "block").orderBy("turn", "th", "message").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumns({f"{c}_in": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in ("n", "loss")})
+    placed = placed.join(blocks, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("block") == F.col("b_")))
+    placed = placed.withColumns({"s": F.col("n_before") + F.col("n_in"), "ls": F.col("loss_before") + F.col("loss_in")})
+    # a message is cut at multiples of the limits
+    multiples = lambda low, high, limit: F.filter(F.transform(F.sequence(F.floor(low / limit), F.floor(high / limit)), lambda k: k * limit), lambda x: (x > low) & (x < high))
+    end = F.col("s") + F.col("n")
+    by_loss = F.when(F.col("bears"), F.transform(multiples(F.col("ls"), F.col("ls") + F.col("n"), loss_tokens), lambda x: x - F.col("ls") + F.col("s"))).otherwise(F.array().cast("array<long>"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.col("s"), end), multiples(F.col("s"), end, tokens), by_loss)))
+    parts = placed.withColumn("cuts", cuts).select("conv_id", "turn", "message", "s", "ls", "bears", F.explode(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("a"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("b"))).alias("cut"))
+    a, length = F.col("cut.a"), F.col("cut.b") - F.col("cut.a")
+    loss_at = F.col("ls") + F.when(F.col("bears"), a - F.col("s")).otherwise(0)
+    parts = materialize(parts.select("conv_id", "turn", (a - F.col("s")).alias("start"), a.alias("at"), length.alias("length"), F.when(F.col("bears"), length).otherwise(0).cast("long").alias("loss"), F.floor(a / tokens).alias("g1"), F.floor(loss_at / loss_tokens).alias("g2")), "parts")
+    pieces = parts.groupBy("conv_id", "g1", "g2").agg(F.sum("length").alias("length"), F.sum("loss").alias("loss"), F.min("at").alias("first"))
+    pieces = materialize(pieces.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
+    packed = pack_pieces(pieces.select("piece_id", "length", "loss"), tokens, segments, loss_tokens).drop("length")
+    where = pieces.select(F.col("conv_id").alias("c_"), F.col("g1").alias("g1_"), F.col("g2").alias("g2_"), "piece_id", "first").join(packed, "piece_id")
+    joined = parts.join(where, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("g1") == F.col("g1_")) & (F.col("g2") == F.col("g2_")))
+    return joined.select("conv_id", "turn", "start", "length", "loss", "sequence_id", (F.col("offset") + F.col("at") - F.col("first")).alias("offset"))

@@ -11,8 +11,11 @@ PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 TEXTS = [None, "", "plain words here", "line one\n\n\n  line two\r\nthree ", "日本語 text é\n中文", "<|endoftext|> as text", "x" * 5000, "tabs\t\t \x0bodd\x1c\x85 spaces ", "many words " * 4000]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def exact(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False)
+    return TOKENIZER.encode(text or "", add_special_tokens=False)
 
 
 def test_both_encoders_agree():
@@ -36,12 +39,14 @@ def test_attribution_matches_brute_force(spark):
         rows = got[k]
         assert [(r["start"], r["end"]) for r in rows] == spans
         assert sum(r["n_tokens"] for r in rows) == len(e.ids)
-        if "<|" in t or not t.isascii():
-            continue
-        wanted = [0] * len(spans)
-        for a, b in e.offsets:
-            held = [max(0, min(b, y) - max(a, x)) for x, y in spans]
+        # byte spans of tokens, from the vocabulary's own spelling of bytes, and of lines
+        wanted, place, lines = [0] * len(spans), 0, [(len(t[:a].encode()), len(t[:b].encode())) for a, b in spans]
+        for token in e.tokens:
+            a, b = place, place + len(token)
+            place = b
+            held = [max(0, min(b, y) - max(a, x)) for x, y in lines]
             wanted[held.index(max(held))] += 1
+        assert place == len(t.encode())
         assert [r["n_tokens"] for r in rows] == wanted
     assert [r["n_tokens"] for r in got[None]] == [2, 1]
 
@@ -82,6 +87,36 @@ def test_packing_round_trip(spark):
     assert K.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH, RANKS).count() == 0
 
 
+def test_conversations_under_three_limits(spark):
+    r, words = np.random.default_rng(3), "the quick brown fox jumps over a lazy dog and then some".split()
+    rows = [(c if c else None, k, "assistant" if k % 2 else "user", " ".join(r.choice(words, r.integers(0, 90)))) for c in range(40) for k in range(r.integers(1, 9))]
+    rows += [(50, 0, "user", "long " * 900), (50, 1, "assistant", "answer " * 700), (52, 0, None, None), (52, 0, "assistant", "x"), (52, 0, "assistant", "x")]
+    rows += [(60, k, "assistant" if k % 3 == 0 else "user", "a hot one") for k in range(3000)]
+    limits = {"tokens": 400, "segments": 3, "loss_tokens": 150}
+    got = K.pack_conversations(spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, length int"), PATH, RANKS, **limits).collect()
+    count = {}
+    for c, k, role, text in rows:
+        n = len(exact(text).ids) + 1
+        count.setdefault((c, k), []).append((n, n if role == "assistant" else 0))
+    for key, wanted in count.items():
+        parts = [x for x in got if (x["conv_id"], x["turn"]) == key]
+        assert sum(x["length"] for x in parts) == sum(n for n, _ in wanted) and sum(x["loss"] for x in parts) == sum(m for _, m in wanted)
+    sequences = {}
+    for x in got:
+        sequences.setdefault(x["sequence_id"], []).append(x)
+    reached = set()
+    for s in sequences.values():
+        at, s = 0, sorted(s, key=lambda x: x["offset"])
+        for x in s:
+            assert x["offset"] == at
+            at += x["length"]
+        loss, convs = sum(x["loss"] for x in s), {x["conv_id"] for x in s}
+        assert at <= 400 and loss <= 150 and len(convs) <= 3
+        reached |= {n for n, full in (("tokens", at > 380), ("segments", len(convs) == 3), ("loss", loss > 140)) if full}
+    assert reached == {"tokens", "segments", "loss"}
+    assert K.pack_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), PATH, RANKS).count() == 0
+
+
 def test_vector_limits():
     r = np.random.default_rng(1)
     tokens = r.integers(1, 900, 400)
