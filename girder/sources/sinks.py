@@ -45,5 +45,5 @@ def obj_lines(triangles: DataFrame, element: str, ordinal: str) -> DataFrame:
 
 def svg_lines(segments: DataFrame, element: str) -> DataFrame:
     """Rows with ``line``: an SVG line for each segment (x0, y0, x1, y1), y upwards."""
-    number = lambda c: F.format_number(c, "0.###")
-    return segments.withColumn("line", F.concat(F.lit('<line data-id="'), F.col(element).cast("string"), F.lit('" x1="'), number(F.col("x0")), F.lit('" y1="'), number(-F.col("y0")), F.lit('" x2="'), number(F.col("x1")), F.lit('" y2="'), number(-F.col("y1")), F.lit('"/>')))
+    number = lambda c: F.call_function("format_number", c, F.lit("0.###"))
+    return segments.withColumn("line", F.concat(F.lit('<line data-id="'), F.col(element).cast("string"), F.lit('" x1="'), number(F.col("x0")), F.lit('" y1="'), number(F.lit(0.0) - F.col("y0")), F.lit('" x2="'), number(F.col("x1")), F.lit('" y2="'), number(F.lit(0.0) - F.col("y1")), F.lit('"/>')))
