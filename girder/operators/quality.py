@@ -70,6 +70,14 @@ def merge_conflicts(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFr
     return found.select(key, F.explode(F.filter("found_", lambda x: x.isNotNull())).alias("column"))
 
 
+def reconcile_levels(saved: DataFrame, fresh: DataFrame, key: str, disposition: str, unreviewed: str, keep: Sequence[str], level: str) -> DataFrame:
+    """Like ``reconcile`` for the levels of which there are fresh rows; saved rows of other levels stay as they are, state ``untouched``."""
+    levels = fresh.select(level).distinct()
+    inside = reconcile(saved.join(levels, level, "left_semi"), fresh, key, disposition, unreviewed, keep)
+    other = saved.join(levels, level, "left_anti").select(F.col(key).alias("id"), disposition, *keep, F.lit("untouched").alias("state"))
+    return inside.unionByName(other)
+
+
 def reconcile(saved: DataFrame, fresh: DataFrame, key: str, disposition: str, unreviewed: str, keep: Sequence[str]) -> DataFrame:
     """(id, disposition, kept columns of the fresh row, state): decisions are kept, measures refreshed; saved rows that are gone stay only if they were reviewed."""
     s = saved.select(F.col(key).alias("s_"), F.col(disposition).alias("d_"))
@@ -79,10 +87,13 @@ def reconcile(saved: DataFrame, fresh: DataFrame, key: str, disposition: str, un
     return joined.select(F.coalesce("f_", "s_").alias("id"), F.coalesce("d_", F.lit(unreviewed)).alias(disposition), *keep, state.alias("state"))
 
 
-def class_coverage(rows: DataFrame, class_: str, key: str, sets: Mapping[str, DataFrame]) -> DataFrame:
-    """(class, in_export, a count for each set): how many of a class's rows are in each set of ids (DataFrames of one column)."""
-    out, counts = rows.select(F.col(class_).alias("class"), F.col(key).alias("key_")), []
+def class_coverage(rows: DataFrame, class_: str, key: str, sets: Mapping[str, DataFrame | None]) -> DataFrame:
+    """(class, in_export, a count for each set): how many of a class's rows are in each set of ids (DataFrames of one column); null for a set that isn't there. Rows without a key are no part of it."""
+    out, counts = rows.select(F.col(class_).alias("class"), F.col(key).alias("key_")).filter("key_ is not null"), []
     for name, ids in sets.items():
+        if ids is None:
+            counts.append(F.lit(None).cast("long").alias(name))
+            continue
         known = ids.select(F.col(ids.columns[0]).alias("key_")).distinct().withColumn(f"{name}_", F.lit(True))
         out = out.join(known, "key_", "left")
         counts.append(F.count(f"{name}_").alias(name))

@@ -6,7 +6,7 @@ counts, the largest footprints) are one row each.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,9 +145,22 @@ def moved(rows: DataFrame, placements: DataFrame, key: str) -> DataFrame:
     return joined.withColumns(new).drop("a", "b", "e", "f", "dz")
 
 
-def rules_map(rules: Mapping[str, Sequence[str]], name: Column, otherwise: str) -> Column:
-    """The label whose names hold the value."""
-    out = F.lit(otherwise)
-    for label, names in reversed(rules.items()):
-        out = F.when(name.isin(*names), label).otherwise(out)
-    return out
+# Entities by category, in lower case, with the predefined type where there is one.
+ENTITIES = {
+    "walls": ("IFCWALL", None), "floors": ("IFCSLAB", ".FLOOR."), "roofs": ("IFCROOF", None), "ceilings": ("IFCCOVERING", ".CEILING."), "coverings": ("IFCCOVERING", ".CEILING."),
+    "doors": ("IFCDOOR", ".DOOR."), "windows": ("IFCWINDOW", ".WINDOW."), "columns": ("IFCCOLUMN", None), "structural columns": ("IFCCOLUMN", None), "beams": ("IFCBEAM", None),
+    "members": ("IFCMEMBER", None), "structural framing": ("IFCMEMBER", None), "curtain wall mullions": ("IFCMEMBER", None), "plates": ("IFCPLATE", None), "curtain wall panels": ("IFCPLATE", None),
+    "stairs": ("IFCSTAIR", None), "stairs runs": ("IFCSTAIRFLIGHT", None), "railings": ("IFCRAILING", None), "stairs railing": ("IFCRAILING", None), "stairs landings": ("IFCSLAB", ".LANDING."),
+    "railing top rail": ("IFCMEMBER", None), "stairs railing baluster": ("IFCMEMBER", None), "stairs stringer carriage": ("IFCMEMBER", None), "furniture": ("IFCFURNITURE", None), "furniture systems": ("IFCFURNITURE", None),
+    "foundations": ("IFCFOOTING", None), "structural foundations": ("IFCFOOTING", None), "ramps": ("IFCRAMP", None),
+}
+
+
+def entity_of(category: Column) -> Column:
+    """(entity, type_entity, predefined) of a category's name; a proxy for others."""
+    entity, kind = F.lit("IFCBUILDINGELEMENTPROXY"), F.lit(".NOTDEFINED.")
+    name = F.lower(F.trim(category))
+    for key, (e, k) in ENTITIES.items():
+        entity = F.when(name == key, e).otherwise(entity)
+        kind = F.when(name == key, k).otherwise(kind) if k else kind
+    return F.struct(entity.alias("entity"), F.concat(entity, F.lit("TYPE")).alias("type_entity"), kind.alias("predefined"))

@@ -109,6 +109,24 @@ def dense_component(rows: DataFrame, axes: Mapping[str, Column], share: float =
     return found.join(seed, "component", "left_semi").select(*names)
 
 
+def focused(rows: DataFrame, axes: Mapping[str, Column], least: int = 250, enough: int = 100, share: float = 0.1) -> DataFrame:
+    """Rows in the dense component that holds the densest cell; all rows if there are fewer than ``least``, or if fewer than ``enough`` and than that share of them would be left."""
+    n = rows.count()
+    if n < least:
+        return rows
+    cells = dense_component(rows, axes)
+    kept = written(rows.withColumns({f"{a}_at_": c.cast("int") for a, c in axes.items()}).join(cells.select(*[F.col(a).alias(f"{a}_at_") for a in axes]), [f"{a}_at_" for a in axes], "left_semi").select(*rows.columns), "focused")
+    return kept if kept.count() >= min(enough, n * share) else rows
+
+
+def undirected_segments(rows: DataFrame, ordinal: str, grid: float = 0.05) -> DataFrame:
+    """The first of the segments (x0, y0, x1, y1) whose ends fall on the same two grid points, in either direction."""
+    end = lambda k: F.struct(*[F.floor(F.col(f"{a}{k}") / grid + 0.5).alias(a) for a in "xy"])
+    rest = [c for c in rows.columns if c != ordinal]
+    packed = rows.select(F.least(end(0), end(1)).alias("a_"), F.greatest(end(0), end(1)).alias("b_"), F.struct(ordinal, *rest).alias("row_"))
+    return packed.groupBy("a_", "b_").agg(F.min("row_").alias("row_")).select("row_.*").select(*rows.columns)
+
+
 def undirected_pairs(rows: DataFrame, a: str, b: str, ordinal: str) -> DataFrame:
     """(a, b, first_seen) of distinct undirected pairs."""
     return rows.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.min(ordinal).alias("first_seen"))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import semantics as X
+from girder.operators import quality as Q
 from girder.operators import relations as L
 from girder.operators import reports as V
 from girder.operators import scene as C
+from girder.operators import search as S
 from girder.operators import shape as H
+from girder.operators import spatial as P
 from girder.plans.catalogue import query, rounded, table
 
 #: Boxes made of parts, in words that Spark and DuckDB read alike.
@@ -291,15 +294,78 @@ def placed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", *[F.round(c, 4).alias(c) for c in ("x0", "x1", "y0", "y1", "z0")])
 
 
-#: Classes by category names, as text.
-CLASSES = {"IFCWALL": ("Brand#11", "Brand#12"), "IFCSLAB": ("Brand#21", "Brand#22", "Brand#23"), "IFCDOOR": ("Brand#31",)}
+@query("""
+WITH c AS (SELECT p_partkey, ['Walls', 'floors', 'Doors', 'Stairs Landings', 'Ramps', 'Other'][p_size % 6 + 1] AS category FROM part),
+e AS (SELECT p_partkey, CASE lower(category) WHEN 'walls' THEN 'IFCWALL' WHEN 'floors' THEN 'IFCSLAB' WHEN 'doors' THEN 'IFCDOOR' WHEN 'stairs landings' THEN 'IFCSLAB' WHEN 'ramps' THEN 'IFCRAMP' ELSE 'IFCBUILDINGELEMENTPROXY' END AS entity,
+ CASE lower(category) WHEN 'floors' THEN '.FLOOR.' WHEN 'doors' THEN '.DOOR.' WHEN 'stairs landings' THEN '.LANDING.' ELSE '.NOTDEFINED.' END AS predefined FROM c)
+SELECT p_partkey, entity, entity || 'TYPE' AS type_entity, predefined FROM e
+""")
+def category_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("Walls", "floors", "Doors", "Stairs Landings", "Ramps", "Other")))
+    return table(spark, sf_dir, "part").select("p_partkey", C.entity_of(F.element_at(names, (F.col("p_size") % 6 + 1).cast("int"))).alias("e")).select("p_partkey", "e.*")
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'IFCWALL' WHEN p_brand IN ('Brand#21', 'Brand#22', 'Brand#23') THEN 'IFCSLAB' WHEN p_brand = 'Brand#31' THEN 'IFCDOOR' ELSE 'IFCBUILDINGELEMENTPROXY' END AS ifc_class FROM part
+WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity / 4) AS INT) AS x, CAST(floor(l_extendedprice / 4000) AS INT) AS y FROM lineitem), c AS (SELECT x, y, count(*) AS n FROM s GROUP BY 1, 2),
+k AS (SELECT x, y FROM c WHERE n >= (SELECT greatest(4, floor(max(n) * 0.002)) FROM c)),
+f(x, y) AS (SELECT x, y FROM (SELECT x, y FROM c ORDER BY n DESC, x, y LIMIT 1) t UNION SELECT k.x, k.y FROM f JOIN k ON abs(k.x - f.x) <= 1 AND abs(k.y - f.y) <= 1)
+SELECT count(*) AS kept FROM s JOIN f ON s.x = f.x AND s.y = f.y
 """)
-def category_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", C.rules_map(CLASSES, F.col("p_brand"), "IFCBUILDINGELEMENTPROXY").alias("ifc_class"))
+def focused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = {"x": F.floor(F.col("l_quantity") / 4), "y": F.floor(F.col("l_extendedprice") / 4000)}
+    return P.focused(table(spark, sf_dir, "lineitem"), axes).agg(F.count("*").alias("kept"))
+
+
+@query("""
+WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, l_linenumber * 1e0 AS x0, l_discount AS y0, l_quantity % 5 AS x1, l_tax AS y1 FROM lineitem),
+g AS (SELECT id, floor(x0 / 0.05e0 + 0.5e0) AS a, floor(y0 / 0.05e0 + 0.5e0) AS b, floor(x1 / 0.05e0 + 0.5e0) AS c, floor(y1 / 0.05e0 + 0.5e0) AS d FROM s)
+SELECT count(*) AS segments FROM (SELECT DISTINCT CASE WHEN (a, b) <= (c, d) THEN (a, b, c, d) ELSE (c, d, a, b) END AS k FROM g)
+""")
+def undirected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") * F.lit(1.0)).alias("x0"), F.col("l_discount").alias("y0"), (F.col("l_quantity") % 5).alias("x1"), F.col("l_tax").alias("y1"))
+    return P.undirected_segments(lines, "id").agg(F.count("*").alias("segments"))
+
+
+@query("""
+WITH saved AS (SELECT doc_id, CASE quality WHEN 1 THEN 'accepted' ELSE 'unreviewed' END AS disposition, doc_id % 7 AS level, doc_id * 2 AS n_chars FROM labels),
+fresh AS (SELECT doc_id, doc_id % 7 AS level, n_chars FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 < 4), s AS (SELECT * FROM saved WHERE level IN (SELECT level FROM fresh))
+SELECT coalesce(f.doc_id, s.doc_id) AS id, coalesce(s.disposition, 'unreviewed') AS disposition, f.n_chars, CASE WHEN f.doc_id IS NULL THEN 'stale' WHEN s.doc_id IS NULL THEN 'new' ELSE 'kept' END AS state
+FROM fresh f FULL OUTER JOIN s ON f.doc_id = s.doc_id WHERE f.doc_id IS NOT NULL OR s.disposition <> 'unreviewed'
+UNION ALL SELECT doc_id, disposition, n_chars, 'untouched' FROM saved WHERE level NOT IN (SELECT level FROM fresh)
+""")
+def reconcile_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "accepted").otherwise("unreviewed").alias("disposition"), (F.col("doc_id") % 7).alias("level"), (F.col("doc_id") * 2).alias("n_chars"))
+    fresh = table(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 7).alias("level")).filter("doc_id % 4 <> 0 and level < 4")
+    return Q.reconcile_levels(saved, fresh, "doc_id", "disposition", "unreviewed", ["n_chars"], "level")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_quantity * 0.6e0 - l_tax * 0.8e0 + 5, 6) AS x, round(l_quantity * 0.8e0 + l_tax * 0.6e0 - 2, 6) AS y, 1.0e0 AS scale, 53.130102e0 AS degrees FROM lineitem
+""")
+def affine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.lit(0.6), F.lit(0.8)
+    x, y = X.apply_affine(F.col("l_quantity"), F.col("l_tax"), a, b, F.lit(5.0), F.lit(-2.0))
+    scale, degrees = X.affine_parts(a, b)
+    return rounded(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), F.round(scale, 6).alias("scale"), F.round(degrees, 6).alias("degrees")), "x", "y")
+
+
+@query("""
+WITH p AS (SELECT l_quantity AS x, l_tax * 100 AS y, l_quantity * 2 + l_discount AS u, l_tax * 200 AS v FROM lineitem)
+SELECT round(sqrt(avg((2 * x + 1 - u) * (2 * x + 1 - u) + (2 * y - v) * (2 * y - v))), 6) AS rms, round(max(sqrt((2 * x + 1 - u) * (2 * x + 1 - u) + (2 * y - v) * (2 * y - v))), 6) AS worst FROM p
+""")
+def similarity_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = spark.range(1).selectExpr("2D AS a", "0D AS b", "1D AS e", "0D AS f")
+    rows = table(spark, sf_dir, "lineitem")
+    return rounded(H.similarity_residuals(rows, fit, F.col("l_quantity"), F.col("l_tax") * 100, F.col("l_quantity") * 2 + F.col("l_discount"), F.col("l_tax") * 200), "rms", "worst")
+
+
+@query("""
+SELECT p_partkey, p_brand AS number, min(n_name) AS title FROM part JOIN nation ON p_brand = 'Brand#' || (n_nationkey + 10) GROUP BY 1, 2
+""")
+def taxonomy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.array(F.lit("Other"), F.lit("OmniClass Number")).alias("names"), F.array(F.col("p_name"), F.col("p_brand")).alias("values"))
+    titles = table(spark, sf_dir, "nation").select(F.concat(F.lit("Brand#"), (F.col("n_nationkey") + 10).cast("string")).alias("number"), F.col("n_name").alias("title"))
+    return S.taxonomy_lookup(part, titles, "p_partkey", "names", "values")
 
 
 @query("""

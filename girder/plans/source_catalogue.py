@@ -161,3 +161,29 @@ def file_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Size: "), F.col("p_size").cast("string"), F.lit("\nName:\t"), "p_name", F.lit("\r\nFormat: 2027\nno key"))
     texts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), text.alias("text"))
     return T.file_properties(texts).select(F.col("path").cast("long").alias("p_partkey"), "key", "value")
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS paged, CAST(CASE WHEN p_partkey > 0 THEN (p_partkey * 1000 // 64896) * 65249 + p_partkey * 1000 % 64896 ELSE 0 END AS BIGINT) AS stored FROM part
+""")
+def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.when(F.col("p_partkey") % 3 == 0, F.lit("Root Entry/Partitions/7")).when(F.col("p_partkey") % 3 == 1, F.lit("global/elemtable")).otherwise(F.lit("Partitions/7/x"))
+    return table(spark, sf_dir, "part").select("p_partkey", B.checksum_paged(path).alias("paged"), B.stored_offset(F.col("p_partkey") * 1000).alias("stored"))
+
+
+@query("""
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(64896 + p_partkey % 100 AS BIGINT) AS bytes FROM part
+""")
+def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.concat(F.repeat(F.lit("a"), B.PAYLOAD), F.repeat(F.lit("c"), B.CHECKSUM), F.repeat(F.lit("b"), (F.col("p_partkey") % 100).cast("int"))).cast("binary")
+    pages = table(spark, sf_dir, "part").select(F.concat(F.lit("Partitions/"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content"))
+    out = B.payloads(pages)
+    return out.select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("p_partkey"), F.length(F.replace(F.col("content").cast("string"), F.lit("c"), F.lit(""))).cast("long").alias("bytes"))
+
+
+@query("""
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name || '.dwg' AS name FROM part UNION ALL SELECT CAST(p_partkey AS BIGINT), 'Shared.DWG' FROM part
+""")
+def drawing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("\u0001"), "p_name", F.lit(".dwg\u0000/"), F.lit("Shared.DWG\u0000shared.dwg\u0000no drawing"))
+    return B.drawing_names(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(text, "UTF-16LE").alias("content"))).select(F.col("path").cast("long").alias("p_partkey"), "name")

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 KINDS = {"u16": ("<u2", 2), "u32": ("<u4", 4), "i64": ("<i8", 8), "u64": ("<u8", 8), "f64": ("<f8", 8)}
 
@@ -146,7 +147,44 @@ def inflate(pages: DataFrame) -> DataFrame:
     return pages.select("path", "content").mapInArrow(over, "path string, chunk long, piece long, offset long, content binary, complete boolean")
 
 
-def strip_page_checksums(content: bytes, payload: int = 64_896, trailing: int = 353) -> bytes:
-    """A page-stored stream without the bytes that follow each payload."""
-    step = payload + trailing
-    return b"".join(content[k : k + payload] for k in range(0, len(content), step))
+#: Payload bytes of a stored page, and the bytes of its checksum behind them.
+PAYLOAD, CHECKSUM = 64_896, 353
+# Streams that are stored in pages with checksums.
+PAGED = r"(?i)^(?:Root Entry/)?(?:Partitions/[^/]+|Formats/Latest|Global/(?:ContentDocuments|DocumentIncrementTable|ElemTable|History|Latest|PartitionTable))$"
+
+
+def checksum_paged(path: Column) -> Column:
+    """Whether a stream is stored in pages with checksums."""
+    return F.coalesce(path.rlike(PAGED), F.lit(False))
+
+
+def stored_offset(offset: Column) -> Column:
+    """Where a byte of the payload stands in the stored stream; 0 for what isn't above 0."""
+    whole = F.floor(offset)
+    return F.when(offset > 0, F.floor(whole / PAYLOAD) * (PAYLOAD + CHECKSUM) + whole % PAYLOAD).otherwise(0).cast("long")
+
+
+def strip_page_checksums(content: bytes) -> bytes:
+    """A page-stored stream without the checksums of its whole pages; a last page that isn't whole stays as it is."""
+    step = PAYLOAD + CHECKSUM
+    whole = len(content) // step * step
+    return b"".join(content[k : k + PAYLOAD] for k in range(0, whole, step)) + content[whole:]
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    """(path, content) of streams, those in pages without their checksums."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [strip_page_checksums(x) if paged and x is not None else x for x, paged in zip(batch.column("content").to_pylist(), batch.column("paged").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], ["path", "content"])
+
+    return pages.select("path", "content", checksum_paged(F.col("path")).alias("paged")).mapInArrow(over, "path string, content binary")
+
+
+def drawing_names(pages: DataFrame) -> DataFrame:
+    """(path, name) of the drawing files that UTF-16 text in a stream names, each once in any case, in the spelling that comes first."""
+    text = F.decode("content", "UTF-16LE")
+    found = pages.select("path", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?i)[^\x00-\x1f<>:\"/\\|?*]{1,200}\.dwg"), F.lit(0))).alias("place", "name"))
+    named = found.withColumn("name", F.trim("name")).filter(F.length("name") > 4)
+    return named.groupBy("path", F.lower("name").alias("key")).agg(F.min_by("name", "place").alias("name")).select("path", "name")
