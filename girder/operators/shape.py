@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,6 +110,27 @@ def order_statistic(rows: DataFrame, column: str, index: int) -> float | None:
         low, high, skip = (least, middle, skip) if k < to else (after, most, skip + to)
 
 
+def order_statistics(rows: DataFrame, column: str, marks: Callable[[int], Sequence[int]]) -> tuple[int, float | None, float | None, list[float | None]]:
+    """(n, least, most, the values at the 0-based indices ``marks(n)``) of the values that are neither null nor NaN: one pass for the counts, one for brackets of all indices, one to count below them, one to read them."""
+    values = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, least, most = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    at = list(marks(n))
+    if not n or n <= BRACKET_ROWS or any(not 0 <= k < n for k in at):
+        held = sorted(r["v"] for r in values.collect()) if n <= BRACKET_ROWS else []  # at most BRACKET_ROWS values
+        return n, least, most, [held[k] if 0 <= k < len(held) else order_statistic(rows, column, k) if held == [] else None for k in at]
+    ends = values.agg(F.percentile_approx("v", [min(1.0, max(0.0, k / n + d)) for k in at for d in (-0.0005, 0.0005)], 10_000)).first()[0]
+    brackets = list(zip(ends[::2], ends[1::2], strict=True))
+    counts = values.agg(*[c for a, b in brackets for c in (F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b))]).first()
+    inside = F.lit(False)
+    for a, b in brackets:
+        inside = inside | F.col("v").between(a, b)
+    fits = all(counts[2 * j] <= k < counts[2 * j + 1] for j, k in enumerate(at)) and sum(counts[2 * j + 1] - counts[2 * j] for j in range(len(at))) <= BRACKET_ROWS
+    if not fits:  # many equal values, or an index that the approximation missed
+        return n, least, most, [order_statistic(rows, column, k) for k in at]
+    held = sorted(r["v"] for r in values.filter(inside).collect())  # at most BRACKET_ROWS values
+    return n, least, most, [held[bisect_left(held, a) + k - counts[2 * j]] for j, ((a, _), k) in enumerate(zip(brackets, at, strict=True))]
+
+
 def extent(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """min_ and max_ of each column, by group if asked."""
     measures = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))]
@@ -117,20 +139,17 @@ def extent(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
 
 def robust_extent(rows: DataFrame, column: str, cut: float = 0.001, least: int = 500) -> DataFrame:
     """One row (mn, mx): the values at indices floor(n cut) and floor(n (1 - cut)); plain extremes for few rows or a degenerate range."""
-    n, low, high = rows.agg(F.count(column), F.min(column), F.max(column)).first()
-    if n >= least:
-        at = [min(n - 1, max(0, int(n * x))) for x in (cut, 1 - cut)]
-        a, b = (order_statistic(rows, column, i) for i in at)
-        low, high = (a, b) if b > a else (low, high)
+    n, low, high, (a, b) = order_statistics(rows, column, lambda n: [min(n - 1, max(0, int(n * x))) for x in (cut, 1 - cut)])
+    if n >= least and b > a:
+        low, high = a, b
     return rows.sparkSession.range(1).select(F.lit(low).cast("double").alias("mn"), F.lit(high).cast("double").alias("mx"))
 
 
 def trim_outliers(rows: DataFrame, column: str, least: int = 1000, share: float = 0.9, marks: tuple[float, float] = (0.005, 0.985)) -> DataFrame:
     """Rows between the values at floor((n - 1) mark), if there are enough rows and that keeps enough of them; else all."""
-    n = rows.filter(F.col(column).isNotNull()).count()
+    n, _, _, (low, high) = order_statistics(rows, column, lambda n: [int((n - 1) * m) for m in marks])
     if n < least:
         return rows
-    low, high = (order_statistic(rows, column, int((n - 1) * m)) for m in marks)
     kept = rows.filter(F.col(column).between(low, high))
     return kept if kept.count() >= n * share else rows
 

@@ -134,6 +134,15 @@ def test_order_statistic_with_nan_and_infinity(spark, monkeypatch):
     assert [H.order_statistic(wide, "v", k) for k in (0, 350, 999)] == [float("-inf"), 350.0, float("inf")]
 
 
+def test_several_order_statistics_at_once(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") * 7 % 1000).cast("double").alias("v"))
+    ordered, wanted = sorted(k * 7 % 1000 for k in range(5000)), [0, 25, 2500, 4999]
+    for most in (10_000, 200, 10):  # all values read, brackets read, brackets too wide
+        monkeypatch.setattr(H, "BRACKET_ROWS", most)
+        assert H.order_statistics(rows, "v", lambda n: wanted) == (5000, 0.0, 999.0, [ordered[k] for k in wanted])
+    assert H.order_statistics(rows.limit(0), "v", lambda n: [0, -1]) == (0, None, None, [None, None])
+
+
 def test_medians(spark):
     rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 2, 7).otherwise(F.col("id") * 7 % 1000).alias("v")).unionByName(spark.createDataFrame([(9, 1), (9, 2), (8, 5), (7, None), (None, 4)], "g long, v long"))
     got = {r["g"]: (r["n"], r["median"]) for r in H.medians(rows, "g", "v").collect()}
