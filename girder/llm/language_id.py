@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .storage import small_batches
+from .storage import materialize, small_batches
 
 ORDER = 3
 SAMPLE_DOCS = 300
@@ -66,7 +66,8 @@ def bounded_sample(docs: DataFrame, by: str, most: int) -> DataFrame:
     """Distinct texts with the smallest hashes: about ``most`` of each value of ``by``, all if there are fewer."""
     hash_ = F.xxhash64("text", F.lit(17))
     rates = docs.groupBy(F.col(by).alias("of_")).agg(F.approx_count_distinct(hash_).alias("texts_"))
-    rates = rates.select("of_", F.least(F.lit(1 << 20), F.floor(F.lit(most << 20) / F.col("texts_"))).alias("share_"))
+    # written first, so its size is known and texts aren't shuffled to meet a few values
+    rates = materialize(rates.select("of_", F.least(F.lit(1 << 20), F.floor(F.lit(most << 20) / F.col("texts_"))).alias("share_")), "rates")
     few = docs.join(rates, docs[by] == F.col("of_")).filter(F.pmod(hash_, F.lit(1 << 20)) < F.col("share_"))
     return few.withColumn("hash_", hash_).dropDuplicates([by, "hash_"]).select(*docs.columns)
 
