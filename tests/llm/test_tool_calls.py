@@ -128,6 +128,8 @@ def test_order_matches_brute_force(spark):
             made, said = [f"c{turn}"] if r.random() < 0.6 else [], []
             if r.random() < 0.6:
                 said = [f"c{r.randrange(4) if conv % 3 == 0 else r.randrange(12)}" if r.random() < 0.5 + 0.5 * (conv % 2) else f"c{max(0, turn - 1)}"]
+            if conv < 5 and turn in (3, 7):  # each answers a call of the other
+                made, said = [f"c{turn}"], [f"c{10 - turn}"]
             calls |= {i: turn for i in made}
             answers += [(turn, i) for i in said]
             rows.append((conv, turn, "assistant", "".join(f'<tool_response>{{"tool_call_id":"{i}"}}</tool_response>' for i in said) + "".join(f'<tool_call>{{"id":"{i}","name":"f","arguments":{{}}}}</tool_call>' for i in made)))
