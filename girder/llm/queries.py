@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, fill_in_middle, language_id, licenses, near_dup, packing, secrets, token_attribution, tool_calls, toxicity
+from . import ann, decontaminate, fill_in_middle, language_id, licenses, near_dup, packing, secrets, token_attribution, tool_calls, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,6 +98,22 @@ def op10_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive and read back from it."""
+    return warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
+
+
+ORACLE_SQL["op12_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS top FROM p),
+v AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || h[5 * i + 1:5 * i + 5] AS BIGINT)) AS five FROM w)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((five[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM v
+"""
+
+
 @query
 def op13_bit_parallel_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a fill-in-the-middle form, and what its form restores to."""

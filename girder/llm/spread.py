@@ -57,3 +57,21 @@ def salted_join(many: DataFrame, few: DataFrame, by: Sequence[str], heavy: DataF
     parts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     b = few.join(hot, heavy.columns, "left").withColumn("salt_", F.explode(parts)).drop("hot_")
     return a.join(b, [*by, "salt_"], how).drop("salt_")
+
+
+#: A key is held as hot where it has more than 1 / LARGE of all rows, so there are fewer than LARGE such keys.
+LARGE = 4096
+
+
+def large_keys(counts: DataFrame, by: Sequence[str], count: str) -> DataFrame:
+    """The keys of ``counts`` (one row for each key and its ``count``) that hold more than 1 / LARGE of all rows: fewer than LARGE."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return counts.filter(F.col(count) * LARGE > total).select(*by)
+
+
+def joined(many: DataFrame, few: DataFrame, by: Sequence[str], large: DataFrame) -> DataFrame:
+    """``many`` joined with ``few``, which has one row for each key: large keys meet their row by a broadcast (fewer than LARGE rows), so none of their rows are moved; the others, each a small share, by a shuffle."""
+    by = list(by)
+    large = large.select(*by)
+    held = many.join(F.broadcast(few.join(F.broadcast(large), by, "left_semi")), by)
+    return held.unionByName(many.join(F.broadcast(large), by, "left_anti").join(few, by))
