@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, fill_in_middle, language_id, licenses, near_dup, packing, secrets, token_attribution, tool_calls, toxicity, warc
+from . import ann, decontaminate, fill_in_middle, language_id, licenses, near_dup, packing, prefix_trie, secrets, token_attribution, tool_calls, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,6 +98,29 @@ def op10_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations with the first turns of their families."""
+    turns, _ = prefix_trie.encode(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.graft(turns)).drop("turn_id")
+
+
+ORACLE_SQL["op11_prefix_trie"] = r"""
+WITH m AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, turns, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h FROM m),
+g AS (SELECT h.c, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS s FROM h LEFT JOIN m b ON b.c = h.c - h.c % 20),
+w AS (SELECT c, s, d, s[1:d] AS p FROM g, LATERAL (SELECT unnest(range(len(s) + 1)) AS d)),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(s) = d), '')) AS ends_sha256 FROM w GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS q, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')) END AS own FROM n LEFT JOIN k ON k.q = n.p),
+u AS (SELECT p[1:a] AS top, own, n_children FROM f, LATERAL (SELECT unnest(range(d + 1)) AS a)),
+t AS (SELECT top, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM u GROUP BY top)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, t.n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN t ON t.top = f.p LEFT JOIN n o ON o.p = f.p[1:f.d - 1] AND f.d > 0
+"""
+
+
 @query
 def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a content-addressed archive and read back from it."""
