@@ -121,7 +121,8 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> Arc
     # one copy of each payload: only rows of the chosen page are candidates, equal ones collapse
     copies = pages.select("page_id", payload.alias("payload")).withColumn("digest", sha256(F.col("payload")))
     holders = digests.select("digest", F.col("best.page_id").alias("holder"))
-    mine = F.col("page_id").eqNullSafe(F.col("holder"))
+    # no equality of columns to Spark, so the join's key is the digest alone and its partitions serve the aggregate too
+    mine = F.when(F.col("page_id").isNull(), F.col("holder").isNull()).otherwise(F.coalesce(F.col("page_id") == F.col("holder"), F.lit(False)))
     often = copies.join(F.broadcast(holders.join(F.broadcast(large), "digest", "left_semi")), "digest").filter(mine)
     rare = copies.join(F.broadcast(large), "digest", "left_anti").join(holders.hint("shuffle_hash"), "digest").filter(mine)  # the narrow side is hashed, payloads aren't sorted
     once = [x.groupBy("digest").agg(F.first("payload").alias("payload")) for x in (often, rare)]
