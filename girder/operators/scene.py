@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators.spatial import cell, overlap_share
+from girder.operators.spatial import box_pairs, cell, overlap_share
 
 AXES = ("x", "y", "z")
 
@@ -29,17 +29,12 @@ def solid(least: float = 0.01) -> Column:
 def covered_boxes(boxes: DataFrame, covers: DataFrame, key: str, size: float, share: float = 0.95) -> DataFrame:
     """(key) of boxes of some volume of which a cover holds at least that share of the volume.
 
-    Both stand under every plan cell that they touch; a pair that meets in
-    several cells is told once.
+    Boxes and covers meet on levels of plan cells (``box_pairs``), the finest of ``size``.
     """
-    def celled(df: DataFrame, mark: str) -> DataFrame:
-        out = df.filter("x0 <= x1 and y0 <= y1 and z0 <= z1").select(*([key] if not mark else []), *[F.col(f"{a}{k}").alias(f"{mark}{a}{k}") for a in AXES for k in (0, 1)])
-        for a in "xy":
-            out = out.withColumn(f"cell_{a}", F.explode(F.sequence(cell(F.col(f"{mark}{a}0"), size), cell(F.col(f"{mark}{a}1"), size))))
-        return out
-
+    solid_ = lambda df, mark: df.filter("x0 <= x1 and y0 <= y1 and z0 <= z1").select(*([key] if not mark else []), *[F.col(f"{a}{k}").alias(f"{mark}{a}{k}") for a in AXES for k in (0, 1)])
     dx, dy, dz = spans()
-    met = celled(boxes.filter(dx * dy * dz > 0), "").join(celled(covers, "c_"), ["cell_x", "cell_y"])
+    plan = lambda mark: [(f"{mark}{a}0", f"{mark}{a}1") for a in "xy"]
+    met = box_pairs(solid_(boxes.filter(dx * dy * dz > 0), ""), solid_(covers, "c_"), plan(""), plan("c_"), (), [size, size])
     sides = lambda mark: [F.col(f"{mark}{a}{k}") for a in AXES for k in (0, 1)]
     return met.filter(overlap_share(sides(""), sides("c_")) >= share).select(key).distinct()
 

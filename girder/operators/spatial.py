@@ -14,25 +14,80 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(cell(low, size), cell(high, size))
+#: Levels of cells: each has cells twice as wide as the one before.
+LEVELS = 1100
+
+
+def _level(sides: Sequence[tuple[str, str]], sizes: Sequence[float]) -> Column:
+    """The level on which a box is at most one cell wide on every axis, so it touches at most two cells of an axis."""
+    times = F.greatest(F.lit(1.0), *[(F.col(high) - F.col(low)) / size for (low, high), size in zip(sides, sizes, strict=True)]) if len(sides) else F.lit(1.0)
+    return F.least(F.ceil(F.log2(times)).cast("int"), F.lit(LEVELS))
+
+
+def _levels(boxes: DataFrame, sides: Sequence[tuple[str, str]], sizes: Sequence[float]) -> list[int]:
+    """The levels that boxes lie on, at most LEVELS."""
+    return sorted(r[0] for r in boxes.select(_level(sides, sizes)).distinct().collect() if r[0] is not None)
+
+
+def _celled(rows: DataFrame, sides: Sequence[tuple[str, str]], sizes: Sequence[float]) -> DataFrame:
+    """Rows under each cell (``cell0_`` ...) of their level (``level_``) that they touch."""
+    for k, ((low, high), size) in enumerate(zip(sides, sizes, strict=True)):
+        width = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level_"))
+        rows = rows.withColumn(f"cell{k}_", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))) if low != high else F.floor(F.col(low) / width))
+    return rows
+
+
+def _valid(rows: DataFrame, sides: Sequence[tuple[str, str]]) -> DataFrame:
+    for low, high in sides:
+        rows = rows.filter(F.col(low) <= F.col(high))
+    return rows
 
 
 def containment_join(boxes: DataFrame, points: DataFrame, axes: Mapping[str, tuple[str, str]], sizes: Sequence[float]) -> DataFrame:
     """Boxes joined with the points they hold (ends included).
 
-    ``axes`` maps a point's column to the box's (low, high) columns. Boxes are
-    listed under each grid cell they touch, points under their own one, so the
-    join is an equi-join and every pair is met once.
+    ``axes`` maps a point's column to the box's (low, high) columns. There are
+    levels of cells, the finest of ``sizes``; a box is listed under the few cells of the
+    level of its own size, a point under its cell of each level that has boxes, so the
+    join is an equi-join, every pair is met once, and a huge box costs no more than
+    a small one.
     """
-    a, b = boxes, points
-    for k, ((p, (low, high)), size) in enumerate(zip(axes.items(), sizes, strict=True)):
-        a = a.filter(F.col(low) <= F.col(high)).withColumn(f"cell{k}_", F.explode(_cells(F.col(low), F.col(high), size)))
-        b = b.withColumn(f"cell{k}_", cell(F.col(p), size))
-    joined = a.join(b, [f"cell{k}_" for k in range(len(axes))])
+    sides = list(axes.values())
+    a = _valid(boxes, sides)
+    levels = F.array(*[F.lit(k) for k in _levels(a, sides, sizes)]).cast("array<int>")
+    a = _celled(a.withColumn("level_", _level(sides, sizes)), sides, sizes)
+    b = _celled(points.withColumn("level_", F.explode(levels)), [(p, p) for p in axes], sizes)
+    keys = ["level_", *[f"cell{k}_" for k in range(len(axes))]]
+    joined = a.join(b, keys)
     for p, (low, high) in axes.items():
         joined = joined.filter(F.col(p).between(F.col(low), F.col(high)))
-    return joined.drop(*[f"cell{k}_" for k in range(len(axes))])
+    return joined.drop(*keys)
+
+
+def box_pairs(a: DataFrame, b: DataFrame, a_sides: Sequence[tuple[str, str]], b_sides: Sequence[tuple[str, str]], by: Sequence[str] = (), sizes: Sequence[float] | None = None) -> DataFrame:
+    """Pairs of boxes (of the same ``by``) that share a point, ends included; other columns' names must differ.
+
+    Each box is listed on the level of its own size and, to meet larger ones, on
+    the levels above it; a pair is told in the cell that holds the lower corner of what
+    they share, so once.
+    """
+    sizes = sizes or [1.0] * len(a_sides)
+    a, b = _valid(a, a_sides), _valid(b, b_sides)
+    levels = sorted({*_levels(a, a_sides, sizes), *_levels(b, b_sides, sizes)})
+    every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+    keys = [*by, "level_", *[f"cell{k}_" for k in range(len(sizes))]]
+
+    def listed(rows: DataFrame, sides: Sequence[tuple[str, str]], above: int | None) -> DataFrame:
+        own = _level(sides, sizes)
+        if above is None:
+            return _celled(rows.withColumn("level_", own), sides, sizes)
+        return _celled(rows.withColumn("level_", F.explode(F.filter(every, lambda x: x >= own + above))), sides, sizes)
+
+    met = listed(a, a_sides, 0).join(listed(b, b_sides, None), keys).unionByName(listed(a, a_sides, None).join(listed(b, b_sides, 1), keys))
+    for k, ((al, ah), (bl, bh), size) in enumerate(zip(a_sides, b_sides, sizes, strict=True)):
+        corner = F.greatest(al, bl)
+        met = met.filter((corner <= F.least(ah, bh)) & (F.floor(corner / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level_")))) == F.col(f"cell{k}_")))
+    return met.drop(*[k for k in keys if k not in by])
 
 
 def occupants(boxes: DataFrame, points: DataFrame, box: str, own: str, axes: Mapping[str, tuple[str, str]], sizes: Sequence[float], least: int = 5) -> DataFrame:
@@ -134,11 +189,10 @@ def undirected_pairs(rows: DataFrame, a: str, b: str, ordinal: str) -> DataFrame
 
 def nearest_segment(points: DataFrame, segments: DataFrame, point: str, segment: str, reach: float) -> DataFrame:
     """(point, segment, distance): the nearest segment (x0, y0, x1, y1) within ``reach`` of a point (x, y); ties to the smaller id."""
-    s = segments.withColumn("cx_", F.explode(_cells(F.least("x0", "x1") - reach, F.greatest("x0", "x1") + reach, reach))).withColumn("cy_", F.explode(_cells(F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach, reach)))
-    p = points.withColumn("cx_", cell(F.col("x"), reach)).withColumn("cy_", cell(F.col("y"), reach))
+    s = segments.withColumns({f"{a}_{side}_": f(f"{a}0", f"{a}1") + shift for a in "xy" for side, f, shift in (("low", F.least, -reach), ("high", F.greatest, reach))})
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / length))).otherwise(0.0)
     gap = F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy)
-    met = p.join(s, ["cx_", "cy_"]).withColumn("distance", gap).filter(F.col("distance") <= reach)
+    met = containment_join(s, points, {"x": ("x_low_", "x_high_"), "y": ("y_low_", "y_high_")}, [2 * reach] * 2).withColumn("distance", gap).filter(F.col("distance") <= reach)
     return met.groupBy(point).agg(F.min(F.struct("distance", segment)).alias("b_")).select(point, F.col(f"b_.{segment}").alias(segment), F.col("b_.distance").alias("distance"))
