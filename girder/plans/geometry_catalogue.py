@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.operators import hulls as U
+from girder.operators import polylines as N
 from girder.operators import rings as G
+from girder.operators import triangles as D
 from girder.plans.catalogue import query, rounded, table
 
 #: One row for each line number of an order.
@@ -75,3 +78,73 @@ def ring_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("girder_lineitem")
     corners = spark.sql(CORNERS.replace("FROM lineitem", "FROM girder_lineitem").replace("unnest(range(4))", "explode(sequence(0, 3))"))
     return G.nested(corners, "owner", "ring", "place").withColumnRenamed("outer", "outer_ring")
+
+
+#: Points of a supplier's lines on whole numbers, and of all lines (supplier 0).
+SPOTS = "SELECT l_suppkey AS k, CAST(l_quantity AS INTEGER) AS x, CAST(l_partkey % 97 AS INTEGER) AS y FROM lineitem WHERE l_linenumber <= 4 UNION ALL SELECT 0 AS k, CAST(l_quantity AS INTEGER) AS x, CAST(l_partkey % 97 AS INTEGER) AS y FROM lineitem"
+
+
+@query(f"""
+WITH p AS ({SPOTS}), n AS (SELECT k, count(*) AS n, CAST((max(x) - min(x)) * (max(y) - min(y)) AS DOUBLE) AS box_area FROM p GROUP BY k),
+d AS (SELECT DISTINCT k, x, y FROM p),
+c AS (SELECT k, x, min(y) AS y FROM d GROUP BY ALL UNION SELECT k, x, max(y) FROM d GROUP BY ALL),
+e AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bq FROM c a JOIN c b ON a.k = b.k AND (a.x <> b.x OR a.y <> b.y)),
+h AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM c r WHERE r.k = e.k AND ((bx - ax) * (r.y - ay) - (bq - ay) * (r.x - ax) < 0
+  OR (bx - ax) * (r.y - ay) - (bq - ay) * (r.x - ax) = 0 AND ((r.x - ax) * (bx - ax) + (r.y - ay) * (bq - ay) < 0 OR (r.x - ax) * (bx - ax) + (r.y - ay) * (bq - ay) > (bx - ax) * (bx - ax) + (bq - ay) * (bq - ay))))),
+a AS (SELECT k, count(*) AS corners, sum(ax * bq - bx * ay) / 2e0 AS area FROM h GROUP BY k),
+w AS (SELECT h.k, ax, ay, bx, bq, (max((bx - ax) * c.x + (bq - ay) * c.y) - min((bx - ax) * c.x + (bq - ay) * c.y)) * (max((bx - ax) * c.y - (bq - ay) * c.x) - min((bx - ax) * c.y - (bq - ay) * c.x)) / (((bx - ax) * (bx - ax) + (bq - ay) * (bq - ay)) * 1e0) AS area FROM h JOIN c ON c.k = h.k GROUP BY h.k, ax, ay, bx, bq),
+r AS (SELECT k, min(area) AS rectangle_area FROM w GROUP BY k)
+SELECT CAST(k AS BIGINT) AS k, n, corners, area, box_area, round(rectangle_area, 6) AS rectangle_area, round(area / box_area, 6) AS fill, round(area / rectangle_area, 6) AS rectangle_fill FROM n JOIN a USING (k) JOIN r USING (k)
+""")
+def footprint_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("girder_lineitem")
+    spots = spark.sql(SPOTS.replace("FROM lineitem", "FROM girder_lineitem"))
+    found = U.convex_hulls(spots.withColumn("k", F.col("k").cast("long")), "k", "x", "y").filter("size(hull) > 2")
+    return rounded(found.select("k", "n", F.size("hull").cast("long").alias("corners"), "area", "box_area", "rectangle_area", "fill", "rectangle_fill"), "rectangle_area", "fill", "rectangle_fill")
+
+
+#: Lines of an order: those of odd and of even numbers, each a path.
+PATHS = f"SELECT l_orderkey AS element, l_linenumber % 2 AS line, l_linenumber AS place, l_quantity * 1e0 AS x, l_linenumber * 2e0 AS y, l_partkey % 40 * 1e0 AS z FROM {LINES}"
+BANDS = "SELECT o_orderkey AS element, o_custkey % 25 * 1e0 AS z0, o_custkey % 25 + 16e0 AS z1 FROM orders"
+
+
+@query(f"""
+WITH p AS ({PATHS}), b AS ({BANDS}),
+s AS (SELECT p.*, row_number() OVER w AS rank, lead(x) OVER w AS x_, lead(y) OVER w AS y_, lead(z) OVER w AS z_, z0, z1 FROM p JOIN b USING (element) WINDOW w AS (PARTITION BY element, line ORDER BY place)),
+t AS (SELECT *, CASE WHEN z_ = z THEN 0e0 ELSE greatest(0e0, least((z0 - z) / (z_ - z), (z1 - z) / (z_ - z))) END AS t0, CASE WHEN z_ = z THEN 1e0 ELSE least(1e0, greatest((z0 - z) / (z_ - z), (z1 - z) / (z_ - z))) END AS t1 FROM s WHERE z_ IS NOT NULL),
+c AS (SELECT *, CASE WHEN z_ = z THEN z BETWEEN z0 AND z1 ELSE t0 <= t1 END AS held,
+  CASE WHEN t0 = 0 THEN {{'x': x, 'y': y, 'z': z}} ELSE {{'x': x + (x_ - x) * t0, 'y': y + (y_ - y) * t0, 'z': z + (z_ - z) * t0}} END AS a, CASE WHEN t1 = 1 THEN {{'x': x_, 'y': y_, 'z': z_}} ELSE {{'x': x + (x_ - x) * t1, 'y': y + (y_ - y) * t1, 'z': z + (z_ - z) * t1}} END AS e FROM t),
+f AS (SELECT element, bool_or(NOT held OR t0 <> 0 OR t1 <> 1) AS clipped, bool_or(held) AS met FROM c GROUP BY element),
+m AS (SELECT *, CASE WHEN lag(e) OVER w = a AND lag(rank) OVER w = rank - 1 THEN 0 ELSE 1 END AS fresh FROM c WHERE held WINDOW w AS (PARTITION BY element, line ORDER BY rank)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY element, line ORDER BY rank) AS run FROM m),
+o AS (SELECT element, line, run, rank AS step, a AS q FROM r WHERE fresh = 1 UNION ALL SELECT element, line, run, rank + 1, e FROM r UNION ALL SELECT element, line, 1, rank, {{'x': x, 'y': y, 'z': z}} FROM s WHERE element IN (SELECT element FROM f WHERE NOT met))
+SELECT element, line, CAST(run AS BIGINT) AS run, step, round(q.x, 6) AS x, round(q.y, 6) AS y, round(q.z, 6) AS z, clipped FROM o JOIN f USING (element)
+""")
+def clipped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for t in ("lineitem", "orders"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"girder_{t}")
+    points, bands = spark.sql(PATHS.replace("FROM lineitem", "FROM girder_lineitem")), spark.sql(BANDS.replace("FROM orders", "FROM girder_orders"))
+    return rounded(N.clipped_to_band(points, bands, "element", "line", "place").withColumnRenamed("at", "step"), "x", "y", "z")
+
+
+#: Triangles of customers on a coarse grid, so that many are equal but for order and rounding.
+FACES = """
+SELECT o_custkey AS element, o_orderkey AS ordinal, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 5 END AS material,
+  CASE o_orderkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 4e0 ELSE 1e0 END AS x0, CASE o_orderkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 0e0 ELSE 3e0 END AS y0, o_orderkey % 2 * 1e0 + 1e-9 AS z0,
+  CASE o_orderkey % 3 WHEN 0 THEN 4e0 WHEN 1 THEN 1e0 ELSE 0e0 END AS x1, CASE o_orderkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 3e0 ELSE 0e0 END AS y1, o_orderkey % 2 * 1e0 AS z1,
+  CASE o_orderkey % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0 ELSE 4e0 END AS x2, CASE o_orderkey % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 0e0 ELSE 0e0 END AS y2, o_orderkey % 2 * 1e0 AS z2 FROM orders
+"""
+
+
+@query(f"""
+WITH f AS ({FACES}),
+k AS (SELECT element, ordinal, coalesce(material, -1) AS m, list_sort([[round(x0 * 1e6), round(y0 * 1e6), round(z0 * 1e6)], [round(x1 * 1e6), round(y1 * 1e6), round(z1 * 1e6)], [round(x2 * 1e6), round(y2 * 1e6), round(z2 * 1e6)]]) AS c,
+  sqrt(pow((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + pow((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + pow((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2)) / 2 AS area FROM f),
+s AS (SELECT *, round(sum(area) OVER (PARTITION BY element, m) / 2e-12) AS support, CASE WHEN element % 2 = 0 AND m = 3 THEN 1 ELSE 0 END AS liked FROM k),
+r AS (SELECT *, row_number() OVER w AS rn, first_value(m) OVER w AS won, count(*) OVER (PARTITION BY element, c) AS n FROM s WINDOW w AS (PARTITION BY element, c ORDER BY liked DESC, support DESC, m DESC, ordinal))
+SELECT element, ordinal, rn = 1 AS kept, rn > 1 AND m <> won AS other_material FROM r WHERE n > 1
+""")
+def duplicate_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("girder_orders")
+    liked = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("element"), F.lit(3).alias("material"))
+    return D.duplicates(spark.sql(FACES.replace("FROM orders", "FROM girder_orders")), liked, "element", "ordinal", "material")
