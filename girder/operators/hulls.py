@@ -119,7 +119,7 @@ def _last(key: tuple, rows: pa.Table) -> pa.Table:
     box, own = float(size[0] * size[1]), area(ring) if len(ring) > 2 else 0.0
     rectangle = smallest_rectangle(ring)
     flat = len(ring) < 3 or box <= 0
-    values = [[key[0].as_py()], [int(np.sum(rows.column("n").to_numpy()))], [[{"x": x, "y": y} for x, y in ring.tolist()]], [own], [box], [rectangle], [1.0 if flat else own / box], [1.0 if flat or rectangle <= 0 else own / rectangle]]
+    values = [pa.array([key[0].as_py()], rows.schema.field("k").type), [int(np.sum(rows.column("n").to_numpy()))], [[{"x": x, "y": y} for x, y in ring.tolist()]], [own], [box], [rectangle], [1.0 if flat else own / box], [1.0 if flat or rectangle <= 0 else own / rectangle]]
     return pa.table(values, ["k", "n", "hull", "area", "box_area", "rectangle_area", "fill", "rectangle_fill"])
 
 

@@ -31,9 +31,9 @@ def running_sums(rows: DataFrame, by: Sequence[str], rank: str, value: str, name
     Sums within blocks of ranks and over whole blocks before them, so a group
     of any size spreads over tasks.
     """
-    keys = [*by, "block_"]
-    placed = rows.withColumn("block_", F.floor(F.col(rank) / block).cast("long"))
-    sums = placed.groupBy(*keys).agg(F.sum(value).alias("sum_"))
-    before = F.coalesce(F.sum("sum_").over(Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = [*by, "running_block_"]
+    placed = rows.withColumn("running_block_", F.floor(F.col(rank) / block).cast("long"))
+    sums = placed.groupBy(*keys).agg(F.sum(value).alias("running_sum_"))
+    before = F.coalesce(F.sum("running_sum_").over(Window.partitionBy(*by).orderBy("running_block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.sum(value).over(Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("within_", within).join(sums.select(*keys, before.alias("before_")), keys).withColumn(name, F.col("within_") + F.col("before_")).drop("block_", "within_", "before_")
+    return placed.withColumn("running_within_", within).join(sums.select(*keys, before.alias("running_before_")), keys).withColumn(name, F.col("running_within_") + F.col("running_before_")).drop("running_block_", "running_within_", "running_before_")

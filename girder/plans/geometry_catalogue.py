@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.operators import hulls as U
+from girder.operators import plates as L
 from girder.operators import polylines as N
 from girder.operators import rings as G
 from girder.operators import triangles as D
@@ -148,3 +149,48 @@ def duplicate_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").createOrReplaceTempView("girder_orders")
     liked = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("element"), F.lit(3).alias("material"))
     return D.duplicates(spark.sql(FACES.replace("FROM orders", "FROM girder_orders")), liked, "element", "ordinal", "material")
+
+
+#: A plate for each customer, a model for each nation.
+PLATES = "SELECT c_nationkey AS model, c_custkey AS level, c_custkey * 37 % 997 / 4e0 AS elevation, c_custkey * 31 % 83 * 1e0 AS x0, c_custkey * 17 % 71 * 1e0 AS y0, 5e0 + c_custkey % 11 AS w, 4e0 + c_custkey % 7 AS h FROM customer"
+CONNECTED = f"""
+WITH p AS ({PLATES}),
+q AS (SELECT a.model, a.level AS lower, b.level AS upper, b.elevation - a.elevation AS rise, a.x0 AS ax, a.y0 AS ay, a.x0 + a.w AS az, a.y0 + a.h AS aw, b.x0 AS bx, b.y0 AS bq, b.x0 + b.w AS bz, b.y0 + b.h AS bw, least(a.w * a.h, b.w * b.h) AS smaller
+  FROM p a JOIN p b ON a.model = b.model AND (b.elevation > a.elevation OR b.elevation = a.elevation AND b.level > a.level) AND b.elevation - a.elevation <= 7),
+d AS (SELECT *, greatest(0, least(az, bz) - greatest(ax, bx)) * greatest(0, least(aw, bw) - greatest(ay, bq)) / smaller AS ratio,
+  list_transform([[ax, ay], [az, ay], [az, aw], [ax, aw]], lambda c: list_concat(c, [bx, bq, bz, bw])) AS one, list_transform([[bx, bq], [bz, bq], [bz, bw], [bx, bw]], lambda c: list_concat(c, [ax, ay, az, aw])) AS two FROM q),
+g AS (SELECT model, lower, upper, rise, ratio, list_min(list_transform(list_concat(one, two), lambda c: CASE WHEN c[1] BETWEEN c[3] AND c[5] AND c[2] BETWEEN c[4] AND c[6] THEN least(c[1] - c[3], c[5] - c[1], c[2] - c[4], c[6] - c[2])
+  ELSE sqrt(pow(greatest(c[3] - c[1], 0, c[1] - c[5]), 2) + pow(greatest(c[4] - c[2], 0, c[2] - c[6]), 2)) END)) AS gap FROM d),
+n AS (SELECT * FROM g WHERE gap <= 3 AND ratio <= 0.12)
+"""
+
+
+def plates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Levels and the rings of their plates."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("girder_customer")
+    boxes = spark.sql(PLATES.replace("FROM customer", "FROM girder_customer"))
+    corner = lambda k, x, y: F.struct(F.lit(k).alias("place"), x.alias("x"), y.alias("y"))
+    x, y, x_, y_ = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    rings = boxes.select("model", "level", F.explode(F.array(corner(0, x, y), corner(1, x_, y), corner(2, x_, y_), corner(3, x, y_))).alias("c")).select("model", "level", F.lit(0).alias("polygon"), F.lit(0).alias("ring"), "c.*")
+    return boxes.select("model", "level", "elevation"), rings
+
+
+@query(CONNECTED + "SELECT model, lower, upper, rise, round(gap, 6) AS gap, round(ratio, 6) AS ratio FROM n")
+def level_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(L.connections(*plates(spark, sf_dir))[0], "gap", "ratio")
+
+
+@query(CONNECTED.replace("WITH p", "WITH RECURSIVE p", 1) + """,
+i AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY elevation, level) AS k FROM p),
+s AS (SELECT n.model, a.k AS a, b.k AS b, row_number() OVER (PARTITION BY n.model ORDER BY a.k, b.k) AS step FROM n JOIN i a ON a.model = n.model AND a.level = n.lower JOIN i b ON b.model = n.model AND b.level = n.upper),
+e AS (SELECT model, list(elevation ORDER BY k) AS es, list(w * h ORDER BY k) AS areas, list(level ORDER BY k) AS levels, range(1, count(*) + 1) AS own FROM i GROUP BY model),
+u AS (SELECT model, CAST(0 AS BIGINT) AS step, own AS root FROM e UNION ALL
+  SELECT u.model, s.step, CASE WHEN list_max(list_transform(own, lambda k: CASE WHEN root[k] IN (root[a], root[b]) THEN es[k] END)) - list_min(list_transform(own, lambda k: CASE WHEN root[k] IN (root[a], root[b]) THEN es[k] END)) <= 7
+    THEN list_transform(root, lambda r: CASE WHEN r = root[b] THEN root[a] ELSE r END) ELSE root END FROM u JOIN s ON s.model = u.model AND s.step = u.step + 1 JOIN e ON e.model = u.model),
+f AS (SELECT model, max_by(root, step) AS root FROM u GROUP BY model),
+r AS (SELECT f.model, unnest(own) AS k, unnest(root) AS root, unnest(levels) AS level, unnest(areas) AS area FROM f JOIN e USING (model))
+SELECT model, level, first_value(level) OVER (PARTITION BY model, root ORDER BY k) AS group_level, first_value(level) OVER (PARTITION BY model, root ORDER BY area DESC, k) AS primary_level FROM r
+""")
+def connected_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined, found = L.connections(*plates(spark, sf_dir))
+    return L.storeys(found, joined)
