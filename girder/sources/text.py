@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -190,13 +191,38 @@ def merged_taxonomies(*editions: DataFrame) -> DataFrame:
     return out.dropDuplicates(["number", "title", "level", "category_id"])
 
 
+_ATOM = Y.StructType([*(Y.StructField(n, Y.StringType()) for n in ("title", "id", "updated")), Y.StructField("categories", Y.ArrayType(Y.StringType())), Y.StructField("error", Y.StringType())])
+
+
+def _local(tag: str) -> str:
+    """An XML name without its namespace."""
+    return tag.rsplit("}", 1)[-1]
+
+
+def _atom(text: str | None) -> tuple:
+    """(title, id, updated, categories, error) of one Atom text."""
+    if text is None or not text.strip():
+        return None, None, None, None, "empty"
+    try:
+        root = ElementTree.fromstring(text.encode())
+    except ElementTree.ParseError as e:
+        return None, None, None, None, f"malformed: {e}"
+    found: dict[str, str] = {}
+    for child in root:
+        if _local(child.tag) in ("title", "id", "updated") and child.text:
+            found.setdefault(_local(child.tag), child.text)
+    terms = [t.text or "" for c in root.iter() if _local(c.tag) == "category" for t in c if _local(t.tag) == "term"]
+    return found.get("title"), found.get("id"), found.get("updated"), terms, None
+
+
+@F.pandas_udf(_ATOM)
+def _atom_rows(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_atom(t) for t in text], columns=["title", "id", "updated", "categories", "error"])
+
+
 def atom_entries(texts: DataFrame) -> DataFrame:
-    """(path, title, id, updated, categories) of Atom entries, whatever their namespace prefixes; a text that is no XML has nulls."""
-    xml = F.regexp_replace("text", r"(?s)<\?xml.*?\?>|<!DOCTYPE[^>]*>", "")
-    fine = F.when(xml.rlike(r"(?s)^\s*<([\w:.-]+)\b.*</\1>\s*$"), xml)
-    at = lambda name: F.nullif(F.xpath_string(fine, F.lit(f"/*/*[local-name()='{name}'][1]")), F.lit(""))
-    terms = F.xpath(fine, F.lit("//*[local-name()='category']/*[local-name()='term']/text()"))
-    return texts.select("path", at("title").alias("title"), at("id").alias("id"), at("updated").alias("updated"), terms.alias("categories"))
+    """(path, title, id, updated, categories, error) of Atom entries, whatever their namespace prefixes; a text that is empty or no well-formed XML has nulls and an error that names the cause and its place."""
+    return texts.select("path", _atom_rows("text").alias("a")).select("path", "a.*")
 
 
 def step_entities(texts: DataFrame) -> DataFrame:
@@ -219,12 +245,25 @@ def file_properties(texts: DataFrame) -> DataFrame:
     return pairs.unionByName(release)
 
 
+def step_decoded(text: Column) -> Column:
+    """The text that a STEP string's escapes stand for: \\X2\\ and \\X4\\ runs of hexadecimal numbers, \\X\\ and \\S\\ for one character, doubled backslashes."""
+    wide = F.split(text, r"\\(?=X[024]\\)", -1)  # a part begins with its escape
+    hexed = lambda p, n: F.decode(F.unhex(F.substring(p, F.lit(4), F.length(p) - 3)), n)
+    part = lambda p: F.when(p.startswith("X2\\"), hexed(p, "UTF-16BE")).when(p.startswith("X4\\"), hexed(p, "UTF-32BE")).when(p.startswith("X0\\"), F.substring(p, F.lit(4), F.length(p)))
+    out = F.array_join(F.transform(wide, lambda p, i: F.when(i == 0, p).otherwise(F.coalesce(part(p), F.concat(F.lit("\\"), p)))), "")
+    one = F.split(out, r"\\X\\(?=[0-9A-Fa-f]{2})", -1)
+    out = F.array_join(F.transform(one, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.decode(F.unhex(F.substring(p, 1, 2)), "ISO-8859-1"), F.substring(p, F.lit(3), F.length(p))))), "")
+    high = F.split(out, r"\\S\\(?=[ -~])", -1)
+    out = F.array_join(F.transform(high, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.decode(F.unhex(F.hex(F.ascii(F.substring(p, 1, 1)) + 128)), "ISO-8859-1"), F.substring(p, F.lit(2), F.length(p))))), "")
+    return F.replace(out, F.lit("\\\\"), F.lit("\\"))
+
+
 def products(entities: DataFrame, types: list[str]) -> DataFrame:
     """(path, entity_id, type, guid, name) of the products of the types asked for; guid and name are the first and the third of their arguments, null where they are no text."""
     value = r"\s*+((?:'[^']*+')++|[^,']*+)"
     part = lambda k: F.regexp_extract("arguments", f"^{value},{value},{value}", k)
     wanted = entities.filter(F.col("type").isin(*[t.upper() for t in types])).withColumns({"a_": part(1), "b_": part(3)})
-    bare = lambda c: F.when(F.col(c).startswith("'"), F.replace(F.substring(F.col(c), F.lit(2), F.length(c) - 2), F.lit("''"), F.lit("'")))
+    bare = lambda c: F.when(F.col(c).startswith("'"), step_decoded(F.replace(F.substring(F.col(c), F.lit(2), F.length(c) - 2), F.lit("''"), F.lit("'"))))
     return wanted.select("path", "entity_id", "type", bare("a_").alias("guid"), bare("b_").alias("name"))
 
 
