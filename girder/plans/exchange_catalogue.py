@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import identifiers as I
+from girder.operators.postings import Postings, values_of
 from girder.plans.catalogue import query, table
 from girder.plans.source_catalogue import place, texts_at
 from girder.sources import step as Z
 from girder.sources import text as T
+from girder.sources.library import read_library
 from girder.sources.shared import written
+from girder.streaming import recents as S
 
 
 @query("""
@@ -63,3 +66,53 @@ def ifc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = fills.join(voids, "opening").join(named.select(F.col("entity_id").alias("host_id"), F.col("name").alias("host")), "host_id").select("entity_id", "host")
     out = named.filter("type != 'IFCBUILDINGSTOREY'").join(said("IFCRELCONTAINEDINSPATIALSTRUCTURE", named, "storey"), "entity_id", "left").join(said("IFCRELASSOCIATESMATERIAL", materials, "material"), "entity_id", "left").join(host, "entity_id", "left")
     return out.select("type", "name", "storey", "material", "host")
+
+
+RECENT = "user_id AS owner, event_type || '-' || CAST(event_id % 6 AS {text}) AS name, event_id % 3 AS size, event_id % 2 AS modified, event_id * 7919 % 1000003 AS opened_at"
+
+
+@query(f"""
+WITH e AS (SELECT {RECENT.format(text='VARCHAR')} FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+l AS (SELECT owner, name, size, modified, max(opened_at) AS opened_at FROM e GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY opened_at DESC, name, size) AS place, max(opened_at) OVER (PARTITION BY owner) AS newest FROM l)
+SELECT owner, CAST(place AS INTEGER) AS place, name, size, modified, opened_at FROM n WHERE place <= 5 AND opened_at >= newest - 60000
+""")
+def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events come in no order, in several batches, and the stream is stopped and started again in between."""
+    events = table(spark, sf_dir, "events").filter("event_type is not null").selectExpr(*[x.strip() for x in RECENT.format(text="STRING").split(", ")], "false AS removed", "event_id")
+    source, out, check = place(spark, "opened"), place(spark, "recents"), place(spark, "recents-state")
+    for part in (0, 1):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).repartition(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        S.keep_recents(stream, out, check, 5, 60000).awaitTermination()
+    return S.current_recents(spark.read.parquet(out))
+
+
+@query("""
+SELECT CASE WHEN right(p_brand, 1) NOT IN ('4', '5') THEN p_brand END AS title, CASE WHEN right(p_brand, 1) NOT IN ('4', '5') THEN CAST(count(*) AS INTEGER) END AS n_categories, CASE right(p_brand, 1) WHEN '4' THEN 'empty' WHEN '5' THEN 'malformed' END AS problem FROM part GROUP BY p_brand
+""")
+def library_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One description for each brand; some are empty, some cut off."""
+    term = F.concat(F.lit("<a:category><a:term>"), F.replace("p_name", F.lit("&"), F.lit("&amp;")), F.lit("</a:term></a:category>"))
+    texts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat_ws("", F.sort_array(F.collect_list(term))).alias("terms"))
+    whole = F.concat(F.lit('<a:entry xmlns:a="http://www.w3.org/2005/Atom"><a:title>'), F.col("p_brand"), F.lit("</a:title>"), F.col("terms"))
+    last = F.substring("p_brand", -1, 1)
+    path = place(spark, "library")
+    texts.select(F.col("p_brand").alias("k"), F.when(last == "4", "").when(last == "5", whole).otherwise(F.concat(whole, F.lit("</a:entry>"))).alias("value")).write.partitionBy("k").text(path)
+    return read_library(spark, path).select("title", F.when(F.col("error").isNull(), F.size("categories")).alias("n_categories"), F.split_part("error", F.lit(":"), F.lit(1)).alias("problem"))
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, lower(p_name || ' ' || p_type) AS v FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT o_orderkey FROM orders WHERE contains(lower(o_orderpriority), '1-urg') OR o_orderkey IN (SELECT l_orderkey FROM t WHERE contains(v, '1-urg'))
+UNION ALL (SELECT o_orderkey + 1000000000 FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM t WHERE contains(v, lower((SELECT min(p_name) FROM part)))) ORDER BY o_orderkey LIMIT 100)
+""")
+def nested_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries with nested types, searched for a text of the entry itself and for one of its types."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_type").alias("type"), "p_name")
+    nested = table(spark, sf_dir, "lineitem").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("type").alias("types"))  # one order's lines
+    entries = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(nested, "o_orderkey", "left")
+    index = Postings(entries, "o_orderkey", values_of(F.array("o_orderpriority"), F.coalesce("types", F.array().cast("array<string>"))))
+    name = part.agg(F.min("p_name")).first()[0]
+    n = entries.count()
+    return index.search("1-URG", ["o_orderkey"], n).select("o_orderkey").unionByName(index.search(name, ["o_orderkey"]).select((F.col("o_orderkey") + 1000000000).alias("o_orderkey")))

@@ -247,15 +247,15 @@ def file_properties(texts: DataFrame) -> DataFrame:
 
 def step_decoded(text: Column) -> Column:
     """The text that a STEP string's escapes stand for: \\X2\\ and \\X4\\ runs of hexadecimal numbers, \\X\\ and \\S\\ for one character, doubled backslashes."""
-    wide = F.split(text, r"\\(?=X[024]\\)", -1)  # a part begins with its escape
-    hexed = lambda p, n: F.decode(F.unhex(F.substring(p, F.lit(4), F.length(p) - 3)), n)
-    part = lambda p: F.when(p.startswith("X2\\"), hexed(p, "UTF-16BE")).when(p.startswith("X4\\"), hexed(p, "UTF-32BE")).when(p.startswith("X0\\"), F.substring(p, F.lit(4), F.length(p)))
-    out = F.array_join(F.transform(wide, lambda p, i: F.when(i == 0, p).otherwise(F.coalesce(part(p), F.concat(F.lit("\\"), p)))), "")
-    one = F.split(out, r"\\X\\(?=[0-9A-Fa-f]{2})", -1)
-    out = F.array_join(F.transform(one, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.decode(F.unhex(F.substring(p, 1, 2)), "ISO-8859-1"), F.substring(p, F.lit(3), F.length(p))))), "")
-    high = F.split(out, r"\\S\\(?=[ -~])", -1)
-    out = F.array_join(F.transform(high, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.decode(F.unhex(F.hex(F.ascii(F.substring(p, 1, 1)) + 128)), "ISO-8859-1"), F.substring(p, F.lit(2), F.length(p))))), "")
-    return F.replace(out, F.lit("\\\\"), F.lit("\\"))
+    tokens = F.regexp_extract_all(text, F.lit(r"\\X[24]\\[0-9A-Fa-f]*+\\X0\\|\\X\\[0-9A-Fa-f]{2}|\\S\\[ -~]|\\\\|[^\\]++|\\"), F.lit(0))
+    digits = lambda p: F.unhex(F.substring(p, F.lit(5), F.length(p) - 8))
+
+    def meant(p: Column) -> Column:
+        latin = F.when(p.startswith("\\X\\"), F.unhex(F.substring(p, 4, 2))).when(p.startswith("\\S\\") & (F.length(p) == 4), F.unhex(F.hex(F.ascii(F.substring(p, 4, 1)) + 128)))
+        escaped = F.when(p.rlike(r"^\\X2."), F.decode(digits(p), "UTF-16BE")).when(p.rlike(r"^\\X4."), F.decode(digits(p), "UTF-32")).when(p == "\\\\", "\\")
+        return F.coalesce(escaped, F.decode(latin, "ISO-8859-1"), p)
+
+    return F.array_join(F.transform(tokens, meant), "")
 
 
 def products(entities: DataFrame, types: list[str]) -> DataFrame:
