@@ -152,7 +152,7 @@ def duplicate_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A plate for each customer, a model for each nation.
-PLATES = "SELECT c_nationkey AS model, c_custkey AS level, c_custkey * 37 % 997 / 4e0 AS elevation, c_custkey * 31 % 83 * 1e0 AS x0, c_custkey * 17 % 71 * 1e0 AS y0, 5e0 + c_custkey % 11 AS w, 4e0 + c_custkey % 7 AS h FROM customer"
+PLATES = "SELECT c_nationkey AS model, c_custkey AS level, c_custkey * 37 % 97 / 4e0 AS elevation, c_custkey * 31 % 83 * 1e0 AS x0, c_custkey * 17 % 71 * 1e0 AS y0, 5e0 + c_custkey % 11 AS w, 4e0 + c_custkey % 7 AS h FROM customer"
 CONNECTED = f"""
 WITH p AS ({PLATES}),
 q AS (SELECT a.model, a.level AS lower, b.level AS upper, b.elevation - a.elevation AS rise, a.x0 AS ax, a.y0 AS ay, a.x0 + a.w AS az, a.y0 + a.h AS aw, b.x0 AS bx, b.y0 AS bq, b.x0 + b.w AS bz, b.y0 + b.h AS bw, least(a.w * a.h, b.w * b.h) AS smaller
