@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
-RESPONSE = r"(?s)<tool_response>\s*(.*?)\s*</tool_response>"
-TOOLS = r"(?s)<tools>\s*(.*?)\s*</tools>"
+#: Tags around a call's, a result's and the tools' JSON.
+CALL, RESPONSE, TOOLS = "tool_call", "tool_response", "tools"
+#: White space around it.
+SPACE = " \t\n\v\f\r"
 
 # JSON schema types and the names that Spark gives to such values.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT", "null": "^VOID$"}
@@ -50,6 +51,24 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def tagged(text: Column, tag: str) -> Column:
+    """What stands between a tag and its next closing tag, each time, without the white space around it: the text is split at the closing tags and a part counts from its first opening one, so a text is read once whatever it holds."""
+    opening = f"<{tag}>"
+    parts = F.split(text, f"</{tag}>", -1)
+    closed = F.slice(parts, F.lit(1), F.size(parts) - 1)  # no closing tag follows the last part
+    inner = lambda p: F.substring(p, F.call_function("locate", F.lit(opening), p) + len(opening), F.length(p))
+    return F.transform(F.filter(closed, lambda p: p.contains(opening)), lambda p: F.btrim(inner(p), F.lit(SPACE)))
+
+
+def untagged(text: Column, tag: str) -> Column:
+    """The text without what ``tagged`` finds in it, tags included."""
+    opening, closing = f"<{tag}>", f"</{tag}>"
+    parts = F.split(text, closing, -1)
+    closed = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    kept = F.transform(closed, lambda p: F.when(p.contains(opening), F.substring_index(p, opening, 1)).otherwise(F.concat(p, F.lit(closing))))
+    return F.concat(F.array_join(kept, ""), F.element_at(parts, -1))
+
+
 def canonical(json: Column) -> Column:
     """Canonical JSON: an object's keys are held in order by the variant type."""
     return F.to_json(F.try_parse_json(json))
@@ -63,9 +82,9 @@ def _parts(text: Column, role: Column) -> tuple[Column, Column]:
     """JSON texts of a message's calls and of its results."""
     whole = F.when(F.ltrim(text).startswith("{"), text)
     listed = F.transform(F.try_variant_get(F.try_parse_json(whole), "$.tool_calls", "array<variant>"), lambda x: F.to_json(x))
-    calls = F.concat(F.regexp_extract_all(text, F.lit(CALL), F.lit(1)), F.coalesce(listed, _none()))
+    calls = F.concat(tagged(text, CALL), F.coalesce(listed, _none()))
     own = F.when((role == "tool") & whole.isNotNull(), F.array(text)).otherwise(_none())
-    results = F.concat(F.regexp_extract_all(text, F.lit(RESPONSE), F.lit(1)), own)
+    results = F.concat(tagged(text, RESPONSE), own)
     return calls, results
 
 
@@ -77,7 +96,7 @@ def _call_fields(json: Column) -> list[Column]:
 
 def schemas(messages: DataFrame) -> DataFrame:
     """(conv_id, name, schema) of the tools that system messages declare; of several with one name the first text counts."""
-    listed = messages.filter("role = 'system' and text like '%<tools>%'").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(TOOLS), F.lit(1))).alias("tools"))
+    listed = messages.filter("role = 'system' and text like '%<tools>%'").select("conv_id", F.explode(tagged(F.col("text"), TOOLS)).alias("tools"))
     tool = listed.select("conv_id", F.explode(F.try_variant_get(F.try_parse_json("tools"), "$", "array<variant>")).alias("tool")).select("conv_id", F.to_json("tool").alias("tool"))
     part = lambda path, kind: F.coalesce(_get(F.col("tool"), f"$.function.{path}", kind), _get(F.col("tool"), f"$.{path}", kind))
     named = tool.select("conv_id", part("name", "string").alias("name"), F.to_json(part("parameters", "variant")).alias("schema"))
@@ -227,7 +246,7 @@ def link(messages: DataFrame) -> DataFrame:
     bare = lambda x: F.substring(quoted(x), F.lit(2), F.length(quoted(x)) - 2)
     made_json = F.array_join(F.transform("made", lambda x: F.concat(F.lit('{"arguments":'), F.coalesce(x["arguments"], F.lit("null")), F.lit(',"id":'), bare(x["id"]), F.lit(',"name":'), bare(x["name"]), F.lit("}"))), ",")
     answered_json = F.array_join(F.transform("answered", lambda x: bare(x["id"])), ",")
-    content = F.trim(F.regexp_replace(F.regexp_replace(text, CALL, ""), RESPONSE, ""))
+    content = F.trim(untagged(untagged(text, CALL), RESPONSE))
     body = F.concat(F.lit('{"content":'), bare(F.coalesce(canonical(F.when(F.ltrim(text).startswith("{"), text)), content)), F.lit(',"role":'), bare(F.col("role")), F.lit(',"tool_call_ids":['), answered_json, F.lit('],"tool_calls":['), made_json, F.lit("]}"))
     linked = F.size(F.filter("made", lambda x: x["linked"])) + F.size(F.filter("answered", lambda x: x["linked"]))
     return plain.unionByName(

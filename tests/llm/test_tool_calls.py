@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from girder.llm import tool_calls as C
 
 TOOLS = '<tools>[{"name":"add","parameters":{"type":"object","properties":{"a":{"type":"integer"},"b":{"type":"number"},"c":{"type":"array"}},"required":["a","b"]}}]</tools>'
@@ -153,3 +155,27 @@ def test_chains_follow_what_moved(spark):
 def test_no_python_in_the_plan(spark):
     plan = C.link(spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_tags_are_read_as_the_patterns_say(spark):
+    import random
+    import re
+
+    r = random.Random(9)
+    texts = ["".join(r.choice(["<tool_call>", "</tool_call>", "<tool_response>", "</tool_response>", " ", "\n", "{x}", "é"]) for _ in range(r.randrange(0, 14))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = rows.select("t", C.tagged(F.col("t"), C.CALL).alias("a"), C.untagged(F.col("t"), C.CALL).alias("b")).collect()
+    for x in out:
+        assert x["a"] == [m.strip(" \t\n\v\f\r") for m in re.findall(r"(?s)<tool_call>(.*?)</tool_call>", x["t"])]
+        assert x["b"] == re.sub(r"(?s)<tool_call>.*?</tool_call>", "", x["t"])
+
+
+def test_no_message_takes_long(spark):
+    import time
+
+    texts = ["<tool_call>" + " " * 100_000, "<tool_call>" * 100_000, "<tool_call> {}" * 20_000 + " " * 100_000 + "x</tool_call>", "</tool_response>" * 100_000, "<tools>" + " " * 100_000]
+    rows = spark.createDataFrame([(k, 0, "system" if k == 4 else "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    C.link(rows.limit(1)).collect()
+    began = time.perf_counter()
+    assert C.link(rows).count() == len(texts)
+    assert time.perf_counter() - began < 30  # the session's start of many small jobs; the texts take well under a second each
