@@ -62,13 +62,23 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([one] * len(keys)), pa.array(np.full(len(keys), k + 1, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))], ["lang", "size", "gram", "n"])
 
 
+def placed(hash_: Column) -> Column:
+    """A hash's place between 0 and 1: its upper 53 bits, as many as a double holds."""
+    return F.shiftrightunsigned(hash_, 11).cast("double") / float(1 << 53)
+
+
+def share_of(texts: Column, most: int) -> Column:
+    """The share of hashes that leaves about ``most`` of so many texts; it isn't rounded, so it is 0 for no number of texts."""
+    return F.least(F.lit(1.0), F.lit(float(most)) / texts)
+
+
 def bounded_sample(docs: DataFrame, by: str, most: int) -> DataFrame:
     """Distinct texts with the smallest hashes: about ``most`` of each value of ``by``, all if there are fewer."""
     hash_ = F.xxhash64("text", F.lit(17))
     rates = docs.groupBy(F.col(by).alias("of_")).agg(F.approx_count_distinct(hash_).alias("texts_"))
     # written first, so its size is known and texts aren't shuffled to meet a few values
-    rates = materialize(rates.select("of_", F.least(F.lit(1 << 20), F.floor(F.lit(most << 20) / F.col("texts_"))).alias("share_")), "rates")
-    few = docs.join(rates, docs[by] == F.col("of_")).filter(F.pmod(hash_, F.lit(1 << 20)) < F.col("share_"))
+    rates = materialize(rates.select("of_", share_of(F.col("texts_"), most).alias("share_")), "rates")
+    few = docs.join(rates, docs[by] == F.col("of_")).filter(placed(hash_) < F.col("share_"))
     return few.withColumn("hash_", hash_).dropDuplicates([by, "hash_"]).select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from girder.llm import language_id as L
 
@@ -75,6 +76,14 @@ def test_copies_count_once(spark):
     assert sum(r["text"] == "same text" for r in got) <= 1 and 10 <= sum(r["lang"] == "en" for r in got) <= 50 and sum(r["lang"] == "fr" for r in got) == 1
 
 
+def test_a_language_of_any_size_is_sampled(spark):
+    sizes = [10, 300, 3 * 10**8, 4 * 10**8, 10**12]
+    shares = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(L.share_of(F.col("n"), 300)).collect()]
+    assert all(abs(share * n - min(300, n)) < 1e-3 for share, n in zip(shares, sizes, strict=True))
+    places = spark.range(100_000).select(L.placed(F.xxhash64("id")).alias("p"))
+    assert abs(places.filter("p < 0.03").count() - 3000) < 300 and places.filter("p < 0 or p >= 1").count() == 0
+
+
 def test_pipeline_and_edge_cases(spark):
     rows = [(k, TEXTS["en" if k % 2 else "fr"][k % 4 // 2] + f" {k}", "en" if k % 2 else "fr", "x") for k in range(60)] + [(100, None, "en", "x"), (101, "123 ...", "en", "x"), (102, "the dog " * 20_000, None, "x"), (None, "le chat et la table", "fr", "x"), (5, "the mat", "en", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
