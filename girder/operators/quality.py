@@ -146,17 +146,21 @@ def class_agreement(rows: DataFrame, class_: str, error: Column, tolerance: floa
     return counts.join(median, "class").select("class", "matched", (F.col("ok_") * 100.0 / F.col("matched")).alias("ok_percent"), "median_err")
 
 
-#: Partitions that are compared in pairs.
-MOST_PARTITIONS = 1000
+#: Partitions of a block.
+BLOCK = 1000
 
 
 def holdout_z(rows: DataFrame, partition: str, ok: Column, least: int = 20) -> DataFrame:
-    """(a, b, z): two-proportion z of every pair of partitions with enough rows (one row for each partition is paired, not the rows)."""
-    g = written(rows.groupBy(F.col(partition).alias("p")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).filter(F.col("n") >= least), "partitions")
-    if g.count() > MOST_PARTITIONS:
-        raise ValueError(f"more than {MOST_PARTITIONS} partitions: the number of their pairs grows with its square")
-    whole = g.agg(F.collect_list(F.struct("p", "n", "ok")).alias("all_"))  # as many as there are partitions
-    pairs = whole.select(F.explode("all_").alias("x"), "all_").select("x", F.explode("all_").alias("y")).filter("x.p < y.p")
+    """(a, b, z): two-proportion z of every pair of partitions with enough rows (one row for each partition is paired, not the rows).
+
+    Partitions are dealt to blocks of about BLOCK and blocks meet blocks by an
+    equi-join, so no task holds all of them, however many there are.
+    """
+    g = written(rows.groupBy(F.col(partition).alias("p")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).filter((F.col("n") >= least) & F.col("p").isNotNull()), "partitions")
+    blocks = -(-g.count() // BLOCK) or 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    mine = g.select(F.struct("p", "n", "ok").alias("r"), F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int").alias("block"))
+    pairs = mine.select(F.col("r").alias("x"), F.col("block").alias("i"), every.alias("j")).join(mine.select(F.col("r").alias("y"), F.col("block").alias("j"), every.alias("i")), ["i", "j"]).filter("x.p < y.p")
     pool = (F.col("x.ok") + F.col("y.ok")) / (F.col("x.n") + F.col("y.n"))
     z = (F.col("x.ok") / F.col("x.n") - F.col("y.ok") / F.col("y.n")) / F.sqrt(pool * (1 - pool) * (F.lit(1.0) / F.col("x.n") + F.lit(1.0) / F.col("y.n")))
     return pairs.filter((pool > 0) & (pool < 1)).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"), z.alias("z"))

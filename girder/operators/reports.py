@@ -58,9 +58,3 @@ def sampled_markers(pages: DataFrame, page: str, marker: str, count: str, sample
     kept = pages.crossJoin(whole).filter(F.col(page) % stride == 0)
     sums = kept.groupBy(marker).agg(F.sum(count).alias("n")).filter(F.col("n") >= support)
     return sums.orderBy(F.desc("n"), marker).limit(top)
-
-
-def captured(files: DataFrame, decoded: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(what was decoded, (path, error) of the files of which nothing was)."""
-    errors = files.select(path).join(decoded.select(path).distinct(), path, "left_anti").withColumn("error", F.lit("nothing could be read"))
-    return decoded, errors

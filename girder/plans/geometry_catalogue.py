@@ -10,6 +10,7 @@ from girder.operators import plates as L
 from girder.operators import polylines as N
 from girder.operators import rings as G
 from girder.operators import triangles as D
+from girder.operators.spatial import nearest_segment
 from girder.plans.catalogue import query, rounded, table
 
 #: One row for each line number of an order.
@@ -194,3 +195,17 @@ SELECT model, level, first_value(level) OVER (PARTITION BY model, root ORDER BY
 def connected_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined, found = L.connections(*plates(spark, sf_dir))
     return L.storeys(found, joined)
+
+
+@query("""
+WITH p AS (SELECT c_custkey, c_custkey * 31 % 499 + 0.37e0 AS x, c_custkey * 17 % 487 + 0.11e0 AS y FROM customer),
+s AS (SELECT p_partkey, p_partkey * 7 % 503 * 1e0 AS x0, p_partkey * 11 % 491 * 1e0 AS y0, p_partkey * 7 % 503 + p_partkey % 13 - 6e0 AS x1, p_partkey * 11 % 491 + p_partkey % 9 * CASE WHEN p_partkey % 50 = 0 THEN 40 ELSE 1 END - 4e0 AS y1 FROM part),
+l AS (SELECT *, pow(x1 - x0, 2) + pow(y1 - y0, 2) AS len FROM s),
+t AS (SELECT c_custkey, x, y, l.*, CASE WHEN len > 0 THEN greatest(0e0, least(1e0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / len)) ELSE 0e0 END AS t FROM p JOIN l ON x BETWEEN least(x0, x1) - 6 AND greatest(x0, x1) + 6 AND y BETWEEN least(y0, y1) - 6 AND greatest(y0, y1) + 6),
+d AS (SELECT c_custkey, p_partkey, sqrt(pow(x - x0 - t * (x1 - x0), 2) + pow(y - y0 - t * (y1 - y0), 2)) AS distance FROM t)
+SELECT c_custkey, min({'d': distance, 'p': p_partkey}).p AS p_partkey, round(min(distance), 6) AS distance FROM d WHERE distance <= 6 GROUP BY c_custkey
+""")
+def nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_custkey * 31 % 499 + 0.37D AS x", "c_custkey * 17 % 487 + 0.11D AS y")
+    segments = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 7 % 503 * 1D AS x0", "p_partkey * 11 % 491 * 1D AS y0", "p_partkey * 7 % 503 + p_partkey % 13 - 6D AS x1", "p_partkey * 11 % 491 + p_partkey % 9 * CASE WHEN p_partkey % 50 = 0 THEN 40 ELSE 1 END - 4D AS y1")
+    return rounded(nearest_segment(points, segments, "c_custkey", "p_partkey", 6.0), "distance")

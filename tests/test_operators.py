@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from girder.functions import semantics as X
 from girder.operators import quality as Q
-from girder.operators import reports as V
 from girder.operators import resolve as R
 from girder.operators import search as S
 from girder.operators import shape as H
@@ -170,7 +169,10 @@ def test_rings_and_lines(spark):
     assert one(spark, X.polygon_area(ring)) == 6.0 and one(spark, X.polyline_length(ring)) == 7.0
 
 
-def test_files_of_which_nothing_is_read(spark):
-    files = spark.createDataFrame([("a",), ("b",)], "path string")
-    rows, errors = V.captured(files, spark.createDataFrame([("a", 1)], "path string, v int"), "path")
-    assert rows.count() == 1 and [r["path"] for r in errors.collect()] == ["b"]
+def test_all_pairs_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 7)
+    rows = spark.range(40 * 25).selectExpr("id % 40 AS p", "id % 3 = 0 OR id % 40 > 30 AS ok").unionByName(spark.createDataFrame([(None, True)] * 30, "p long, ok boolean"))
+    counts = {r["p"]: (r["n"], r["k"]) for r in rows.groupBy("p").agg(F.count("*").alias("n"), F.count_if("ok").alias("k")).filter("p is not null").collect()}
+    wanted = sum(0 < counts[a][1] + counts[b][1] < counts[a][0] + counts[b][0] for a in counts for b in counts if a < b)
+    found = Q.holdout_z(rows, "p", F.col("ok")).collect()
+    assert len(found) == wanted == len({(r["a"], r["b"]) for r in found}) and all(r["a"] < r["b"] for r in found)
