@@ -9,6 +9,7 @@ from girder.functions import semantics as X
 from girder.operators import quality as Q
 from girder.operators import relations as L
 from girder.operators import reports as V
+from girder.operators import resolve as R
 from girder.operators import scene as C
 from girder.operators import search as S
 from girder.operators import shape as H
@@ -440,3 +441,21 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     known = lines.filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("at")).agg(F.max("l_partkey").alias("v"))
     return H.as_of(lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), known, {"l_suppkey": "k"}, "l_quantity", "at", ["v"]).select("l_orderkey", "l_linenumber", "v")
+
+
+@query("""
+WITH v AS (SELECT o_orderkey AS id, o_custkey % 100 AS code, CASE WHEN o_orderkey % 6 <> 0 THEN 'C' || CAST(o_custkey % 4 AS VARCHAR) ELSE o_orderstatus END AS category, o_orderpriority IN ('1-URGENT', '2-HIGH') AS donated FROM orders),
+c AS (SELECT code, category, count(*) AS n, min(id) AS f FROM v WHERE category IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT code, category, n, sum(n) OVER (PARTITION BY code) AS support, row_number() OVER (PARTITION BY code ORDER BY n DESC, f) AS rn FROM c),
+k AS (SELECT code, category AS agreed FROM r WHERE rn = 1 AND ((support >= 8 AND n >= 0.7 * support) OR (support >= 4 AND n >= 0.85 * support) OR (support >= 3 AND n = support))),
+o AS (SELECT v.*, donated AND agreed IS NOT NULL AND agreed IS DISTINCT FROM category AS overridden, agreed FROM v LEFT JOIN k USING (code))
+SELECT CASE WHEN overridden THEN agreed ELSE category END AS category, CASE WHEN overridden THEN 'code-consensus' WHEN donated THEN 'donated' ELSE 'own' END AS source, count(*) AS n FROM o GROUP BY 1, 2
+""")
+def category_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows have each category, and whence: their own, a donated one, or the consensus that overrode a donated one."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("code"), F.when(F.col("o_orderkey") % 6 != 0, F.concat(F.lit("C"), (F.col("o_custkey") % 4).cast("string"))).otherwise(F.col("o_orderstatus")).alias("category"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("donated")
+    )
+    over = R.override_donated(rows, R.consensus(rows, ["code"], "category", "id"), ["code"], "category", "donated")
+    source = F.when(F.col("overridden"), "code-consensus").when(F.col("donated"), "donated").otherwise("own")
+    return over.groupBy("category", source.alias("source")).agg(F.count("*").alias("n"))
