@@ -178,4 +178,4 @@ def test_no_message_takes_long(spark):
     C.link(rows.limit(1)).collect()
     began = time.perf_counter()
     assert C.link(rows).count() == len(texts)
-    assert time.perf_counter() - began < 30  # the session's start of many small jobs; the texts take well under a second each
+    assert time.perf_counter() - began < 120  # many small jobs; patterns that look back took hours on such texts
