@@ -5,17 +5,24 @@ directions, so a squared projected distance over the squared distance follows
 a chi-square law with M degrees of freedom. Projections are indexed in one
 kd-tree: its upper levels, learned from a bounded sample (SAMPLE_ROWS vectors,
 chosen by a hash), deal all vectors to leaves; each leaf's vectors have a
-kd-tree of their own. A query first searches its own leaf; the distance of the
-farthest neighbour found there says which other leaves can hold nearer ones:
-those whose box is met before the chi-square test stops with probability SURE.
-In a leaf, parts are visited in the order of their least projected distance and
-verified by true distance until the test holds.
-
-So a vector is moved twice (to its leaf, for both rounds), and a query to the
-leaves within its reach. Leaves hold about LEAF_ROWS vectors; larger ones (far
+kd-tree of their own. A query visits leaves by their least projected distance,
+in rounds of 1, GROWTH, GROWTH^2, ... leaves. After each round the distance of
+the farthest neighbour found is its reach, and the search ends at the first
+leaf whose box is met only after the chi-square test stops with probability
+SURE, so what a round finds keeps the next ones short. In a leaf, parts are
+visited in the same order and verified by true distance until the test holds.
+
+A round moves the vectors of the leaves that some query visits, and a query to
+its leaves of the round. Leaves hold about LEAF_ROWS vectors; larger ones (far
 more rows than the sample's leaves allow for, or many equal projections) are
-cut by a hash. Of equal vectors the k + 1 with the smallest ids can be
-neighbours, so only they are indexed, and equal queries are searched once.
+cut by a hash, and a leaf's queries are dealt to groups of about QUERIES, so
+the size of a group doesn't grow with the tables. Of equal vectors the k + 1
+with the smallest ids can be neighbours, so only they are indexed, and equal
+queries are searched once.
+
+How many leaves are visited depends on the data alone: clusters end the search
+early, but where the nearest neighbours are hardly nearer than any vector (as
+in noise of many dimensions) no projection tells leaves apart, and all are met.
 
 Cases: null or zero vectors, and vectors with null or non-finite components
 or with another length than most, take no part (as queries or candidates);
@@ -39,7 +46,9 @@ from .storage import forget, materialize, small_batches
 
 M, PART, SURE, LEAF_ROWS = 8, 64, 0.99, 8192
 #: Vectors from which the upper levels of the tree are learned, and the most leaves that they have: both bound what goes through the driver.
-SAMPLE_ROWS, MOST_LEAVES = 1 << 15, 1 << 12
+SAMPLE_ROWS, MOST_LEAVES = 1 << 18, 1 << 15
+#: Queries of a group, about; by how much a round has more leaves than the one before.
+QUERIES, GROWTH = 4096, 8
 
 
 def chi_square(x: np.ndarray | float, m: int = M):
@@ -159,22 +168,35 @@ def _placed(cuts: list[tuple[int, float]]):
     return over
 
 
-def _reached(leaves: np.ndarray, parts: np.ndarray, low: np.ndarray, high: np.ndarray, sure: float):
+def _visits(leaves: np.ndarray, low: np.ndarray, high: np.ndarray, sure: float, begin: int, end: int, cuts: dict[int, tuple[int, int]] | None):
+    """Places ``begin`` to ``end`` of the leaves by their least distance from each query, within its reach: (leaf, n) by batch, or with ``cuts`` (parts and groups of each leaf) the queries that go there."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each query and part of a leaf, but for its own, within its reach."""
         ratio = stop_ratio(sure)
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)
                 v = _matrix(batch.column("v"))
-                p = v @ projection(v.shape[1])
                 reach = np.nan_to_num(batch.column("reach").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
-                near = np.stack([least(low, high, q) for q in p])
-                row, leaf = np.nonzero((near <= ratio * reach[:, None]) & (leaves[None, :] != batch.column("leaf").to_numpy()[:, None]))
-                of = np.repeat(np.arange(len(row)), parts[leaf])
-                part = np.arange(len(of)) - np.repeat(np.cumsum(parts[leaf]) - parts[leaf], parts[leaf])
+                row, leaf = [], []
+                for j, q in enumerate(v @ projection(v.shape[1])):
+                    near = least(low, high, q)
+                    mine = np.argsort(near, kind="stable")[begin:end]
+                    mine = mine[near[mine] <= ratio * reach[j]]
+                    row.append(np.full(len(mine), j)), leaf.append(mine)
+                row, leaf = np.concatenate(row), leaves[np.concatenate(leaf)]
+                if cuts is None:
+                    each, n = np.unique(leaf, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n)], ["leaf", "n"])
+                    continue
+                parts, groups = np.array([cuts[x] for x in leaf.tolist()], np.int64).reshape(-1, 2).T
+                of = np.repeat(np.arange(len(row)), parts)
+                part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
                 take = pa.array(row[of])
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("v").take(take), batch.column("reach").take(take), pa.array(leaves[leaf[of]]), pa.array(part)], ["query_id", "v", "reach", "leaf", "part"])
+                own = batch.column("query_id").to_numpy()[row[of]].astype(np.uint64)
+                group = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % groups[of]
+                columns = [batch.column(c).take(take) for c in ("query_id", "v", "reach")] + [pa.array(x) for x in (leaf[of], part, group)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "v", "reach", "leaf", "part", "group"])
 
     return over
 
@@ -187,8 +209,8 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return good.groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sure: float = SURE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest other vectors of each query (vec_id divisible by ``every``)."""
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sure: float = SURE, leaf_rows: int = LEAF_ROWS, queries: int = QUERIES, visited: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest other vectors of each query (vec_id divisible by ``every``). ``visited`` gets (leaves that queries visited, distinct queries, leaves) of each round."""
     spark = vectors.sparkSession
     small_batches(spark)
     good = materialize(usable(vectors).withColumn("width", F.size("v")), "vectors")
@@ -204,7 +226,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sure: float = SUR
     names = [f"p{j}" for j in range(M)]
     schema = "vec_id long, v array<double>, leaf long, " + ", ".join(f"{n} double" for n in names)
     sample = held.filter(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < share).mapInArrow(_placed([]), schema)
-    points = sample.select(*names).toPandas().to_numpy(float)  # about SAMPLE_ROWS x M numbers
+    points = np.column_stack([c.to_numpy() for c in sample.select(*names).toArrow().columns])  # about SAMPLE_ROWS x M numbers
     depth = 0
     while (leaf_rows << depth) < rows and (1 << depth) < min(MOST_LEAVES, len(points) // 8):
         depth += 1
@@ -213,26 +235,34 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, sure: float = SUR
     boxes = placed.groupBy("leaf").agg(F.count("*").alias("n"), *[f(n) for f in (F.min, F.max) for n in names]).orderBy("leaf").toPandas()  # MOST_LEAVES rows at most
     leaves, parts = boxes["leaf"].to_numpy(np.int64), -(-boxes["n"].to_numpy(np.int64) // (4 * leaf_rows))
     low, high = (boxes.iloc[:, 2 + j * M : 2 + (j + 1) * M].to_numpy(float) for j in (0, 1))
-    cut = F.broadcast(spark.createDataFrame(list(zip(leaves.tolist(), parts.tolist(), strict=True)), "leaf long, parts long"))
 
-    dealt = placed.join(cut, "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part")).groupBy("leaf", "part")
     # equal queries are searched once, under their smallest id
     asked = good.filter(F.col("vec_id") % every == 0)
     named = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("query_id")), "queries")
-    queries = named.select(F.col("query_id").alias("vec_id"), "v").mapInArrow(_placed(cuts), schema).select(F.col("vec_id").alias("query_id"), "v", "leaf")
-    queries = materialize(queries, "queries")
-
-    def met(df: DataFrame) -> DataFrame:
-        return df.groupBy("leaf", "part").cogroup(dealt).applyInArrow(_in_leaf(k + 1, sure), "query_id long, vec_id long, d double")
-
     order = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    top = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
-    home = queries.join(cut, "leaf").select("query_id", "v", F.lit(None).cast("double").alias("reach"), "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    first = materialize(top(met(home)).drop("rank"), "first")
-    reach = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("d").alias("reach")).filter(F.col("n") == k + 1).select("query_id", "reach")
-    away = queries.join(reach, "query_id", "left").mapInArrow(_reached(leaves, parts, low, high, sure), "query_id long, v array<double>, reach double, leaf long, part long")
-    found = materialize(top(first.unionByName(met(away))).select(F.col("query_id").alias("named"), "vec_id", "d"), "found")
-    forget(held, placed, queries, first)
+    found, begin, end = None, 0, 1
+    while begin < len(leaves):
+        asking = named.select("query_id", "v", F.lit(None).cast("double").alias("reach"))
+        if found is not None:
+            reach = found.groupBy("query_id").agg(F.when(F.count("*") == k + 1, F.max("d")).alias("reach"))
+            asking = materialize(named.join(reach, "query_id", "left").select("query_id", "v", "reach"), "asking")
+        going = asking.mapInArrow(_visits(leaves, low, high, sure, begin, end, None), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()  # MOST_LEAVES rows at most
+        if visited is not None:
+            visited.append((int(going["n"].sum()), named.count(), len(leaves)))
+        if going.empty:
+            break
+        cuts_ = {int(x): (int(parts[np.searchsorted(leaves, x)]), -(-int(n) // queries)) for x, n in zip(going["leaf"], going["n"], strict=True)}
+        cut = F.broadcast(spark.createDataFrame([(x, *c) for x, c in cuts_.items()], "leaf long, parts long, groups long"))  # MOST_LEAVES rows at most
+        dealt = placed.join(cut, "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+        sent = asking.mapInArrow(_visits(leaves, low, high, sure, begin, end, cuts_), "query_id long, v array<double>, reach double, leaf long, part long, group long")
+        met = sent.groupBy("leaf", "part", "group").cogroup(dealt.groupBy("leaf", "part", "group")).applyInArrow(_in_leaf(k + 1, sure), "query_id long, vec_id long, d double")
+        before, both = found, met if found is None else found.unionByName(met)
+        found = materialize(both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).drop("rank"), "found")
+        forget(*[t for t in (before, asking) if t is not None])
+        begin, end = end, end + GROWTH * (end - begin)
+    forget(held, placed)
+    found = spark.createDataFrame([], "query_id long, vec_id long, d double") if found is None else found
+    found = found.withColumnRenamed("query_id", "named")
     # each query has the results of its vector, without itself
     mine = asked.join(named.withColumnRenamed("query_id", "named"), "v").select(F.col("vec_id").alias("query_id"), "named")
     mine = materialize(mine, "asked")

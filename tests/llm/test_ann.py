@@ -54,3 +54,16 @@ def test_chi_square():
     r = np.random.default_rng(0)
     x = (r.standard_normal((200_000, A.M)) ** 2).sum(axis=1)
     assert (x <= A.stop_ratio(0.9)).mean() == pytest.approx(0.9, abs=0.005)
+
+
+def test_reach_shrinks_and_groups_are_bounded(spark):
+    """Clusters end the search early; groups of two queries find what larger ones find."""
+    r = np.random.default_rng(5)
+    centres = 4 * r.normal(size=(40, 24))
+    rows = [(k, np.float32(centres[k % 40] + 0.3 * r.normal(size=24)).tolist()) for k in range(4000)]
+    seen = []
+    found, wanted = got(spark, rows, every=50, leaf_rows=64, visited=seen), brute(rows, every=50)
+    assert sum(n for n, _, _ in seen) < 0.3 * seen[0][1] * seen[0][2] and len(seen) > 1
+    hits = sum(len({j for _, j in found[q]} & {j for _, j in wanted[q]}) for q in wanted)
+    assert hits >= 0.95 * 10 * len(wanted)
+    assert got(spark, rows, every=50, leaf_rows=64, queries=2) == found
