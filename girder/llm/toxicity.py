@@ -214,7 +214,7 @@ COUNTS = ("toxic", "clean", "toxic_aimed", "clean_aimed", "toxic_heavy", "clean_
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(key, text, toxic) of about ``most`` labelled rows, chosen by a hash of doc_id, then of the row where ids repeat; equal rows once, one of each group of near copies."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    of = lambda hash_, n: F.pmod(hash_, F.lit(1 << 20)) < min(1 << 20, (most << 20) // max(1, n))
+    of = lambda hash_, n: F.pmod(hash_, F.lit(1 << 62)) < min(1 << 62, (most << 62) // max(1, n))
     few = known.filter(of(F.xxhash64("doc_id", F.lit(23)), known.count())).select(F.col("doc_id").alias("of_doc"), "toxic")
     few = F.broadcast(few)  # about ``most`` rows
     rows = docs.select("doc_id").join(few, F.col("doc_id") == F.col("of_doc")).count()
