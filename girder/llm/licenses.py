@@ -11,7 +11,14 @@ that is most like it, and confirmed by the exact differences of wording: the
 template's words that the part lacks and the part's words that the template
 lacks, in order. Decisive words (versions, lesser, affero, library, nc, nd, sa)
 must be the same. A block may hold several confirmed notices; their parts don't
-overlap.
+overlap. A notice that a word like "not" leads in, in its sentence, isn't one.
+Tags (SPDX-License-Identifier, its first name) and names that fill a line of
+their own count as notices too. Where no notice is confirmed, a template whose
+decisive words clash with the block's isn't reported.
+
+A template's parts are found by one count of its word pairs in the block, from
+which the pairs of each part found are taken off, so the work is linear in the
+block, however many notices it holds.
 
 Cases: null and empty texts, and texts without a cue, have no row; a block
 without a confirmed notice has one row, with the template that saves most (null
@@ -22,10 +29,13 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 from importlib.resources import files
 
 import pyarrow as pa
@@ -86,7 +96,28 @@ def _made() -> list[tuple[str, str]]:
     return out
 
 
+def _named() -> list[tuple[str, str]]:
+    """Tags, names and short references."""
+    out = [("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"), ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0")]
+    out += [("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."), ("BSL-1.0", "Boost Software License, Version 1.0"), ("Unlicense", "This is free and unencumbered software released into the public domain.")]
+    out += [("Apache-2.0", "Licensed under the Apache License 2.0."), ("Apache-2.0", "Apache License, Version 2.0"), ("MIT", "MIT License"), ("ISC", "ISC License")]
+    for short, _, version, _ in _GNU:
+        name = f"{short}-{version}" if "." in version else f"{short}-{version}.0"
+        out += [(name, f"Licensed under the {short} v{version}."), *((name, f"{TAG}: {name}-{kind}") for kind in ("only", "or-later"))]
+    names = dict.fromkeys(x for x, _ in TEMPLATES + out if x != RESERVED)
+    return out + [(x, f"{TAG}: {x}") for x in names]
+
+
 TEMPLATES = _made()
+#: What leads in an identifier.
+TAG = "SPDX-License-Identifier"
+EVERY = TEMPLATES + _named()
+#: Templates that begin with the tag; names that count only where they fill a line.
+_TAGGED = {k for k, (_, text) in enumerate(EVERY) if text.startswith(TAG)}
+_ALONE = {k for k, (_, text) in enumerate(EVERY) if k >= len(TEMPLATES) and text in ("MIT License", "ISC License", "Boost Software License, Version 1.0", "Apache License, Version 2.0")}
+_NOT = re.compile(r"\b(?:not|never|neither|isn't|aren't|wasn't)\b[^.!?\n]*$", re.IGNORECASE)
+#: Characters before a notice where a word that denies it may stand, and of a block whose judgement is kept for the next one like it.
+DENIED, KEPT = 40, 4096
 
 
 def _words(text: str) -> list[str]:
@@ -110,7 +141,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     at = 0
     while found := _CUE.search(text, at):
-        begin = max(text.rfind("\n", 0, found.start()) + 1, out[-1][1] if out else 0)
+        begin = max(text.rfind("\n", at, found.start()) + 1, at)
         for stop in _END.finditer(text, begin, found.start()):
             begin = stop.end()
         stop = _END.search(text, found.end())
@@ -134,7 +165,7 @@ def _prepared():
         return z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **raw)
 
     alone, out = made(None), []
-    for _, text in TEMPLATES:
+    for _, text in EVERY:
         data = " ".join(text.split()).encode()
         given, words, pairs = made(data), _words(text), defaultdict(list)
         for k in range(len(words) - 1):
@@ -143,22 +174,46 @@ def _prepared():
     return alone, out
 
 
-def aligned(wanted: list[str], pairs: dict, words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
-    """(first, last + 1, missing, added): the part of ``words`` most like ``wanted``; None if no two words in a row agree.
+class Votes:
+    """Offsets of parts of ``words`` that are like a template, by the word pairs they share with it; kept up to date as parts are claimed."""
+
+    def __init__(self, length: int, pairs: dict, words: list[str]):
+        self.step, self.pairs, self.words, self.count = max(8, length // 3), pairs, words, defaultdict(int)
+        self._add(0, len(words) - 1, 1)
+        self.heap = [(-n, b) for b, n in self.count.items()]
+        heapify(self.heap)
+
+    def _add(self, begin: int, end: int, by: int) -> None:
+        for j in range(begin, end):
+            for i in self.pairs.get((self.words[j], self.words[j + 1]), ())[:16]:
+                b = (j - i) // self.step
+                self.count[b] += by
+                self.count[b + 1] += by
+
+    def best(self) -> int | None:
+        """The offset with most votes, the smallest of equals; None without votes."""
+        while self.heap and self.count[self.heap[0][1]] != -self.heap[0][0]:
+            _, b = heappop(self.heap)
+            if self.count[b]:
+                heappush(self.heap, (-self.count[b], b))
+        return self.heap[0][1] if self.heap else None
+
+    def claim(self, first: int, end: int) -> None:
+        begin, stop = max(0, first - 1), min(end, len(self.words) - 1)
+        self._add(begin, stop, -1)
+        self.words[first:end] = [""] * (end - first)
+        self._add(begin, stop, 1)
+
+
+def aligned(wanted: list[str], votes: Votes) -> tuple[int, int, list[str], list[str]] | None:
+    """(first, last + 1, missing, added): the part of the words most like ``wanted``; None if no two words in a row agree.
 
     Word pairs vote for the offset of the part, then matching runs near it are
     joined as long as they outweigh the words between them.
     """
-    step = max(8, len(wanted) // 3)
-    votes: dict[int, int] = defaultdict(int)
-    for j in range(len(words) - 1):
-        for i in pairs.get((words[j], words[j + 1]), ())[:16]:
-            b = (j - i) // step
-            votes[b] += 1
-            votes[b + 1] += 1
-    if not votes:
+    b, words, step = votes.best(), votes.words, votes.step
+    if b is None:
         return None
-    b = max(votes, key=lambda x: (votes[x], -x))
     low, high = max(0, (b - 1) * step - 4), min(len(words), (b + 1) * step + len(wanted) + 4)
     runs = [r for r in SequenceMatcher(None, wanted, words[low:high], autojunk=False).get_matching_blocks() if r.size]
     best, score, begin, last = (0.0, 0, 0), 0.0, 0, None
@@ -176,32 +231,51 @@ def aligned(wanted: list[str], pairs: dict, words: list[str]) -> tuple[int, int,
     return first, end, [w for k, w in enumerate(wanted) if k not in mine], [words[k] for k in range(first, end) if k not in theirs]
 
 
-@lru_cache(maxsize=20_000)
+def _fills_line(window: str, begin: int, end: int) -> bool:
+    """Whether a span stands in a line with signs and white space only."""
+    before, after = window.rfind("\n", 0, begin) + 1, window.find("\n", end)
+    return not re.search(r"\w", window[before:begin]) and not re.search(r"\w", window[end : len(window) if after < 0 else after])
+
+
 def judge(window: str) -> tuple[tuple[tuple[int, int, str, float, str, str], ...], str | None, float, tuple[str, ...]]:
     """(confirmed notices as (start, end, license, reduction, missing, added); best license, its reduction and all names by reduction) of a block's text."""
+    return _short(window) if len(window) <= KEPT else _judged(window)
+
+
+def _judged(window: str):
     alone, prepared = _prepared()
     data = " ".join(window.split()).encode()
     size = len(alone.compress(data))
-    saved = [(size - len(given.compress(data)), k) for k, (given, *_) in enumerate(prepared)]
+    tagged = "spdx" in window.lower()
+    saved = [(size - len(given.compress(data)), k) for k, (given, *_) in enumerate(prepared) if tagged or k not in _TAGGED]
     ranked = sorted(((s, k) for s, k in saved if s >= REDUCTION * prepared[k][1]), key=lambda x: (-x[0], x[1]))
     found = list(_WORD.finditer(window))
     words, out = [m[0].lower() for m in found], []
+    whole = decisive(words)
     for s, k in ranked:
         _, own, wanted, must, pairs = prepared[k]
-        while part := aligned(wanted, pairs, words):
+        votes = Votes(len(wanted), pairs, words)
+        while part := aligned(wanted, votes):
             first, end, missing, added = part
-            good = len(missing) <= MISSING * len(wanted) and len(added) <= max(FEW, ADDED * len(wanted)) and "" not in added
+            few = 0 if k in _TAGGED or k in _ALONE else max(FEW, ADDED * len(wanted))
+            good = len(missing) <= MISSING * len(wanted) and len(added) <= few and "" not in added
             if not good or decisive(words[first:end]) != must:
                 break
-            stop = found[end - 1].end()
+            start, stop = found[first].start(), found[end - 1].end()
+            votes.claim(first, end)
+            if k in _ALONE and not _fills_line(window, start, stop) or _NOT.search(window[max(0, start - DENIED) : start]):
+                continue
             stop += len(window[stop : stop + 3]) - len(window[stop : stop + 3].lstrip(".)\"'/"))
-            out.append((found[first].start(), stop, TEMPLATES[k][0], min(1.0, s / own), " ".join(missing), " ".join(added)))
-            words[first:end] = [""] * (end - first)  # claimed
-    names = tuple(dict.fromkeys(TEMPLATES[k][0] for _, k in ranked))
+            out.append((start, stop, EVERY[k][0], min(1.0, s / own), " ".join(missing), " ".join(added)))
+    names = tuple(dict.fromkeys(EVERY[k][0] for _, k in ranked))
     if any(x[2] != RESERVED for x in out):
         out = [x for x in out if x[2] != RESERVED]
-    best = ranked[0] if ranked else None
-    return tuple(sorted(out)), best and TEMPLATES[best[1]][0], min(1.0, best[0] / prepared[best[1]][1]) if best else 0.0, names
+    agree = [x for x in ranked if not whole or not prepared[x[1]][3] or whole & prepared[x[1]][3]]
+    best = agree[0] if agree else None
+    return tuple(sorted(out)), best and EVERY[best[1]][0], min(1.0, best[0] / prepared[best[1]][1]) if best else 0.0, names
+
+
+_short = lru_cache(maxsize=4096)(_judged)  # at most 16 million characters
 
 
 def notices(text: str) -> list[tuple]:
@@ -221,7 +295,10 @@ def notices(text: str) -> list[tuple]:
             if sum(x[1] - x[0] for x in found) > sum(x[1] - x[0] for x in sure):
                 sure = [(low + x[0], low + x[1], *x[2:], names) for x in found]
         out += [(a, b, name, share, True, missing, added, list(names)) for a, b, name, share, missing, added, names in sure]
-        out += [(a, b, best, share, False, "", "", list(names)) for a, b, (_, best, share, names) in judged if not any(x[0] < b and a < x[1] for x in sure)]
+        sure.sort(key=lambda x: x[:2])
+        starts, ends = [x[0] for x in sure], list(accumulate((x[1] for x in sure), max))
+        clear = lambda a, b: not (n := bisect_left(starts, b)) or ends[n - 1] <= a
+        out += [(a, b, best, share, False, "", "", list(names)) for a, b, (_, best, share, names) in judged if clear(a, b)]
     return sorted(set((*x[:7], tuple(x[7])) for x in out), key=lambda x: x[:2])
 
 

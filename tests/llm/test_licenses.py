@@ -123,3 +123,42 @@ def test_lines_of_driver_data(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in L.scan(docs).filter("confirmed").collect()}
     assert wanted and wanted == got
+
+
+def test_tags_and_names():
+    wanted = {"SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "Licensed under the Apache License 2.0": "Apache-2.0", "MIT License\n\nfoo bar": "MIT", "Licensed under the GPL v2": "GPL-2.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "This is free and unencumbered software released into the public domain.": "Unlicense"}
+    for text, name in wanted.items():
+        assert [x for x, _ in found(text)] == [name], text
+    assert found("We like the MIT License head.") == [] and found("SPDX-License-Identifier: Nothing-9.0") == []
+    for name, text in L.EVERY:
+        assert [x for x, _ in found(text)] == [name], (name, text[:80], found(text))
+
+
+def test_denied_notices():
+    assert found("Not licensed under the MIT License.") == [] and found("It isn't released under the MIT License.") == []
+    assert [x for x, _ in found("It is not released under the MIT License. Licensed under CC BY 4.0.")] == ["CC-BY-4.0"]
+    assert [x for x, _ in found("This is not ours.\nLicensed under the MIT License.")] == ["MIT"]
+
+
+@pytest.mark.parametrize("line", ["Licensed under the MIT License.", "Copyright (c) 2019 Foo Inc. All rights reserved."])
+def test_many_notices(line):
+    """Each of 10,000 notices is found, in a time that doesn't grow with their square."""
+    text = f"{line}\n" * 10_000
+    assert len(found(text)) == 10_000
+    assert len(text) > L.KEPT and L._short.cache_info().maxsize * L.KEPT < 1 << 25
+
+
+def test_votes_follow_claims():
+    """Votes after claims are those of a new count."""
+    r = random.Random(3)
+    wanted = [r.choice("abcd") for _ in range(12)]
+    pairs = {}
+    for k in range(11):
+        pairs.setdefault((wanted[k], wanted[k + 1]), []).append(k)
+    for _ in range(50):
+        votes = L.Votes(12, pairs, [r.choice("abcdx") for _ in range(60)])
+        for _ in range(4):
+            k = r.randrange(55)
+            votes.claim(k, k + r.randrange(1, 5))
+            fresh = L.Votes(12, pairs, list(votes.words))
+            assert votes.best() == fresh.best() and {b: n for b, n in votes.count.items() if n} == {b: n for b, n in fresh.count.items() if n}
