@@ -146,6 +146,49 @@ def class_agreement(rows: DataFrame, class_: str, error: Column, tolerance: floa
     return counts.join(median, "class").select("class", "matched", (F.col("ok_") * 100.0 / F.col("matched")).alias("ok_percent"), "median_err")
 
 
+#: Corners of a box, lower ones first.
+BOX = ("x0", "y0", "z0", "x1", "y1", "z1")
+
+
+def _box_errors(got: Mapping[str, Column], want: Mapping[str, Column]) -> tuple[Column, Column]:
+    """The largest errors of centre and of size of any axis."""
+    centre = [F.abs((got[f"{a}0"] + got[f"{a}1"]) / 2 - (want[f"{a}0"] + want[f"{a}1"]) / 2) for a in "xyz"]
+    size = [F.abs((got[f"{a}1"] - got[f"{a}0"]) - (want[f"{a}1"] - want[f"{a}0"])) for a in "xyz"]
+    return F.greatest(*centre), F.greatest(*size)
+
+
+def box_agreement(drawn: DataFrame, parts: DataFrame, id_: str, class_: str, tolerance: float, least: int = 10) -> DataFrame:
+    """(class, matched, centre_ok_percent, size_ok_percent, median_centre, median_size, nearest_centre_ok_percent, nearest_size_ok_percent, replicated) of classes with ``least`` elements.
+
+    ``drawn`` has one box (BOX) an element, ``parts`` the boxes of the pieces that
+    an element was exported as; their union is what it is judged by, and a second
+    time by the nearest piece, where one's centre is strictly nearer than the
+    union's (of pieces equally near the one with the smaller error of size).
+    ``replicated`` counts elements of several pieces. An element's class is the
+    smallest of its pieces'. Null ids, null corners and elements of one side only
+    take no part. Pieces meet boxes in one join, and one aggregate makes unions
+    and nearest pieces; errors strictly below the tolerance are right.
+    """
+    whole = reduce(and_, (F.col(c).isNotNull() for c in BOX))
+    a = drawn.filter(whole).select(F.col(id_).alias("id"), *[F.col(c).alias(f"got_{c}") for c in BOX])
+    b = parts.filter(whole).select(F.col(id_).alias("id"), F.col(class_).alias("class"), *BOX)
+    got = {c: F.col(f"got_{c}") for c in BOX}
+    centre, size = _box_errors(got, {c: F.col(c) for c in BOX})
+    union = [(F.min if c.endswith("0") else F.max)(c).alias(c) for c in BOX]
+    of = b.join(a, "id").groupBy("id").agg(F.min("class").alias("class"), F.count("*").alias("n"), F.min(F.struct(centre.alias("c"), size.alias("s"))).alias("near"), *union, *[F.min(f"got_{c}").alias(f"got_{c}") for c in BOX])
+    centre, size = _box_errors(got, {c: F.col(c) for c in BOX})
+    rows = written(of.select("class", "n", "near", centre.alias("centre"), size.alias("size")), "agreement")
+    nearer = F.col("near.c") < F.col("centre")
+    share = lambda x: F.count_if(x < tolerance) * 100.0 / F.count("*")
+    counts = rows.groupBy("class").agg(
+        F.count("*").alias("matched"), share(F.col("centre")).alias("centre_ok_percent"), share(F.col("size")).alias("size_ok_percent"),
+        share(F.when(nearer, F.col("near.c")).otherwise(F.col("centre"))).alias("nearest_centre_ok_percent"), share(F.when(nearer, F.col("near.s")).otherwise(F.col("size"))).alias("nearest_size_ok_percent"),
+        F.count_if(F.col("n") > 1).alias("replicated"),
+    ).filter(F.col("matched") >= least)
+    middle = [medians(rows, "class", c).select("class", F.col("median").alias(f"median_{c}")) for c in ("centre", "size")]
+    return counts.join(middle[0], "class").join(middle[1], "class")
+
+
 #: Partitions of a block.
 BLOCK = 1000
 

@@ -133,11 +133,11 @@ def hosted_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT p_name || '-' || CAST(p_partkey % 400 AS VARCHAR) AS name, p_partkey % 50 * 700 AS word, p_partkey AS ordinal FROM part), d AS (SELECT p_name || '-' || CAST(p_partkey % 400 AS VARCHAR) AS name, p_partkey % 50 * 700 AS tag FROM part WHERE p_size > 25)
+WITH c AS (SELECT 'ref-' || CAST(p_partkey // 3 AS VARCHAR) AS name, p_partkey % 50 * 700 AS word, p_partkey AS ordinal FROM part), d AS (SELECT 'ref-' || CAST(p_partkey // 3 AS VARCHAR) AS name, p_partkey % 50 * 700 AS tag FROM part WHERE p_size > 25)
 SELECT name, word AS tag_reference, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ordinal, word) AS rn FROM c WHERE word < 32768 AND name NOT IN (SELECT name FROM d) AND word IN (SELECT tag FROM d)) t WHERE rn = 1
 """)
 def schema_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("p_name || '-' || CAST(p_partkey % 400 AS STRING) AS name", "p_partkey % 50 * 700 AS word", "p_partkey AS ordinal", "p_size")
+    rows = table(spark, sf_dir, "part").selectExpr("'ref-' || CAST(p_partkey div 3 AS STRING) AS name", "p_partkey % 50 * 700 AS word", "p_partkey AS ordinal", "p_size")
     extra = rows.select("name", "word", "ordinal")
     return L.schema_references(extra, rows.filter("p_size > 25").select("name", F.col("word").alias("tag")), "name", "word", "tag", "ordinal")
 

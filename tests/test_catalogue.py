@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from girder.plans import exchange_catalogue, geometry_catalogue, scene_catalogue, source_catalogue  # noqa: F401  they add their queries
+from girder.plans import exchange_catalogue, geometry_catalogue, review_catalogue, scene_catalogue, source_catalogue  # noqa: F401  they add their queries
 from girder.plans.catalogue import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
