@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,6 +145,25 @@ def category_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.scan_records(pages, B.CATEGORY_TOKEN).select(F.col("path").cast("long").alias("p_partkey"), F.col("offset").alias("record_offset"), "discriminator", "category_low")
 
 
+@query("""
+WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_size END AS a, CASE WHEN p_partkey % 13 <> 0 THEN p_partkey % 40 + 1 END AS b FROM part WHERE p_partkey > 0 AND (p_partkey % 7 <> 0 OR p_partkey % 2 = 0))
+SELECT p_partkey, CAST(p_partkey % 3 AS BIGINT) AS record_offset, CASE WHEN p_partkey % 2 = 0 THEN 4294967295 ELSE 131072 END AS record_code, CAST(1 + p_partkey % 4 AS BIGINT) AS record_count, coalesce(a = b, false) AS duplicated, 0e0 AS x0, CAST(CASE WHEN a IS NULL OR b <= a THEN b ELSE a END AS DOUBLE) AS x1, 3e0 AS z1
+FROM t WHERE a IS NOT NULL OR b IS NOT NULL
+""")
+def bounds_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which some lack a sound copy, or have a reserved word that isn't 0."""
+    key, zero = F.col("p_partkey"), F.lit("00000000")
+    doubles = F.array(*[F.lit(struct.pack("<d", k).hex()) for k in range(64)])
+    nan = F.lit(struct.pack("<d", float("nan")).hex())
+    of = lambda n: F.element_at(doubles, n.cast("int") + 1)
+    copy = lambda n, broken: F.concat(*[of(F.lit(0))] * 3, F.when(broken, nan).otherwise(of(n)), of(F.lit(2)), of(F.lit(3)))
+    code = F.when(key % 2 == 0, "FFFFFFFF").otherwise("00000200")
+    entries = F.concat(F.lit("03000000"), F.repeat(F.lit("00"), (2 + 6 * (key % 4)).cast("int")))
+    row = F.concat(little_endian(key), zero, F.repeat(F.lit("AB"), 8), F.lit("C608"), code, F.when(key % 7 == 0, "FFFFFFFF").otherwise("00000000"), little_endian(key), zero, F.lit("04800800"), little_endian(1 + key % 4), entries)
+    pages = table(spark, sf_dir, "part").select(key.cast("string").alias("path"), F.unhex(F.concat(F.repeat(F.lit("01"), (key % 3).cast("int")), row, copy(F.col("p_size"), key % 11 == 0), copy(key % 40 + 1, key % 13 == 0))).alias("content"))
+    return B.duplicated_bounds(pages).select(F.col("path").cast("long").alias("p_partkey"), F.col("offset").alias("record_offset"), "record_code", "record_count", "duplicated", "x0", "x1", "z1")
+
+
 @query("""
 SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS BIGINT) AS owner_id, CAST(p_partkey AS BIGINT) AS element_id FROM part
 """)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, mul
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,19 @@ from pyspark.sql import functions as F
 KINDS = {"u16": ("<u2", 2), "u32": ("<u4", 4), "i64": ("<i8", 8), "u64": ("<u8", 8), "f64": ("<f8", 8)}
 
 
+@dataclass(frozen=True)
+class Tail:
+    """What stands behind a list of ``unit`` bytes an entry: the number of entries (``least`` to ``most``) is the u32 at ``count``, the list begins at ``begin``, and ``fields`` are told from its end on, ``size`` bytes in all."""
+
+    count: int
+    least: int
+    most: int
+    begin: int
+    unit: int
+    size: int
+    fields: Sequence[tuple[str, str, int]]
+
+
 @dataclass(frozen=True)
 class Layout:
     """``signature`` bytes stand at ``at`` of a record of ``size`` bytes; ``fields`` are (name, kind, offset); ``equal`` are (kind, offset, value) and ``same`` (kind, offset, offset) checks."""
@@ -28,11 +43,20 @@ class Layout:
     fields: Sequence[tuple[str, str, int]]
     equal: Sequence[tuple[str, int, int]] = field(default=())
     same: Sequence[tuple[str, int, int]] = field(default=())
+    tail: Tail | None = None
+
+    @property
+    def columns(self) -> list[tuple[str, str, int]]:
+        return [*self.fields, *(self.tail.fields if self.tail else ())]
 
 
 # Layouts of two record kinds (all little-endian).
 CATEGORY_TOKEN = Layout(18, b"\x04\x00", 0, (("discriminator", "u32", 2), ("category_low", "u32", 6)), (("u32", 10, 0xFFFFFFFF), ("u32", 14, 0xFFFFFFFF)))
 BOUNDS_HEAD = Layout(46, b"\xc6\x08", 16, (("element_id", "u32", 0), ("record_code", "u32", 18), ("record_count", "u32", 38)), (("u32", 4, 0), ("u32", 30, 0), ("u32", 34, 0x00088004), ("u32", 42, 3)), (("u32", 0, 26),))
+#: The same with its two copies of six corners (a, b) behind the list of entries, and the bits of these (p, q).
+BOUNDS = Layout(46, BOUNDS_HEAD.signature, 16, (*BOUNDS_HEAD.fields, ("reserved", "u32", 22)), BOUNDS_HEAD.equal, BOUNDS_HEAD.same, Tail(38, 1, 10_000, 42, 6, 96, [(f"{name}{k}", kind, 8 * (k + j)) for kind, pair in (("f64", "ab"), ("i64", "pq")) for j, name in zip((0, 6), pair, strict=True) for k in range(6)]))
+#: The farthest corner, the widest span, the rounding of a span, and the span (in feet) from which an axis counts as solid.
+FARTHEST, WIDEST, SLACK, SOLID = 50_000.0, 5_000.0, 1e-8, 1e-3
 OWNERSHIP_ROW = Layout(40, b"\x00\x00\x00\x00", 8, (("owner_id", "u64", 0), ("element_id", "u64", 12), ("creation", "u32", 20), ("modification", "u32", 24), ("user", "u32", 28), ("original_id", "u64", 32)))
 
 
@@ -46,7 +70,7 @@ def find(content: bytes, layout: Layout) -> tuple[np.ndarray, list[np.ndarray]]:
     data = np.frombuffer(content, np.uint8)
     made = len(data) - layout.size + 1
     if made <= 0:
-        return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in layout.fields]
+        return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in layout.columns]
     good = np.ones(made, bool)
     for k, b in enumerate(layout.signature):
         good &= data[layout.at + k : layout.at + k + made] == b
@@ -55,13 +79,21 @@ def find(content: bytes, layout: Layout) -> tuple[np.ndarray, list[np.ndarray]]:
         at = at[_read(data, at + offset, kind) == value]
     for kind, a, b in layout.same:
         at = at[_read(data, at + a, kind) == _read(data, at + b, kind)]
-    return at, [_read(data, at + offset, kind) for _, kind, offset in layout.fields]
+    behind = []
+    if layout.tail is not None:
+        t = layout.tail
+        entries = _read(data, at + t.count, "u32").astype(np.int64)
+        end = at + t.begin + t.unit * entries
+        fits = (entries >= t.least) & (entries <= t.most) & (end + t.size <= len(data))
+        at, end = at[fits], end[fits]
+        behind = [_read(data, end + offset, kind) for _, kind, offset in t.fields]
+    return at, [_read(data, at + offset, kind) for _, kind, offset in layout.fields] + behind
 
 
 def scan_records(pages: DataFrame, layout: Layout) -> DataFrame:
     """(path, offset, fields...) of a layout's records in each page; whole numbers as long."""
-    names = [n for n, _, _ in layout.fields]
-    kinds = ["double" if k == "f64" else "long" for _, k, _ in layout.fields]
+    names = [n for n, _, _ in layout.columns]
+    kinds = ["double" if k == "f64" else "long" for _, k, _ in layout.columns]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,6 +106,33 @@ def scan_records(pages: DataFrame, layout: Layout) -> DataFrame:
     return pages.select("path", "content").mapInArrow(over, schema)
 
 
+def duplicated_bounds(pages: DataFrame) -> DataFrame:
+    """(path, offset, element_id, record_code, record_count, duplicated, x0, y0, z0, x1, y1, z1): bounds records, each with the copy that encloses less.
+
+    Ids 0 and all ones are none; a reserved word that isn't 0 is a broken
+    record, unless the code is all ones. A copy counts if all corners are finite
+    and near, no span is negative or too wide and two axes are solid; of two that
+    count the one of less volume (a thin axis as thick as SOLID) is taken, the
+    second of equal ones, and a record without any is left out. ``duplicated``
+    tells whether the copies are the same bytes. Null and short pages have none.
+    """
+    ones = 0xFFFFFFFF
+    rows = scan_records(pages, BOUNDS).filter((F.col("element_id") != 0) & (F.col("element_id") != ones) & ((F.col("reserved") == 0) | (F.col("record_code") == ones)))
+    spans = {c: [F.col(f"{c}{k + 3}") - F.col(f"{c}{k}") for k in range(3)] for c in "ab"}
+    all_of = lambda tests: reduce(and_, tests)
+
+    def counts(c: str) -> Column:
+        near = all_of(F.abs(F.col(f"{c}{k}")) <= FARTHEST for k in range(6))  # NaN is larger than all
+        sound = all_of((x >= -SLACK) & (x <= WIDEST) for x in spans[c])
+        return near & sound & (sum((F.when(x > SOLID, 1).otherwise(0) for x in spans[c]), F.lit(0)) >= 2)
+
+    volume = {c: reduce(mul, (F.greatest(x, F.lit(SOLID)) for x in spans[c])) for c in "ab"}
+    second = counts("b") & (~counts("a") | (volume["b"] <= volume["a"]))
+    same = all_of(F.col(f"p{k}") == F.col(f"q{k}") for k in range(6))
+    corners = [F.when(second, F.col(f"b{k}")).otherwise(F.col(f"a{k}")).alias(n) for k, n in enumerate(("x0", "y0", "z0", "x1", "y1", "z1"))]
+    return rows.filter(counts("a") | counts("b")).select("path", "offset", "element_id", "record_code", "record_count", same.alias("duplicated"), *corners)
+
+
 #: Bytes that are inflated at once, fed at once, and kept of a chunk as the next one's dictionary.
 PIECE, FEED, MEMORY = 8 << 20, 1 << 16, 1 << 15
 

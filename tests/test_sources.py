@@ -126,3 +126,24 @@ def test_arrivals(spark, tmp_path):
     run()
     got = A.latest(spark.read.parquet(str(tmp_path / "out")), "guid", ["batch"]).collect()
     assert len(got) == 3 and {r["name"] for r in got} == {"Breadth", "X"}
+
+
+def test_bounds_take_the_smaller_copy(spark):
+    import struct
+
+    def record(element, first, second, code=5, reserved=0, entries=1):
+        head = struct.pack("<IIQ2sIIIIII", element, 0, 9, b"\xc6\x08", code, reserved, element, 0, 0x00088004, entries) + struct.pack("<I", 3)
+        return head + b"\0" * (6 * entries - 4) + struct.pack("<12d", *first, *second)
+
+    box = lambda x, y=1.0, z=1.0: (0.0, 0.0, 0.0, x, y, z)
+    inf = float("inf")
+    cases = {
+        "second": (record(1, box(5.0), box(4.0)), 4.0), "first": (record(1, box(3.0), box(4.0)), 3.0), "equal": (record(1, box(3.0), box(3.0)), 3.0),
+        "broken": (record(1, box(inf), box(9.0)), 9.0), "none": (record(1, box(inf), box(-1.0)), None), "thin": (record(1, box(2.0, 0.0, 0.0), box(7.0)), 7.0),
+        "reserved": (record(1, box(3.0), box(3.0), reserved=1), None), "no code": (record(1, box(3.0), box(3.0), code=0xFFFFFFFF, reserved=1), 3.0),
+        "zero": (record(0, box(3.0), box(3.0)), None), "no entries": (record(1, box(3.0), box(3.0), entries=0), None), "many": (record(1, box(3.0), box(3.0), entries=300), 3.0), "cut": (record(1, box(3.0), box(3.0))[:-1], None), "empty": (b"", None), "null": (None, None),
+    }
+    rows = spark.createDataFrame([(k, v if v is None else bytearray(v)) for k, (v, _) in cases.items()], "path string, content binary")
+    got = {r["path"]: (r["x1"], r["duplicated"]) for r in B.duplicated_bounds(rows).collect()}
+    assert {k: x for k, (x, _) in got.items()} == {k: x for k, (_, x) in cases.items() if x is not None}
+    assert got["equal"][1] and not got["second"][1]
