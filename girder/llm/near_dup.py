@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .spread import HOT, bit_table, heavy_keys, salted_join, sifted, without
+from .spread import HOT, SALTS, bit_table, heavy_keys, hot_share, salted_join, sifted, without
 from .storage import forget, materialize, small_batches
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -237,7 +237,8 @@ def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("uid"), "fp1", "fp2", "w.doc_id", "w.th", "w.rk", "n", "copies", "bands"), "nodes")
     buckets = nodes.select("uid", F.explode("bands").alias("key"))
     leaders = materialize(buckets.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.count("*").alias("c")).filter("lo <> hi"), "leaders")
-    hot = materialize(leaders.filter(F.col("c") > max(1000, int(nodes.count() * HOT))).select("key"), "heavy")  # at most bands / HOT keys
+    share = hot_share(docs.sparkSession, HOT)
+    hot = materialize(leaders.filter(F.col("c") > max(1000, int(nodes.count() * share))).select("key"), "heavy")  # at most bands / share keys
     met = sifted(buckets, "key", bit_table(leaders, "key"))
     shared = materialize(salted_join(met, leaders.select("key", "lo", "hi"), ["key"], hot, ["uid"]), "buckets")
     lists = materialize(_lists(keyed, nodes, shared, width), "elements")
@@ -258,7 +259,7 @@ def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS
 
     nodes = nodes.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     classes = nodes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("w"), F.sum("copies").alias("class_size"))
-    heavy = nodes.filter(F.col("copies") > F.lit(HOT) * members.count()).select("fp1", "fp2")
+    heavy = nodes.filter(F.col("copies") > F.lit(share) * members.count()).select("fp1", "fp2")
     nodes = nodes.select("label", "fp1", "fp2").join(classes, "label")
     found = salted_join(members.select("doc_id", "th", "fp1", "fp2"), nodes, ["fp1", "fp2"], heavy, ["doc_id"], "left")
     alone = F.col("w").isNull()
@@ -310,8 +311,8 @@ def _across(lists: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
     own = materialize(lists.join(mixed, "uid"), "own")
     rows = own.select("uid", F.explode("elements").alias("element"))
     common = materialize(rows.groupBy("element").agg(F.count("*").alias("c")).filter("c > 1"), "common")
-    whole = own.agg(F.sum("n")).first()[0] or 0
-    hot = materialize(common.filter(F.col("c") > max(1000, int(whole * HOT))).select("element"), "heavy")
+    whole, share = own.agg(F.sum("n")).first()[0] or 0, hot_share(lists.sparkSession, HOT)
+    hot = materialize(common.filter(F.col("c") > max(1000, int(whole * share))).select("element"), "heavy")
     by_text = Window.partitionBy("uid")  # one text's elements
     kept = salted_join(rows, common, ["element"], hot, ["uid"]).withColumn("known", F.count("*").over(by_text)).withColumn("place", F.row_number().over(by_text.orderBy("c", "element")))
     room = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.col("known"))
@@ -319,7 +320,7 @@ def _across(lists: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
     prefix = materialize(prefix.drop("c"), "prefixes")
     sizes = prefix.groupBy("element", "label").agg(F.count("*").alias("size"))
     largest = materialize(sizes.groupBy("element").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("rows_")).filter("labels > 1"), "largest")
-    hot = materialize(largest.filter(F.col("rows_") > max(1000, int(prefix.count() * HOT))).select("element"), "heavy")
+    hot = materialize(largest.filter(F.col("rows_") > max(1000, int(prefix.count() * share))).select("element"), "heavy")
     step = lambda x: F.floor(F.log(x) / math.log(SIZE_STEP)).cast("int")
     targets = prefix.select("element", step(F.col("n").cast("double")).alias("size"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("known").alias("kb"), F.col("place").alias("lb"), F.col("label").alias("of_b"), *[F.col(p).alias(f"o{p}") for p in MAPS])
     few = salted_join(prefix, largest.select("element", "top"), ["element"], hot, ["uid"]).filter(F.col("label") != F.col("top.label"))
@@ -328,7 +329,7 @@ def _across(lists: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
     few = few.filter(F.col("reach") >= low).withColumn("size", F.explode(F.sequence(step(F.greatest(low, F.lit(1.0))), step(F.greatest(F.col("reach"), F.lit(1.0))))))
     need = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
     left = 1 + F.least(F.col("ka") - F.col("la"), F.col("kb") - F.col("lb"))
-    met = salted_join(few, targets, ["element", "size"], hot, ["a"]).filter((F.col("of_a") != F.col("of_b")) & (F.col("nb") <= F.col("reach")) & _sized(F.col("na"), F.col("nb"), threshold) & (left >= need) & _alike(threshold))
+    met = salted_join(few, targets, ["element", "size"], hot, ["a"], parts=SALTS).filter((F.col("of_a") != F.col("of_b")) & (F.col("nb") <= F.col("reach")) & _sized(F.col("na"), F.col("nb"), threshold) & (left >= need) & _alike(threshold))
     pairs = materialize(met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().toDF("a", "b"), "pairs")
     return _verified(lists, pairs, threshold)
 

@@ -4,32 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a table of hashes: 2^BITS / 64 rows of two longs at most (4 MB), however many hashes there are.
 BITS = 24
-#: A key is hot from this share of all rows on, so there are at most 1 / HOT hot keys.
+#: A key is hot from this share of all rows on, or from that of a mean shuffle partition if that is less.
 HOT = 1 / 256
-#: Parts into which a hot key's rows are dealt.
+#: Parts into which a hot key's rows are dealt, or a sixteenth of the shuffle partitions if that is more.
 SALTS = 16
 
 
+def hot_share(spark: SparkSession, most: float) -> float:
+    """The share of all rows from which on a key is hot: ``most``, less where a shuffle has more partitions; there are 1 / share hot keys at most."""
+    return min(most, 1 / int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def salts(spark: SparkSession) -> int:
+    """Parts of a hot key, by the shuffle's partitions."""
+    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+
+
 def _at(column: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 64 - BITS)
 
 
-def bit_table(keys: DataFrame, column: str) -> DataFrame | None:
-    """(word_, bits_): a bit for the hash of each value; its size is bounded by BITS alone. None if there are so many rows that it would hold nothing back."""
-    if keys.count() > 1 << BITS:
-        return None
+def bit_table(keys: DataFrame, column: str) -> DataFrame:
+    """(word_, bits_): a bit for the hash of each value; its size is bounded by BITS alone. Of k values it lets a share of 1 - exp(-k / 2^BITS) of other ones through, which the join that follows then tells apart."""
     return keys.select(_at(F.col(column)).alias("at_")).groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at_ % 64 AS INT))")).alias("bits_"))
 
 
-def sifted(rows: DataFrame, column: str, bits: DataFrame | None, within: bool = True) -> DataFrame:
+def sifted(rows: DataFrame, column: str, bits: DataFrame, within: bool = True) -> DataFrame:
     """Rows whose value may be in the bit table (``within``), or rows whose value surely isn't; no shuffle."""
-    if bits is None:
-        return rows if within else rows.limit(0)
     placed = rows.withColumn("at_", _at(F.col(column))).withColumn("word_", F.shiftright("at_", 6))
     joined = placed.join(F.broadcast(bits), "word_", "inner" if within else "left")  # 2^BITS / 64 rows at most
     hit = F.expr("shiftrightunsigned(bits_, CAST(at_ % 64 AS INT)) & 1 = 1")
@@ -45,17 +51,18 @@ def without(rows: DataFrame, key: Column, gone: DataFrame, gone_key: str) -> Dat
 
 
 def heavy_keys(rows: DataFrame, by: Sequence[str], share: float = HOT) -> DataFrame:
-    """The hot keys of ``rows``: at most 1 / ``share`` of them."""
+    """The hot keys of ``rows``: those with more than ``hot_share`` of them."""
     counts = rows.groupBy(*by).agg(F.count("*").alias("heavy_c_"))
-    return counts.filter(F.col("heavy_c_") > max(1000, int(rows.count() * share))).select(*by)
+    return counts.filter(F.col("heavy_c_") > max(1000, int(rows.count() * hot_share(rows.sparkSession, share)))).select(*by)
 
 
-def salted_join(many: DataFrame, few: DataFrame, by: Sequence[str], heavy: DataFrame, deal: Sequence[str], how: str = "inner") -> DataFrame:
-    """``many`` joined with ``few`` on ``by`` (inner or left): the rows of ``heavy`` keys (a bounded number, each once; of ``by`` or some of it) are dealt to SALTS parts by the columns ``deal``, and their partners stand in each part."""
-    hot = F.broadcast(heavy.withColumn("hot_", F.lit(True)))  # at most 1 / HOT keys
-    a = many.join(hot, heavy.columns, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(*deal), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot_")
-    parts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    b = few.join(hot, heavy.columns, "left").withColumn("salt_", F.explode(parts)).drop("hot_")
+def salted_join(many: DataFrame, few: DataFrame, by: Sequence[str], heavy: DataFrame, deal: Sequence[str], how: str = "inner", parts: int | None = None) -> DataFrame:
+    """``many`` joined with ``few`` on ``by`` (inner or left): the rows of ``heavy`` keys (a bounded number, each once; of ``by`` or some of it) are dealt to ``parts`` (else ``salts``) parts by the columns ``deal``, and their partners stand in each part."""
+    parts = parts or salts(many.sparkSession)
+    hot = F.broadcast(heavy.withColumn("hot_", F.lit(True)))  # at most 1 / hot_share keys
+    a = many.join(hot, heavy.columns, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(*deal), F.lit(parts)).cast("int")).otherwise(0)).drop("hot_")
+    every = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    b = few.join(hot, heavy.columns, "left").withColumn("salt_", F.explode(every)).drop("hot_")
     return a.join(b, [*by, "salt_"], how).drop("salt_")
 
 

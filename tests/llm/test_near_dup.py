@@ -97,6 +97,26 @@ def test_salted_join(spark):
     assert S.sifted(many.withColumn("w", F.lit("zz")), "w", bits, within=False).count() == 2003
 
 
+def test_a_full_bit_table_changes_no_result(spark, monkeypatch):
+    """Far more keys than bits: everything may be in the table, the join that follows still tells."""
+    monkeypatch.setattr(S, "BITS", 6)
+    rows = spark.range(3000).selectExpr("id AS k", "id AS doc")
+    gone = spark.range(0, 3000, 2).selectExpr("id AS g")
+    assert S.bit_table(gone, "g").count() == 1
+    assert sorted(r["doc"] for r in S.without(rows, F.col("k"), gone, "g").collect()) == list(range(1, 3000, 2))
+    assert S.without(rows, F.col("k"), gone.limit(0), "g").count() == 3000 and S.without(rows.limit(0), F.col("k"), gone, "g").count() == 0
+
+
+def test_hot_keys_follow_the_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert S.hot_share(spark, S.HOT) == S.HOT and S.salts(spark) == S.SALTS
+        spark.conf.set("spark.sql.shuffle.partitions", "8000")
+        assert S.hot_share(spark, S.HOT) == 1 / 8000 and S.salts(spark) == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_edge_cases(spark):
     long = "very long " * 50_000
     rows = [(1, None, 9), (2, "", 9), (3, " \n ", 9), (4, "one", 9), (5, "One", 9), (None, "one", 9), (6, long, 9), (7, long, 9), (8, "a b c d e f", 9), (8, "a b c d e f", 9)]
