@@ -273,18 +273,31 @@ def redacted(value, sensitive: frozenset[str]):
     return [redacted(v, sensitive) for v in value] if isinstance(value, list) else value
 
 
+class NumberText(str):
+    """A JSON number as it was written."""
+
+
+def json_text(value) -> str:
+    """A JSON value without white space; numbers as they were written."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json_text(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(json_text, value)) + "]"
+    return value if isinstance(value, NumberText) else json.dumps(value, ensure_ascii=False)
+
+
 def redact_json(json_: Column, sensitive: Sequence[str] = SENSITIVE) -> Column:
-    """A JSON object without the keys whose letters, in lower case, are sensitive, at any depth; other values stay as they are. Null if it is no object."""
+    """A JSON object without the keys whose letters, in lower case, are sensitive, at any depth; other values stay as they are, numbers as written. Null if it is no object, or nested deeper than Python recurses."""
     names = frozenset(sensitive)
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
         def one(text):
             try:
-                value = json.loads(text) if text is not None else None
+                value = json.loads(text, parse_float=NumberText, parse_int=NumberText, parse_constant=NumberText) if text is not None else None
+                return json_text(redacted(value, names)) if isinstance(value, dict) else None
             except (ValueError, RecursionError):
                 return None
-            return json.dumps(redacted(value, names), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
 
         return texts.map(one)
 

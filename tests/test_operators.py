@@ -164,6 +164,20 @@ def test_redaction_at_every_depth(spark):
     assert one(spark, Q.redact_json(F.lit('{"User Name":1,"Path":2,"Size":3}'))) == '{"Size":3}'
 
 
+def test_redaction_keeps_numbers_as_written(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    cases = {
+        '{"a":1.10,"b":[1e5,-0,12345678901234567890.5,{"k":2.50,"c":1E+2}]}': '{"a":1.10,"b":[1e5,-0,12345678901234567890.5,{"c":1E+2}]}',
+        '{ "t" : "1.10 \\u00e9 \\" x" , "e" : { } , "l" : [ ] }': '{"t":"1.10 é \\" x","e":{},"l":[]}',
+        '{"n":' + "9" * 6000 + "}": '{"n":' + "9" * 6000 + "}",
+        '{"x":' + deep + "}": None,
+        "1.10": None,
+        "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "j string").select("j", Q.redact_json(F.col("j"), ["k"]).alias("r")).collect()
+    assert {r["j"]: r["r"] for r in rows} == {**cases, None: None}
+
+
 def test_rings_and_lines(spark):
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (3, 0), (3, 4))])
     assert one(spark, X.polygon_area(ring)) == 6.0 and one(spark, X.polyline_length(ring)) == 7.0
