@@ -7,13 +7,17 @@ counts, the largest footprints) are one row each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators.spatial import box_pairs, cell, overlap_share
+from girder.operators.spatial import box_pairs, cell, overlap_share, some_partner
+from girder.sources.shared import written
 
 AXES = ("x", "y", "z")
+#: Steps in which covers are told apart: cells of a cover's own size, of half of it and so on.
+COVER_STEPS = 5
 
 
 def spans() -> list[Column]:
@@ -27,16 +31,29 @@ def solid(least: float = 0.01) -> Column:
 
 
 def covered_boxes(boxes: DataFrame, covers: DataFrame, key: str, size: float, share: float = 0.95) -> DataFrame:
-    """(key) of boxes of some volume of which a cover holds at least that share of the volume.
+    """(key) of boxes of some volume of which a cover holds at least that share (above 0) of the volume.
 
-    Boxes and covers meet on levels of plan cells (``box_pairs``), the finest of ``size``.
+    Equal boxes are one. Covers are grouped by their spans' powers of two and by their
+    corners on cells of these, halved from step to step (``some_partner``); boxes and the
+    coarsest groups meet on levels of plan cells (``box_pairs``), the finest of ``size``.
     """
-    solid_ = lambda df, mark: df.filter("x0 <= x1 and y0 <= y1 and z0 <= z1").select(*([key] if not mark else []), *[F.col(f"{a}{k}").alias(f"{mark}{a}{k}") for a in AXES for k in (0, 1)])
+    columns = [f"{a}{k}" for a in AXES for k in (0, 1)]
+    whole = lambda df: df.filter("x0 <= x1 and y0 <= y1 and z0 <= z1")
     dx, dy, dz = spans()
-    plan = lambda mark: [(f"{mark}{a}0", f"{mark}{a}1") for a in "xy"]
-    met = box_pairs(solid_(boxes.filter(dx * dy * dz > 0), ""), solid_(covers, "c_"), plan(""), plan("c_"), (), [size, size])
-    sides = lambda mark: [F.col(f"{mark}{a}{k}") for a in AXES for k in (0, 1)]
-    return met.filter(overlap_share(sides(""), sides("c_")) >= share).select(key).distinct()
+    kept = written(whole(boxes.filter(dx * dy * dz > 0)).select(key, *columns), "boxes")
+    rows = written(kept.select(*columns).distinct().withColumn("row_", F.monotonically_increasing_id()), "box-kinds")
+    power = lambda a: F.greatest(F.lit(-1000), F.least(F.lit(1000), F.ceil(F.log2(F.col(f"{a}1") - F.col(f"{a}0"))))).cast("int")
+    corner = lambda a, k, step: F.floor(F.col(f"{a}{k}") / F.pow(F.lit(2.0), power(a) - step))
+    cells = [[c for a in AXES for c in (power(a), corner(a, 0, step), corner(a, 1, step))] for step in range(COVER_STEPS)]
+    sides = lambda of: [of(c) for c in columns]
+    own = [F.col(c) for c in columns]
+    fits = lambda one: overlap_share(own, sides(one)) >= share
+    may = lambda low, high: overlap_share(own, [(low if c.endswith("0") else high)(c) for c in columns]) >= share
+    plan = [(f"{a}0", f"{a}1") for a in "xy"]
+    near = lambda r, groups: box_pairs(r, groups, plan, [(f"low_{a}0", f"high_{a}1") for a in "xy"], (), [size, size])
+    solid_ = whole(covers).select(*columns).filter((dx > 0) & (dy > 0) & (dz > 0))
+    done = some_partner(rows, "row_", solid_, columns, cells, near, fits, may, dx * dy * dz)
+    return kept.join(rows.join(done, "row_", "left_semi"), columns, "left_semi").select(key).distinct()
 
 
 def same_plan(boxes: DataFrame, others: DataFrame, key: str, by: str, tolerance: float) -> DataFrame:

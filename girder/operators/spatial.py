@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ def cell(x: Column, size: float) -> Column:
 
 #: Levels of cells: each has cells twice as wide as the one before.
 LEVELS = 1100
+#: Combinations of the axes' levels under which a point is listed at most.
+SHAPES = 64
 
 
 def _level(sides: Sequence[tuple[str, str]], sizes: Sequence[float]) -> Column:
@@ -29,14 +32,19 @@ def _levels(boxes: DataFrame, sides: Sequence[tuple[str, str]], sizes: Sequence[
     return sorted(r[0] for r in boxes.select(_level(sides, sizes)).distinct().collect() if r[0] is not None)
 
 
-def _celled(rows: DataFrame, sides: Sequence[tuple[str, str]], sizes: Sequence[float]) -> DataFrame:
-    """Rows under each cell (``cell0_`` ...) of their level (``level_``) that they touch."""
+def _celled(rows: DataFrame, sides: Sequence[tuple[str, str]], sizes: Sequence[float], levels: Sequence[str] | None = None) -> DataFrame:
+    """Rows under each cell (``cell0_`` ...) of their level (``level_``, or a column for each axis) that they touch."""
     for k, ((low, high), size) in enumerate(zip(sides, sizes, strict=True)):
-        width = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level_"))
+        width = F.lit(float(size)) * F.pow(F.lit(2.0), F.col(levels[k] if levels else "level_"))
         rows = rows.withColumn(f"cell{k}_", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))) if low != high else F.floor(F.col(low) / width))
     return rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many even parts as a shuffle has: a few bytes may stand for many pairs, and a broadcast join leaves rows in the parts they come in."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _valid(rows: DataFrame, sides: Sequence[tuple[str, str]]) -> DataFrame:
     for low, high in sides:
         rows = rows.filter(F.col(low) <= F.col(high))
@@ -48,16 +56,24 @@ def containment_join(boxes: DataFrame, points: DataFrame, axes: Mapping[str, tup
 
     ``axes`` maps a point's column to the box's (low, high) columns. There are
     levels of cells, the finest of ``sizes``; a box is listed under the few cells of the
-    level of its own size, a point under its cell of each level that has boxes, so the
-    join is an equi-join, every pair is met once, and a huge box costs no more than
-    a small one.
+    levels of its own sides (one for each axis; of its longest side for all, if boxes
+    lie on more than SHAPES), a point under its cell of each that has boxes, so the
+    join is an equi-join, every pair is met once, and a huge or long box costs no more
+    than a small one.
     """
     sides = list(axes.values())
     a = _valid(boxes, sides)
-    levels = F.array(*[F.lit(k) for k in _levels(a, sides, sizes)]).cast("array<int>")
-    a = _celled(a.withColumn("level_", _level(sides, sizes)), sides, sizes)
-    b = _celled(points.withColumn("level_", F.explode(levels)), [(p, p) for p in axes], sizes)
-    keys = ["level_", *[f"cell{k}_" for k in range(len(axes))]]
+    names = [f"level{k}_" for k in range(len(axes))]
+    own = [_level([side], [size]) for side, size in zip(sides, sizes, strict=True)]
+    shapes = [tuple(r) for r in a.select(*[x.alias(c) for x, c in zip(own, names, strict=True)]).distinct().limit(SHAPES + 1).collect()] if axes else [()]
+    if len(shapes) > SHAPES:
+        own = [_level(sides, sizes)] * len(axes)
+        shapes = [(k,) * len(axes) for k in _levels(a, sides, sizes)]
+    kinds = f"array<struct<{', '.join(f'{c}: int' for c in names)}>>"
+    listed = F.array(*[F.struct(*[F.lit(x).cast("int").alias(c) for x, c in zip(shape, names, strict=True)]) for shape in shapes if None not in shape]).cast(kinds)
+    a = _celled(spread(a).withColumns(dict(zip(names, own, strict=True))), sides, sizes, names)  # either side may be the one that is broadcast
+    b = _celled(spread(points).withColumn("shape_", F.explode(listed)).select("*", "shape_.*").drop("shape_"), [(p, p) for p in axes], sizes, names)
+    keys = [*names, *[f"cell{k}_" for k in range(len(axes))]]
     joined = a.join(b, keys)
     for p, (low, high) in axes.items():
         joined = joined.filter(F.col(p).between(F.col(low), F.col(high)))
@@ -83,6 +99,7 @@ def box_pairs(a: DataFrame, b: DataFrame, a_sides: Sequence[tuple[str, str]], b_
             return _celled(rows.withColumn("level_", own), sides, sizes)
         return _celled(rows.withColumn("level_", F.explode(F.filter(every, lambda x: x >= own + above))), sides, sizes)
 
+    a, b = spread(a), spread(b)  # either may be the one that is broadcast
     met = listed(a, a_sides, 0).join(listed(b, b_sides, None), keys).unionByName(listed(a, a_sides, None).join(listed(b, b_sides, 1), keys))
     for k, ((al, ah), (bl, bh), size) in enumerate(zip(a_sides, b_sides, sizes, strict=True)):
         corner = F.greatest(al, bl)
@@ -90,6 +107,40 @@ def box_pairs(a: DataFrame, b: DataFrame, a_sides: Sequence[tuple[str, str]], b_
     return met.drop(*[k for k in keys if k not in by])
 
 
+def some_partner(rows: DataFrame, row: str, partners: DataFrame, columns: Sequence[str], cells: Sequence[Sequence[Column]], near: Callable[[DataFrame, DataFrame], DataFrame], fits: Callable[[Callable[[str], Column]], Column], may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], first: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(row) of rows for which some partner fits, without a look at most pairs in dense tables.
+
+    Equal partners are one. They are grouped under cells, coarse to fine (``cells``: the
+    columns of each step), each group with the bounds of its ``columns`` (``low_``,
+    ``high_``) and one member (``one_``, that of the largest ``first``). ``near`` joins rows
+    with the coarsest groups. A row whose test of the member (``fits(column)``) holds is
+    done and leaves; a group that its bounds exclude (``may(low, high)``, true wherever
+    ``fits`` is for some value between them) goes; what is left meets the groups of the next
+    step, at last each partner. So rows with many partners cost what the coarse groups
+    cost, and only rows close to the rule's limit meet single partners.
+    """
+    tree = partners.select(*by, *columns).distinct()
+    for k, cell_ in enumerate(cells):
+        tree = tree.withColumn(f"node{k}_", F.xxhash64(*([f"node{k - 1}_"] if k else by), *cell_))
+    tree = written(tree.withColumn("first_", first), "partners")
+    found, open_, last = [], None, len(cells)
+    for k in range(last + 1):
+        if k < last:
+            bounds = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("low", F.min), ("high", F.max))]
+            group = [*by, *([f"node{k - 1}_"] if k else []), f"node{k}_"]
+            nodes = tree.groupBy(*group).agg(*bounds, F.max(F.struct("first_", *columns)).alias("o_")).select("*", *[F.col(f"o_.{c}").alias(f"one_{c}") for c in columns]).drop("o_")
+        else:
+            nodes = tree.select(*by, f"node{k - 1}_", *[F.col(c).alias(f"{name}_{c}") for c in columns for name in ("low", "high", "one")])
+        met = near(rows, nodes) if k == 0 else spread(open_).join(spread(nodes), [*by, f"node{k - 1}_"])
+        met = met.filter(may(lambda c: F.col(f"low_{c}"), lambda c: F.col(f"high_{c}"))).withColumn("fits_", fits(lambda c: F.col(f"one_{c}")))
+        met = written(met.select(*rows.columns, *([f"node{k}_"] if k < last else []), "fits_"), "partner-groups")
+        done = written(met.filter("fits_").select(row).distinct(), "partnered")
+        found.append(done)
+        open_ = written(met.drop("fits_").join(done, row, "left_anti"), "partner-open")
+        if k == last or open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def occupants(boxes: DataFrame, points: DataFrame, box: str, own: str, axes: Mapping[str, tuple[str, str]], sizes: Sequence[float], least: int = 5) -> DataFrame:
     """(box, occupants): points of others inside each box, of boxes with enough of them."""
     return containment_join(boxes, points, axes, sizes).filter(F.col(box) != F.col(own)).groupBy(box).agg(F.count("*").alias("occupants")).filter(F.col("occupants") >= least)
