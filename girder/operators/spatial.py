@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -239,11 +240,29 @@ def undirected_pairs(rows: DataFrame, a: str, b: str, ordinal: str) -> DataFrame
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, point: str, segment: str, reach: float) -> DataFrame:
-    """(point, segment, distance): the nearest segment (x0, y0, x1, y1) within ``reach`` of a point (x, y); ties to the smaller id."""
-    s = segments.withColumns({f"{a}_{side}_": f(f"{a}0", f"{a}1") + shift for a in "xy" for side, f, shift in (("low", F.least, -reach), ("high", F.greatest, reach))})
+    """(point, segment, distance): the nearest segment (x0, y0, x1, y1) within ``reach`` of a point (x, y); ties to the smaller id.
+
+    Points on one place are one. They look for segments within a reach that starts at
+    what holds about one of them and doubles up to ``reach``; a point that has found one leaves.
+    """
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / length))).otherwise(0.0)
     gap = F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy)
-    met = containment_join(s, points, {"x": ("x_low_", "x_high_"), "y": ("y_low_", "y_high_")}, [2 * reach] * 2).withColumn("distance", gap).filter(F.col("distance") <= reach)
-    return met.groupBy(point).agg(F.min(F.struct("distance", segment)).alias("b_")).select(point, F.col(f"b_.{segment}").alias(segment), F.col("b_.distance").alias("distance"))
+    n, *ends = segments.agg(F.count("*"), *[f(f"{a}0") for a in "xy" for f in (F.min, F.max)]).first()
+    sides = [float(b) - float(a) for a, b in zip(ends[::2], ends[1::2], strict=True)] if n and None not in ends else [0.0]
+    one = math.sqrt(math.prod(sides) / n) if n and all(math.isfinite(x) and x > 0 for x in sides) else reach
+    halvings = max(0, min(20, math.floor(math.log2(reach / one)))) if reach > 0 < one else 0
+    left, found = written(points.select("x", "y").distinct(), "places"), []
+    for k in range(halvings, -1, -1):
+        within = reach / 2**k
+        wide = within * (1 + 1e-9) if k else within  # rounding must not hide a segment that a later round would see
+        s = segments.withColumns({f"{a}_{side}_": f(f"{a}0", f"{a}1") + shift for a in "xy" for side, f, shift in (("low", F.least, -wide), ("high", F.greatest, wide))})
+        met = containment_join(s, left, {"x": ("x_low_", "x_high_"), "y": ("y_low_", "y_high_")}, [2 * within] * 2).withColumn("distance", gap).filter(F.col("distance") <= within)
+        found.append(written(met.groupBy("x", "y").agg(F.min(F.struct("distance", segment)).alias("b_")), "nearest"))
+        if k:
+            left = written(left.join(found[-1], ["x", "y"], "left_anti"), "places")
+            if left.isEmpty():
+                break
+    best = points.join(reduce(DataFrame.unionByName, found), ["x", "y"]).groupBy(point).agg(F.min("b_").alias("b_"))
+    return best.select(point, F.col(f"b_.{segment}").alias(segment), F.col("b_.distance").alias("distance"))

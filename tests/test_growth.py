@@ -30,3 +30,25 @@ def test_covered_boxes_meet_groups_of_covers(spark, monkeypatch):
     got = sorted(x["id"] for x in scene.covered_boxes(spark.createDataFrame(rows, BOX), spark.createDataFrame(covers, BOX), "id", 4.0, 0.6).collect())
     assert got == [b[0] for b in rows if any(None not in c and share(b, c) >= 0.6 for c in covers)]
     assert met[0] < 200  # groups of covers, not 1602 covers
+
+
+def test_nearest_segment_looks_once_for_points_on_one_place(spark, monkeypatch):
+    r = random.Random(4)
+    places = [(r.uniform(0, 40), r.uniform(0, 40)) for _ in range(30)] + [(300.0, 300.0)]
+    points = [(k, *places[k % len(places)]) for k in range(600)]
+    segments = [(k, (x := r.uniform(0, 40)), (y := r.uniform(0, 40)), x + r.uniform(-3, 3), y + r.choice([1, 30]) * r.uniform(-1, 1)) for k in range(300)] + [(900, 300.0, 305.0, 300.0, 309.0), (899, 300.0, 305.0, 300.0, 305.0)]
+    met, plain = [], spatial.containment_join
+    monkeypatch.setattr(spatial, "containment_join", lambda a, b, *rest: met.append(b.count()) or plain(a, b, *rest))
+    found = spatial.nearest_segment(spark.createDataFrame(points, "p long, x double, y double"), spark.createDataFrame(segments, "s long, x0 double, y0 double, x1 double, y1 double"), "p", "s", 6.0)
+    got = {x["p"]: (x["s"], x["distance"]) for x in found.collect()}
+
+    def gap(x, y, x0, y0, x1, y1):
+        n = (x1 - x0) ** 2 + (y1 - y0) ** 2
+        t = max(0.0, min(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / n)) if n else 0.0
+        return ((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2) ** 0.5
+
+    for p, x, y in points:
+        d, s = min((gap(x, y, *g[1:]), g[0]) for g in segments)
+        assert (got[p][0] == s and abs(got[p][1] - d) < 1e-9) if d <= 6 else p not in got
+    assert got[len(places) - 1][0] == 899
+    assert max(met) <= len(places)
