@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators.spatial import box_pairs, cell, overlap_share, some_partner
+from girder.operators.spatial import box_pairs, cell, overlap_share, some_partner, spread
 from girder.sources.shared import written
 
 AXES = ("x", "y", "z")
@@ -57,12 +57,28 @@ def covered_boxes(boxes: DataFrame, covers: DataFrame, key: str, size: float, sh
 
 
 def same_plan(boxes: DataFrame, others: DataFrame, key: str, by: str, tolerance: float) -> DataFrame:
-    """(key) of boxes for which some other (of the same ``by``) has the same plan: all four sides within the tolerance."""
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = boxes.select(key, by, "x0", "x1", "y0", "y1").withColumn("cell_x", F.explode(F.transform(near, lambda d: cell(F.col("x0"), tolerance) + d))).withColumn("cell_y", F.explode(F.transform(near, lambda d: cell(F.col("y0"), tolerance) + d)))
-    b = others.select(by, *[F.col(f"{s}{k}").alias(f"o_{s}{k}") for s in "xy" for k in (0, 1)]).withColumns({f"cell_{s}": cell(F.col(f"o_{s}0"), tolerance) for s in "xy"})
-    good = [F.abs(F.col(f"{s}{k}") - F.col(f"o_{s}{k}")) <= tolerance for s in "xy" for k in (0, 1)]
-    return a.join(b, [by, "cell_x", "cell_y"]).filter(good[0] & good[1] & good[2] & good[3]).select(key).distinct()
+    """(key) of boxes for which some other (of the same ``by``) has the same plan: all four sides within the tolerance (above 0).
+
+    Equal plans are one; others are grouped on cells of half the tolerance (``some_partner``).
+    """
+    columns = [f"{a}{k}" for a in "xy" for k in (0, 1)]
+    kept = written(boxes.select(key, by, *columns), "plans")
+    rows = written(kept.select(by, *columns).distinct().withColumn("row_", F.monotonically_increasing_id()), "plan-kinds")
+    good = lambda low, high: reduce(lambda x, y: x & y, [c for n in columns for c in (low(n) - F.col(n) <= tolerance, F.col(n) - high(n) <= tolerance)])
+
+    def near(r: DataFrame, groups: DataFrame) -> DataFrame:
+        # a group's low corners lie on one cell of half the tolerance, so on one of the tolerance
+        r, groups = spread(r), spread(groups)
+        for a in "xy":
+            own = cell(F.col(f"{a}0"), tolerance)
+            r = r.withColumn(f"cell_{a}", F.explode(F.array(own - 1, own, own + 1)))
+            groups = groups.withColumn(f"cell_{a}", cell(F.col(f"low_{a}0"), tolerance))
+        return r.join(groups, [by, "cell_x", "cell_y"])
+
+    # cells of the tolerance first, so that a group's bounds lie in one of them
+    cells = [[c for n in columns for c in (cell(F.col(n), tolerance), cell(F.col(n), tolerance / 2))]]
+    done = some_partner(rows, "row_", others, columns, cells, near, lambda one: good(one, one), good, F.lit(0), [by])
+    return kept.join(rows.join(done, "row_", "left_semi"), [by, *columns], "left_semi").select(key).distinct()
 
 
 def without_dominant(boxes: DataFrame, key: str, side: float = 500.0, times: float = 2.5) -> DataFrame:

@@ -52,3 +52,18 @@ def test_nearest_segment_looks_once_for_points_on_one_place(spark, monkeypatch):
         assert (got[p][0] == s and abs(got[p][1] - d) < 1e-9) if d <= 6 else p not in got
     assert got[len(places) - 1][0] == 899
     assert max(met) <= len(places)
+
+
+def test_same_plan_looks_at_few_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    plan = lambda k, by, spread: (k, by, *[v + r.uniform(0, spread) for v in (0.0, 3.0, 0.0, 2.0)])
+    boxes = [plan(k, r.choice("ab"), 4.0) for k in range(400)] + [(400, "c", 0.0, 1.0, 0.0, 1.0), (401, "a", None, 1.0, 0.0, 1.0), (402, None, 0.0, 1.0, 0.0, 1.0), (403, "d", 0.0, 1.0, 0.0, 1.0)]
+    others = [plan(k, "a", 0.2) for k in range(400)] + [plan(k, "b", 4.0) for k in range(60)] + [(1, None, 0.0, 1.0, 0.0, 1.0), (2, "d", 1.5, 2.5, -1.5, 1.0), (3, "c", 1.5000001, 1.0, 0.0, 1.0)]
+    looked, plain = [], spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df, name: looked.append((name, (out := plain(df, name)).count())) or out)
+    schema = "id long, by string, x0 double, x1 double, y0 double, y1 double"
+    got = sorted(x["id"] for x in scene.same_plan(spark.createDataFrame(boxes, schema), spark.createDataFrame(others, schema), "id", "by", 1.5).collect())
+    good = lambda b, o: b[1] is not None and b[1] == o[1] and None not in b and all(abs(p - q) <= 1.5 for p, q in zip(b[2:], o[2:], strict=True))
+    assert got == [b[0] for b in boxes if any(good(b, o) for o in others)]
+    pairs = [n for name, n in looked if name == "partner-groups"]
+    assert pairs and sum(pairs) < 12000  # of 100,000 with one key
