@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girder.operators.shape import ranked
 from girder.sources.shared import written
 
 
@@ -148,9 +149,15 @@ def occupants(boxes: DataFrame, points: DataFrame, box: str, own: str, axes: Map
 
 
 def smallest_container(boxes: DataFrame, points: DataFrame, point: str, box: str, volume: Column, axes: Mapping[str, tuple[str, str]], sizes: Sequence[float]) -> DataFrame:
-    """(point, box): the box of the smallest volume that holds a point, on ties the smaller id."""
-    met = containment_join(boxes.withColumn("volume_", volume), points, axes, sizes)
-    return met.groupBy(point).agg(F.min(F.struct("volume_", box)).alias("b_")).select(point, F.col(f"b_.{box}").alias(box))
+    """(point, box): the box of the smallest volume that holds a point, on ties the smaller id.
+
+    Boxes are numbered in that order, so the smallest number of a point's boxes is
+    kept by hash, and no task sorts what its points meet.
+    """
+    placed = written(ranked(boxes.withColumn("volume_", volume), ["volume_", box]).withColumn("rank", F.col("rank").cast("long")), "containers")
+    met = containment_join(placed.drop(box, "volume_", "n"), points, axes, sizes)
+    best = met.groupBy(point).agg(F.min("rank").alias("rank"))
+    return best.join(placed.select("rank", box), "rank").select(point, box)
 
 
 def overlap_share(a: Sequence[Column], b: Sequence[Column]) -> Column:

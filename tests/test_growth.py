@@ -67,3 +67,11 @@ def test_same_plan_looks_at_few_pairs(spark, monkeypatch):
     assert got == [b[0] for b in boxes if any(good(b, o) for o in others)]
     pairs = [n for name, n in looked if name == "partner-groups"]
     assert pairs and sum(pairs) < 12000  # of 100,000 with one key
+
+
+def test_smallest_container_sorts_nothing_by_point(spark):
+    boxes = spark.createDataFrame([("b", 0.0, 4.0), ("a", 1.0, 5.0), ("c", 0.0, 9.0)], "id string, x0 double, x1 double")
+    points = spark.createDataFrame([(k, float(k)) for k in range(12)], "p long, x double")
+    found = spatial.smallest_container(boxes, points, "p", "id", boxes["x1"] - boxes["x0"], {"x": ("x0", "x1")}, [2.0])
+    assert {r["p"]: r["id"] for r in found.collect()} == {0: "b", 1: "a", 2: "a", 3: "a", 4: "a", 5: "a", 6: "c", 7: "c", 8: "c", 9: "c"}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
