@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import semantics as X
+from girder.operators.spatial import spread
 from girder.plans.catalogue import query, table
 from girder.sources import binary as B
 from girder.sources import sinks as K
@@ -126,7 +127,7 @@ SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'utf-16le' WHEN 1 THEN 'utf-16b
 def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" é"))
     content = F.when(F.col("p_partkey") % 3 == 0, F.encode(text, "UTF-16LE")).when(F.col("p_partkey") % 3 == 1, F.encode(text, "UTF-16BE")).otherwise(F.encode(text, "UTF-8"))
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
+    files = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
     return T.decoded(files).select(F.col("path").cast("long").alias("p_partkey"), "encoding", "text")
 
 
@@ -179,7 +180,7 @@ SELECT p_partkey, 'Size' AS key, CAST(p_size AS VARCHAR) AS value FROM part UNIO
 """)
 def file_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Size: "), F.col("p_size").cast("string"), F.lit("\nName:\t"), "p_name", F.lit("\r\nFormat: 2027\nno key"))
-    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), text.alias("text"))
+    texts = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), text.alias("text"))
     return T.file_properties(texts).select(F.col("path").cast("long").alias("p_partkey"), "key", "value")
 
 
@@ -196,7 +197,7 @@ SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(64896 + p_partkey % 100 AS B
 """)
 def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.repeat(F.lit("a"), B.PAYLOAD), F.repeat(F.lit("c"), B.CHECKSUM), F.repeat(F.lit("b"), (F.col("p_partkey") % 100).cast("int"))).cast("binary")
-    pages = table(spark, sf_dir, "part").select(F.concat(F.lit("Partitions/"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content"))
+    pages = spread(table(spark, sf_dir, "part")).select(F.concat(F.lit("Partitions/"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content"))
     out = B.payloads(pages)
     return out.select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("p_partkey"), F.length(F.replace(F.col("content").cast("string"), F.lit("c"), F.lit(""))).cast("long").alias("bytes"))
 
@@ -206,4 +207,4 @@ SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name || '.dwg' AS name FROM par
 """)
 def drawing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("\u0001"), "p_name", F.lit(".dwg\u0000/"), F.lit("Shared.DWG\u0000shared.dwg\u0000no drawing"))
-    return B.drawing_names(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(text, "UTF-16LE").alias("content"))).select(F.col("path").cast("long").alias("p_partkey"), "name")
+    return B.drawing_names(spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), F.encode(text, "UTF-16LE").alias("content"))).select(F.col("path").cast("long").alias("p_partkey"), "name")

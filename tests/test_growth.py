@@ -75,3 +75,12 @@ def test_smallest_container_sorts_nothing_by_point(spark):
     found = spatial.smallest_container(boxes, points, "p", "id", boxes["x1"] - boxes["x0"], {"x": ("x0", "x1")}, [2.0])
     assert {r["p"]: r["id"] for r in found.collect()} == {0: "b", 1: "a", 2: "a", 3: "a", 4: "a", 5: "a", 6: "c", 7: "c", 8: "c", 9: "c"}
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_one_small_file_are_read_in_many_tasks(spark, tmp_path):
+    from girder.plans import source_catalogue
+
+    spark.range(40).selectExpr("id AS p_partkey", "'a' AS p_name", "'b' AS p_brand", "'c' AS p_type", "CAST(id % 9 AS INT) AS p_size", "1D AS p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("page_payloads",):
+        found = getattr(source_catalogue, name)(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 1, name
