@@ -171,7 +171,7 @@ SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(p_size AS BIGINT) AS owner_i
 def ownership_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit("00000000")
     row = F.concat(little_endian(F.col("p_size")), zero, zero, little_endian(F.col("p_partkey")), zero, F.repeat(F.lit("01000000"), 3), little_endian(F.col("p_partkey")), zero)
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.unhex(row).alias("content"))
+    pages = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), F.unhex(row).alias("content"))
     return B.scan_records(pages, B.OWNERSHIP_ROW).select(F.col("path").cast("long").alias("p_partkey"), "owner_id", "element_id")
 
 

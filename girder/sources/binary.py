@@ -65,42 +65,59 @@ def _read(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
     return np.ascontiguousarray(data[at[:, None] + np.arange(width)]).view(code)[:, 0] if len(at) else np.zeros(0, code)
 
 
-def find(content: bytes, layout: Layout) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Offsets and fields of all records of a layout that pass its checks."""
-    data = np.frombuffer(content, np.uint8)
+def _found(data: np.ndarray, ends: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Contents (by number), offsets and fields of all records that pass the layout's checks, in contents that lie one behind another and end at ``ends``."""
     made = len(data) - layout.size + 1
     if made <= 0:
-        return np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in layout.columns]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in layout.columns]
     good = np.ones(made, bool)
     for k, b in enumerate(layout.signature):
         good &= data[layout.at + k : layout.at + k + made] == b
     at = np.flatnonzero(good)
-    for kind, offset, value in layout.equal:
-        at = at[_read(data, at + offset, kind) == value]
-    for kind, a, b in layout.same:
-        at = at[_read(data, at + a, kind) == _read(data, at + b, kind)]
+    row = np.searchsorted(ends, at, "right")
+    whole = at + layout.size <= ends[row]
+    at, row = at[whole], row[whole]
+    for test in [lambda at, kind=kind, offset=offset, value=value: _read(data, at + offset, kind) == value for kind, offset, value in layout.equal] + [lambda at, kind=kind, a=a, b=b: _read(data, at + a, kind) == _read(data, at + b, kind) for kind, a, b in layout.same]:
+        held = test(at)
+        at, row = at[held], row[held]
     behind = []
     if layout.tail is not None:
         t = layout.tail
         entries = _read(data, at + t.count, "u32").astype(np.int64)
         end = at + t.begin + t.unit * entries
-        fits = (entries >= t.least) & (entries <= t.most) & (end + t.size <= len(data))
-        at, end = at[fits], end[fits]
+        fits = (entries >= t.least) & (entries <= t.most) & (end + t.size <= ends[row])
+        at, row, end = at[fits], row[fits], end[fits]
         behind = [_read(data, end + offset, kind) for _, kind, offset in t.fields]
-    return at, [_read(data, at + offset, kind) for _, kind, offset in layout.fields] + behind
+    return row, at - np.concatenate([[0], ends])[row], [_read(data, at + offset, kind) for _, kind, offset in layout.fields] + behind
+
+
+def find(content: bytes, layout: Layout) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and fields of all records of a layout that pass its checks."""
+    data = np.frombuffer(content, np.uint8)
+    return _found(data, np.array([len(data)]), layout)[1:]
+
+
+#: Bytes of contents that are scanned at once; a longer content is scanned whole.
+SCANNED = 4 << 20
 
 
 def scan_records(pages: DataFrame, layout: Layout) -> DataFrame:
-    """(path, offset, fields...) of a layout's records in each page; whole numbers as long."""
+    """(path, offset, fields...) of a layout's records in each page; whole numbers as long. Short pages are scanned together."""
     names = [n for n, _, _ in layout.columns]
     kinds = ["double" if k == "f64" else "long" for _, k, _ in layout.columns]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                at, values = find(content or b"", layout)
+            contents = [x or b"" for x in batch.column("content").to_pylist()]
+            ends = np.cumsum([len(x) for x in contents])
+            first = 0
+            while first < len(contents):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SCANNED, "right")))
+                data = np.frombuffer(b"".join(contents[first:last]), np.uint8)
+                row, at, values = _found(data, ends[first:last] - (ends[first - 1] if first else 0), layout)
                 columns = [pa.array(v.astype(np.float64 if k == "double" else np.int64)) for v, k in zip(values, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(at.astype(np.int64)), *columns], ["path", "offset", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row + first)).cast(pa.string()), pa.array(at.astype(np.int64)), *columns], ["path", "offset", *names])
+                first = last
 
     schema = ", ".join(["path string", "offset long", *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
     return pages.select("path", "content").mapInArrow(over, schema)

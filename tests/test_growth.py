@@ -1,8 +1,13 @@
 """Joins on dense tables: as much work as there are groups, and the results of brute force."""
 
 import random
+import struct
+
+import numpy as np
+import pyarrow as pa
 
 from girder.operators import scene, spatial
+from girder.sources import binary
 
 BOX = "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
 
@@ -77,10 +82,27 @@ def test_smallest_container_sorts_nothing_by_point(spark):
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_records_of_many_pages_are_found_at_once(spark):
+    r = random.Random(8)
+    row = lambda owner, element: struct.pack("<QIQIIIQ", owner, 0, element, 1, 1, 1, element)
+    pages = {}
+    for k in range(60):
+        parts = [row(r.randrange(9), r.randrange(9)) if r.random() < 0.6 else bytes(r.randrange(256) for _ in range(r.randrange(50))) for _ in range(r.randrange(4))]
+        pages[f"p{k}"] = b"".join(parts)
+    whole = row(3, 4)
+    pages |= {"cut": whole[:25], "rest": whole[25:], "long": b"\x01" * binary.SCANNED + whole, "after": whole}
+    wanted = sorted((p, int(at), *[int(v[k].astype(np.int64)) for v in values]) for p, x in pages.items() for at, values in [binary.find(x, binary.OWNERSHIP_ROW)] for k, at in enumerate(at))
+    rows = spark.createDataFrame([*pages.items(), ("none", None)], "path string, content binary").coalesce(1)
+    found = binary.scan_records(rows, binary.OWNERSHIP_ROW)
+    assert sorted(tuple(x) for x in found.collect()) == wanted and ("after", 0) in {x[:2] for x in wanted}
+    batches = found.mapInArrow(lambda it: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in it), "n long").collect()
+    assert len(batches) < 10  # not one for each page
+
+
 def test_pages_of_one_small_file_are_read_in_many_tasks(spark, tmp_path):
     from girder.plans import source_catalogue
 
     spark.range(40).selectExpr("id AS p_partkey", "'a' AS p_name", "'b' AS p_brand", "'c' AS p_type", "CAST(id % 9 AS INT) AS p_size", "1D AS p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
-    for name in ("page_payloads",):
+    for name in ("page_payloads", "ownership_records"):
         found = getattr(source_catalogue, name)(spark, str(tmp_path))
         assert found.rdd.getNumPartitions() > 1, name
