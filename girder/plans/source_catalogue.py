@@ -161,7 +161,7 @@ def bounds_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(key % 2 == 0, "FFFFFFFF").otherwise("00000200")
     entries = F.concat(F.lit("03000000"), F.repeat(F.lit("00"), (2 + 6 * (key % 4)).cast("int")))
     row = F.concat(little_endian(key), zero, F.repeat(F.lit("AB"), 8), F.lit("C608"), code, F.when(key % 7 == 0, "FFFFFFFF").otherwise("00000000"), little_endian(key), zero, F.lit("04800800"), little_endian(1 + key % 4), entries)
-    pages = table(spark, sf_dir, "part").select(key.cast("string").alias("path"), F.unhex(F.concat(F.repeat(F.lit("01"), (key % 3).cast("int")), row, copy(F.col("p_size"), key % 11 == 0), copy(key % 40 + 1, key % 13 == 0))).alias("content"))
+    pages = spread(table(spark, sf_dir, "part")).select(key.cast("string").alias("path"), F.unhex(F.concat(F.repeat(F.lit("01"), (key % 3).cast("int")), row, copy(F.col("p_size"), key % 11 == 0), copy(key % 40 + 1, key % 13 == 0))).alias("content"))
     return B.duplicated_bounds(pages).select(F.col("path").cast("long").alias("p_partkey"), F.col("offset").alias("record_offset"), "record_code", "record_count", "duplicated", "x0", "x1", "z1")
 
 
