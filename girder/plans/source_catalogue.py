@@ -142,7 +142,7 @@ SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(7 + p_partkey % 5 AS BIGINT)
 """)
 def category_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     hex_ = F.concat(F.repeat(F.lit("01"), (F.col("p_partkey") % 5 + 7).cast("int")), F.lit("0400"), little_endian(F.col("p_size")), little_endian(-F.col("p_partkey") - 1), F.repeat(F.lit("FF"), 8), F.lit("0400AA"))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.unhex(hex_).alias("content"))
+    pages = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("string").alias("path"), F.unhex(hex_).alias("content"))
     return B.scan_records(pages, B.CATEGORY_TOKEN).select(F.col("path").cast("long").alias("p_partkey"), F.col("offset").alias("record_offset"), "discriminator", "category_low")
 
 

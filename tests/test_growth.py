@@ -103,6 +103,6 @@ def test_pages_of_one_small_file_are_read_in_many_tasks(spark, tmp_path):
     from girder.plans import source_catalogue
 
     spark.range(40).selectExpr("id AS p_partkey", "'a' AS p_name", "'b' AS p_brand", "'c' AS p_type", "CAST(id % 9 AS INT) AS p_size", "1D AS p_retailprice").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
-    for name in ("page_payloads", "ownership_records", "bounds_records"):
+    for name in ("page_payloads", "ownership_records", "bounds_records", "category_records"):
         found = getattr(source_catalogue, name)(spark, str(tmp_path))
         assert found.rdd.getNumPartitions() > 1, name
