@@ -9,11 +9,14 @@ nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from girder.operators.keyed import meet, running_sums
 from girder.operators.shape import ranked_in_groups
@@ -28,7 +31,7 @@ TOUCH = 1e-5
 
 def sides(rings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, x, y, x_, y_): the sides of rings whose corners (place, x, y) have the same keys."""
-    ring = [*keys, "ring"]
+    ring = list(dict.fromkeys([*keys, "ring"]))
     corners = rings.filter("x is not null and y is not null").select(*ring, "place", "x", "y")
     size = corners.groupBy(*ring).agg(F.count("*").alias("n_")).filter("n_ >= 3")
     counted = written(meet(corners, size, ring, "n_"), "corners")
@@ -84,16 +87,50 @@ def connections(levels: DataFrame, rings: DataFrame, rise: float = RISE, gap: fl
     is at most ``gap`` from an edge of the other, and at most the share ``stacked`` of the smaller
     plate lies over the other one. Only levels whose boxes are that near are compared, and
     corners and edges meet on levels of cells. Edges inside a plate count as its edges.
+    A pair of plates that are one upright rectangle each is judged where it is met, by the
+    same corners and edges, so nothing of it is written or shuffled.
     """
     level = ["model", "level"]
-    edges = written(sides(rings, [*level, "polygon"]), "plate-edges")
-    areas = covered_area(edges.withColumn("layer", F.lit(0)), level, 1)
+    edges = written(sides(rings, [*level, "polygon", "ring"]), "plate-edges")
+    box = edges.groupBy(*level).agg(*[f(a).alias(f"{a}{k}") for a in "xy" for k, f in ((0, F.min), (1, F.max))], F.count("*").alias("sides_"), ((F.min("polygon") == F.max("polygon")) & (F.min("ring") == F.max("ring"))).alias("one_"), *[F.max(F.when(F.col(f"{a}_") == F.col(a), F.abs(F.col(f"{b}_") - F.col(b)))).alias(f"most_{b}") for a, b in ("xy", "yx")], *[F.min(F.when(F.col(f"{a}_") == F.col(a), F.abs(F.col(f"{b}_") - F.col(b)))).alias(f"least_{b}") for a, b in ("xy", "yx")], F.count_if((F.col("x_") == F.col("x")) & (F.col("y_") != F.col("y"))).alias("upright_"), F.count_if((F.col("y_") == F.col("y")) & (F.col("x_") != F.col("x"))).alias("level_"))
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    plain = (F.col("sides_") == 4) & F.col("one_") & (F.col("upright_") == 2) & (F.col("level_") == 2) & (F.col("least_x") == wide) & (F.col("most_x") == wide) & (F.col("least_y") == high) & (F.col("most_y") == high)
+    box = written(box.select(*level, "x0", "x1", "y0", "y1", F.coalesce(plain, F.lit(False)).alias("plain")), "plate-boxes")
+    odd = written(edges.drop("ring").join(box.filter("not plain").select(*level), level, "left_semi"), "odd-edges")
+    only_plain = odd.isEmpty()
+    areas = box.filter("plain").select(*level, (wide * high).alias("covered"))
+    if not only_plain:
+        areas = areas.unionByName(covered_area(odd.withColumn("layer", F.lit(0)), level, 1))
     plates = written(levels.select(*level, F.col("elevation").cast("double").alias("elevation")).join(areas, level, "left").select(*level, "elevation", F.coalesce("covered", F.lit(0.0)).alias("area")), "plates")
-    box = plates.filter("area > 0").join(edges.groupBy(*level).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")), level)
-    low = box.select("model", F.col("level").alias("lower"), F.col("elevation").alias("e0"), (F.col("elevation") + rise).alias("e1"), F.col("area").alias("area0"), *[(F.col(f"{a}{k}") + (gap if k else -gap)).alias(f"a_{a}{k}") for a in "xy" for k in (0, 1)])
-    up = box.select("model", F.col("level").alias("upper"), F.col("elevation").alias("e"), F.col("area").alias("area1"), *[F.col(f"{a}{k}").alias(f"b_{a}{k}") for a in "xy" for k in (0, 1)])
-    near = box_pairs(low, up, [("a_x0", "a_x1"), ("a_y0", "a_y1"), ("e0", "e1")], [("b_x0", "b_x1"), ("b_y0", "b_y1"), ("e", "e")], ["model"])
-    near = near.filter((F.col("e") > F.col("e0")) | (F.col("e") == F.col("e0")) & (F.col("upper") > F.col("lower"))).select("model", "lower", "upper", (F.col("e") - F.col("e0")).alias("rise"), F.least("area0", "area1").alias("smaller"))
+    box = written(plates.filter("area > 0").join(box, level), "plate-levels")
+    low = box.select("model", F.col("level").alias("lower"), F.col("plain").alias("plain0"), F.col("elevation").alias("e0"), (F.col("elevation") + rise).alias("e1"), F.col("area").alias("area0"), *[(F.col(f"{a}{k}") + (gap if k else -gap)).alias(f"a_{a}{k}") for a in "xy" for k in (0, 1)], *[F.col(f"{a}{k}").alias(f"o_{a}{k}") for a in "xy" for k in (0, 1)])
+    up = box.select("model", F.col("level").alias("upper"), F.col("plain").alias("plain1"), F.col("elevation").alias("e"), F.col("area").alias("area1"), *[F.col(f"{a}{k}").alias(f"b_{a}{k}") for a in "xy" for k in (0, 1)])
+    mean = box.agg(F.avg(wide), F.avg(high)).first()
+    sizes = [x + 2 * gap if x and math.isfinite(x) else 1.0 for x in mean] + [rise if rise > 0 else 1.0]
+
+    def above(low: DataFrame, up: DataFrame) -> DataFrame:
+        met = box_pairs(low, up, [("a_x0", "a_x1"), ("a_y0", "a_y1"), ("e0", "e1")], [("b_x0", "b_x1"), ("b_y0", "b_y1"), ("e", "e")], ["model"], sizes)
+        met = met.filter((F.col("e") > F.col("e0")) | (F.col("e") == F.col("e0")) & (F.col("upper") > F.col("lower")))
+        return met.withColumns({"rise": F.col("e") - F.col("e0"), "smaller": F.least("area0", "area1")})
+
+    def reached(c: Column) -> Column:
+        """How far a corner (x, y) is from the sides of the other rectangle (from its x0, x1, y0, y1)."""
+        within = [c["x"] - c["x0"], c["x1"] - c["x"], c["y"] - c["y0"], c["y1"] - c["y"]]
+        zero = F.lit(0.0)
+        return F.when(F.least(*within) >= 0, F.least(*within)).otherwise(F.hypot(F.greatest(-within[0], -within[1], zero), F.greatest(-within[2], -within[3], zero)))
+
+    corners = F.array(*[F.struct(F.col(f"{m}_x{i}").alias("x"), F.col(f"{m}_y{k}").alias("y"), *[F.col(f"{n}_{a}{j}").alias(f"{a}{j}") for a in "xy" for j in (0, 1)]) for m, n in ("ob", "bo") for i in (0, 1) for k in (0, 1)])
+    # rectangles apart on an axis: where they overlap on the other one, a corner lies beside the other's side
+    apart = [F.greatest(F.col(f"b_{a}0") - F.col(f"o_{a}1"), F.col(f"o_{a}0") - F.col(f"b_{a}1"), F.lit(0.0)) for a in "xy"]
+    between = F.when((apart[0] > 0) | (apart[1] > 0), F.hypot(*apart)).otherwise(F.array_min(F.transform(corners, reached)))
+    shared = [F.greatest(F.least(f"o_{a}1", f"b_{a}1") - F.greatest(f"o_{a}0", f"b_{a}0"), F.lit(0.0)) for a in "xy"]
+    upright = above(low.filter("plain0"), up.filter("plain1")).withColumn("ratio", shared[0] * shared[1] / F.col("smaller")).filter(F.col("ratio") <= stacked)
+    upright = upright.withColumn("gap", between).filter(F.col("gap") <= gap).withColumn("gap", F.when(F.col("gap") > TOUCH, F.col("gap")).otherwise(0.0))
+    upright = upright.select("model", "lower", "upper", "rise", "gap", "ratio")
+    if only_plain:
+        return upright, plates
+    edges = edges.drop("ring")
+    near = above(low.filter("not plain0"), up).unionByName(above(low.filter("plain0"), up.filter("not plain1"))).select("model", "lower", "upper", "rise", "smaller")
     near = written(near.withColumn("pair", F.monotonically_increasing_id()), "plate-pairs")
     ends = near.select("pair", "model", F.col("lower").alias("level"), F.lit(0).alias("layer")).unionByName(near.select("pair", "model", F.col("upper").alias("level"), F.lit(1).alias("layer")))
     both = written(ends.join(edges, level).select("pair", "layer", "polygon", "x", "y", "x_", "y_"), "pair-edges")
@@ -107,32 +144,66 @@ def connections(levels: DataFrame, rings: DataFrame, rise: float = RISE, gap: fl
     touching = written(near.join(gaps.select("pair", F.when(F.col("gap") > TOUCH, F.col("gap")).otherwise(0.0).alias("gap")), "pair"), "plate-gaps")
     shared = covered_area(both.join(touching.select("pair"), "pair", "left_semi"), ["pair"], 2)
     ratio = F.coalesce("covered", F.lit(0.0)) / F.col("smaller")
-    return touching.join(shared, "pair", "left").withColumn("ratio", ratio).filter(F.col("ratio") <= stacked).select("model", "lower", "upper", "rise", "gap", "ratio"), plates
-
-
-def _merged(span: float):
-    def over(key: tuple, levels: pa.Table, pairs: pa.Table) -> pa.Table:
-        rows = sorted(levels.to_pylist(), key=lambda r: (r["elevation"], r["level"]))
-        at = {r["level"]: k for k, r in enumerate(rows)}
-        root, low, high = list(range(len(rows))), [r["elevation"] for r in rows], [r["elevation"] for r in rows]
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for a, b in sorted((at[r["lower"]], at[r["upper"]]) for r in pairs.to_pylist()):
-            a, b = find(a), find(b)
-            if a != b and max(high[a], high[b]) - min(low[a], low[b]) <= span:
-                root[b], low[a], high[a] = a, min(low[a], low[b]), max(high[a], high[b])
-        groups: dict[int, list[int]] = {}
-        for k in range(len(rows)):
-            groups.setdefault(find(k), []).append(k)
-        out = [(rows[k], rows[g[0]]["level"], rows[max(g, key=lambda m: (rows[m]["area"], -m))]["level"]) for g in groups.values() for k in g]
-        names = ["model", "level", "group_level", "primary_level"]
-        kinds = [levels.schema.field("model").type, *[levels.schema.field("level").type] * 3]
-        return pa.table([pa.array(c, k) for c, k in zip(([r["model"] for r, _, _ in out], [r["level"] for r, _, _ in out], [g for _, g, _ in out], [p for _, _, p in out]), kinds, strict=True)], names)
+    odd_pairs = touching.join(shared, "pair", "left").withColumn("ratio", ratio).filter(F.col("ratio") <= stacked).select("model", "lower", "upper", "rise", "gap", "ratio")
+    return upright.unionByName(odd_pairs), plates
+
+
+def _merged(span: float, names: pa.Schema):
+    """Groups of the levels of each run, from rows by run: its levels in order (side 0), then its pairs of places in order (side 1)."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, root, low, high, members = None, [], np.zeros(0, np.int64), np.zeros(0), np.zeros(0), {}
+
+        def begin() -> None:
+            nonlocal root, low, high, members
+            low = np.array([r["elevation"] for r in rows], float)
+            root, high, members = np.arange(len(rows)), low.copy(), {}
+
+        def merge(a: np.ndarray, b: np.ndarray) -> None:
+            # what is one group or would rise too far stays so, since groups only grow
+            p, q = root[a], root[b]
+            open_ = np.flatnonzero((p != q) & (np.maximum(high[p], high[q]) - np.minimum(low[p], low[q]) <= span))
+            for m, n in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+                p, q = int(root[m]), int(root[n])
+                if p != q and max(high[p], high[q]) - min(low[p], low[q]) <= span:
+                    one, two = members.pop(p, None) or [p], members.pop(q, None) or [q]
+                    if len(one) < len(two):
+                        p, q, one, two = q, p, two, one
+                    root[two], members[p] = p, one + two
+                    low[p], high[p] = min(low[p], low[q]), max(high[p], high[q])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            first, largest = {}, {}
+            for k, (r, g) in enumerate(zip(rows, root.tolist(), strict=True)):
+                first.setdefault(g, k)
+                if g not in largest or r["area"] > rows[largest[g]]["area"]:
+                    largest[g] = k
+            if rows:
+                of = root.tolist()
+                columns = [[r["model"] for r in rows], [r["level"] for r in rows], [rows[first[g]]["level"] for g in of], [rows[largest[g]]["level"] for g in of]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names)
+
+        for batch in batches:
+            models, runs = batch.column("model").to_pylist(), batch.column("run").to_pylist()
+            cuts = [0, *[k for k in range(1, len(runs)) if (models[k], runs[k]) != (models[k - 1], runs[k - 1])], len(runs)]
+            for begins, ends in zip(cuts[:-1], cuts[1:], strict=True):
+                if begins == ends:
+                    continue
+                if (models[begins], runs[begins]) != now:
+                    if len(root) != len(rows):
+                        begin()
+                    yield from out()
+                    now, rows, root = (models[begins], runs[begins]), [], np.zeros(0, np.int64)
+                part = batch.slice(begins, ends - begins)
+                n = int(np.sum(part.column("side").to_numpy() == 0))
+                rows.extend(part.slice(0, n).select(["model", "level", "elevation", "area"]).to_pylist())
+                if n < part.num_rows:
+                    if len(root) != len(rows):
+                        begin()
+                    merge(part.slice(n).column("a").to_numpy(), part.slice(n).column("b").to_numpy())
+        if len(root) != len(rows):
+            begin()
+        yield from out()
 
     return over
 
@@ -143,13 +214,20 @@ def storeys(plates: DataFrame, joined: DataFrame, span: float = RISE) -> DataFra
     group_level: the group's first level by elevation, primary_level: that of the largest plate.
     Whether two groups merge depends on every merge before, so each model is worked off in
     order, but apart for each run of levels without a step of more than ``span``: no
-    connection leads from one run into another.
+    connection leads from one run into another. A run's pairs are read in order as a stream; only
+    its levels are held.
     """
     placed = ranked_in_groups(plates, ["model"], ["elevation", "level"])
     before = placed.select("model", (F.col("rank") + 1).alias("rank"), F.col("elevation").alias("before_"))
     jumps = placed.join(before, ["model", "rank"], "left").withColumn("jump", F.when(F.col("elevation") - F.col("before_") <= span, 0).otherwise(1))
-    runs = written(running_sums(jumps, ["model"], "rank", "jump", "run").select("model", "run", "level", "elevation", "area"), "storey-runs")
-    pairs = joined.select("model", "lower", "upper").join(runs.select("model", F.col("level").alias("lower"), (F.col("run") + 0).alias("run")), ["model", "lower"])
+    runs = written(running_sums(jumps, ["model"], "rank", "jump", "run").select("model", "run", "rank", "level", "elevation", "area"), "storey-runs")
+    starts = runs.groupBy("model", "run").agg(F.min("rank").alias("start_"))
+    at = written(runs.join(starts, ["model", "run"]).withColumn("at", (F.col("rank") - F.col("start_")).cast("long")), "storey-places")
+    pairs = joined.select("model", "lower", "upper").join(at.select("model", F.col("level").alias("lower"), "run", F.col("at").alias("a")), ["model", "lower"]).join(at.select("model", F.col("level").alias("upper"), F.col("at").alias("b")), ["model", "upper"])
     kinds = dict(plates.dtypes)
+    nothing = [F.lit(None).cast(kinds["level"]).alias("level"), F.lit(None).cast("double").alias("elevation"), F.lit(None).cast("double").alias("area")]
+    both = at.select("model", "run", F.lit(0).alias("side"), F.col("at").alias("a"), F.lit(0).cast("long").alias("b"), "level", "elevation", "area").unionByName(pairs.select("model", "run", F.lit(1).alias("side"), "a", "b", *nothing))
     schema = f"model {kinds['model']}, level {kinds['level']}, group_level {kinds['level']}, primary_level {kinds['level']}"
-    return runs.groupBy("model", "run").cogroup(pairs.groupBy("model", "run")).applyInArrow(_merged(span), schema)
+    of = {c: to_arrow_type(plates.schema[c].dataType) for c in ("model", "level")}
+    names = pa.schema([("model", of["model"]), *[(c, of["level"]) for c in ("level", "group_level", "primary_level")]])
+    return both.repartition("model", "run").sortWithinPartitions("model", "run", "side", "a", "b").mapInArrow(_merged(span, names), schema)

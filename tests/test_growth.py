@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 
-from girder.operators import scene, spatial
+from girder.operators import plates, scene, spatial
 from girder.sources import binary
 
 BOX = "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
@@ -106,3 +106,50 @@ def test_pages_of_one_small_file_are_read_in_many_tasks(spark, tmp_path):
     for name in ("page_payloads", "ownership_records", "bounds_records", "category_records"):
         found = getattr(source_catalogue, name)(spark, str(tmp_path))
         assert found.rdd.getNumPartitions() > 1, name
+
+
+def test_upright_rectangles_are_judged_where_they_meet(spark, monkeypatch):
+    r = random.Random(3)
+    boxes = {k: (r.uniform(0, 30), r.uniform(0, 30), r.uniform(2, 9), r.uniform(2, 9), r.randrange(40) / 4) for k in range(60)}
+    levels = spark.createDataFrame([(1, k, b[4]) for k, b in boxes.items()], "model long, level long, elevation double")
+    ring = lambda k, x, y, w, h, _: [(1, k, 0, 0, i, *c) for i, c in enumerate([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])]
+    rings = spark.createDataFrame([c for k, b in boxes.items() for c in ring(k, *b)], "model long, level long, polygon long, ring long, place long, x double, y double")
+    names, plain = [], plates.written
+    monkeypatch.setattr(plates, "written", lambda df, name: names.append(name) or plain(df, name))
+    joined, found = plates.connections(levels, rings)
+
+    def gap(a, b):
+        out = []
+        for (x, y, w, h, _), (u, v, s, t, _) in ((a, b), (b, a)):
+            for p in (x, x + w):
+                for q in (y, y + h):
+                    inside = min(p - u, u + s - p, q - v, v + t - q)
+                    out.append(inside if inside >= 0 else (max(u - p, p - u - s, 0) ** 2 + max(v - q, q - v - t, 0) ** 2) ** 0.5)
+        return min(out)
+
+    wanted = {}
+    for j, a in boxes.items():
+        for k, b in boxes.items():
+            if (a[4], j) < (b[4], k) and b[4] - a[4] <= plates.RISE and gap(a, b) <= plates.GAP:
+                over = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+                if over / min(a[2] * a[3], b[2] * b[3]) <= plates.STACKED:
+                    wanted[j, k] = gap(a, b)
+    got = {(x["lower"], x["upper"]): x["gap"] for x in joined.collect()}
+    assert got.keys() == wanted.keys() and len(got) > 50 and all(abs(got[k] - wanted[k]) < 1e-4 for k in got)
+    assert "pair-edges" not in names
+
+    monkeypatch.setattr(plates, "written", plain)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # runs and pairs over many batches
+    try:
+        merged = {x["level"]: (x["group_level"], x["primary_level"]) for x in plates.storeys(found, joined).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = sorted(boxes, key=lambda k: (boxes[k][4], k))
+    group = {k: [k] for k in order}
+    for a, b in sorted(wanted, key=lambda p: (order.index(p[0]), order.index(p[1]))):
+        both = group[a] + group[b]
+        if group[a] is not group[b] and max(boxes[k][4] for k in both) - min(boxes[k][4] for k in both) <= plates.RISE:
+            for k in both:
+                group[k] = both
+    first = lambda g: min(g, key=order.index)
+    assert merged == {k: (first(group[k]), max(group[k], key=lambda m: (boxes[m][2] * boxes[m][3], -order.index(m)))) for k in boxes}
