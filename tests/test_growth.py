@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 
-from girder.operators import plates, scene, spatial
+from girder.operators import hulls, plates, scene, spatial
 from girder.sources import binary
 
 BOX = "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
@@ -153,3 +153,15 @@ def test_upright_rectangles_are_judged_where_they_meet(spark, monkeypatch):
                 group[k] = both
     first = lambda g: min(g, key=order.index)
     assert merged == {k: (first(group[k]), max(group[k], key=lambda m: (boxes[m][2] * boxes[m][3], -order.index(m)))) for k in boxes}
+
+
+def test_small_groups_make_no_partial_hull(monkeypatch):
+    calls, plain = [], hulls.hull
+    monkeypatch.setattr(hulls, "hull", lambda points: calls.append(len(points)) or plain(points))
+    r = np.random.default_rng(2)
+    key, xy = r.integers(0, 500, 1500), r.integers(0, 9, (1500, 2)).astype(float)
+    key, xy = np.concatenate([key, np.full(4000, 500)]), np.concatenate([xy, r.normal(size=(4000, 2))])
+    kept, points = hulls._reduced(list(range(501)), key, xy)
+    assert len(calls) == 1 and (np.diff(kept) >= 0).all() and len(hulls._reduced([], key[:0], xy[:0])[0]) == 0
+    for k in range(501):
+        assert plain(xy[key == k]).tolist() == plain(points[kept == k]).tolist()
