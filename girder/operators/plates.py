@@ -80,7 +80,13 @@ def covered_area(edges: DataFrame, keys: Sequence[str], layers: int) -> DataFram
 
 
 def connections(levels: DataFrame, rings: DataFrame, rise: float = RISE, gap: float = GAP, stacked: float = STACKED) -> tuple[DataFrame, DataFrame]:
-    """((model, lower, upper, rise, gap, ratio) of levels that belong to one storey, (model, level, elevation, area) of all levels).
+    """((model, lower, upper, rise, gap, ratio) of levels that belong to one storey, (model, level, elevation, area) of all levels)."""
+    upright, odd, plates, _ = _connections(levels, rings, rise, gap, stacked)
+    return (upright if odd is None else upright.unionByName(odd)), plates
+
+
+def _connections(levels: DataFrame, rings: DataFrame, rise: float, gap: float, stacked: float) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame]:
+    """Connections of two upright rectangles (not yet met) and all others (None if every plate is one), the levels, the boxes (model, level, x0, x1, y0, y1, plain) of levels with an area.
 
     ``levels``: model, level, elevation; ``rings``: model, level, polygon, ring, place, x, y.
     Two levels of a model are connected if they rise by at most ``rise``, some corner of one
@@ -128,7 +134,7 @@ def connections(levels: DataFrame, rings: DataFrame, rise: float = RISE, gap: fl
     upright = upright.withColumn("gap", between).filter(F.col("gap") <= gap).withColumn("gap", F.when(F.col("gap") > TOUCH, F.col("gap")).otherwise(0.0))
     upright = upright.select("model", "lower", "upper", "rise", "gap", "ratio")
     if only_plain:
-        return upright, plates
+        return upright, None, plates, box
     edges = edges.drop("ring")
     near = above(low.filter("not plain0"), up).unionByName(above(low.filter("plain0"), up.filter("not plain1"))).select("model", "lower", "upper", "rise", "smaller")
     near = written(near.withColumn("pair", F.monotonically_increasing_id()), "plate-pairs")
@@ -145,43 +151,119 @@ def connections(levels: DataFrame, rings: DataFrame, rise: float = RISE, gap: fl
     shared = covered_area(both.join(touching.select("pair"), "pair", "left_semi"), ["pair"], 2)
     ratio = F.coalesce("covered", F.lit(0.0)) / F.col("smaller")
     odd_pairs = touching.join(shared, "pair", "left").withColumn("ratio", ratio).filter(F.col("ratio") <= stacked).select("model", "lower", "upper", "rise", "gap", "ratio")
-    return upright.unionByName(odd_pairs), plates
+    return upright, odd_pairs, plates, box
+
+
+def _rectangles(rule: tuple[float, float, float], box: np.ndarray, elevation: np.ndarray, area: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+    """Those of the rectangles ``b`` (places) that rectangle ``a`` below them is connected to; ``box``: x0, x1, y0, y1 of each place."""
+    rise, gap, stacked = rule
+    b = b[elevation[b] - elevation[a] <= rise]
+    one, two = box[:, [a]], box[:, b]
+    apart = [np.maximum(np.maximum(two[k] - one[k + 1], one[k] - two[k + 1]), 0.0) for k in (0, 2)]
+    near = (apart[0] <= gap) & (apart[1] <= gap)
+    b, two, apart = b[near], two[:, near], [x[near] for x in apart]
+    shared = [np.maximum(np.minimum(one[k + 1], two[k + 1]) - np.maximum(one[k], two[k]), 0.0) for k in (0, 2)]
+    level = shared[0] * shared[1] / np.minimum(area[a], area[b]) <= stacked
+    b, two, apart = b[level], two[:, level], [x[level] for x in apart]
+    between = np.hypot(*apart)
+    met = np.flatnonzero((apart[0] <= 0) & (apart[1] <= 0))
+    if len(met):
+        low = np.full(len(met), np.inf)
+        for own, other in ((np.repeat(one, len(met), 1), two[:, met]), (two[:, met], np.repeat(one, len(met), 1))):
+            for i in (0, 1):
+                for k in (2, 3):
+                    within = [own[i] - other[0], other[1] - own[i], own[k] - other[2], other[3] - own[k]]
+                    least = np.minimum.reduce(within)
+                    low = np.minimum(low, np.where(least >= 0, least, np.hypot(np.maximum(np.maximum(-within[0], -within[1]), 0), np.maximum(np.maximum(-within[2], -within[3]), 0))))
+        between[met] = low
+    return b[between <= gap]
+
+
+class _Run:
+    """The levels of one run in order (a table of ``model``, ``level``, ``elevation``, ``area``, box and ``plain``) and their groups."""
+
+    def __init__(self, rows: pa.Table, span: float, rule: tuple[float, float, float]):
+        self.rows, self.span, self.rule = rows, span, rule
+        self.elevation, self.area = (rows.column(c).to_numpy().astype(float) for c in ("elevation", "area"))
+        self.box = np.stack([rows.column(c).to_numpy().astype(float) for c in ("x0", "x1", "y0", "y1")])
+        self.plain = rows.column("plain").to_numpy(zero_copy_only=False).astype(bool)
+        self.low, self.high, self.root, self.members = self.elevation.copy(), self.elevation.copy(), np.arange(rows.num_rows), {}
+        self.done, self.block, self.began, self.open = 0, (0, 0), self.root, {}
+
+    def compatible(self, p: int, places: np.ndarray) -> np.ndarray:
+        """Places whose group isn't ``p`` and may still merge with it. Others never will, since groups only grow."""
+        q = self.root[places]
+        return places[(q != p) & (np.maximum(self.high[p], self.high[q]) - np.minimum(self.low[p], self.low[q]) <= self.span)]
 
+    def merge(self, a: int, places: np.ndarray) -> None:
+        root, low, high = self.root, self.low, self.high
+        for n in self.compatible(int(root[a]), places).tolist():
+            p, q = int(root[a]), int(root[n])
+            if p != q and max(high[p], high[q]) - min(low[p], low[q]) <= self.span:
+                one, two = self.members.pop(p, None) or [p], self.members.pop(q, None) or [q]
+                if len(one) < len(two):
+                    p, q, one, two = q, p, two, one
+                one.extend(two)
+                root[two], self.members[p] = p, one
+                low[p], high[p] = min(low[p], low[q]), max(high[p], high[q])
 
-def _merged(span: float, names: pa.Schema):
+    def above(self, a: int) -> np.ndarray:
+        """Rectangles above rectangle ``a`` that are connected to it and may still merge with its group, in order."""
+        if not self.plain[a]:
+            return np.zeros(0, np.int64)
+        if a >= self.block[1]:  # what can't merge when a block begins never can
+            begins, ends = a, min(a + 256, len(self.root))
+            upto = int(np.searchsorted(self.elevation, self.elevation[ends - 1] + self.rule[0] + 1e-6, "right"))
+            self.block, self.began, self.open = (begins, ends), self.root[begins:ends].copy(), {}
+            self.window = begins + np.flatnonzero(self.plain[begins:upto])
+        p = int(self.began[a - self.block[0]])
+        if p not in self.open:
+            self.open[p] = self.compatible(int(self.root[p]), self.window)
+        found = self.open[p]
+        found = self.compatible(int(self.root[a]), found[np.searchsorted(found, a, "right") :])
+        return _rectangles(self.rule, self.box, self.elevation, self.area, a, found) if len(found) else found
+
+    def upto(self, a: int) -> None:
+        """Work off the levels before ``a``, which have no pairs but those of rectangles."""
+        for k in range(self.done, a):
+            self.merge(k, self.above(k))
+        self.done = max(self.done, a)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Work off other pairs, in order; all of a level's are told at once."""
+        cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+        for begins, ends in zip(cuts[:-1], cuts[1:], strict=True):
+            if begins < ends:
+                k = int(a[begins])
+                self.upto(k)
+                self.merge(k, np.union1d(b[begins:ends], self.above(k)))
+                self.done = k + 1
+
+    def groups(self, names: pa.Schema) -> pa.RecordBatch:
+        self.upto(len(self.root))
+        n = len(self.root)
+        _, of = np.unique(self.root, return_inverse=True)
+        first, largest = np.full(of.max() + 1, n), np.empty(of.max() + 1, np.int64)
+        np.minimum.at(first, of, np.arange(n))
+        order = np.lexsort((-np.arange(n), self.area))  # the last of a group is its largest plate, of equal ones the first
+        largest[of[order]] = order
+        level = self.rows.column("level").combine_chunks()
+        columns = [self.rows.column("model").combine_chunks(), level, level.take(pa.array(first[of])), level.take(pa.array(largest[of]))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, names, strict=True)], schema=names)
+
+
+def _merged(span: float, rule: tuple[float, float, float], names: pa.Schema):
     """Groups of the levels of each run, from rows by run: its levels in order (side 0), then its pairs of places in order (side 1)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, root, low, high, members = None, [], np.zeros(0, np.int64), np.zeros(0), np.zeros(0), {}
-
-        def begin() -> None:
-            nonlocal root, low, high, members
-            low = np.array([r["elevation"] for r in rows], float)
-            root, high, members = np.arange(len(rows)), low.copy(), {}
-
-        def merge(a: np.ndarray, b: np.ndarray) -> None:
-            # what is one group or would rise too far stays so, since groups only grow
-            p, q = root[a], root[b]
-            open_ = np.flatnonzero((p != q) & (np.maximum(high[p], high[q]) - np.minimum(low[p], low[q]) <= span))
-            for m, n in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
-                p, q = int(root[m]), int(root[n])
-                if p != q and max(high[p], high[q]) - min(low[p], low[q]) <= span:
-                    one, two = members.pop(p, None) or [p], members.pop(q, None) or [q]
-                    if len(one) < len(two):
-                        p, q, one, two = q, p, two, one
-                    root[two], members[p] = p, one + two
-                    low[p], high[p] = min(low[p], low[q]), max(high[p], high[q])
-
-        def out() -> Iterator[pa.RecordBatch]:
-            first, largest = {}, {}
-            for k, (r, g) in enumerate(zip(rows, root.tolist(), strict=True)):
-                first.setdefault(g, k)
-                if g not in largest or r["area"] > rows[largest[g]]["area"]:
-                    largest[g] = k
-            if rows:
-                of = root.tolist()
-                columns = [[r["model"] for r in rows], [r["level"] for r in rows], [rows[first[g]]["level"] for g in of], [rows[largest[g]]["level"] for g in of]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names)
+        now, levels, run, left = None, [], None, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if levels:
+                whole = run or _Run(pa.Table.from_batches(levels), span, rule)
+                whole.pairs(*left)
+                out = whole.groups(names)
+                yield from (out.slice(k, 10000) for k in range(0, out.num_rows, 10000))
 
         for batch in batches:
             models, runs = batch.column("model").to_pylist(), batch.column("run").to_pylist()
@@ -190,32 +272,32 @@ def _merged(span: float, names: pa.Schema):
                 if begins == ends:
                     continue
                 if (models[begins], runs[begins]) != now:
-                    if len(root) != len(rows):
-                        begin()
-                    yield from out()
-                    now, rows, root = (models[begins], runs[begins]), [], np.zeros(0, np.int64)
+                    yield from ended()
+                    now, levels, run, left = (models[begins], runs[begins]), [], None, (left[0][:0], left[1][:0])
                 part = batch.slice(begins, ends - begins)
                 n = int(np.sum(part.column("side").to_numpy() == 0))
-                rows.extend(part.slice(0, n).select(["model", "level", "elevation", "area"]).to_pylist())
+                if n:
+                    levels.append(part.slice(0, n))
                 if n < part.num_rows:
-                    if len(root) != len(rows):
-                        begin()
-                    merge(part.slice(n).column("a").to_numpy(), part.slice(n).column("b").to_numpy())
-        if len(root) != len(rows):
-            begin()
-        yield from out()
+                    run = run or _Run(pa.Table.from_batches(levels), span, rule)
+                    a, b = (np.concatenate([left[k], part.slice(n).column(c).to_numpy()]) for k, c in enumerate("ab"))
+                    whole = int(np.searchsorted(a, a[-1]))  # the last level's pairs may go on in the next batch
+                    run.pairs(a[:whole], b[:whole])
+                    left = a[whole:], b[whole:]
+        yield from ended()
 
     return over
 
 
-def storeys(plates: DataFrame, joined: DataFrame, span: float = RISE) -> DataFrame:
+def storeys(plates: DataFrame, joined: DataFrame | None, span: float = RISE, rectangles: DataFrame | None = None, rule: tuple[float, float, float] = (RISE, GAP, STACKED)) -> DataFrame:
     """(model, level, group_level, primary_level): levels merged along connections, lowest pair first, unless a group would rise by more than ``span`` in all.
 
     group_level: the group's first level by elevation, primary_level: that of the largest plate.
     Whether two groups merge depends on every merge before, so each model is worked off in
     order, but apart for each run of levels without a step of more than ``span``: no
     connection leads from one run into another. A run's pairs are read in order as a stream; only
-    its levels are held.
+    its levels are held. Pairs of ``rectangles`` (model, level, x0, x1, y0, y1, plain; by ``rule``: rise, gap, stacked)
+    aren't among ``joined``: each is judged where its level's turn comes, if its two groups may still merge.
     """
     placed = ranked_in_groups(plates, ["model"], ["elevation", "level"])
     before = placed.select("model", (F.col("rank") + 1).alias("rank"), F.col("elevation").alias("before_"))
@@ -223,11 +305,21 @@ def storeys(plates: DataFrame, joined: DataFrame, span: float = RISE) -> DataFra
     runs = written(running_sums(jumps, ["model"], "rank", "jump", "run").select("model", "run", "rank", "level", "elevation", "area"), "storey-runs")
     starts = runs.groupBy("model", "run").agg(F.min("rank").alias("start_"))
     at = written(runs.join(starts, ["model", "run"]).withColumn("at", (F.col("rank") - F.col("start_")).cast("long")), "storey-places")
-    pairs = joined.select("model", "lower", "upper").join(at.select("model", F.col("level").alias("lower"), "run", F.col("at").alias("a")), ["model", "lower"]).join(at.select("model", F.col("level").alias("upper"), F.col("at").alias("b")), ["model", "upper"])
     kinds = dict(plates.dtypes)
-    nothing = [F.lit(None).cast(kinds["level"]).alias("level"), F.lit(None).cast("double").alias("elevation"), F.lit(None).cast("double").alias("area")]
-    both = at.select("model", "run", F.lit(0).alias("side"), F.col("at").alias("a"), F.lit(0).cast("long").alias("b"), "level", "elevation", "area").unionByName(pairs.select("model", "run", F.lit(1).alias("side"), "a", "b", *nothing))
+    sides_ = ["x0", "x1", "y0", "y1"]
+    boxes = at.select("model", "level").join(rectangles.filter("plain").select("model", "level", *sides_, "plain"), ["model", "level"]) if rectangles is not None else at.limit(0).select("model", "level", *[F.lit(0.0).alias(c) for c in sides_], F.lit(True).alias("plain"))
+    both = at.join(boxes, ["model", "level"], "left").select("model", "run", F.lit(0).alias("side"), F.col("at").alias("a"), F.lit(0).cast("long").alias("b"), "level", "elevation", "area", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sides_], F.coalesce("plain", F.lit(False)).alias("plain"))
+    if joined is not None:
+        pairs = joined.select("model", "lower", "upper").join(at.select("model", F.col("level").alias("lower"), "run", F.col("at").alias("a")), ["model", "lower"]).join(at.select("model", "run", F.col("level").alias("upper"), F.col("at").alias("b")), ["model", "run", "upper"])
+        nothing = [F.lit(None).cast(kinds["level"]).alias("level"), *[F.lit(None).cast("double").alias(c) for c in ("elevation", "area", *sides_)], F.lit(None).cast("boolean").alias("plain")]
+        both = both.unionByName(pairs.select("model", "run", F.lit(1).alias("side"), "a", "b", *nothing))
     schema = f"model {kinds['model']}, level {kinds['level']}, group_level {kinds['level']}, primary_level {kinds['level']}"
     of = {c: to_arrow_type(plates.schema[c].dataType) for c in ("model", "level")}
     names = pa.schema([("model", of["model"]), *[(c, of["level"]) for c in ("level", "group_level", "primary_level")]])
-    return both.repartition("model", "run").sortWithinPartitions("model", "run", "side", "a", "b").mapInArrow(_merged(span, names), schema)
+    return both.repartition("model", "run").sortWithinPartitions("model", "run", "side", "a", "b").mapInArrow(_merged(span, rule, names), schema)
+
+
+def connected_storeys(levels: DataFrame, rings: DataFrame, rise: float = RISE, gap: float = GAP, stacked: float = STACKED, span: float = RISE) -> DataFrame:
+    """``storeys`` of the connections of levels and rings; pairs of upright rectangles, as many as the square of near levels, are neither written nor shuffled."""
+    _, odd, plates, boxes = _connections(levels, rings, rise, gap, stacked)
+    return storeys(plates, odd, span, boxes, (rise, gap, stacked))

@@ -155,6 +155,32 @@ def test_upright_rectangles_are_judged_where_they_meet(spark, monkeypatch):
     assert merged == {k: (first(group[k]), max(group[k], key=lambda m: (boxes[m][2] * boxes[m][3], -order.index(m)))) for k in boxes}
 
 
+def test_pairs_of_rectangles_are_judged_at_their_turn(spark):
+    r = random.Random(9)
+    boxes = {(m, k): (r.uniform(0, wide), r.uniform(0, wide), r.uniform(2, 9), r.uniform(2, 9), r.randrange(60) / 4) for m, wide, n in ((1, 14, 150), (2, 60, 80), (3, 1, 1)) for k in range(n)}
+    boxes |= {(2, 900 + k): (0.0, 8.0 * k, 4.0, 5.0, 40.0) for k in range(5)}  # a run of its own
+    levels = spark.createDataFrame([(m, k, b[4]) for (m, k), b in boxes.items()] + [(1, 5000, None), (1, 5001, 3.0)], "model long, level long, elevation double")
+
+    def corners(m, k, x, y, w, h, _):
+        cut = [(x, y), (x + w, y), (x + w, y + h / 2), (x + w / 2, y + h), (x, y + h)] if k % 5 == 0 else [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        return [(m, k, 0, 0, i, *c) for i, c in enumerate(cut)]
+
+    rows = [c for (m, k), b in boxes.items() for c in corners(m, k, *b)]
+    schema = "model long, level long, polygon long, ring long, place long, x double, y double"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # runs and pairs over many batches
+    try:
+        for kept in (rows, [c for c in rows if c[1] % 5]):
+            rings = spark.createDataFrame(kept, schema)
+            joined, found = plates.connections(levels, rings)
+            wanted = sorted(map(tuple, plates.storeys(found, joined).collect()))
+            out = plates.connected_storeys(levels, rings)
+            assert sorted(map(tuple, out.collect())) == wanted
+            assert len({(m, g) for m, _, g, _ in wanted}) < len(wanted)
+        assert "lower" not in out._jdf.queryExecution().analyzed().toString()  # no pairs were made
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_small_groups_make_no_partial_hull(monkeypatch):
     calls, plain = [], hulls.hull
     monkeypatch.setattr(hulls, "hull", lambda points: calls.append(len(points)) or plain(points))
