@@ -1,12 +1,13 @@
 """Joins on dense tables: as much work as there are groups, and the results of brute force."""
 
+import math
 import random
 import struct
 
 import numpy as np
 import pyarrow as pa
 
-from girder.operators import hulls, plates, scene, spatial
+from girder.operators import hulls, plates, rings, scene, spatial
 from girder.sources import binary
 
 BOX = "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
@@ -191,3 +192,40 @@ def test_small_groups_make_no_partial_hull(monkeypatch):
     assert len(calls) == 1 and (np.diff(kept) >= 0).all() and len(hulls._reduced([], key[:0], xy[:0])[0]) == 0
     for k in range(501):
         assert plain(xy[key == k]).tolist() == plain(points[kept == k]).tolist()
+
+
+def test_owners_of_few_rows_need_no_joins(spark, monkeypatch):
+    r = random.Random(12)
+    segments, corners = [], []
+    for owner in range(60):
+        for ring in range(r.randrange(1, 5)):
+            n, cx, cy = r.choice([2, 3, 4, 9]), 40.0 * ring, r.uniform(0, 9)
+            points = [(cx + (5 + r.random()) * math.cos(6.28 * k / n), cy + 5 * math.sin(6.28 * k / n), 0.0) for k in range(n)]
+            for k in range(n if r.random() < 0.7 else n - 1):
+                a, b = points[k], (points[(k + 1) % n][0] + r.choice([0.0, 3e-5]), *points[(k + 1) % n][1:])
+                segments += [(owner, r.randrange(1 << 40), *p, *q) for p, q in ((a, b), (b, a))[: r.choice([1, 1, 2])]]
+            h = r.choice([1.0, 3.0, 3.0, 8.0, 20.0])
+            shape = [(-h, -h), (h, -h), (h, h), (-h, h)] if r.random() < 0.6 else [(-h, 0.0), (0.0, -h), (h, 0.0), (0.0, h), (-h / 2, h / 3)]
+            corners += [(owner, ring, k, u + r.randrange(4), w + r.randrange(2) * 0.0) for k, (u, w) in enumerate(shape)]
+    segments += [(0, 1 << 41, 0.0, 0.0, 0.0, 0.0, 9.0, 0.0), (0, (1 << 41) + 1, 0.0, 0.0, 0.0, 9.0, 9.0, 0.0), (70, 1, None, 0.0, 0.0, 1.0, 1.0, 1.0), (71, 1, 0.0, 0.0, 0.0, 1e-5, 0.0, 0.0)]
+    corners += [(80, 1, 0, 0.0, 0.0), (80, 1, 1, 1.0, 1.0)]
+    a = spark.createDataFrame(segments, "owner long, segment long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    b = spark.createDataFrame(corners, "owner long, ring int, place int, x double, y double")
+
+    def told():
+        closed, open_ = rings.assembled(a, "owner", "segment")
+        flat = lambda row: tuple(round(v, 6) if isinstance(v, float) else v for v in row)
+        return [sorted(map(repr, map(flat, df.collect()))) for df in (closed, open_, rings.nested(b, "owner", "ring", "place"))]
+
+    names, plain = [], rings.written
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # owners over many batches
+    try:
+        monkeypatch.setattr(rings, "written", lambda df, name: names.append(name) or plain(df, name))
+        small = told()
+        assert not {"arcs", "ring-sides"} & set(names) and all(len(rows) > 20 for rows in small)
+        monkeypatch.setattr(rings, "FEW", 0)
+        assert told() == small
+        monkeypatch.setattr(rings, "FEW", 8)
+        assert told() == small
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
