@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from girder.functions import identifiers as I
 from girder.operators.postings import Postings, values_of
 from girder.plans.catalogue import query, table
-from girder.plans.source_catalogue import place, texts_at
+from girder.plans.source_catalogue import place
 from girder.sources import step as Z
 from girder.sources import text as T
 from girder.sources.library import read_library
@@ -50,8 +50,8 @@ def ifc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     titled = lambda key, word: elements.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("name", F.concat(F.lit(word), F.col(key).cast("string")))
     path = place(spark, "ifc")
     Z.write_ifc(path, "modèle", titled("level", "Level é ").withColumn("elevation", F.col("level") * 3.0), titled("material", "Béton "), elements)
-    # part files in order are the file; an instance is a line, so each can be read apart
-    entities = written(T.step_entities(texts_at(spark, path)).select(F.lit("").alias("path"), "entity_id", "type", "arguments"), "entities")
+    # part files in order are the file; an instance is a line of ASCII, so lines are read apart and no file is held whole
+    entities = written(T.step_entities(spark.read.text(path).select(F.lit("").alias("path"), F.col("value").alias("text"))).select(F.lit("").alias("path"), "entity_id", "type", "arguments"), "entities")
     named = T.products(entities, ["IfcWall", "IfcDoor", "IfcBuildingStorey"]).select("entity_id", "type", "name")
     materials = entities.filter("type = 'IFCMATERIAL'").select("entity_id", T.step_decoded(F.regexp_extract("arguments", "^'([^']*)'", 1)).alias("name"))
     refs = T.step_references(entities.filter("type like 'IFCREL%'")).join(entities.select("entity_id", "type"), "entity_id")
