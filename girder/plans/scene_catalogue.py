@@ -75,6 +75,10 @@ def family_symbol_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.family_symbols(table(spark, sf_dir, "lineitem"), families, symbols, "l_partkey", "l_suppkey", ["l_orderkey", "l_linenumber"])
 
 
+#: Lines of orders that one task gathers.
+LINES_A_PART = 1_000_000
+
+
 @query("""
 WITH known AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0),
 l AS (SELECT o_custkey, l_orderkey, l_suppkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND l_suppkey IN (SELECT s_suppkey FROM known)),
@@ -82,9 +86,12 @@ g AS (SELECT o_custkey, l_orderkey, min(l_suppkey) AS family_id, min(l_linenumbe
 SELECT o_custkey, family_id, field_offset FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) AS rn FROM g) t WHERE rn = 1
 """)
 def unique_symbol_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     pair = F.struct(F.col("l_linenumber").cast("long").alias("at"), F.col("l_suppkey").cast("long").alias("family"))
-    sets = lines.groupBy("o_custkey", "l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.array(p["family"], p["at"]))).alias("pairs"))  # one order's lines
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    # as many parts as a million lines each, so that a task's memory doesn't grow with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_A_PART + 1)
+    listed = lines.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.array(p["family"], p["at"]))).alias("pairs"))  # one order's lines
+    sets = listed.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     families, symbols = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select("s_suppkey"), table(spark, sf_dir, "customer").filter("c_acctbal > 0").select("c_custkey")
     return L.unique_symbol_targets(sets, families, symbols, "o_custkey", "l_orderkey", "pairs")
 

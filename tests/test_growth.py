@@ -239,3 +239,34 @@ def test_postings_hold_each_value_once(spark):
     assert index.table.count() == 5 + 3 + 3 * 2 and index.values.count() == 5
     assert [x["id"] for x in index.search("N2X", ["id"], 1000).collect()] == list(range(2, 300, 3))
     assert index.search("g r", ["id"], 1000).count() == 300
+
+
+def test_lines_of_a_written_file_are_read_apart(spark, tmp_path, monkeypatch):
+    from girder.plans import exchange_catalogue
+
+    spark.range(60).selectExpr("id AS p_partkey", "concat('ä', chr(10), id) AS p_name", "CAST(id % 50 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    plans, plain = {}, exchange_catalogue.written
+    monkeypatch.setattr(exchange_catalogue, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name))
+    out = {x["name"]: x for x in exchange_catalogue.ifc_round_trip(spark, str(tmp_path)).collect()}
+    assert "Python" not in plans["entities"] and "binaryFile" not in plans["entities"]
+    name = lambda k: f"ä\n{k} – '{k}°"
+    assert len(out) == 60 and all(out[name(k)]["storey"] == f"Level é {k % 25}" and out[name(k)]["host"] == (name(k + 1) if k % 10 == 0 else None) for k in range(60))
+
+
+def test_lines_of_orders_are_gathered_in_bounded_parts(spark, tmp_path, monkeypatch):
+    from girder.plans import scene_catalogue
+
+    spark.range(600).selectExpr("id % 200 AS l_orderkey", "CAST(id DIV 200 + 1 AS INT) AS l_linenumber", "id % 3 % 2 + 1 AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(200).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1, 3).selectExpr("id AS s_suppkey", "CAST(2 - id AS DOUBLE) AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(20).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(scene_catalogue, "LINES_A_PART", 50)
+    out = scene_catalogue.unique_symbol_target(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(l_orderkey" in plan and ", 13)" in plan
+    lines = {(k % 200, k // 200 + 1): k % 3 % 2 + 1 for k in range(600)}
+    wanted = {}
+    for o in range(199, -1, -1):
+        offsets = [n for n in (1, 2, 3) if lines[o, n] == 1]
+        if offsets and o % 20 > 0:
+            wanted[o % 20] = (1, min(offsets))
+    assert {x["o_custkey"]: (x["family_id"], x["field_offset"]) for x in out.collect()} == wanted
