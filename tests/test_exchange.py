@@ -5,6 +5,7 @@ import re
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from girder.functions import identifiers as I
@@ -153,6 +154,38 @@ def test_recents_survive_a_restart(spark, tmp_path):
     assert left == {1, 2, 3}
 
 
+def test_recents_merge_only_what_may_stay(monkeypatch):
+    class Kept:
+        held, puts = [], 0
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, entries):
+            self.held, self.puts = entries, self.puts + 1
+
+        def clear(self):
+            self.put([])
+
+    r = random.Random(8)
+    row = Row("owner", "name", "size", "modified", "opened_at", "removed")
+    events = [(7, f"f{r.randrange(9)}", r.randrange(2), r.randrange(2), at, False) for at in range(10_000)]
+    r.shuffle(events)
+    met, plain = [], recents.merged
+    monkeypatch.setattr(recents, "merged", lambda *a: met.append(a) or plain(*a))
+    lists = recents.Recents(4, 150)
+    lists.entries = Kept()
+    told = lambda some: [tuple(x[c] for c in ("place", "name", "size", "modified", "opened_at")) for x in lists.handleInputRows((7,), iter([row(*e) for e in some]), None)]
+    wanted = [(k, *e) for k, e in enumerate(newest(events, 4, 150)[7], 1)]
+    assert told(events) == wanted
+    assert len(met) < 500  # of 10,000
+    # what changes nothing is told again, but not written
+    assert told(events[:50] + [(7, None, 1, 1, 99_999, False), (7, "x", None, 1, 99_999, False), (7, "x", 1, 1, None, True)]) == wanted and lists.entries.puts == 1
+    assert told([(7, n, s, m, 10_000, True) for _, n, s, m, _ in wanted]) == [(0, None, None, None, None)]
+    lists.entries = Kept()
+    assert told([(7, "a", 1, None, 5, True)]) == [(0, None, None, None, None)] and len(lists.entries.held) == 1
+
+
 def test_postings_find_what_a_scan_finds(spark):
     r = random.Random(7)
     word = lambda: "".join(r.choice("abcÉ ") for _ in range(r.randrange(0, 9)))
