@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ def cell(x: Column, size: float) -> Column:
 LEVELS = 1100
 #: Combinations of the axes' levels under which a point is listed at most.
 SHAPES = 64
+#: In ``cell_mates``: cells that a box is wide at most, boxes of a cell that are held at once (about), rows of a task (about).
+WIDE, BLOCK, PART = 3, 4096, 1_000_000
 
 
 def _level(sides: Sequence[tuple[str, str]], sizes: Sequence[float]) -> Column:
@@ -109,6 +114,78 @@ def box_pairs(a: DataFrame, b: DataFrame, a_sides: Sequence[tuple[str, str]], b_
     return met.drop(*[k for k in keys if k not in by])
 
 
+def cell_mates(a: DataFrame, b: DataFrame, a_sides: Sequence[tuple[str, str]], b_sides: Sequence[tuple[str, str]], by: Sequence[str], sizes: Sequence[float], order: str) -> tuple[DataFrame, list[str]]:
+    """Boxes by cell for ``mates``, and their keys: those of ``b`` (``side_`` 0) before those of ``a`` (1), by ``order``; with the columns that both have.
+
+    For tables whose boxes meet many others, where ``box_pairs`` does too much for each
+    pair. A box of ``b`` is listed under one cell, that of its lower corner, and a box
+    of ``a`` under each cell that may hold the corner of a box it meets, so a pair is met once, on
+    the level of the larger box (``sizes``: cells of level 0), and most that are met share a point. A
+    cell of more boxes of ``b`` than BLOCK is cut into blocks, which spread over tasks.
+    """
+    a, b = (_valid(rows, sides).dropna(subset=list(by)) for rows, sides in ((a, a_sides), (b, b_sides)))
+    wide = [WIDE * size for size in sizes]
+    ends = b.agg(*[x for k, (low, high) in enumerate(b_sides) for x in (F.min(low).alias(f"first{k}"), F.max(low).alias(f"last{k}"), F.max(F.col(high) - F.col(low)).alias(f"widest{k}"))]).first()
+    levels = sorted({*_levels(a, a_sides, wide), *_levels(b, b_sides, wide)}) or [0]
+    every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+    cells = [*by, "level_", *[f"cell{k}_" for k in range(len(sizes))]]
+    kept = [c for c in a.columns if c in b.columns and c not in by]
+    side = [F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level_")) for size in sizes]
+
+    def levelled(rows: DataFrame, sides: Sequence[tuple[str, str]], above: int | None) -> DataFrame:
+        own = _level(sides, wide)
+        return rows.withColumn("level_", own if above is None else F.explode(F.filter(every, lambda x: x >= own + above)))
+
+    def window(k: int) -> tuple[Column, Column]:
+        """The first and last cell where a box of ``b`` that a box of ``a`` meets may begin."""
+        low, high = a_sides[k]
+        reach = F.least(WIDE * side[k], F.lit(ends[f"widest{k}"])) * (1 + 1e-9)  # rounding must not hide a box that is just as wide
+        first, last = (F.floor(F.lit(ends[f"{end}{k}"]) / side[k]) for end in ("first", "last"))
+        return F.greatest(F.floor((F.col(low) - reach) / side[k]), first), F.least(F.floor(F.col(high) / side[k]), last)
+
+    def listed(above_a: int | None, above_b: int | None) -> DataFrame:
+        many, few = levelled(spread(a), a_sides, above_a), levelled(b, b_sides, above_b)
+        for k, (low, _) in enumerate(b_sides):
+            first, last = window(k)
+            few = few.withColumn(f"cell{k}_", F.floor(F.col(low) / side[k]))
+            many = many.withColumn(f"cell{k}_", F.explode(F.when(first <= last, F.sequence(first, last))))
+        crowded = written(few.groupBy(*cells).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks_")).filter("blocks_ > 1"), "crowded-cells")
+        block = F.coalesce("blocks_", F.lit(1))
+        few = few.join(F.broadcast(crowded), cells, "left").withColumn("block_", F.pmod(F.xxhash64(*b.columns), block).cast("int"))
+        many = many.join(F.broadcast(crowded), cells, "left").withColumn("block_", F.explode(F.sequence(F.lit(0), block - 1)))
+        return few.select(*cells, "block_", F.lit(0).alias("side_"), *kept).unionByName(many.select(*cells, "block_", F.lit(1).alias("side_"), *kept))
+
+    rows = listed(None, None) if len(levels) == 1 else listed(0, None).unionByName(listed(None, 1).withColumn("block_", -1 - F.col("block_")))
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / PART))
+    keys = [*cells, "block_"]
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "side_", order), keys
+
+
+def mates(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, pa.RecordBatch]]:
+    """(boxes of b, boxes of a) that meet in a cell, from rows of ``cell_mates``; those of a in parts."""
+    last, held, whole = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = batch.num_rows
+        differs = lambda c: pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, n - 1)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        fresh = reduce(np.logical_or, [differs(c) for c in keys])
+        cuts = [0, *(np.flatnonzero(fresh | differs("side_")) + 1).tolist(), n]
+        side = batch.column("side_").to_numpy()
+        if [batch.column(c)[0] for c in keys] != last:
+            held, whole = [], None
+        for begins, ends in zip(cuts[:-1], cuts[1:], strict=True):
+            if begins and fresh[begins - 1]:
+                held, whole = [], None
+            part = batch.slice(begins, ends - begins)
+            if side[begins] == 0:
+                held.append(part)
+            elif held:
+                whole = whole or pa.Table.from_batches(held)
+                yield whole, part
+        last = [batch.column(c)[n - 1] for c in keys]
+
+
 def some_partner(rows: DataFrame, row: str, partners: DataFrame, columns: Sequence[str], cells: Sequence[Sequence[Column]], near: Callable[[DataFrame, DataFrame], DataFrame], fits: Callable[[Callable[[str], Column]], Column], may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], first: Column, by: Sequence[str] = ()) -> DataFrame:
     """(row) of rows for which some partner fits, without a look at most pairs in dense tables.
 

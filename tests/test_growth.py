@@ -158,6 +158,46 @@ def test_upright_rectangles_are_judged_where_they_meet(spark, monkeypatch):
     assert merged == {k: (first(group[k]), max(group[k], key=lambda m: (boxes[m][2] * boxes[m][3], -order.index(m)))) for k in boxes}
 
 
+def test_dense_rectangles_meet_in_few_cells(spark, monkeypatch):
+    """Each pair is looked at once, most looked at are near, and crowded cells and other sizes lose none."""
+    r = random.Random(12)
+    boxes = {k: (r.randrange(90) / 2, r.randrange(90) / 2, r.choice([2.0, 5.0, 8.0]), r.choice([3.0, 6.0]), r.randrange(80) / 4) for k in range(500)}
+    boxes |= {1000 + k: (0.0, 0.0, w, w, 3.0 + k) for k, w in enumerate([60.0, 400.0, 400.0])}
+    corners = lambda k, x, y, w, h, _: [(1, k, 0, 0, i, *c) for i, c in enumerate([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])]
+
+    def wanted(a, b):
+        apart = [max(b[k] - a[k] - a[k + 2], a[k] - b[k] - b[k + 2]) for k in (0, 1)]
+        over = [min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k]) for k in (0, 1)]
+        if min(over) > 0 and over[0] * over[1] / min(a[2] * a[3], b[2] * b[3]) > plates.STACKED:
+            return None
+        out = []
+        for (x, y, w, h, _), (u, v, s, t, _) in ((a, b), (b, a)):
+            for p in (x, x + w):
+                for q in (y, y + h):
+                    inside = min(p - u, u + s - p, q - v, v + t - q)
+                    out.append(inside if inside >= 0 else (max(u - p, p - u - s, 0) ** 2 + max(v - q, q - v - t, 0) ** 2) ** 0.5)
+        return (max(apart[0], 0) ** 2 + max(apart[1], 0) ** 2) ** 0.5 if max(apart) > 0 else min(out)
+
+    for kept, block, look in ((boxes, 7, 50), ({k: b for k, b in boxes.items() if k < 1000}, 4096, 1 << 16)):
+        levels = spark.createDataFrame([(1, k, b[4]) for k, b in kept.items()], "model int, level long, elevation double")
+        rings_ = spark.createDataFrame([c for k, b in kept.items() for c in corners(k, *b)], "model int, level long, polygon long, ring long, place long, x double, y double")
+        near = {(j, k): g for j, a in kept.items() for k, b in kept.items() if (a[4], j) < (b[4], k) and b[4] - a[4] <= plates.RISE and (g := wanted(a, b)) is not None and g <= plates.GAP}
+        monkeypatch.setattr(spatial, "BLOCK", block)
+        monkeypatch.setattr(plates, "LOOK", look)
+        joined, _ = plates.connections(levels, rings_)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan.split("Exchange")[0]  # no row for each pair that is looked at
+        got = [(x["lower"], x["upper"], x["gap"]) for x in joined.collect()]
+        assert len(got) == len(near) > 3000 and all(abs(near[j, k] - g) < 1e-4 for j, k, g in got)
+
+    few = spark.createDataFrame([(1, k, *b) for k, b in boxes.items() if k < 1000], "model int, id long, x double, y double, w double, h double, z double").selectExpr("*", "x + w as x_", "y + h as y_", "x - 3 as lx", "x + w + 3 as hx", "y - 3 as ly", "y + h + 3 as hy")
+    monkeypatch.setattr(spatial, "BLOCK", 4096)
+    rows, keys = spatial.cell_mates(few, few.drop("lx", "hx", "ly", "hy"), [("lx", "hx"), ("ly", "hy")], [("x", "x_"), ("y", "y_")], ["model"], [7.0, 7.0], "z")
+    looked = rows.groupBy(*keys).agg((F.count_if(F.col("side_") == 0) * F.count_if(F.col("side_") == 1)).alias("n")).agg(F.sum("n")).first()[0]
+    shared = sum(abs(2 * a[0] + a[2] - 2 * b[0] - b[2]) <= a[2] + b[2] + 6 and abs(2 * a[1] + a[3] - 2 * b[1] - b[3]) <= a[3] + b[3] + 6 for a in [boxes[k] for k in range(500)] for b in [boxes[k] for k in range(500)])
+    assert shared <= looked < 5 * shared and rows.filter("side_ = 0").count() == 500
+
+
 def test_pairs_of_rectangles_are_judged_at_their_turn(spark):
     r = random.Random(9)
     boxes = {(m, k): (r.uniform(0, wide), r.uniform(0, wide), r.uniform(2, 9), r.uniform(2, 9), r.randrange(60) / 4) for m, wide, n in ((1, 14, 150), (2, 60, 80), (3, 1, 1)) for k in range(n)}
